@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe
+from . import bpe, line_dedup, packing, quality_rules
 from .common import read
 
 
@@ -12,5 +12,57 @@ def op9_byte_bpe(spark, sf_dir):
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op9_byte_bpe,)}
-ORACLE: dict[str, str] = {}
+def op3_line_windows(spark, sf_dir):
+    return line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_quality_cascade(spark, sf_dir):
+    judged = quality_rules.judge(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op7_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op3_line_windows, op5_quality_cascade, op7_best_fit_packing, op9_byte_bpe)}
+
+#: Words as arrays: text split at white space, empty strings left out.
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
+OP5_MEASURES = rf"""
+w AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS ws FROM documents),
+l AS (SELECT doc_id, t, ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
+win AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, ws FROM l WHERE len(ws) >= 3),
+rep AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS n FROM win),
+cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, (VALUES (0), (1), (2)) v(k) WHERE n > 1 GROUP BY doc_id),
+m AS (
+  SELECT l.doc_id, t, len(ls) AS n_lines, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(list_aggregate(ws, 'string_agg', '')) AS BIGINT) AS word_chars_or_null,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
+  FROM l LEFT JOIN cov USING (doc_id)),
+mm AS (SELECT *, coalesce(word_chars_or_null, 0) AS word_chars, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+judged AS (
+  SELECT *, NOT base_failed AND NOT (
+    word_chars < 2 * n_words OR word_chars > 12 * n_words OR 10 * n_symbols > n_words OR 100 * n_dup_lines > 30 * n_lines
+    OR 100 * len(regexp_extract_all(t, '\p{{L}}')) < 60 * word_chars OR 100 * len(regexp_extract_all(t, '\p{{Lu}}')) > 30 * word_chars
+    OR 5 * len(regexp_extract_all(t, '!')) > n_words) AS kept
+  FROM mm)"""
+
+OP3_MARKED = r"""
+parts AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents),
+worded AS (SELECT doc_id, i, trim(x, E' 	
+
+') AS x, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n FROM parts WHERE trim(x, E' 	
+
+') <> ''),
+wins AS (SELECT * FROM (SELECT doc_id, n, x AS a, lead(x, 1) OVER d AS b, lead(x, 2) OVER d AS c FROM worded WINDOW d AS (PARTITION BY doc_id ORDER BY n)) WHERE c IS NOT NULL),
+later AS (SELECT doc_id, n FROM (SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, n) AS r FROM wins) WHERE r > 1),
+gone AS (SELECT DISTINCT w.doc_id, w.i FROM later l, (VALUES (0), (1), (2)) v(k), worded w WHERE w.doc_id = l.doc_id AND w.n = l.n + k),
+kept AS (SELECT p.doc_id, string_agg(p.x, chr(10) ORDER BY p.i) AS text FROM parts p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.i = g.i WHERE g.i IS NULL GROUP BY p.doc_id),
+counted AS (SELECT p.doc_id, count(w.i) AS n_lines, count(g.i) AS n_removed FROM parts p LEFT JOIN worded w ON p.doc_id = w.doc_id AND p.i = w.i LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.i = g.i GROUP BY p.doc_id)"""
+
+ORACLE: dict[str, str] = {
+    "op3_line_windows": f"WITH {OP3_MARKED} SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL WHEN n_removed = 0 THEN d.text ELSE coalesce(k.text, '') END AS text, n_lines, n_removed FROM documents d JOIN counted USING (doc_id) LEFT JOIN kept k USING (doc_id)",
+    "op5_quality_cascade": f"WITH {OP5_MEASURES} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged",
+}
