@@ -81,7 +81,7 @@ RULES = (
     Rule("repeated_windows", lambda: 100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
     Rule("word_length", lambda: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 12 * F.col("n_words"))),
     Rule("symbols", lambda: 10 * F.col("n_symbols") > F.col("n_words")),
-    Rule("repeated_lines", lambda: 100 * F.col("n_dup_lines") > 30 * F.col("n_lines")),
+    Rule("repeated_lines", lambda: 2 * F.col("n_dup_lines") > F.col("n_lines")),
     Rule("few_letters", lambda: 100 * F.regexp_count(F.col("text"), F.lit(r"\p{L}")) < 60 * F.col("word_chars")),
     Rule("capitals", lambda: 100 * F.regexp_count(F.col("text"), F.lit(r"\p{Lu}")) > 30 * F.col("word_chars")),
     Rule("exclamations", lambda: 5 * F.regexp_count(F.col("text"), F.lit("!")) > F.col("n_words")),

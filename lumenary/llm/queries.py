@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, line_dedup, packing, quality_rules
+from . import bpe, line_dedup, media, packing, quality_rules, warc
 from .common import read
 
 
@@ -25,7 +25,15 @@ def op7_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_windows, op5_quality_cascade, op7_best_fit_packing, op9_byte_bpe)}
+def op8_warc_revisits(spark, sf_dir):
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
+def op10_jpeg_thumbnails(spark, sf_dir):
+    return media.digests(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_line_windows, op5_quality_cascade, op7_best_fit_packing, op8_warc_revisits, op9_byte_bpe, op10_jpeg_thumbnails)}
 
 #: Words as arrays: text split at white space, empty strings left out.
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -44,7 +52,7 @@ m AS (
 mm AS (SELECT *, coalesce(word_chars_or_null, 0) AS word_chars, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
 judged AS (
   SELECT *, NOT base_failed AND NOT (
-    word_chars < 2 * n_words OR word_chars > 12 * n_words OR 10 * n_symbols > n_words OR 100 * n_dup_lines > 30 * n_lines
+    word_chars < 2 * n_words OR word_chars > 12 * n_words OR 10 * n_symbols > n_words OR 2 * n_dup_lines > n_lines
     OR 100 * len(regexp_extract_all(t, '\p{{L}}')) < 60 * word_chars OR 100 * len(regexp_extract_all(t, '\p{{Lu}}')) > 30 * word_chars
     OR 5 * len(regexp_extract_all(t, '!')) > n_words) AS kept
   FROM mm)"""
@@ -64,5 +72,10 @@ counted AS (SELECT p.doc_id, count(w.i) AS n_lines, count(g.i) AS n_removed FROM
 
 ORACLE: dict[str, str] = {
     "op3_line_windows": f"WITH {OP3_MARKED} SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL WHEN n_removed = 0 THEN d.text ELSE coalesce(k.text, '') END AS text, n_lines, n_removed FROM documents d JOIN counted USING (doc_id) LEFT JOIN kept k USING (doc_id)",
+    "op8_warc_revisits": """
+WITH h AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM h)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to FROM f""",
     "op5_quality_cascade": f"WITH {OP5_MEASURES} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged",
 }
