@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, line_dedup, media, packing, quality_rules, warc
+from . import bpe, line_dedup, media, ngram_join, packing, quality_rules, warc
 from .common import read
 
 
@@ -12,6 +12,10 @@ def op9_byte_bpe(spark, sf_dir):
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op1_ngram_join(spark, sf_dir):
+    return ngram_join.join(read(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op3_line_windows(spark, sf_dir):
     return line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -33,7 +37,7 @@ def op10_jpeg_thumbnails(spark, sf_dir):
     return media.digests(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_line_windows, op5_quality_cascade, op7_best_fit_packing, op8_warc_revisits, op9_byte_bpe, op10_jpeg_thumbnails)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_line_windows, op5_quality_cascade, op7_best_fit_packing, op8_warc_revisits, op9_byte_bpe, op10_jpeg_thumbnails)}
 
 #: Words as arrays: text split at white space, empty strings left out.
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
