@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, line_dedup, media, ngram_join, packing, quality_rules, warc
+from . import bpe, line_dedup, media, ngram_join, packing, quality_model, quality_rules, warc
 from .common import read
 
 
@@ -20,6 +20,10 @@ def op3_line_windows(spark, sf_dir):
     return line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_quality_model(spark, sf_dir):
+    return quality_model.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_quality_cascade(spark, sf_dir):
     judged = quality_rules.judge(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -37,7 +41,7 @@ def op10_jpeg_thumbnails(spark, sf_dir):
     return media.digests(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_line_windows, op5_quality_cascade, op7_best_fit_packing, op8_warc_revisits, op9_byte_bpe, op10_jpeg_thumbnails)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_line_windows, op4_quality_model, op5_quality_cascade, op7_best_fit_packing, op8_warc_revisits, op9_byte_bpe, op10_jpeg_thumbnails)}
 
 #: Words as arrays: text split at white space, empty strings left out.
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
