@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, line_dedup, media, ngram_join, packing, quality_model, quality_rules, warc
+from . import bpe, language_id, line_dedup, media, ngram_join, packing, pii, quality_model, quality_rules, warc
 from .common import read
 
 
@@ -16,6 +16,14 @@ def op1_ngram_join(spark, sf_dir):
     return ngram_join.join(read(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+#: The key of the query's surrogates; a deployment gives its own.
+PII_KEY = b"lumenary-example-key"
+
+
+def op2_pii_surrogates(spark, sf_dir):
+    return pii.replace(read(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op3_line_windows(spark, sf_dir):
     return line_dedup.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -29,6 +37,10 @@ def op5_quality_cascade(spark, sf_dir):
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_language_id(spark, sf_dir):
+    return language_id.identify(read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -41,7 +53,7 @@ def op10_jpeg_thumbnails(spark, sf_dir):
     return media.digests(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op3_line_windows, op4_quality_model, op5_quality_cascade, op7_best_fit_packing, op8_warc_revisits, op9_byte_bpe, op10_jpeg_thumbnails)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pii_surrogates, op3_line_windows, op4_quality_model, op5_quality_cascade, op6_language_id, op7_best_fit_packing, op8_warc_revisits, op9_byte_bpe, op10_jpeg_thumbnails)}
 
 #: Words as arrays: text split at white space, empty strings left out.
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
