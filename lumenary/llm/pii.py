@@ -23,9 +23,9 @@ OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: What begins with a digit, a bracket or a plus sign.
 NUMBERS = re.compile(
     rf"(?<![\w.])(?P<ipv4>{OCTET}(?:\.{OCTET}){{3}})(?!\w|\.[0-9])"
-    r"|(?<![\w+])(?P<phone>\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?!\w)"
+    r"|(?<![\w+])(?P<phone>\+[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?!\w|\.[0-9])"
     r"|(?<![\w.-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])"
-    r"|(?<![\w.])(?P<card>[0-9](?:[ -]?[0-9]){12,18})(?!\w|[ -]?[0-9])"
+    r"|(?<!\w)(?<![0-9]\.)(?P<card>[0-9]{13,19}|[0-9]{4}(?P<gap>[ -])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?!\w)"
 )
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 SECRET = re.compile(r"""(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b["']?\s{0,3}[:=]\s{0,3}["']?)(?P<value>[A-Za-z0-9+/_\-]{8,512})""")
@@ -84,7 +84,7 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     for m in SECRET.finditer(text):
         found.append((*m.span("value"), "secret", m["value"]))
     for m in NUMBERS.finditer(text):
-        kind = m.lastgroup
+        kind = next(k for k in ("ipv4", "phone", "ssn", "card") if m[k])
         canon = m.group() if kind in ("ipv4", "ssn") else "".join(c for c in m.group() if c.isdigit() or c == "+")
         found.append((*m.span(), kind, canon))
     for m in IBAN.finditer(text):
