@@ -1,6 +1,6 @@
-"""Registered queries and their DuckDB SQL."""
+"""All queries on the driver's tables. Importing a module registers what it holds."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import evaluation, graph, ingestion, operations, retrieval, tables, text, versions  # noqa: F401
+from .registry import ORACLE, QUERIES  # noqa: F401
