@@ -1 +1,112 @@
-"""Registered queries."""
+"""Evaluation: recall, coverage, ratios, gates, quality scores, answer checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import evaluation as E
+from ..operators import retrieval as R
+from . import model as M
+from .registry import query, table
+from .retrieval import HYBRID_SQL, inputs
+
+
+def cases(spark, sf_dir):
+    """Expected documents of a query: those whose vectors have the label of its own."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")).join(e, "vec_id").select(F.col("vec_id").alias("query_id"), "label")
+    return q.join(e, "label").select("query_id", F.col("vec_id").alias("document_id"))
+
+
+_CASES = "cases AS (SELECT b.item_id AS query_id, f.vec_id AS document_id FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id JOIN embeddings f ON f.label = e.label)"
+
+
+@query(f"WITH {HYBRID_SQL}, {_CASES} SELECT query_id, coalesce(max(CAST(rank <= 3 AS INT)), 0) AS hit_3, coalesce(max(CAST(rank <= 8 AS INT)), 0) AS hit_8 FROM cases LEFT JOIN hybrid USING (query_id, document_id) GROUP BY 1")
+def a8_recall(spark, sf_dir):
+    return E.recall(R.hybrid(*inputs(spark, sf_dir)), cases(spark, sf_dir), (3, 8))
+
+
+@query(f"""WITH {HYBRID_SQL}, t AS (SELECT query_id, toks, list_sort(list_filter(toks, lambda w: length(w) >= 9)) AS required FROM q), ev AS (SELECT query_id, string_agg(lower(text), ' ') AS evidence FROM hybrid JOIN documents ON doc_id = document_id WHERE rank <= 5 GROUP BY 1)
+SELECT query_id, CASE WHEN len(required) = 0 THEN NULL ELSE round(len(list_filter(required, lambda w: contains(evidence, w))) / len(required), 6) END AS coverage FROM t JOIN ev USING (query_id)""")
+def a9_anchor_coverage(spark, sf_dir):
+    q, d, v = inputs(spark, sf_dir)
+    top = R.hybrid(q, d, v).where("rank <= 5").join(d, "document_id")
+    evidence = top.groupBy("query_id").agg(F.lower(F.array_join(F.collect_list("text"), " ")).alias("evidence"))  # five texts a query
+    required = q.select("query_id", F.filter(T.tokens(F.col("text")), lambda w: F.length(w) >= 9).alias("required"))
+    hit = F.size(F.filter("required", lambda w: F.contains("evidence", w)))
+    return required.join(evidence, "query_id").select("query_id", F.when(F.size("required") > 0, F.round(hit / F.size("required"), 6)).alias("coverage"))
+
+
+@query(f"""WITH {HYBRID_SQL}, {_CASES} SELECT h.query_id, round(avg(CAST(c.document_id IS NOT NULL AND d.n_chars > 100 AS INT)), 6) AS validity FROM hybrid h JOIN documents d ON d.doc_id = h.document_id LEFT JOIN cases c ON c.query_id = h.query_id AND c.document_id = h.document_id GROUP BY 1""")
+def a11_citation_validity(spark, sf_dir):
+    h = R.hybrid(*inputs(spark, sf_dir)).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "n_chars"), "document_id")
+    c = cases(spark, sf_dir).withColumn("_c", F.lit(1))
+    valid = F.col("_c").isNotNull() & (F.col("n_chars") > 100)
+    return h.join(c, ["query_id", "document_id"], "left").groupBy("query_id").agg(F.round(F.avg(valid.cast("int")), 6).alias("validity"))
+
+
+@query("""SELECT source, CASE WHEN count(l.doc_id) = 0 THEN 1.0 ELSE round(count(*) FILTER (quality = 1) / count(l.doc_id), 6) END AS quality_ratio, CASE WHEN count(*) = 0 THEN 0.0 ELSE round(count(l.doc_id) / count(*), 6) END AS labelled_ratio FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1""")
+def a7_integrity_ratios(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").withColumn("_l", F.lit(1)), "doc_id", "left")
+    g = d.groupBy("source").agg(F.count_if(F.col("quality") == 1).alias("_q"), F.count("_l").alias("_n"), F.count("*").alias("_a"))
+    return g.select("source", E.ratio(F.col("_q"), F.col("_n"), 1.0).alias("quality_ratio"), E.ratio(F.col("_n"), F.col("_a"), 0.0).alias("labelled_ratio"))
+
+
+@query("""WITH c AS (SELECT source, lang, count(*) > 5 AS big, max(n_chars) > 2000 AS long FROM documents GROUP BY 1, 2)
+SELECT source, count(*) > 0 AND bool_and(big AND long) AS passed, list_sort(list_distinct(list_concat(list(CASE WHEN NOT big THEN 'size' END) FILTER (NOT big), list('length') FILTER (NOT long)))) AS failed_layers FROM c GROUP BY 1""")
+def a12_gate_rollup(spark, sf_dir):
+    c = table(spark, sf_dir, "documents").groupBy("source", "lang").agg((F.count("*") > 5).alias("big"), (F.max("n_chars") > 2000).alias("long"))
+    layers = F.flatten(F.collect_list(F.concat(F.when(~F.col("big"), F.array(F.lit("size"))).otherwise(F.array().cast("array<string>")), F.when(~F.col("long"), F.array(F.lit("length"))).otherwise(F.array().cast("array<string>")))))
+    return c.groupBy("source").agg(((F.count("*") > 0) & F.bool_and(F.col("big") & F.col("long"))).alias("passed"), F.sort_array(F.array_distinct(layers)).alias("failed_layers"))
+
+
+@query("""SELECT count(*) FILTER (role = 'user' AND length(text) > 100) AS matched, count(*) FILTER (role = 'user' AND length(text) <= 100) AS unmatched, count(*) FILTER (role = 'assistant') AS with_answers FROM conversations""")
+def a14_coverage_counters(spark, sf_dir):
+    u = F.col("role") == "user"
+    return table(spark, sf_dir, "conversations").agg(F.count_if(u & (F.length("text") > 100)).alias("matched"), F.count_if(u & (F.length("text") <= 100)).alias("unmatched"), F.count_if(F.col("role") == "assistant").alias("with_answers"))
+
+
+@query(f"""WITH {M.CHUNKS_SQL}, i AS (SELECT document_id, CASE WHEN length(text) = 0 THEN 'error' WHEN length(text) < 20 THEN 'warning' WHEN contains(text, '%%%') THEN 'fatal' ELSE 'info' END AS severity, length(text) = 0 AS repairable FROM chunks),
+g AS (SELECT document_id, sum(CASE severity WHEN 'warning' THEN 0.05 WHEN 'error' THEN 0.15 WHEN 'fatal' THEN 0.35 ELSE 0 END) AS p, bool_or(severity = 'fatal') AS f, bool_or(repairable) AS r, bool_or(severity = 'warning') AS w FROM i GROUP BY 1)
+SELECT document_id, CAST(round(greatest(0.0, 1.0 - p), 6) AS DOUBLE) AS score, CASE WHEN f THEN 'rejected' WHEN r THEN 'validation_failed' WHEN w THEN 'accepted_with_warnings' ELSE 'accepted' END AS status, NOT f AND NOT r AS accepted FROM g""")
+def a17_quality_score(spark, sf_dir):
+    t = F.col("text")
+    severity = F.when(F.length(t) == 0, "error").when(F.length(t) < 20, "warning").when(F.contains(t, F.lit("%%%")), "fatal").otherwise("info")
+    return E.quality(M.chunks(spark, sf_dir).select("document_id", severity.alias("severity"), (F.length(t) == 0).alias("repairable")))
+
+
+@query("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+|[一-鿿]') AS w FROM documents), g AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) AS gram FROM t WHERE len(w) >= 12),
+c AS (SELECT doc_id, gram, count(*) AS n FROM g WHERE NOT regexp_matches(gram, '^[0-9 ]+$') GROUP BY 1, 2) SELECT doc_id, max(n) AS repeats FROM c GROUP BY 1 HAVING max(n) >= 4""")
+def a21_repeated_grams(spark, sf_dir):
+    return E.repetition(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+@query("""WITH w AS (SELECT source, unnest(regexp_extract_all(lower(text), '[a-z]{8,}')) AS term FROM documents), c AS (SELECT source, term, count(*) AS n FROM w GROUP BY 1, 2)
+SELECT source, term, n FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, term) AS r FROM c) WHERE r <= 10""")
+def a23_keywords(spark, sf_dir):
+    w = table(spark, sf_dir, "documents").select("source", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), F.lit(0))).alias("term"))
+    return R.ranked(w.groupBy("source", "term").agg(F.count("*").alias("n")), ["source"], [F.desc("n"), F.col("term")], 10, "_r").select("source", "term", "n")
+
+
+@query(r"""WITH a AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, list_filter([CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty' END, CASE WHEN NOT regexp_matches(coalesce(text, ''), '\[\d+\]') THEN 'missing_citations' END, CASE WHEN NOT regexp_matches(coalesce(text, ''), '\d') THEN 'missing_numbers' END], lambda x: x IS NOT NULL) AS warnings FROM a""")
+def v1_answer_rules(spark, sf_dir):
+    t = F.coalesce("text", F.lit(""))
+    rules = [("empty", F.trim(t) == ""), ("missing_citations", ~t.rlike(r"\[\d+\]")), ("missing_numbers", ~t.rlike(r"\d"))]
+    return table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in rules]), lambda x: x.isNotNull()).alias("warnings"))
+
+
+@query(r"""WITH c AS (SELECT conv_id, turn, role, list_distinct(regexp_extract_all(text, '[A-Z][a-z]{6,}')) AS a FROM conversations), q AS (SELECT c.conv_id, c.turn, c.a AS answer, p.a AS expected FROM c JOIN c p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1 AND p.role = 'user' WHERE c.role = 'assistant')
+SELECT conv_id, turn, CAST(len(list_intersect(answer, expected)) AS INT) AS covered, len(list_intersect(answer, expected)) < greatest(1, len(expected) // 2) AS retry FROM q""")
+def v5_coverage_retry(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").withColumn("a", F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{6,}"), F.lit(0))))
+    p = c.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("a").alias("expected"))
+    covered = F.size(F.array_intersect("a", "expected"))
+    return c.where("role = 'assistant'").join(p, ["conv_id", "turn"]).select("conv_id", "turn", covered.alias("covered"), (covered < F.greatest(F.lit(1), F.floor(F.size("expected") / 2))).alias("retry"))
+
+
+@query("""SELECT doc_id, list_filter([CASE WHEN n_chars < 50 THEN 'content' END, CASE WHEN NOT contains(text, chr(10)) THEN 'order' END, CASE WHEN length(trim(string_split(text, chr(10))[1])) < 10 THEN 'abstract' END], lambda x: x IS NOT NULL) AS issues FROM documents""")
+def c11_document_gate(spark, sf_dir):
+    rules = [("content", F.col("n_chars") < 50), ("order", ~F.contains("text", F.lit("\n"))), ("abstract", F.length(F.trim(F.split("text", "\n")[0])) < 10)]
+    return table(spark, sf_dir, "documents").select("doc_id", F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in rules]), lambda x: x.isNotNull()).alias("issues"))

@@ -1 +1,80 @@
-"""Registered queries."""
+"""Knowledge-graph operators over claims made of events and lines."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import graph as G
+from .registry import query, table
+
+CUT = "2024-01-10"
+
+
+def claims(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select(
+        F.col("event_id").alias("claim_id"), (F.col("user_id") % 10).alias("document_id"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("subject"), F.col("event_type").alias("predicate"),
+        F.when(F.col("value") > 90, F.concat(F.lit("User "), F.col("user_id").cast("string"))).otherwise(F.get_json_object("props", "$.k")).alias("object_text"), F.least(F.col("value") / 20, F.lit(1.0)).alias("confidence"),
+        F.when(F.col("event_type") == "view", "source_fact").otherwise("relation").alias("relation_type"), F.when(F.col("event_type") == "signup", "user 1").otherwise("").alias("expected_head"),
+        F.when(F.col("value") > 3, F.col("event_type")).alias("evidence_chunk_id"), "ts",
+    )
+
+
+CLAIMS_SQL = """claims AS (SELECT event_id AS claim_id, user_id % 10 AS document_id, 'user ' || user_id AS subject, event_type AS predicate, CASE WHEN value > 90 THEN 'User ' || user_id ELSE json_extract_string(props, '$.k') END AS object_text,
+ least(value / 20, 1.0) AS confidence, CASE WHEN event_type = 'view' THEN 'source_fact' ELSE 'relation' END AS relation_type, CASE WHEN event_type = 'signup' THEN 'user 1' ELSE '' END AS expected_head, CASE WHEN value > 3 THEN event_type END AS evidence_chunk_id, ts FROM events),
+previous AS (SELECT lower(subject) AS s, lower(predicate) AS p, min(lower(object_text)) AS lo, max(lower(object_text)) AS hi FROM claims WHERE ts < TIMESTAMP '2024-01-10' GROUP BY 1, 2),
+c AS (SELECT c.*, lo, hi, CASE WHEN evidence_chunk_id IN ('click', 'purchase', 'error', 'view') THEN 'the user ' || evidence_chunk_id || ' 12' END AS txt, row_number() OVER (PARTITION BY document_id, lower(subject), lower(predicate), lower(object_text) ORDER BY claim_id) AS n FROM claims c LEFT JOIN previous p ON p.s = lower(subject) AND p.p = lower(predicate) WHERE ts >= TIMESTAMP '2024-01-10'),
+verified AS (SELECT claim_id, document_id, subject, expected_head, list_filter([CASE WHEN n > 1 THEN 'duplicate' END, CASE WHEN subject = '' OR predicate = '' OR object_text = '' THEN 'format_error' END, CASE WHEN expected_head <> '' AND expected_head <> lower(subject) THEN 'head_entity_error' END,
+ CASE WHEN lower(subject) = lower(object_text) THEN 'head_tail_contradiction' END, CASE WHEN confidence < CASE WHEN relation_type = 'source_fact' THEN 0.45 ELSE 0.6 END THEN 'low_confidence' END, CASE WHEN relation_type <> 'source_fact' AND txt IS NULL THEN 'missing_evidence' END,
+ CASE WHEN lo IS NOT NULL AND (lo <> lower(object_text) OR hi <> lower(object_text)) THEN 'potential_conflict' END], lambda x: x IS NOT NULL) AS errors FROM c)"""
+
+
+def verified(spark, sf_dir):
+    c = claims(spark, sf_dir)
+    cut = F.col("ts") < F.lit(CUT).cast("timestamp_ntz")
+    types = F.explode(F.array(*map(F.lit, ("click", "purchase", "error", "view")))).alias("chunk_id")
+    evidence = c.select("document_id").distinct().select("document_id", types).withColumn("text", F.concat(F.lit("the user "), "chunk_id", F.lit(" 12")))
+    return G.verify(c.where(~cut), c.where(cut), evidence)
+
+
+@query(f"WITH {CLAIMS_SQL} SELECT claim_id, list_sort(errors) AS errors, CASE WHEN len(errors) = 0 THEN 'verified' ELSE 'flagged' END AS verification_status FROM verified")
+def g4_claim_verification(spark, sf_dir):
+    return verified(spark, sf_dir).select("claim_id", F.sort_array("errors").alias("errors"), "verification_status")
+
+
+@query(f"""WITH {CLAIMS_SQL}, h AS (SELECT document_id, coalesce(nullif(trim(expected_head), ''), trim(subject)) AS subject, count(*) FILTER (len(errors) = 0) AS n FROM verified GROUP BY 1, 2)
+SELECT document_id, 'quantity_too_small' AS issue, subject, 'low' AS severity, count(*) AS n FROM h WHERE n < 3 GROUP BY ALL
+UNION ALL SELECT document_id, 'local_verifier', subject, CASE WHEN list_has_any(errors, ['format_error', 'missing_evidence', 'potential_conflict', 'head_entity_error', 'head_tail_contradiction']) THEN 'high' ELSE 'medium' END, count(*) FROM verified WHERE len(errors) > 0 GROUP BY ALL""")
+def g8_review_items(spark, sf_dir):
+    return G.review_items(verified(spark, sf_dir)).groupBy("document_id", "issue", "subject", "severity").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {CLAIMS_SQL} SELECT document_id, subject AS head, count(*) FILTER (len(errors) = 0) AS verified FROM verified GROUP BY 1, 2 HAVING count(*) FILTER (len(errors) = 0) < 3")
+def a18_head_counts(spark, sf_dir):
+    return verified(spark, sf_dir).groupBy("document_id", F.col("subject").alias("head")).agg(F.count_if(F.col("verification_status") == "verified").alias("verified")).where("verified < 3")
+
+
+@query(f"WITH {CLAIMS_SQL} SELECT name, CAST(sum(h) AS BIGINT) AS as_head, CAST(sum(t) AS BIGINT) AS as_tail FROM (SELECT subject AS name, 1 AS h, 0 AS t FROM claims UNION ALL SELECT object_text, 0, 1 FROM claims) GROUP BY 1")
+def a19_entity_counts(spark, sf_dir):
+    c = claims(spark, sf_dir)
+    sides = c.select(F.explode(F.array(F.struct(F.col("subject").alias("name"), F.lit(1).alias("h"), F.lit(0).alias("t")), F.struct(F.col("object_text").alias("name"), F.lit(0).alias("h"), F.lit(1).alias("t")))).alias("x")).select("x.*")
+    return sides.groupBy("name").agg(F.sum("h").alias("as_head"), F.sum("t").alias("as_tail"))
+
+
+@query(r"""WITH p AS (SELECT p_partkey, p_name AS name, p_brand, count(l_partkey) AS n FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1, 2, 3)
+SELECT p_partkey, CASE WHEN regexp_matches(name, '^[\d\s.,:%/-]+$') OR trim(name) = '' THEN 'prune' WHEN n = 1 AND length(name) > 36 THEN 'keep' WHEN n > 0 THEN 'grow' ELSE 'keep' END AS decision FROM p""")
+def g7_growth_rules(spark, sf_dir):
+    n = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"))
+    p = table(spark, sf_dir, "part").join(n, F.col("p_partkey") == F.col("l_partkey"), "left")
+    return p.select("p_partkey", G.growth(F.lit("concept"), F.col("p_name"), F.coalesce("n", F.lit(0)), F.lit("tail")).alias("decision"))
+
+
+@query("""WITH o AS (SELECT source AS project_id, lang AS name, 'language' AS entity_type, list_sort(list_distinct(list(CASE WHEN n_chars > 1000 THEN 'long' ELSE 'short' END))) AS aliases, '' AS summary FROM documents WHERE n_chars < 3000 GROUP BY 1, 2),
+n AS (SELECT source AS project_id, lang AS name, '' AS entity_type, ['vast'] AS aliases, 'has long texts' AS summary FROM documents WHERE n_chars >= 3000 GROUP BY 1, 2)
+SELECT coalesce(o.project_id, n.project_id) AS project_id, coalesce(o.name, n.name) AS name, coalesce(nullif(n.entity_type, ''), o.entity_type) AS entity_type, list_sort(list_distinct(list_concat(coalesce(o.aliases, []), coalesce(n.aliases, [])))) AS aliases, coalesce(nullif(n.summary, ''), o.summary) AS summary
+FROM o FULL JOIN n ON o.project_id = n.project_id AND o.name = n.name""")
+def g6_entity_upsert(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    old = d.where("n_chars < 3000").groupBy(F.col("source").alias("project_id"), F.col("lang").alias("name")).agg(F.collect_set(F.when(F.col("n_chars") > 1000, "long").otherwise("short")).alias("aliases")).select("project_id", "name", F.lit("language").alias("entity_type"), "aliases", F.lit("").alias("summary"))
+    new = d.where("n_chars >= 3000").select(F.col("source").alias("project_id"), F.col("lang").alias("name")).distinct().select("project_id", "name", F.lit("").alias("entity_type"), F.array(F.lit("vast")).alias("aliases"), F.lit("has long texts").alias("summary"))
+    return G.merge_entities(old, new)

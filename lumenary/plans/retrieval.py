@@ -1 +1,206 @@
-"""Registered queries."""
+"""Composite retrieval: routing, hybrid top-k, scans, supplements, expansion, caps and packing."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import knn
+from ..operators import retrieval as R
+from . import model as M
+from .registry import query, table
+from .text import tokens_sql
+
+
+def inputs(spark, sf_dir):
+    """Queries with the vector of the document of their number, documents and vectors."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("document_id"), "embedding")
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text").join(v.withColumnRenamed("document_id", "query_id"), "query_id", "left")
+    return q, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text"), v
+
+
+HYBRID_SQL = f"""q AS (SELECT item_id AS query_id, {tokens_sql('b.text')} AS toks, CAST(e.embedding AS DOUBLE[]) AS qv FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id),
+qt AS (SELECT query_id, unnest(toks) AS term FROM q),
+dt AS (SELECT doc_id AS document_id, unnest({tokens_sql('text')}) AS term FROM documents),
+df AS (SELECT term, count(*) AS df FROM dt GROUP BY 1),
+lex AS (SELECT query_id, document_id, count(*) AS overlap, count(*) FILTER (length(term) >= 6) AS route_overlap, count(*) FILTER (length(term) >= 6 AND df <= 3) AS rare FROM qt JOIN dt USING (term) JOIN df USING (term) GROUP BY 1, 2),
+cosines AS (SELECT query_id, vec_id AS document_id, round(CASE WHEN list_inner_product(qv, qv) = 0 OR list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) = 0 THEN 0 ELSE list_inner_product(qv, CAST(embedding AS DOUBLE[])) / (sqrt(list_inner_product(qv, qv)) * sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) END, 9) AS cosine FROM q, embeddings WHERE qv IS NOT NULL),
+pairs AS (SELECT query_id, document_id, coalesce(overlap, 0) AS overlap, coalesce(route_overlap, 0) AS route_overlap, coalesce(rare, 0) AS rare, cosine FROM lex FULL JOIN cosines USING (query_id, document_id)),
+scored AS (SELECT query_id, document_id, round(CASE WHEN cosine IS NOT NULL THEN 10 * cosine + least(overlap * 0.05 + route_overlap * 0.08, 0.4) + least(rare * 0.6, 1.2) WHEN overlap + route_overlap > 0 THEN least(0.3 + (overlap + route_overlap) * 0.1 + least(rare * 0.6, 1.2), 1.2) ELSE 0 END, 6) AS score FROM pairs),
+hybrid AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS INT) AS rank FROM scored WHERE score > 0) WHERE rank <= 8)"""
+
+
+@query(f"WITH {HYBRID_SQL} SELECT query_id, document_id, score, rank FROM hybrid")
+def r3_hybrid_topk(spark, sf_dir):
+    return R.hybrid(*inputs(spark, sf_dir))
+
+
+@query(f"WITH {HYBRID_SQL} SELECT term, df FROM df WHERE term IN (SELECT term FROM qt)")
+def a4_route_term_frequency(spark, sf_dir):
+    q, d, _ = inputs(spark, sf_dir)
+    terms = q.select(F.explode(T.tokens(F.col("text"))).alias("term")).distinct()
+    return d.select(F.explode(T.tokens(F.col("text"))).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+
+
+@query(f"WITH {HYBRID_SQL} SELECT query_id, document_id, overlap FROM lex WHERE overlap >= 5")
+def u1_token_intersection(spark, sf_dir):
+    q, d, _ = inputs(spark, sf_dir)
+    return R.overlaps(q, d).where("overlap >= 5").select("query_id", "document_id", "overlap")
+
+
+@query(f"WITH {HYBRID_SQL} SELECT query_id, document_id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, document_id) AS r FROM cosines) WHERE r <= 10")
+def t1_knn(spark, sf_dir):
+    q, _, v = inputs(spark, sf_dir)
+    return knn.top_k(v, q.where("embedding IS NOT NULL"), 10, 64)
+
+
+@query(f"""WITH {HYBRID_SQL}, en AS (SELECT doc_id FROM documents WHERE lang = 'en')
+SELECT query_id, document_id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, document_id) AS r FROM cosines WHERE document_id IN (SELECT doc_id FROM en)) WHERE r <= 10""")
+def t2_knn_filtered(spark, sf_dir):
+    """The filter goes before the ranking, so nothing needs fetching again."""
+    q, _, v = inputs(spark, sf_dir)
+    en = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("document_id"))
+    return knn.top_k(v.join(en, "document_id", "left_semi"), q.where("embedding IS NOT NULL"), 10, 64)
+
+
+_ROUTE_SQL = f"""q AS (SELECT item_id AS query_id, unnest({tokens_sql('text')}) AS term FROM benchmark),
+p AS (SELECT doc_id AS document_id, unnest({tokens_sql('text')}) AS term, 1 AS w FROM documents UNION ALL SELECT doc_id, unnest({tokens_sql("string_split(text, chr(10))[1]")}), 3 FROM documents UNION ALL SELECT doc_id, unnest({tokens_sql('source')}), 5 FROM documents),
+s AS (SELECT query_id, document_id, CAST(sum(w) AS BIGINT) AS score FROM q JOIN p USING (term) GROUP BY 1, 2 HAVING sum(w) >= 2),
+routed AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS INT) AS rank FROM s) WHERE rank <= 5)"""
+
+
+def routed(spark, sf_dir):
+    """Weighted overlap of a question with a document's text, title (its first line) and alias (its source)."""
+    d = table(spark, sf_dir, "documents")
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(T.tokens(F.col("text"))).alias("term"))
+    parts = [(F.col("text"), 1), (F.split("text", "\n")[0], 3), (F.col("source"), 5)]
+
+    def weigh(column, w):
+        return F.transform(T.tokens(column), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
+
+    weighted = F.flatten(F.array(*[weigh(c, w) for c, w in parts]))
+    profile = d.select(F.col("doc_id").alias("document_id"), F.inline(weighted))
+    s = profile.join(q, "term").groupBy("query_id", "document_id").agg(F.sum("w").alias("score")).where("score >= 2")
+    return R.ranked(s, ["query_id"], [F.desc("score"), F.col("document_id")], 5)
+
+
+@query(f"WITH {_ROUTE_SQL} SELECT query_id, document_id, score, rank FROM routed")
+def r1_document_routing(spark, sf_dir):
+    return routed(spark, sf_dir)
+
+
+@query(f"""WITH {_ROUTE_SQL}, t AS (SELECT query_id, max(CASE WHEN rank = 1 THEN score END) AS a, max(CASE WHEN rank = 2 THEN score END) AS b FROM routed GROUP BY 1)
+SELECT query_id, document_id, CASE WHEN a >= 10 AND (b IS NULL OR a >= b + 8 OR a >= 1.75 * b) THEN 'obvious' ELSE 'top_k' END AS decision FROM routed JOIN t USING (query_id) WHERE rank = 1 OR NOT (a >= 10 AND (b IS NULL OR a >= b + 8 OR a >= 1.75 * b))""")
+def r2_route_decision(spark, sf_dir):
+    r = routed(spark, sf_dir)
+    w = W.partitionBy("query_id")
+    a, b = F.max(F.when(F.col("rank") == 1, F.col("score"))).over(w), F.max(F.when(F.col("rank") == 2, F.col("score"))).over(w)
+    t = r.withColumn("_a", a).withColumn("_b", b)
+    obvious = (F.col("_a") >= 10) & (F.col("_b").isNull() | (F.col("_a") >= F.col("_b") + 8) | (F.col("_a") >= 1.75 * F.col("_b")))
+    return t.withColumn("_o", obvious).where((F.col("rank") == 1) | ~F.col("_o")).select("query_id", "document_id", F.when(F.col("_o"), "obvious").otherwise("top_k").alias("decision"))
+
+
+@query(f"""WITH {M.CHUNKS_SQL}, q AS (SELECT item_id AS query_id, unnest({tokens_sql('text')}) AS term FROM benchmark), c AS (SELECT document_id, ordinal, unnest({tokens_sql('text')}) AS term FROM chunks WHERE ordinal <= 3),
+o AS (SELECT query_id, document_id, ordinal, count(*) AS overlap FROM q JOIN c USING (term) GROUP BY 1, 2, 3)
+SELECT query_id, document_id, ordinal, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, ordinal) AS r FROM (SELECT *, round(CAST(42.0 + least(overlap, 12) + greatest(0.0, 4.0 - ordinal * 0.2) AS DOUBLE), 6) AS score FROM o)) WHERE r <= 2""")
+def r7_intro_scan(spark, sf_dir):
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(T.tokens(F.col("text"))).alias("term"))
+    c = M.chunks(spark, sf_dir).where("ordinal <= 3").select("document_id", "ordinal", F.explode(T.tokens(F.col("text"))).alias("term"))
+    o = c.join(q, "term").groupBy("query_id", "document_id", "ordinal").agg(F.count("*").alias("overlap"))
+    s = o.withColumn("score", F.round(42.0 + F.least("overlap", F.lit(12)) + F.greatest(F.lit(0.0), 4.0 - F.col("ordinal") * 0.2), 6))
+    return R.ranked(s, ["query_id"], [F.desc("score"), F.col("document_id"), F.col("ordinal")], 2, "_r").select("query_id", "document_id", "ordinal", "score")
+
+
+_W = lambda words: rf"(^|[^a-z0-9_])({words})([^a-z0-9_]|$)"
+
+
+@query(rf"""WITH {M.CHUNKS_SQL}, s AS (SELECT document_id, ordinal, lower(text) AS low, substr(lower(text), 1, 240) AS head, text FROM chunks WHERE length(trim(text)) > 0),
+o AS (SELECT document_id, ordinal, round(20.0 + CASE WHEN ordinal <= 8 THEN greatest(0.0, 18.0 - ordinal * 1.5) ELSE 0 END + CASE WHEN contains(head, 'abstract') THEN 26 ELSE 0 END + CASE WHEN regexp_matches(head, '{_W("introduction")}') THEN 20 ELSE 0 END
+ + CASE WHEN regexp_matches(low, '{_W(r"we\s+(introduce|propose|present|develop|study|show|demonstrate)")}') THEN 18 ELSE 0 END + CASE WHEN regexp_matches(low, '{_W("method|approach|framework|algorithm|model")}') THEN 8 ELSE 0 END
+ + CASE WHEN regexp_matches(head, '{_W("conclusions?")}') THEN 14 ELSE 0 END - CASE WHEN regexp_matches(head, '{_W("appendix|references|acknowledgements?")}') THEN 18 ELSE 0 END - CASE WHEN regexp_matches(head, '{_W(r"table\s+\d+")}') THEN 16 ELSE 0 END + least(length(text) / 500.0, 4.0), 6) AS score FROM s)
+SELECT document_id, ordinal, score FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, ordinal) AS r FROM o WHERE score > 0) WHERE r <= 5""")
+def r8_overview_scan(spark, sf_dir):
+    c = M.chunks(spark, sf_dir).where("length(trim(text)) > 0").withColumn("score", F.round(R.overview_score(F.col("text"), F.col("ordinal"), F.lit(None).cast("int")), 6)).where("score > 0")
+    return R.ranked(c, ["document_id"], [F.desc("score"), F.col("ordinal")], 5, "_r").select("document_id", "ordinal", "score")
+
+
+@query(f"""WITH {HYBRID_SQL}, r AS (SELECT h.query_id, h.document_id, h.score, h.rank, EXISTS (SELECT 1 FROM lex l WHERE l.query_id = h.query_id AND l.document_id = h.document_id) AS hit FROM hybrid h)
+SELECT query_id, document_id, CASE WHEN score >= 15 THEN 'direct' WHEN score >= 5 OR hit THEN 'contextual' ELSE 'weak' END AS support FROM r""")
+def r15_support_hint(spark, sf_dir):
+    q, d, v = inputs(spark, sf_dir)
+    hit = R.overlaps(q, d).select("query_id", "document_id", F.lit(True).alias("hit"))
+    return R.hybrid(q, d, v).join(hit, ["query_id", "document_id"], "left").select("query_id", "document_id", R.support_hint(F.col("score"), F.coalesce("hit", F.lit(False))).alias("support"))
+
+
+@query(f"""WITH {_ROUTE_SQL}, {HYBRID_SQL.replace("q AS (", "hq AS (", 1).replace("FROM q)", "FROM hq)").replace("FROM q, embeddings", "FROM hq, embeddings")},
+u AS (SELECT query_id, document_id, 'routed' AS origin, 0 AS o FROM routed UNION ALL SELECT query_id, document_id, 'supplement', 1 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, document_id) AS r FROM cosines) WHERE r <= 8)
+SELECT query_id, document_id, arg_min(origin, o) AS origin FROM u GROUP BY 1, 2""")
+def r12_supplement(spark, sf_dir):
+    q, _, v = inputs(spark, sf_dir)
+    near = knn.top_k(v, q.where("embedding IS NOT NULL"), 8, 64)
+    u = routed(spark, sf_dir).select("query_id", "document_id", F.lit("routed").alias("origin"), F.lit(0).alias("o")).unionByName(near.select("query_id", "document_id", F.lit("supplement").alias("origin"), F.lit(1).alias("o")))
+    return u.groupBy("query_id", "document_id").agg(F.min_by("origin", "o").alias("origin"))
+
+
+@query(f"""WITH {M.CHUNKS_SQL}, k AS (SELECT *, substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 180) AS key FROM chunks)
+SELECT document_id, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY project_id, key ORDER BY document_id, ordinal) AS r FROM k) WHERE r = 1""")
+def t5_excerpt_dedup(spark, sf_dir):
+    return R.excerpt_dedup(M.chunks(spark, sf_dir), [F.col("document_id"), F.col("ordinal")], ["project_id"]).select("document_id", "ordinal")
+
+
+@query("""WITH p AS (SELECT user_id, event_type, event_id, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) AS k FROM events)
+SELECT user_id, event_type, event_id FROM p WHERE k <= 5""")
+def w4_page_cap(spark, sf_dir):
+    return R.ranked(table(spark, sf_dir, "events"), ["user_id", "event_type"], [F.desc("value"), F.col("event_id")], 5, "_k").select("user_id", "event_type", "event_id")
+
+
+@query("""WITH p AS (SELECT user_id, event_type, event_id, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) = 1 AS is_first FROM events)
+SELECT user_id, event_type, event_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY is_first DESC, value DESC, event_id) AS INT) AS rank FROM p) WHERE rank <= 8""")
+def w2_best_per_table(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    first = F.row_number().over(W.partitionBy("user_id", "event_type").orderBy(F.desc("value"), "event_id")) == 1
+    return R.ranked(e.withColumn("_f", first), ["user_id"], [F.desc("_f"), F.desc("value"), F.col("event_id")], 8).select("user_id", "event_type", "event_id", "rank")
+
+
+@query("""WITH p AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n, min(event_id) OVER (PARTITION BY user_id, event_type) AS seen FROM events)
+SELECT user_id, event_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY n, seen) AS INT) AS rank FROM p) WHERE rank <= 32""")
+def w3_round_robin(spark, sf_dir):
+    w = W.partitionBy("user_id", "event_type")
+    e = table(spark, sf_dir, "events").withColumn("_n", F.row_number().over(w.orderBy("event_id"))).withColumn("_s", F.min("event_id").over(w))
+    return R.ranked(e, ["user_id"], [F.col("_n"), F.col("_s")], 32).select("user_id", "event_id", "rank")
+
+
+@query("""WITH t AS (SELECT user_id, event_type, count(*) AS hits, max(value) AS best, arg_max(event_id, {'v': value, 'e': -event_id}) AS event_id FROM events GROUP BY 1, 2), n AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS tables, row_number() OVER (PARTITION BY user_id ORDER BY hits DESC, best DESC, event_type) AS r FROM t)
+SELECT user_id, event_type, event_id FROM n WHERE tables >= 2 AND r <= 8""")
+def w5_reserved_children(spark, sf_dir):
+    t = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("hits"), F.max("value").alias("best"), F.max_by("event_id", F.struct(F.col("value"), -F.col("event_id"))).alias("event_id"))
+    n = t.withColumn("_t", F.count("*").over(W.partitionBy("user_id"))).where("_t >= 2")
+    return R.ranked(n, ["user_id"], [F.desc("hits"), F.desc("best"), F.col("event_type")], 8, "_r").select("user_id", "event_type", "event_id")
+
+
+@query(f"""WITH {M.CHUNKS_SQL}, m AS (SELECT document_id, ordinal FROM chunks WHERE contains(text, 'token =')), s AS (SELECT c.document_id, c.ordinal, max(round(CAST(10.0 - 0.000001 * (abs(c.ordinal - m.ordinal) + 1) AS DOUBLE), 6)) AS score FROM chunks c JOIN m USING (document_id) GROUP BY 1, 2)
+SELECT document_id, ordinal, score FROM s""")
+def r13_sibling_expansion(spark, sf_dir):
+    c = M.chunks(spark, sf_dir).select("document_id", "ordinal", "text")
+    m = c.where(F.contains("text", F.lit("token ="))).select("document_id", F.col("ordinal").alias("_m"))
+    return c.join(m, "document_id").groupBy("document_id", "ordinal").agg(F.max(F.round(10.0 - 0.000001 * (F.abs(F.col("ordinal") - F.col("_m")) + 1), 6)).alias("score"))
+
+
+@query()
+def b1_budget_packing(spark, sf_dir):
+    q, d, v = inputs(spark, sf_dir)
+    rows = R.hybrid(q, d, v).join(d.select("document_id", T.token_estimate(F.col("text")).alias("tokens")), "document_id")
+    return R.pack_budget(rows.select("query_id", "rank", "document_id", "tokens"), "query_id long, rank int, document_id long, used long, kind string", budget=1500)
+
+
+@query(f"""WITH {HYBRID_SQL}, b AS (SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, document_id) AS r FROM lex), v AS (SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, document_id) AS r FROM cosines),
+f AS (SELECT query_id, document_id, sum(1.0 / (60 + r)) AS s FROM (SELECT * FROM b WHERE r <= 50 UNION ALL SELECT * FROM v WHERE r <= 50) GROUP BY 1, 2)
+SELECT query_id, document_id, round(s, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, document_id) AS k FROM f) WHERE k <= 10""")
+def r_fused_ranks(spark, sf_dir):
+    """Reciprocal ranks of the lexical and the vector branch, summed."""
+    q, d, v = inputs(spark, sf_dir)
+    b = R.ranked(R.overlaps(q, d), ["query_id"], [F.desc("overlap"), F.col("document_id")], 50, "r").select("query_id", "document_id", "r")
+    n = R.ranked(knn.top_k(v, q.where("embedding IS NOT NULL"), 50, 64), ["query_id"], [F.desc("cosine"), F.col("document_id")], 50, "r").select("query_id", "document_id", "r")
+    s = b.unionByName(n).groupBy("query_id", "document_id").agg(F.round(F.sum(1.0 / (60 + F.col("r"))), 9).alias("score"))
+    return R.ranked(s, ["query_id"], [F.desc("score"), F.col("document_id")], 10, "_k").select("query_id", "document_id", "score")

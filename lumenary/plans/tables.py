@@ -1 +1,98 @@
-"""Registered queries."""
+"""Tables as data: facts of generated Markdown tables against the figures they were made of, and checks of grids."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import tables as O
+from .registry import query, table
+
+
+def cells(spark, sf_dir):
+    """Per nation (a table), status (a row) and year band (a column): numbers of orders."""
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    band = F.when(F.year("o_orderdate") < 1996, "early").when(F.year("o_orderdate") < 2000, "middle").otherwise("late")
+    return o.groupBy(F.col("n_name").alias("table_id"), F.col("o_orderpriority").alias("row_label"), band.alias("column_name")).agg(F.count("*").alias("n"))
+
+
+CELLS_SQL = """cells AS (SELECT n_name AS table_id, o_orderpriority AS row_label, CASE WHEN year(o_orderdate) < 1996 THEN 'early' WHEN year(o_orderdate) < 2000 THEN 'middle' ELSE 'late' END AS column_name, count(*) AS n
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3)"""
+
+
+def markdown(spark, sf_dir):
+    """The cells as Markdown tables, two rows of the same label in turn with a blank label."""
+    wide = cells(spark, sf_dir).groupBy("table_id", "row_label").pivot("column_name", ["early", "middle", "late"]).agg(F.first("n"))
+    value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    line = F.concat(F.lit("| "), F.col("row_label"), F.lit(" | "), value("early"), F.lit(" | "), value("middle"), F.lit(" | "), value("late"), F.lit(" |"))
+    rows = wide.groupBy("table_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_label", line.alias("line")))), lambda r: r["line"]), "\n").alias("body"))
+    return rows.select("table_id", F.concat(F.lit("| priority | early | middle | late |\n|---|---|---|---|\n"), F.col("body")).alias("markdown"))
+
+
+@query(f"WITH {CELLS_SQL} SELECT table_id, row_label, column_name, CAST(n AS VARCHAR) AS value, substr(sha256(table_id || '|' || row_label || '|' || column_name || '|' || n), 1, 16) AS fact_id FROM cells")
+def k2_table_facts(spark, sf_dir):
+    f = O.facts(markdown(spark, sf_dir))
+    return f.select("table_id", "row_label", "column_name", "value", T.fact_id(F.col("table_id"), F.col("row_label"), F.col("column_name"), F.col("value")).alias("fact_id"))
+
+
+@query(f"WITH {CELLS_SQL} SELECT table_id, CAST(count(DISTINCT row_label) AS INT) AS row_count FROM cells GROUP BY 1")
+def k1_assembled_tables(spark, sf_dir):
+    """Tables cut into two chunks, the header repeated, and put together again."""
+    m = markdown(spark, sf_dir).withColumn("_l", F.split("markdown", "\n"))
+    head = F.slice("_l", 1, 2)
+    parts = F.array(F.concat(F.array(F.lit("Orders by priority")), F.slice("_l", 1, 4)), F.concat(head, F.slice("_l", 5, 1000)))
+    chunks = m.select(F.lit(1).cast("long").alias("document_id"), F.lit("v1").alias("parse_version"), "table_id", F.posexplode(parts).alias("ordinal", "_p")).select("document_id", "parse_version", "table_id", "ordinal", F.concat_ws(":", "table_id", "ordinal").alias("chunk_id"), F.array_join("_p", "\n").alias("text"))
+    return O.assemble(chunks).select("table_id", "row_count")
+
+
+@query(f"WITH {CELLS_SQL} SELECT table_id, max(n) FILTER (column_name = 'early') AS early, max(n) FILTER (column_name = 'late') AS late FROM cells WHERE row_label = '1-URGENT' GROUP BY 1")
+def k3_metric_columns(spark, sf_dir):
+    f = O.facts(markdown(spark, sf_dir)).where("row_label = '1-URGENT'").withColumn("n", F.col("value").cast("long"))
+    return f.groupBy("table_id").pivot("column_name", ["early", "late"]).agg(F.max("n")).select("table_id", "early", "late")
+
+
+@query("SELECT DISTINCT l_returnflag AS row_label, l_linestatus AS column_name, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS value FROM lineitem")
+def k4_fact_dedup(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("row_label"), F.col("l_linestatus").alias("column_name"), F.col("l_quantity").cast("long").cast("string").alias("value")).dropDuplicates()
+
+
+@query(f"WITH {CELLS_SQL} SELECT table_id, string_agg(row_label || ' ' || column_name || ': ' || n, '; ' ORDER BY row_label, column_name) AS answer FROM cells GROUP BY 1")
+def k5_table_answer(spark, sf_dir):
+    f = O.facts(markdown(spark, sf_dir)).withColumn("_x", F.concat("row_label", F.lit(" "), "column_name", F.lit(": "), "value"))
+    return f.groupBy("table_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_label", "column_name", "_x"))), lambda r: r["_x"]), "; ").alias("answer"))
+
+
+@query("""WITH c AS (SELECT CAST(user_id AS VARCHAR) AS table_id, event_id % 7 AS r, event_id % 5 AS c FROM events WHERE event_type = 'error'), k AS (SELECT table_id, r, c, count(*) AS n FROM c GROUP BY 1, 2, 3)
+SELECT table_id, 'overlap' AS code, count(*) AS n FROM k WHERE n > 1 GROUP BY 1 UNION ALL SELECT table_id, 'gap', (max(r) + 1) * (max(c) + 1) - count(*) FROM k GROUP BY 1 HAVING (max(r) + 1) * (max(c) + 1) - count(*) > 0""")
+def c10_grid_checks(spark, sf_dir):
+    c = table(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("user_id").cast("string").alias("table_id"), (F.col("event_id") % 7).alias("row_index"), (F.col("event_id") % 5).alias("column_index"), F.lit(1).alias("rowspan"), F.lit(1).alias("colspan"))
+    return O.validate(c)
+
+
+@query("""WITH v AS (SELECT o_orderpriority AS grp, o_orderstatus AS variant, round(avg(o_totalprice), 2) AS a, count(*) AS b FROM orders GROUP BY 1, 2), f AS (SELECT grp, arg_max({'a': a, 'b': b, 'variant': variant}, {'s': a + b, 'v': variant}) AS m FROM v GROUP BY 1)
+SELECT v.grp, v.variant, v.a < m.a AND v.b < m.b AS lower_on_all FROM v JOIN f USING (grp) WHERE v.variant <> m.variant""")
+def a20_ablation(spark, sf_dir):
+    v = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("grp"), F.col("o_orderstatus").alias("variant")).agg(F.round(F.avg("o_totalprice"), 2).alias("a"), F.count("*").alias("b"))
+    full = v.groupBy("grp").agg(F.max_by(F.struct("a", "b", "variant"), F.struct(F.col("a") + F.col("b"), F.col("variant"))).alias("m"))
+    return v.join(full, "grp").where(F.col("variant") != F.col("m.variant")).select("grp", "variant", ((F.col("a") < F.col("m.a")) & (F.col("b") < F.col("m.b"))).alias("lower_on_all"))
+
+
+@query("""WITH e AS (SELECT l_suppkey AS table_id, list_sort(list_distinct(list(l_linenumber))) AS covered FROM lineitem GROUP BY 1), x AS (SELECT table_id, len(list_filter([1, 2, 3, 4, 5, 6, 7], lambda i: NOT list_contains(covered, i))) AS missing FROM e)
+SELECT table_id, CASE WHEN missing = 0 THEN 'complete' WHEN missing < 7 THEN 'partial' ELSE 'unknown' END AS coverage FROM x""")
+def a6_table_coverage(spark, sf_dir):
+    e = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("table_id")).agg(F.collect_set("l_linenumber").alias("covered"))
+    missing = F.size(F.array_except(F.sequence(F.lit(1), F.lit(7)), "covered"))
+    return e.select("table_id", F.when(missing == 0, "complete").when(missing < 7, "partial").otherwise("unknown").alias("coverage"))
+
+
+@query("SELECT l_suppkey AS table_id, list_sort(list_distinct(list(l_linenumber))) AS row_indices, count(DISTINCT l_orderkey) AS parents FROM lineitem GROUP BY 1")
+def a5_table_inventory(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("table_id")).agg(F.sort_array(F.collect_set("l_linenumber")).alias("row_indices"), F.count_distinct("l_orderkey").alias("parents"))
+
+
+@query(r"""SELECT page_id, page_label, CAST(row_number() OVER (PARTITION BY host ORDER BY CASE WHEN regexp_matches(page_label, '^\d+$') THEN CAST(page_label AS BIGINT) ELSE 1000000000 END, page_label, page_id) AS INT) AS position FROM (SELECT page_id, regexp_extract(url, '//([^/]+)', 1) AS host, regexp_extract(url, '/([^/?#.]+)[^/]*$', 1) AS page_label FROM pages)""")
+def t8_page_order(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "//([^/]+)", 1).alias("host"), F.regexp_extract("url", r"/([^/?#.]+)[^/]*$", 1).alias("page_label"))
+    number = F.when(F.col("page_label").rlike(r"^\d+$"), F.col("page_label").cast("long")).otherwise(F.lit(1_000_000_000))
+    return p.withColumn("position", F.row_number().over(W.partitionBy("host").orderBy(number, "page_label", "page_id"))).drop("host")
