@@ -159,3 +159,79 @@ def unit_suffix(value: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Parts that end in a full stop, question or exclamation mark (Latin or CJK), or at a line's end."""
     return F.filter(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[^.!?。！？\\n]+[.!?。！？]?"), F.lit(0)), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def table_data(text: Column) -> Column:
+    """Whether a text holds a table with data: contiguous rows of pipes; behind a separator row any row with two filled
+    cells, without one a header of two cells and a later row of two cells with a number."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x))
+
+    def of(ls: Column) -> Column:
+        def row(x: Column) -> Column:
+            return F.startswith(x, F.lit("|")) & (F.length(x) > 1)
+
+        def separator(x: Column) -> Column:
+            return x.rlike(r"^\|[\s:|-]+\|?$")
+
+        def cells(x: Column) -> Column:
+            return F.size(F.filter(F.split(x, r"\|"), lambda c: F.trim(c) != ""))
+
+        with_separator = F.exists(F.transform(ls, lambda x, i: row(x) & ~separator(x) & (cells(x) >= 2) & F.coalesce(separator(F.get(ls, i - 1)) | separator(F.get(ls, i - 2)), F.lit(False))), lambda b: b)
+        plain = F.exists(F.transform(ls, lambda x, i: row(x) & (cells(x) >= 2) & x.rlike(r"\d") & F.coalesce(row(F.get(ls, i - 1)) & (cells(F.get(ls, i - 1)) >= 2), F.lit(False))), lambda b: b)
+        return with_separator | plain
+
+    return let(lines, of)
+
+
+def metric_numbers(text: Column) -> Column:
+    """A metric's name and a digit somewhere."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return low.rlike(r"(^|[^a-z0-9_])(auc|f1|precision|recall|accuracy|rmse|mae|score)([^a-z0-9_]|$)") & low.rlike(r"\d")
+
+
+def selector_in_text(selector: str, text: Column) -> Column:
+    """Lower-case selectors need word boundaries on the raw text; others are looked for in its key."""
+    import re
+
+    if re.fullmatch(r"[a-z][a-z0-9]*", selector):
+        return F.lower(text).rlike(rf"(^|[^a-z0-9\-]){selector}([^a-z0-9\-]|$)")
+    return F.contains(scientific_key(text), scientific_key(F.lit(selector)))
+
+
+def term_matches(term: str, text: Column) -> Column:
+    """Whether a required term stands in a text: numbers exactly (2.35 isn't 2.350), words by their key."""
+    import re
+
+    if re.fullmatch(r"-?\d+(\.\d+)?", term):
+        return text.rlike(rf"(^|[^0-9.]){re.escape(term)}([^0-9.]|\.[^0-9]|\.?$)")
+    return F.contains(scientific_key(text), scientific_key(F.lit(term)))
+
+
+def without_overlap(before: Column, after: Column, least: int = 8, most: int = 200) -> Column:
+    """``after`` without the longest beginning, from ``least`` characters on, with which ``before`` ends."""
+    sizes = F.filter(F.sequence(F.lit(most), F.lit(least), F.lit(-1)), lambda n: (F.length(after) >= n) & F.endswith(before, F.substring(after, F.lit(1), n)))
+    return F.substring(after, F.coalesce(F.get(sizes, F.lit(0)), F.lit(0)) + 1, F.length(after))
+
+
+def metric_header(header: Column) -> tuple[Column, Column]:
+    """Dataset and metric of a column's header such as "NYT F1"."""
+    pattern = r"(?i)^(.+?)\s+(F1|AUC|Precision|Recall|Accuracy)$"
+    return F.nullif(F.regexp_extract(header, pattern, 1), F.lit("")), F.nullif(F.regexp_extract(header, pattern, 2), F.lit(""))
+
+
+def key_facts(text: Column, most: int = 12) -> Column:
+    """Sentences of six characters or more that hold a value or a marker, each once."""
+    return F.slice(F.array_distinct(F.filter(sentences(text), lambda s: (F.length(s) >= 6) & (s.rlike(r"\d") | F.lower(s).rlike("(licen|token|result|conclu)")))), 1, most)
+
+
+def packed_snippets(parts: Column, most: int) -> Column:
+    """Parts joined by blanks, in order, into snippets of at most ``most`` characters; a longer part stands alone."""
+    start = F.array(F.lit("")).cast("array<string>")
+
+    def add(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        fits = F.length(last) + 1 + F.length(x) <= most
+        joined = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat_ws(" ", F.nullif(last, F.lit("")), x)))
+        return F.when((last == "") | fits, joined).otherwise(F.concat(acc, F.array(x)))
+
+    return F.filter(F.aggregate(parts, start, add), lambda s: s != "")

@@ -78,3 +78,28 @@ def review_items(claims: DataFrame, least: int = 3) -> DataFrame:
     high = F.arrays_overlap("errors", F.array(*map(F.lit, HIGH_RISK)))
     flagged = claims.where(F.size("errors") > 0).select("document_id", F.lit("local_verifier").alias("issue"), "subject", F.when(high, "high").otherwise("medium").alias("severity"))
     return few.unionByName(flagged)
+
+
+def resolve_evidence(claims: DataFrame, chunks: DataFrame) -> DataFrame:
+    """claim_id, chunk_id and priority of each claim's evidence: the sentence it names, else its ordinal, else the first
+    chunk with its evidence's beginning, its object or its subject.
+
+    claims: claim_id, document_id, sentence_ref, ordinal, evidence, object_text, subject; chunks: document_id, chunk_id,
+    ordinal, text. All are tried in one pass over the claim's own document, and the least (priority, ordinal) wins.
+    """
+    c = chunks.select("document_id", "chunk_id", F.col("ordinal").alias("_at"), F.lower("text").alias("_t"))
+    j = claims.join(c, "document_id")
+    has = lambda x: (F.length(F.trim(x)) > 0) & F.contains("_t", F.lower(F.trim(x)))
+    priority = (
+        F.when(F.col("sentence_ref") == F.col("chunk_id"), 1).when(F.col("ordinal") == F.col("_at"), 2)
+        .when(has(F.substring("evidence", 1, 60)), 3).when(has("object_text"), 4).when(has("subject"), 5)
+    )
+    return j.withColumn("_p", priority).where("_p IS NOT NULL").groupBy("claim_id").agg(F.min_by("chunk_id", F.struct("_p", "_at")).alias("chunk_id"), F.min("_p").alias("priority"))
+
+
+def head_context(snippets: DataFrame, budget: int = 3600, most: int = 6) -> DataFrame:
+    """The best snippets (head, snippet_id, score, text) of each head, until the next one would break the budget of
+    characters: a running sum is exact, as nothing behind a break is taken."""
+    w = W.partitionBy("head").orderBy(F.desc("score"), "snippet_id")
+    s = snippets.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most)
+    return s.withColumn("_sum", F.sum(F.length("text")).over(w.rowsBetween(W.unboundedPreceding, 0))).where(F.col("_sum") <= budget).drop("_sum", "_r")

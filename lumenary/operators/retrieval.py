@@ -50,9 +50,10 @@ def hybrid(queries: DataFrame, documents: DataFrame, vectors: DataFrame, k: int
     lesser document_id.
     """
     lexical = overlaps(queries, documents)
+    vectors = vectors.join(documents.select("document_id"), "document_id", "left_semi")
     sided = lexical.join(queries.select("query_id", F.col("embedding").alias("_q")), "query_id").join(vectors.select("document_id", "embedding"), "document_id", "left")
     sided = sided.withColumn("cosine", F.when(F.col("_q").isNotNull() & F.col("embedding").isNotNull(), F.round(V.cosine(F.col("embedding"), F.col("_q")), 9))).drop("_q", "embedding")
-    near = knn.top_k(vectors, queries.where("embedding IS NOT NULL"), k, size).join(documents.select("document_id"), "document_id", "left_semi").join(lexical.select("query_id", "document_id"), ["query_id", "document_id"], "left_anti")
+    near = knn.top_k(vectors, queries.where("embedding IS NOT NULL"), k, size).join(lexical.select("query_id", "document_id"), ["query_id", "document_id"], "left_anti")
     zero = F.lit(0).cast("long")
     both = sided.unionByName(near.select("query_id", "document_id", zero.alias("overlap"), zero.alias("route_overlap"), zero.alias("rare"), "cosine"))
     total = F.col("overlap") + F.col("route_overlap")

@@ -78,3 +78,21 @@ def g6_entity_upsert(spark, sf_dir):
     old = d.where("n_chars < 3000").groupBy(F.col("source").alias("project_id"), F.col("lang").alias("name")).agg(F.collect_set(F.when(F.col("n_chars") > 1000, "long").otherwise("short")).alias("aliases")).select("project_id", "name", F.lit("language").alias("entity_type"), "aliases", F.lit("").alias("summary"))
     new = d.where("n_chars >= 3000").select(F.col("source").alias("project_id"), F.col("lang").alias("name")).distinct().select("project_id", "name", F.lit("").alias("entity_type"), F.array(F.lit("vast")).alias("aliases"), F.lit("has long texts").alias("summary"))
     return G.merge_entities(old, new)
+
+
+@query("""WITH s AS (SELECT source AS head, doc_id AS snippet_id, text, (length(text) - length(replace(text, 'en', ''))) // 2 AS score FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY head ORDER BY score DESC, snippet_id) AS r FROM s), c AS (SELECT *, sum(length(text)) OVER (PARTITION BY head ORDER BY r ROWS UNBOUNDED PRECEDING) AS total FROM r WHERE r <= 6)
+SELECT head, snippet_id, CAST(score AS BIGINT) AS score FROM c WHERE total <= 36000""")
+def g1_head_context(spark, sf_dir):
+    t = F.col("text")
+    s = table(spark, sf_dir, "documents").select(F.col("source").alias("head"), F.col("doc_id").alias("snippet_id"), "text", F.floor((F.length(t) - F.length(F.replace(t, F.lit("en"), F.lit("")))) / 2).alias("score"))
+    return G.head_context(s, budget=36000).select("head", "snippet_id", "score")
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(lower(text), chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents), m AS (SELECT doc_id AS claim_id, i, CASE WHEN contains(t, 'licensed') THEN 4 WHEN contains(t, 'the') THEN 5 END AS p FROM l)
+SELECT claim_id, claim_id || ':' || i AS chunk_id, CAST(p AS INT) AS priority FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY p, i) AS r FROM m WHERE p IS NOT NULL) WHERE r = 1""")
+def g3_evidence_resolution(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    chunks = d.select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("ordinal", "text")).withColumn("chunk_id", F.concat_ws(":", "document_id", "ordinal"))
+    none = F.lit(None).cast("string")
+    c = d.select(F.col("doc_id").alias("claim_id"), F.col("doc_id").alias("document_id"), none.alias("sentence_ref"), F.lit(None).cast("int").alias("ordinal"), none.alias("evidence"), F.lit("Licensed").alias("object_text"), F.lit("The").alias("subject"))
+    return G.resolve_evidence(c, chunks)

@@ -26,7 +26,7 @@ dt AS (SELECT doc_id AS document_id, unnest({tokens_sql('text')}) AS term FROM d
 df AS (SELECT term, count(*) AS df FROM dt GROUP BY 1),
 lex AS (SELECT query_id, document_id, count(*) AS overlap, count(*) FILTER (length(term) >= 6) AS route_overlap, count(*) FILTER (length(term) >= 6 AND df <= 3) AS rare FROM qt JOIN dt USING (term) JOIN df USING (term) GROUP BY 1, 2),
 cosines AS (SELECT query_id, vec_id AS document_id, round(CASE WHEN list_inner_product(qv, qv) = 0 OR list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) = 0 THEN 0 ELSE list_inner_product(qv, CAST(embedding AS DOUBLE[])) / (sqrt(list_inner_product(qv, qv)) * sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) END, 9) AS cosine FROM q, embeddings WHERE qv IS NOT NULL),
-pairs AS (SELECT query_id, document_id, coalesce(overlap, 0) AS overlap, coalesce(route_overlap, 0) AS route_overlap, coalesce(rare, 0) AS rare, cosine FROM lex FULL JOIN cosines USING (query_id, document_id)),
+pairs AS (SELECT query_id, document_id, coalesce(overlap, 0) AS overlap, coalesce(route_overlap, 0) AS route_overlap, coalesce(rare, 0) AS rare, cosine FROM lex FULL JOIN (SELECT * FROM cosines WHERE document_id IN (SELECT doc_id FROM documents)) cosines USING (query_id, document_id)),
 scored AS (SELECT query_id, document_id, round(CASE WHEN cosine IS NOT NULL THEN 10 * cosine + least(overlap * 0.05 + route_overlap * 0.08, 0.4) + least(rare * 0.6, 1.2) WHEN overlap + route_overlap > 0 THEN least(0.3 + (overlap + route_overlap) * 0.1 + least(rare * 0.6, 1.2), 1.2) ELSE 0 END, 6) AS score FROM pairs),
 hybrid AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS INT) AS rank FROM scored WHERE score > 0) WHERE rank <= 8)"""
 
