@@ -7,12 +7,16 @@ are ranges of that order.
    at least one entirely. Each set yields the hashes of its fragments, once for its own class of sizes and once
    for the class below, so that both sets of a pair meet under the class of the smaller. Unlike single n-grams, whole fragments are
    shared by near copies, hardly by texts that have a passage in common, so no n-gram needs a cap.
-2. Blocks. Sets that meet are put into blocks of bounded weight: by the least set that they meet (its least set in
-   turn), large families being split by hash. A block pair is compared where some fragment's sets lie in both; a pair of sets
-   thus is compared in exactly one block pair, and pairs within a group never become rows.
-3. Verification. In a block pair, partial overlaps are counted fragment by fragment and summed per pair of sets. Out come the
+2. Pruning. Where few sets share a fragment, a pair stays only if its sizes allow a link, and if the sum over
+   SKETCH fragments of the lesser number of n-grams, which bounds the overlap, does.
+3. Blocks. Pairs that stay, and sets that share a fragment with many others, form families (components); families are put
+   into blocks of bounded weight, and heavy ones are cut. A block pair is compared where a pair or a fragment's sets lie in
+   both; a pair of sets thus is compared in exactly one block pair, and pairs within a large group never become rows.
+4. Sifting. Block pairs first compare the first fragment only, a SHARE-th of the order: a pair whose overlap there, plus the
+   lesser rest, can't make a link is out. What is left forms smaller families, which get blocks of their own.
+5. Verification. In a block pair, partial overlaps are counted fragment by fragment and summed per pair of sets. Out come the
    links as a spanning forest, and each set's number of links.
-4. Components of the forest's edges.
+6. Components of the forest's edges.
 
 Equal sets are one set from the start.
 """
@@ -33,12 +37,18 @@ from .components import connected_components
 
 #: N-grams in one block, about.
 BLOCK_NGRAMS = 1 << 18
+#: Fragments into which a set's sketch counts its n-grams, and the sets that may share a fragment for its pairs to be pruned.
+SKETCH, FEW = 128, 64
+#: Fragments' rows that a task hands on at once.
+ROWS_AT_ONCE = 1 << 18
 #: Words whose hashes one task remembers.
 CACHE_WORDS = 400_000
 #: N-grams that more sets of a block pair have are counted by matrix products.
 RARE = 10
 #: A set weighs this many n-grams at least, so that a block has a bounded number of sets.
 LEAST_WEIGHT = 256
+#: The part of the order that sifting compares is one in so many.
+SHARE = 6
 #: Fragments in which a block pair's overlaps are counted.
 PARTS = 8
 
@@ -138,7 +148,7 @@ def fragment_keys(s: np.ndarray, percent: int) -> np.ndarray:
         m = fragments(g, percent)
         part = ((s >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
         first = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
-        salt = np.uint64(g + 1) * _M3
+        salt = np.uint64((g + 1) * int(_M3) % 2**64)
         number, value = part[first], np.add.reduceat(_mix(s + salt), first)
         if len(first) <= differ:
             missing = np.setdiff1d(np.arange(m, dtype=np.uint64), number, assume_unique=True)
@@ -195,12 +205,11 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
 
 def compare_blocks(group: pa.Table, percent: int) -> pa.Table:
     """The links of one block pair: rows (a, b, n) with n null for edges, and (a, a, links of a weighted by copies)."""
-    side = np.array(group["side"].to_pylist())
-    ids = np.array(group["rep"].to_pylist(), np.int64)
-    copies = np.array(group["copies"].to_pylist(), np.int64)
-    sets = [np.frombuffer(x, np.uint64) for x in group["grams"].to_pylist()]
-    order = np.argsort(ids, kind="stable")
-    side, ids, copies, sets = side[order], ids[order], copies[order], [sets[i] for i in order]
+    ids, order = np.unique(np.array(group["rep"].to_pylist(), np.int64), return_index=True)  # repeated rows count once
+    side = np.array(group["side"].to_pylist())[order]
+    copies = np.array(group["copies"].to_pylist(), np.int64)[order]
+    grams = group["grams"].to_pylist()
+    sets = [np.frombuffer(grams[i], np.uint64) for i in order]
     size = np.array([len(s) for s in sets], np.int64)
     n = len(ids)
     shared = overlaps(np.repeat(np.arange(n), size), np.concatenate(sets), n)
@@ -217,23 +226,172 @@ def compare_blocks(group: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array([None] * len(edges) + degree[linked].astype(np.int64).tolist(), pa.int64())})
 
 
-def signatures(df: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:
-    """Of each document: n_shingles, the set's hash (node) and its fragments' keys."""
+def signatures(df: DataFrame, words: int, key: str, text: str) -> DataFrame:
+    """Of each document: n_shingles, the set's hash (node) and sketch."""
 
     def make():
         shingle = Shingler(words)
 
         def step(batch):
             sets = [shingle(t) for t in batch.column(1).to_pylist()]
-            node = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
-            keys = [fragment_keys(s, percent).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32))
-            arrays = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys)))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc", "n_shingles", "node", "keys"])
+            node = pa.array([node_of(s) for s in sets], pa.int64())
+            sketches = pa.array([sketch(s) for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), node, sketches], ["doc", "n_shingles", "node", "sketch"])
 
         return step
 
-    return map_batches(df.select(key, text), "doc long, n_shingles long, node long, keys array<long>", make)
+    return map_batches(df.select(key, text), "doc long, n_shingles long, node long, sketch binary", make)
+
+
+def node_of(s: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+
+
+def sift_blocks(group: pa.Table, percent: int) -> pa.Table:
+    """Edges (a, b) that connect the sets of one block pair that may link, by their overlap in the first fragment."""
+    ids, order = np.unique(np.array(group["rep"].to_pylist(), np.int64), return_index=True)
+    n = np.array(group["n"].to_pylist(), np.int64)[order]
+    order = order[np.argsort(n, kind="stable")]  # by size, so that a set's partners are a range
+    ids = np.array(group["rep"].to_pylist(), np.int64)[order]
+    n = np.array(group["n"].to_pylist(), np.int64)[order]
+    side = np.array(group["side"].to_pylist())[order]
+    grams = group["grams"].to_pylist()
+    sets = [np.frombuffer(grams[i], np.uint64) for i in order]
+    size = np.array([len(s) for s in sets], np.int64)
+    k = len(ids)
+    shared = overlaps(np.repeat(np.arange(k), size), np.concatenate(sets), k)
+    rest, label, a, b = n - size, np.arange(k), [], []
+    both = bool((side != side[0]).any())
+    for i, stop in enumerate(np.searchsorted(n, 100 * n // percent, side="right").tolist()):
+        j = np.arange(i + 1, stop)
+        if both:
+            j = j[side[j] != side[i]]
+        j = j[label[j] != label[i]]
+        if not len(j):
+            continue
+        bound = np.minimum(shared[i, j] + np.minimum(rest[i], rest[j]), n[i])
+        j = j[links(bound, n[i], n[j], percent)]
+        for x in j[np.unique(label[j], return_index=True)[1]].tolist():  # one edge to each family
+            a.append(int(ids[i]))
+            b.append(int(ids[x]))
+            label[label == label[x]] = label[i]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """Numbers of n-grams in SKETCH fragments of the order; 255 stands for as many and more."""
+    return np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+
+
+def pruned(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets that share a fragment and may link, from rows (key, node, n, sketch) of fragments that at most
+    FEW sets share. A fragment's rows come together, sorted by it; few of them are held at a time."""
+
+    def survivors(keys, node, n, sk):
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        size = np.diff(first, append=len(keys))
+        for d in range(1, int(size.max())):  # each row with the d-th behind it in its fragment
+            at = np.flatnonzero(keys[d:] == keys[:-d])
+            at = at[100 * np.minimum(n[at], n[at + d]) >= percent * np.maximum(n[at], n[at + d])]
+            for lo in range(0, len(at), 8192):
+                i = at[lo : lo + 8192]
+                x, y = sk[i], sk[i + d]
+                most = np.minimum(x, y)
+                # A full count may stand for more: then the smaller set's size bounds the overlap.
+                bound = np.where((most == 255).any(axis=1), np.minimum(n[i], n[i + d]), most.sum(axis=1, dtype=np.int64))
+                i = i[links(np.minimum(bound, np.minimum(n[i], n[i + d])), n[i], n[i + d], percent)]
+                yield np.minimum(node[i], node[i + d]), np.maximum(node[i], node[i + d])
+
+    def run(batches):
+        held = None
+
+        def emit(t):
+            pairs = list(survivors(*t))
+            if pairs:
+                a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+                both = np.unique(np.stack([a, b]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]
+            t.append(np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, SKETCH))
+            if held is not None:
+                t = [np.concatenate([x, y]) for x, y in zip(held, t, strict=True)]
+            cut = int(np.searchsorted(t[0], t[0][-1]))  # the last fragment may go on
+            if cut:
+                yield from emit([x[:cut] for x in t])
+            held = [x[cut:] for x in t]
+        if held is not None:
+            yield from emit(held)
+
+    return members.select("key", "node", "n", "sketch").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct()
+
+
+def fragment_rows(df: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:
+    """Rows (key, node, doc) of documents' fragments. Copies within one batch yield the rows of one of them. Keys have 48
+    bits: where two of them meet by chance, a pair is compared for nothing."""
+
+    def make():
+        shingle = Shingler(words)
+
+        def step(batch):
+            seen, rows, held = set(), [], 0
+            for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                s = shingle(t)
+                node = node_of(s)
+                if not len(s) or node in seen:
+                    continue
+                seen.add(node)
+                k = (fragment_keys(s, percent) >> np.uint64(16)).view(np.int64)
+                rows.append((k, node, doc))
+                held += len(k)
+                if held >= ROWS_AT_ONCE:
+                    yield pack(rows)
+                    rows, held = [], 0
+            if held:
+                yield pack(rows)
+
+        def pack(rows):
+            n = [len(k) for k, _, _ in rows]
+            repeated = [np.repeat(np.array([r[i] for r in rows], np.int64), n) for i in (1, 2)]
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate([k for k, _, _ in rows]), *repeated)], ["key", "node", "doc"])
+
+        return step
+
+    return map_batches(df.select(key, text), "key long, node long, doc long", make)
+
+
+def both_sides(pairs: DataFrame) -> DataFrame:
+    """Rows (p, q, block, side) of block pairs (p, q): one for each of a pair's blocks."""
+    pairs = written(pairs, "pairs")
+    return pairs.select("p", "q", F.col("p").alias("block"), F.lit(0).alias("side")).unionByName(pairs.where("p <> q").select("p", "q", F.col("q").alias("block"), F.lit(1).alias("side")))
+
+
+def shipped(docs: DataFrame, blocked: DataFrame, sides: DataFrame, words: int, share: int) -> DataFrame:
+    """One document of each set in ``blocked`` with its n-grams of the first ``share``-th of the order, for each block pair
+    that compares it."""
+    small = blocked.count() <= BROADCAST_ROWS
+    wanted = blocked.select(F.col("rep").alias("_key"), "copies", "n", "block")
+    chosen = docs.join(F.broadcast(wanted) if small else wanted, "_key")
+    limit = np.uint64((2**64 - 1) // share)
+
+    def make():
+        shingle = Shingler(words)
+
+        def part(t):
+            s = shingle(t)
+            return s[: np.searchsorted(s, limit, side="right")].tobytes()
+
+        def step(batch):
+            grams = pa.array([part(t) for t in batch.column(4).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], grams], ["rep", "copies", "n", "block", "grams"])
+
+        return step
+
+    grams = map_batches(chosen.select("_key", "copies", "n", "block", "_text"), "rep long, copies long, n long, block long, grams binary", make)
+    return grams.join(sides, "block")
 
 
 def join(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -245,49 +403,59 @@ def join(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id",
     copies. Keys must be integers and not null. Other columns are left out; an empty table gives an empty result.
     """
     docs = df.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"))
-    signed = written(signatures(docs, words, percent, "_key", "_text"), "signatures")
-    nodes = signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"))
+    signed = written(signatures(docs, words, "_key", "_text"), "signatures")
+    nodes = signed.where("n_shingles > 0").groupBy("node").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     nodes = written(nodes, "nodes")
-    # Fragments that different sets share. Minima and maxima merge on the map side.
-    met = signed.select("node", F.explode("keys").alias("key"))
-    shared = met.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key", "lo")
-    members = written(met.join(shared, "key").groupBy("key", "node").agg(F.first("lo").alias("lo")), "members")
-    # Blocks. What is taken as a family changes how pairs are grouped, not which pairs are compared.
-    family = members.groupBy("node").agg(F.min("lo").alias("lo"))
-    wider = members.join(family.select("node", F.col("lo").alias("up")), "node").groupBy("key").agg(F.min("up").alias("up"))
-    family = members.join(wider, "key").groupBy("node").agg(F.min("up").alias("lo"))
-    family = family.alias("f").join(family.alias("g"), F.col("f.lo") == F.col("g.node"), "left").select(F.col("f.node").alias("node"), F.coalesce("g.lo", "f.lo").alias("family"))
-    known = written(family.join(nodes, "node"), "families")
-    weights = known.groupBy("family").agg(F.sum(F.greatest("n", F.lit(LEAST_WEIGHT))).alias("w"))
+    # Fragments that different sets share. Minima and maxima merge on the map side; the join that finds their sets has
+    # nothing else above its shuffles, so that Spark can split a hot fragment. Computing the rows twice costs less than
+    # keeping them.
+    met = fragment_rows(docs, words, percent, "_key", "_text")
+    shared = written(met.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key", "lo"), "shared")
+    found = written(met.select("key", "doc").join(shared, "key"), "members")
+    members = written(found.join(signed.select("doc", "node").distinct(), "doc").groupBy("key", "node").agg(F.first("lo").alias("lo")), "members")
+    sizes = members.groupBy("key").agg(F.count("*").alias("_sets"))
+    few = members.join(sizes.where(F.col("_sets") <= FEW).select("key"), "key").join(nodes.select("node", "n", "sketch"), "node")
+    many = written(members.join(sizes.where(F.col("_sets") > FEW).select("key"), "key"), "many")
+    stay = written(pruned(few, percent), "candidates")
+    # Blocks. A heavy family is cut by the least set that its sets meet, and what is still heavy by hash.
+    edges = stay.unionByName(many.select(F.col("lo").alias("a"), F.col("node").alias("b")))
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    local = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("lo"))
+    local = local.alias("f").join(local.alias("g"), F.col("f.lo") == F.col("g.node"), "left").select(F.col("f.node").alias("node"), F.coalesce("g.lo", "f.lo").alias("local"))
+    family = connected_components(edges).select(F.col("vertex").alias("node"), F.col("component").alias("family"))
+    known = written(family.join(local, "node").join(nodes.drop("sketch"), "node"), "families")
+    weight = F.sum(F.greatest("n", F.lit(LEAST_WEIGHT)))
+    weights, parts = known.groupBy("family").agg(weight.alias("w")), known.groupBy("family", "local").agg(weight.alias("p"))
     total = weights.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
     bins = max(1, round(total / BLOCK_NGRAMS))
-    split = F.ceil(F.col("w") / BLOCK_NGRAMS)
-    block = F.when(2 * F.col("w") <= BLOCK_NGRAMS, F.pmod(F.xxhash64("family"), F.lit(bins))).otherwise(F.xxhash64("family", F.pmod(F.xxhash64("node"), split)))
-    blocked = written(known.join(weights, "family").select("node", "rep", "copies", block.alias("block")), "blocks")
-    of_key = members.join(blocked.select("node", "block"), "node").select("key", "block").distinct()
+    cuts = lambda c: F.ceil(F.col(c) / BLOCK_NGRAMS)
+    block = (
+        F.when(2 * F.col("w") <= BLOCK_NGRAMS, F.pmod(F.xxhash64("family"), F.lit(bins)))
+        .when(2 * F.col("p") <= BLOCK_NGRAMS, F.xxhash64("family", F.pmod(F.xxhash64("local"), cuts("w"))))
+        .otherwise(F.xxhash64("family", "local", F.pmod(F.xxhash64("node"), cuts("p"))))
+    )
+    blocked = written(known.join(weights, "family").join(parts, ["family", "local"]).select("node", "rep", "copies", "n", block.alias("block")), "blocks")
+    place = blocked.select("node", "block")
+    of_key = many.join(place, "node").select("key", "block").distinct()
     spread = of_key.groupBy("key").agg(F.min("block").alias("least"), F.max("block").alias("most")).where("least <> most").select("key")
     several = of_key.join(spread, "key")
-    across = several.alias("x").join(several.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.block") < F.col("y.block"))).select(F.col("x.block").alias("p"), F.col("y.block").alias("q")).distinct()
+    of_keys = several.alias("x").join(several.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.block") < F.col("y.block"))).select(F.col("x.block").alias("p"), F.col("y.block").alias("q"))
+    of_pairs = stay.join(place.withColumnsRenamed({"node": "a", "block": "p"}), "a").join(place.withColumnsRenamed({"node": "b", "block": "q"}), "b").where("p <> q").select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))
+    across = of_keys.unionByName(of_pairs).distinct()
     pairs = blocked.select(F.col("block").alias("p"), F.col("block").alias("q")).distinct().unionByName(across)
-    sides = written(pairs, "pairs")
-    sides = sides.select("p", "q", F.col("p").alias("block"), F.lit(0).alias("side")).unionByName(sides.where("p <> q").select("p", "q", F.col("q").alias("block"), F.lit(1).alias("side")))
-    # One document of each set that meets another, with its n-grams.
-    small = blocked.count() <= BROADCAST_ROWS
-    wanted = blocked.select(F.col("rep").alias("_key"), "copies", "block")
-    chosen = docs.join(F.broadcast(wanted) if small else wanted, "_key")
-
-    def make():
-        shingle = Shingler(words)
-
-        def step(batch):
-            grams = pa.array([shingle(t).tobytes() for t in batch.column(3).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], grams], ["rep", "copies", "block", "grams"])
-
-        return step
-
-    grams = map_batches(chosen.select("_key", "copies", "block", "_text"), "rep long, copies long, block long, grams binary", make)
-    grams = grams.join(sides, "block")
-    found = written(grams.groupBy("p", "q").applyInArrow(lambda t: compare_blocks(t, percent), "a long, b long, n long"), "links")
+    sides = both_sides(pairs)
+    maybe = written(shipped(docs, blocked, sides, words, SHARE).groupBy("p", "q").applyInArrow(lambda t: sift_blocks(t, percent), "a long, b long"), "sifted")
+    family = connected_components(maybe).select(F.col("vertex").alias("rep"), F.col("component").alias("family"))
+    known = written(family.join(nodes.drop("sketch"), "rep"), "families")
+    weights = known.groupBy("family").agg(weight.alias("w"))
+    total = weights.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+    heavy = 2 * F.col("w") > BLOCK_NGRAMS
+    block = F.when(heavy, F.xxhash64("family", F.pmod(F.xxhash64("rep"), cuts("w")))).otherwise(F.pmod(F.xxhash64("family"), F.lit(max(1, round(total / BLOCK_NGRAMS)))))
+    blocked = written(known.join(weights, "family").select("node", "rep", "copies", "n", "family", heavy.alias("heavy"), block.alias("block")), "blocks")
+    of_heavy = blocked.where("heavy").select("family", "block").distinct()
+    across = of_heavy.alias("x").join(of_heavy.alias("y"), (F.col("x.family") == F.col("y.family")) & (F.col("x.block") < F.col("y.block"))).select(F.col("x.block").alias("p"), F.col("y.block").alias("q"))
+    sides = both_sides(blocked.select(F.col("block").alias("p"), F.col("block").alias("q")).distinct().unionByName(across.distinct()))
+    found = written(shipped(docs, blocked, sides, words, 1).groupBy("p", "q").applyInArrow(lambda t: compare_blocks(t, percent), "a long, b long, n long"), "links")
     components = connected_components(found.where("n IS NULL").select("a", "b"))
     degrees = found.where("n IS NOT NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("linked"))
     known = nodes.join(components.withColumnRenamed("vertex", "rep"), "rep", "left").join(degrees, "rep", "left")
