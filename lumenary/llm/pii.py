@@ -28,7 +28,13 @@ NUMBERS = re.compile(
     r"|(?<!\w)(?<![0-9]\.)(?P<card>[0-9]{13,19}|[0-9]{4}(?P<gap>[ -])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?!\w)"
 )
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
-SECRET = re.compile(r"""(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\b["']?\s{0,3}[:=]\s{0,3}["']?)(?P<value>[A-Za-z0-9+/_\-]{8,512})""")
+#: Words before a secret.
+KEYWORDS = r"token|secret|password|passwd|api[_-]?key|access[_-]?key"
+#: A secret is all between quotes (blank lines end it), or all up to white space, a quote or an angle bracket; at least eight characters.
+SECRET = re.compile(
+    rf"""(?i:\b(?:{KEYWORDS})\b["']?\s{{0,3}}[:=]\s{{0,3}})"""
+    r"""(?:(?P<quote>["'])(?P<inside>(?:(?!(?P=quote))[^\\\n]|\\.|\n(?!\s*\n)){8,})(?P=quote)|["']?(?P<bare>[^\s"'`<>]{8,}))"""
+)
 #: Titles before a name, and the gender that they tell (fixed values).
 TITLES = {
     "Mr.": "m", "Mr": "m", "Mister": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m", "Señor": "m", "Sr.": "m", "г-н": "m",
@@ -38,7 +44,7 @@ TITLES = {
 PERSON = re.compile(r"(?<!\w)(?P<title>" + "|".join(re.escape(t) for t in sorted(TITLES, key=len, reverse=True)) + r") (?P<names>[^\W\d_a-zà-ÿа-я][^\W\d_]{1,30}(?: [^\W\d_a-zà-ÿа-я][^\W\d_]{1,30})?)")
 LOCAL = re.compile(r"[\w.%+-]{1,64}$")
 DOMAIN = re.compile(r"[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+")
-HINT = re.compile(r"[0-9@]|" + "|".join(re.escape(t) for t in sorted(TITLES, key=len, reverse=True)) + "|(?i:password|secret|token|key)")
+HINT = re.compile(r"[0-9@]|" + "|".join(re.escape(t) for t in sorted(TITLES, key=len, reverse=True)) + f"|(?i:{KEYWORDS})")
 #: Syllables by script, and endings by gender, of which names are made (fixed values).
 SYLLABLES = {
     "latin": ["ba", "be", "bo", "da", "de", "do", "fa", "ga", "ka", "ke", "la", "le", "li", "lo", "ma", "me", "mi", "na", "ne", "no", "pa", "ra", "re", "ri", "ro", "sa", "se", "ta", "te", "to", "va", "vi"],
@@ -82,7 +88,9 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
                 found.append((begin, at + 1 + len(domain), "email", text[begin : at + 1 + len(domain)].lower()))
         at = text.find("@", at + 1)
     for m in SECRET.finditer(text):
-        found.append((*m.span("value"), "secret", m["value"]))
+        part = "inside" if m["inside"] else "bare"
+        if any(c.isalpha() or c.isdigit() for c in m[part]):
+            found.append((*m.span(part), "secret", m[part]))
     for m in NUMBERS.finditer(text):
         kind = next(k for k in ("ipv4", "phone", "ssn", "card") if m[k])
         canon = m.group() if kind in ("ipv4", "ssn") else "".join(c for c in m.group() if c.isdigit() or c == "+")
@@ -162,7 +170,8 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
         return f"{canon[:2]}{n:02d}{body}"
     if kind == "secret":
         hexadecimal = re.fullmatch(r"[0-9a-fA-F]+", canon) is not None
-        return "".join(_like(c, s, letters="abcdef" if hexadecimal else "abcdefghijklmnopqrstuvwxyz") for c in canon)
+        value = "".join(_like(c, s, letters="abcdef" if hexadecimal else "abcdefghijklmnopqrstuvwxyz") for c in canon)
+        return value + str(s.below(10**9)) if attempt >= STRICT_ATTEMPTS else value
     if kind == "ssn":
         return "".join(_like(c, s) for c in canon)
     own = script(canon)

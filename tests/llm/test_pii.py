@@ -57,3 +57,16 @@ def _replace(spark, rows, bound):
 
 def test_empty_table(spark):
     assert pii.replace(spark.createDataFrame([], "doc_id long, text string"), KEY).count() == 0
+
+
+def test_secrets_are_whole():
+    long, jwt = "aB3/" * 200, "eyJhbGciOi.eyJzdWIiOiIx.SflKxwRJ-_~="
+    cases = [(f"token = {long}", long), (f"token: {jwt} and", jwt), ("password=Hun!ter2secret9 ok", "Hun!ter2secret9"), ("passwd = correcthorse", "correcthorse")]
+    cases += [('"secret": "two words, {x}; it\'s 1", "n": 2', "two words, {x}; it's 1"), ("api_key='ab\\'cdefghij' x", "ab\\'cdefghij"), ('password = "open without end', None), ('"password": "", "user": "someone"', None), ("token: ---------- x", None)]
+    for text, want in cases:
+        got = [(k, text[b:e]) for b, e, k, _ in pii.detect(text)]
+        assert got == ([("secret", want)] if want else []), text
+
+
+def test_secrets_find_free_surrogates_at_last():
+    assert len(pii.surrogate(KEY, "secret", "a-------", pii.STRICT_ATTEMPTS)) > 8
