@@ -39,12 +39,40 @@ SECRET = re.compile(
 TITLES = {
     "Mr.": "m", "Mr": "m", "Mister": "m", "Herr": "m", "Herrn": "m", "Monsieur": "m", "Señor": "m", "Sr.": "m", "г-н": "m",
     "Mrs.": "f", "Mrs": "f", "Ms.": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Sra.": "f", "г-жа": "f",
-    "Dr.": "n", "Prof.": "n",
+    "Dr.": "n", "Prof.": "n", "κ.": "m", "κος": "m", "κύριος": "m", "Κύριος": "m", "κα": "f", "κυρία": "f", "Κυρία": "f", "Δρ.": "n",
 }
-PERSON = re.compile(r"(?<!\w)(?P<title>" + "|".join(re.escape(t) for t in sorted(TITLES, key=len, reverse=True)) + r") (?P<names>[^\W\d_a-zà-ÿа-я][^\W\d_]{1,30}(?: [^\W\d_a-zà-ÿа-я][^\W\d_]{1,30})?)")
+#: Words that stand as titles only behind another title.
+STACKED = ["Dr", "Prof", "Professor", "Doktor", "Doctor", "med.", "h.c."]
+#: CJK titles stand behind the name, whose first signs are a family name of a fixed list.
+CJK_TITLES = {"先生": "m", "女士": "f", "小姐": "f", "太太": "f", "博士": "n", "教授": "n"}
+CJK_FAMILIES = "欧阳|司马|上官|诸葛|[王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤]"
+
+
+def _ranges(wanted) -> str:
+    """Letters of the basic plane, as the inside of a character class."""
+    found = [c for c in range(0x10000) if chr(c).isalpha() and wanted(chr(c))]
+    starts = [c for i, c in enumerate(found) if not i or found[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(found) if i == len(found) - 1 or found[i + 1] != c + 1]
+    return "".join(rf"\u{a:04x}-\u{b:04x}" for a, b in zip(starts, ends, strict=True))
+
+
+_any = lambda words: "|".join(re.escape(t) for t in sorted(words, key=len, reverse=True))
+UPPER, BLANK = f"[{_ranges(lambda c: not c.islower())}]", r"[^\S\n]{1,3}"
+#: A name's word, with hyphens and with apostrophes that no contraction has; initials; words of low case within a name.
+WORD = rf"{UPPER}(?:['’]{UPPER})?[^\W\d_]+(?:-[^\W\d_]+|['’](?:{UPPER}|[^\W\d_]{{3}})[^\W\d_]*)*"
+INITIAL = rf"{UPPER}\.(?:-?{UPPER}\.)*"
+PARTICLES = "van|von|der|den|ter|de|del|della|di|da|dos|du|la|le|bin|ibn|al|el|zu|zum|zur"
+#: Words that begin a sentence or follow a name in title case, and so end it (fixed values).
+ENDS = "The|This|That|These|Those|A|An|And|But|Or|If|In|On|At|To|As|By|For|From|With|He|She|It|They|We|You|His|Her|However|When|While|Who|Is|Was|Der|Die|Das|Und|Er|Sie|Es|Le|La|Les|Et|Il|Elle|El|Los|Las"
+PERSON = re.compile(
+    rf"(?<!\w)(?P<title>{_any(TITLES)})(?P<more>(?:{BLANK}(?:{_any([*TITLES, *STACKED])})(?!\w))*)(?:{BLANK}|[^\S\n]{{0,3}}\n[^\S\n]{{0,8}})"
+    rf"(?P<names>(?:{INITIAL}{BLANK}?)*{WORD}(?:{BLANK}(?:(?:{PARTICLES}){BLANK})*(?!(?:{ENDS})(?!\w))(?:{INITIAL}{BLANK}?)*{WORD})*)"
+)
+CJK_PERSON = re.compile(rf"(?P<family>{CJK_FAMILIES})(?P<given>[\u4e00-\u9fff]{{0,2}}?)(?P<title>{_any(CJK_TITLES)})")
+PART = re.compile(rf"{UPPER}(?=\.)|(?:(?!-{UPPER})[\w'’-])+")
 LOCAL = re.compile(r"[\w.%+-]{1,64}$")
 DOMAIN = re.compile(r"[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+")
-HINT = re.compile(r"[0-9@]|" + "|".join(re.escape(t) for t in sorted(TITLES, key=len, reverse=True)) + f"|(?i:{KEYWORDS})")
+HINT = re.compile(rf"[0-9@]|{_any([*TITLES, *CJK_TITLES])}|(?i:{KEYWORDS})")
 #: Syllables by script, and endings by gender, of which names are made (fixed values).
 SYLLABLES = {
     "latin": ["ba", "be", "bo", "da", "de", "do", "fa", "ga", "ka", "ke", "la", "le", "li", "lo", "ma", "me", "mi", "na", "ne", "no", "pa", "ra", "re", "ri", "ro", "sa", "se", "ta", "te", "to", "va", "vi"],
@@ -72,6 +100,35 @@ def script(word: str) -> str:
     return "cyrillic" if 0x400 <= c < 0x530 else "greek" if 0x370 <= c < 0x400 else "cjk" if 0x3400 <= c < 0xA000 else "latin"
 
 
+def persons(text: str) -> list[tuple[int, int, str, str]]:
+    """Names behind titles (CJK: before), and all other mentions of their parts in the same text, as written or in
+    capitals. A part has the type in which the text first has it."""
+    named: list[tuple[int, int, str]] = []
+    for m in PERSON.finditer(text):
+        titles = [m["title"], *m["more"].split()]
+        gender = next((g for g in (TITLES.get(t, "n") for t in titles) if g != "n"), "n")
+        parts = [x for x in PART.finditer(text, *m.span("names")) if not re.fullmatch(PARTICLES, x.group())]
+        named += [(x.start(), x.end(), "family" if x is parts[-1] else f"given_{gender}") for x in parts]
+    for m in CJK_PERSON.finditer(text):
+        named += [(*m.span(k), kind) for k, kind in (("family", "family"), ("given", f"given_{CJK_TITLES[m['title']]}")) if m[k]]
+    if not named:
+        return []
+    kinds: dict[str, str] = {}
+    for b, e, kind in sorted(named):
+        kinds.setdefault(text[b:e].casefold(), kind)
+    out = [(b, e, kinds[text[b:e].casefold()], text[b:e].casefold()) for b, e, _ in sorted(named)]
+    forms = {f for b, e, _ in named if e - b > 1 for f in (text[b:e], text[b:e].upper(), text[b:e].capitalize() if text[b:e].isupper() else text[b:e])}
+    cjk = {f for f in forms if script(f) == "cjk"}
+    again = [*([rf"(?<!\w)(?:{_any(forms - cjk)})(?!\w)"] if forms - cjk else []), *([_any(cjk)] if cjk else [])]
+    if again:
+        taken = {b for b, *_ in out}
+        for m in re.finditer("|".join(again), text):
+            canon = m.group().casefold()
+            if m.start() not in taken and canon in kinds:
+                out.append((*m.span(), kinds[canon], canon))
+    return out
+
+
 def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     """Begin, end, type and canonical form of the entities in a text, in order; they don't overlap. A name's parts are
     entities of their own."""
@@ -99,12 +156,7 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
         canon = m.group().replace(" ", "")
         if int("".join(str(int(c, 36)) for c in canon[4:] + canon[:4])) % 97 == 1:
             found.append((*m.span(), "iban", canon))
-    for m in PERSON.finditer(text):
-        gender, names, at = TITLES[m["title"]], m["names"].split(" "), m.start("names")
-        for i, name in enumerate(names):
-            kind = "family" if i == len(names) - 1 else f"given_{gender}"
-            found.append((at, at + len(name), kind, name.casefold()))
-            at += len(name) + 1
+    found += persons(text)
     found.sort(key=lambda x: (x[0], -x[1]))
     out, end = [], 0
     for x in found:
@@ -183,7 +235,9 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
 def render(original: str, kind: str, value: str) -> str:
     """The surrogate in the form that the occurrence has: its separators and its case."""
     if kind in ("family",) or kind.startswith("given"):
-        return value.upper() if original.isupper() and len(original) > 1 else value[0].upper() + value[1:]
+        if original.isupper():
+            return value.upper() if len(original) > 1 else value[0].upper()
+        return value[0].upper() + value[1:]
     if kind in ("phone", "card", "iban"):
         drawn = iter(c for c in value if c != "+")
         return "".join(next(drawn) if c.isalnum() else c for c in original)

@@ -70,3 +70,27 @@ def test_secrets_are_whole():
 
 def test_secrets_find_free_surrogates_at_last():
     assert len(pii.surrogate(KEY, "secret", "a-------", pii.STRICT_ATTEMPTS)) > 8
+
+
+def test_names_are_whole_and_mentioned_again():
+    cases = [
+        ("Mr. Kennedy said. Kennedy left, KENNEDY's car; kennedyesque Kennedys", ["Kennedy", "Kennedy", "KENNEDY"]),
+        ("Kennedy spoke. Mr. John Fitzgerald Kennedy left. However John stayed", ["Kennedy", "John", "Fitzgerald", "Kennedy", "John"]),
+        ("Dr. Anne-Marie Smith and Marie", ["Anne", "Marie", "Smith", "Marie"]),
+        ("Mr. O'Brien's and Mr. Kennedy's", ["O'Brien", "Kennedy"]),
+        ("Frau Dr. Anna Berg, Herr Prof. Dr Ludwig van Beethoven", ["Anna", "Berg", "Ludwig", "Beethoven"]),
+        ("Mr. John F. Kennedy The end", ["John", "F", "Kennedy"]),
+        ("κα Μαρία Παπαδοπούλου είπε. Παπαδοπούλου", ["Μαρία", "Παπαδοπούλου", "Παπαδοπούλου"]),
+        ("他说王小明先生来了,小明走了", ["王", "小明", "小明"]),
+        ("Mr. said Kennedy", []),
+    ]
+    for text, want in cases:
+        assert [text[b:e] for b, e, _, _ in pii.detect(text)] == want, text
+    got = {text_canon for *_, kind, text_canon in pii.detect("Frau Dr. Anna Berg. Frau Anna") if kind == "given_f"}
+    assert got == {"anna"}
+
+
+def test_mentions_share_the_surrogate(spark):
+    [r] = pii.replace(spark.createDataFrame([(1, "Mr. John Kennedy said. Kennedy left. KENNEDY, John")], "doc_id long, text string"), KEY).collect()
+    m = re.fullmatch(r"Mr. (\w+) (\w+) said. (\w+) left. (\w+), (\w+)", r.text)
+    assert m[2] == m[3] == m[4].capitalize() and m[1] == m[5] and "Kennedy" not in r.text and r.n_replaced == 5
