@@ -24,9 +24,22 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of least id, of each group of near copies: five-word n-grams, similarity 0.8 or more."""
-    stay = ngram_join.join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").select(*COLUMNS)
+    """One row, that of least id, of each group of near copies: five-word n-grams, similarity 0.8 or more.
+
+    Where ids are unique integers without nulls, they are the rows' keys. Else each row gets a key of its own, written with
+    it, so that rows without an id or with the same one are judged each by itself; rows without an id come last in a group.
+    """
+    docs = docs.select(*COLUMNS)
+    ids = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("n_ids")).first()
+    unique = docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long") and ids.n == ids.n_ids and docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    keyed = docs.withColumn("_row", F.col("doc_id").cast("long")) if unique else written(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    groups = ngram_join.join(keyed, key="_row")
+    if unique:
+        stay = groups.where("_row = component_id").select("_row")
+    else:
+        order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "_row")
+        stay = groups.join(keyed.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).alias("least")).select("least._row")
+    return keyed.join(stay, "_row", "left_semi").select(*COLUMNS)
 
 
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,3 +33,12 @@ def test_columns_between_stages(spark):
         assert docs.columns == corpus_pipeline.COLUMNS
         break
     assert ngram_join.join(docs).columns == ["doc_id", "n_shingles", "component_id", "n_links"] and F
+
+
+def test_rows_without_an_id_or_with_the_same_one(spark):
+    text = lambda w: " ".join(f"{w}{i}" for i in range(40))
+    rows = [(None, text("a")), (None, text("b")), (5, text("b")), (5, text("b")), (7, text("c")), (7, text("d")), (3, text("c") + " more"), (None, None), (9, "")]
+    docs = spark.createDataFrame([(k, t, "en", "x", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
+    want = [(None, text("a")), (5, text("b")), (7, text("d")), (3, text("c") + " more"), (None, None), (9, "")]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in got))) == sorted(map(repr, want))
