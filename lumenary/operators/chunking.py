@@ -123,6 +123,37 @@ def chunks(df: DataFrame, key: str = "doc_id", text: str = "text", **limits) ->
     return df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, ordinal int, begin int, end int, text string")
 
 
+PLAIN_SENTENCE = re.compile(r"[^.!?。！？\n]+[.!?。！？]?")
+
+
+def pack(parts: list[str], most: int) -> list[str]:
+    """``functions.text.packed_snippets`` in one pass over the parts."""
+    out: list[list[str]] = []
+    size = 0
+    for p in parts:
+        if out and size + 1 + len(p) <= most:
+            out[-1].append(p)
+            size += 1 + len(p)
+        else:
+            out.append([p])
+            size = len(p)
+    return [" ".join(x) for x in out]
+
+
+def snippets(df: DataFrame, most: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each snippet: key, ordinal, snippet. Texts of any length; the array fold of ``packed_snippets`` copies all
+    snippets for each sentence. Null and blank texts have none."""
+
+    def run(batches):
+        for b in batches:
+            for k, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                got = pack([x for m in PLAIN_SENTENCE.findall(t or "") if (x := m.strip(" "))], most)
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(got), b.schema.field(0).type), pa.array(range(len(got)), pa.int32()), pa.array(got, pa.string())], [key, "ordinal", "snippet"])
+
+    return df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, ordinal int, snippet string")
+
+
 def required_slots(df: DataFrame, schema: str, limit: int, kinds: tuple[str, ...] = ("table", "figure", "formula")) -> DataFrame:
     """The first ``limit`` rows of each query (query_id, rank, kind), of which the first of each of ``kinds`` survives in
     the place of the last rows of no such kind. Sequential over a query's few ranked rows."""

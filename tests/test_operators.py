@@ -94,3 +94,16 @@ def test_overlaps_equal_sets(spark):
     got = {(r.query_id, r.document_id): r.overlap for r in retrieval.overlaps(spark.createDataFrame(qs, "query_id long, text string"), spark.createDataFrame(docs, "document_id long, text string")).collect()}
     want = {(q, d): n for q, a in qs for d, b in docs if (n := len(set(a.split()) & set(b.split())))}
     assert got == want
+
+
+def test_snippets_of_long_texts(spark, tmp_path):
+    from lumenary.functions import text as T
+    from lumenary.plans import passages
+    from pyspark.sql import functions as F
+
+    long = " ".join(f"Sentence number {i} is here." for i in range(400)) + "\n" + "x" * 500 + "? 完。"
+    df = spark.createDataFrame([(1, long, len(long)), (2, "A. B!", None), (3, None, None), (4, "", 0)], "doc_id long, text string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, passages.c5_packed_snippets(spark, str(tmp_path)).collect()))
+    want = sorted(map(tuple, df.select("doc_id", F.posexplode(T.packed_snippets(T.sentences(F.col("text")), 320))).collect()))
+    assert got == want and {r[0] for r in got} == {1, 2} and max(len(r[2]) for r in got if "x" * 9 not in r[2]) <= 320
