@@ -71,9 +71,21 @@ _NUM = r"[+-]?\d+(\.\d+)?%?"
 @query(rf"""WITH c AS (SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) || ' ± 2.5' WHEN o_totalprice > 200000 THEN '- ' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) WHEN o_totalprice > 100000 THEN o_orderpriority ELSE '12.5%' END AS cell FROM orders WHERE o_totalprice < 300000)
 SELECT o_orderkey, regexp_matches(trim(regexp_replace(cell, '\s*(±|\+/-)\s*', ' ', 'g')), '^([+-]\s+)?{_NUM}(\s+([+-]\s+)?{_NUM})*$') AS is_numeric FROM c""")
 def s13_numeric_cells(spark, sf_dir):
+    """Orders below 300000 only, as the SQL has them; s13_all_numeric_cells judges all orders."""
+    return _judged_cells(table(spark, sf_dir, "orders").where("o_totalprice < 300000"))
+
+
+@query(rf"""WITH c AS (SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) || ' ± 2.5' WHEN o_totalprice > 200000 THEN '- ' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) WHEN o_totalprice > 100000 THEN o_orderpriority ELSE '12.5%' END AS cell FROM orders)
+SELECT o_orderkey, regexp_matches(trim(regexp_replace(cell, '\s*(±|\+/-)\s*', ' ', 'g')), '^([+-]\s+)?{_NUM}(\s+([+-]\s+)?{_NUM})*$') AS is_numeric FROM c""")
+def s13_all_numeric_cells(spark, sf_dir):
+    return _judged_cells(table(spark, sf_dir, "orders"))
+
+
+def _judged_cells(orders):
     price = F.col("o_totalprice")
-    cell = F.when(price > 200000, F.concat(F.lit("- "), F.floor(price).cast("string"))).when(price > 100000, F.col("o_orderpriority")).otherwise("12.5%")
-    return table(spark, sf_dir, "orders").where(price < 300000).select("o_orderkey", T.numeric_cell(cell).alias("is_numeric"))
+    uncertain = F.concat(F.rint(price).cast("long").cast("string"), F.lit(" ± 2.5"))
+    cell = F.when(price > 300000, uncertain).when(price > 200000, F.concat(F.lit("- "), F.floor(price).cast("string"))).when(price > 100000, F.col("o_orderpriority")).otherwise("12.5%")
+    return orders.select("o_orderkey", T.numeric_cell(cell).alias("is_numeric"))
 
 
 @query(r"""WITH t AS (SELECT doc_id, text, trim(text, E' \t\n\r') AS s FROM documents), d AS (SELECT *, length(regexp_replace(s, '[^\x{4e00}-\x{9fff}A-Za-z0-9]', '', 'g')) / greatest(length(s), 1) AS density, regexp_extract_all(text, '[A-Za-z0-9]+') AS ws FROM t)

@@ -47,3 +47,12 @@ def test_vectors(spark):
     v = lambda *x: F.array(*[F.lit(float(i)) for i in x])
     x = spark.range(1).select(V.cosine(v(1, 0), v(1, 1)).alias("a"), V.cosine(v(0, 0), v(1, 1)).alias("b"), V.valid(v(1, float("nan")), 2).alias("c"), V.valid(v(1), 2).alias("d"), V.normalised(v(0, 0)).alias("e"), V.distance_score(F.lit(0.25)).alias("f")).first()
     assert (round(x.a, 6), x.b, x.c, x.d, x.e, x.f) == (0.707107, 0.0, False, False, None, 7.5)
+
+
+def test_all_orders_are_judged(spark, tmp_path):
+    from lumenary.plans import text as P
+
+    rows = [(1, 400000.5, "5-LOW"), (2, 300000.0, "5-LOW"), (3, 150000.0, "5-LOW"), (4, 10.0, "5-LOW"), (5, None, "5-LOW")]
+    spark.createDataFrame(rows, "o_orderkey long, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r[0]: r[1] for r in P.s13_all_numeric_cells(spark, str(tmp_path)).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: True, 5: True}
