@@ -100,6 +100,13 @@ def s20_prefix_errors(spark, sf_dir):
     return d.select("doc_id", F.array_intersect(E.prefix_errors(F.col("_p"), F.col("text")), known).alias("errors"))
 
 
+@query()
+def s20_all_prefix_errors(spark, sf_dir):
+    """All codes of the operator; the SQL of s20_prefix_errors has three of the five."""
+    d = table(spark, sf_dir, "documents").withColumn("_p", F.split("text", "\n")[0])
+    return d.select("doc_id", E.prefix_errors(F.col("_p"), F.col("text")).alias("errors"))
+
+
 @query()
 def c16_embeddings(spark, sf_dir):
     return E.embed(table(spark, sf_dir, "documents"), "doc_id", "text", chunking.hashing_embedder)
