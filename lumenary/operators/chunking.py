@@ -54,9 +54,10 @@ def hashing_embedder(size: int = 32) -> Callable[[str], np.ndarray]:
     return embed
 
 
-def group(parts: list[str], target: int, most: int, percentile: int = 20, embed=None, count=count_tokens) -> list[tuple[int, int]]:
+def group(parts: list[str], target: int, most: int, percentile: int = 20, embed=None, count=count_tokens, least: int = 0) -> list[tuple[int, int]]:
     """Ranges of consecutive parts of at most ``most`` tokens each. Of the boundaries beyond ``target`` that still fit, the
-    earliest among those of lowest similarity is taken; a part that is too long stands alone."""
+    earliest among those of lowest similarity is taken; a part that is too long stands alone. A last range of fewer than
+    ``least`` tokens joins the one before it or takes parts of it, if the limits allow."""
     if not parts:
         return []
     embed = embed or hashing_embedder()
@@ -75,7 +76,22 @@ def group(parts: list[str], target: int, most: int, percentile: int = 20, embed=
         cut = min(lowest)
         out.append((at, cut))
         at = cut
-    return out
+    return rebalanced(out, total, least, most)
+
+
+def rebalanced(ranges: list[tuple[int, int]], total: np.ndarray, least: int, most: int) -> list[tuple[int, int]]:
+    """The last range merged or filled up; ``total`` has the tokens before each part."""
+    if len(ranges) < 2 or total[ranges[-1][1]] - total[ranges[-1][0]] >= least:
+        return ranges
+    (a, cut), (_, z) = ranges[-2:]
+    if total[z] - total[a] <= most:
+        return [*ranges[:-2], (a, z)]
+    if total[cut] - total[a] > most:
+        return ranges
+    while total[z] - total[cut] < least and cut - a > 1:
+        cut -= 1
+    fits = least <= total[z] - total[cut] <= most and total[cut] - total[a] >= least
+    return [*ranges[:-2], (a, cut), (cut, z)] if fits else ranges
 
 
 def windows(text: str, most: int, count=count_tokens) -> list[tuple[int, int]]:
@@ -94,12 +110,12 @@ def windows(text: str, most: int, count=count_tokens) -> list[tuple[int, int]]:
     return out
 
 
-def chunk(text: str | None, target: int = 400, most: int = 600, overlap: int = 50, percentile: int = 20) -> list[tuple[int, int, str]]:
+def chunk(text: str | None, target: int = 400, most: int = 600, overlap: int = 50, percentile: int = 20, least: int = 180) -> list[tuple[int, int, str]]:
     """Begin, end and text of a document's chunks. Spans tile the text; the text of a chunk also has the last whole
     sentences of the one before it, up to ``overlap`` tokens, if they fit."""
     spans = [(a + x, a + y) for a, b in sentences(text or "") for x, y in (windows(text[a:b], most) if count_tokens(text[a:b]) > most else [(0, b - a)])]
     out: list[tuple[int, int, str]] = []
-    groups = group([text[a:b] for a, b in spans], target, most, percentile)
+    groups = group([text[a:b] for a, b in spans], target, most, percentile, least=min(least, target))
     for i, (lo, hi) in enumerate(groups):
         begin, end, lead = spans[lo][0], spans[hi - 1][1], spans[lo][0]
         if i:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from lumenary.operators import chunking, graph, knn, retrieval, tables, versions
@@ -107,3 +108,12 @@ def test_snippets_of_long_texts(spark, tmp_path):
     got = sorted(map(tuple, passages.c5_packed_snippets(spark, str(tmp_path)).collect()))
     want = sorted(map(tuple, df.select("doc_id", F.posexplode(T.packed_snippets(T.sentences(F.col("text")), 320))).collect()))
     assert got == want and {r[0] for r in got} == {1, 2} and max(len(r[2]) for r in got if "x" * 9 not in r[2]) <= 320
+
+
+def test_short_tails_are_rebalanced():
+    group = lambda sizes: chunking.group(["w" * 4 * n for n in sizes], 400, 600, least=180)
+    assert group([450, 200, 300, 150]) == [(0, 1), (1, 2), (2, 4)]
+    total = lambda sizes: np.concatenate([[0], np.cumsum(sizes)])
+    assert chunking.rebalanced([(0, 2), (2, 3)], total([300, 150, 100]), 180, 600) == [(0, 3)]
+    assert chunking.rebalanced([(0, 3), (3, 4)], total([300, 150, 100, 100]), 180, 600) == [(0, 2), (2, 4)]
+    assert chunking.rebalanced([(0, 1), (1, 2)], total([550, 100]), 180, 600) == [(0, 1), (1, 2)]
