@@ -8,15 +8,19 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Upper bound, in rows, below which a side of a join may be broadcast after its size was counted.
 BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a new one is set only where none is (as in tests)."""
+    """The folder that ``spark.checkpoint.dir`` names. Where none is named, as in tests, a local session gets one of its
+    own; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lumenary-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,7 +36,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = table_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` wrote, once nothing reads them any more."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t._written_at)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, marked for a broadcast if a count shows it to be within BROADCAST_ROWS."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]) -> DataFrame:

@@ -75,7 +75,10 @@ def test_linked_sets_share_a_key(percent):
         b = np.delete(b, r.choice(len(b), min(drop, len(b) - 1), replace=False))
         shared = len(np.intersect1d(a, b))
         if 100 * shared >= percent * (len(a) + len(b) - shared) and shared < max(len(a), len(b)):
-            assert len(np.intersect1d(J.fragment_keys(a, percent), J.fragment_keys(b, percent)))
+            small = min(a, b, key=len)
+            g = J.size_class(len(small), percent)
+            keys = [np.concatenate([k[(k & np.uint64((1 << J.CLASS_BITS) - 1)) == np.uint64(g)] for k, _ in J.fragment_keys(x, percent)]) for x in (a, b)]
+            assert len(np.intersect1d(*keys)) >= J.agreements(g, percent)
 
 
 def test_components_of_paths_and_stars(spark):
@@ -93,6 +96,41 @@ def test_pruning_keeps_every_link(spark, monkeypatch):
     assert got == brute(texts, 5, 80)
 
 
-def test_full_sketches_still_bound():
-    s = np.arange(60_000, dtype=np.uint64) * np.uint64(1 << 40)
-    assert max(J.sketch(s)) == 255
+def test_bitmaps_bound_the_difference():
+    r = np.random.default_rng(3)
+    for n, m in ((5, 7), (700, 650), (3000, 20_000)):
+        a, b = (np.unique(r.integers(0, 2**63, x).astype(np.uint64)) for x in (n, m))
+        b = np.union1d(a[: n // 2], b)
+        x, y = J.bitmap(a), J.bitmap(b)
+        for width in (min(len(x), len(y)), J.BITS // 8):
+            assert np.bitwise_count(J.folded(x, width) ^ J.folded(y, width)).sum() <= len(np.setxor1d(a, b))
+
+
+@pytest.mark.parametrize("chunk, block", [(8192, 1 << 18), (5, 1500)])
+def test_a_third_of_all_rows_are_near_copies(spark, monkeypatch, chunk, block):
+    monkeypatch.setattr(J, "CHUNK", chunk)
+    monkeypatch.setattr(J, "FEW", 8)
+    monkeypatch.setattr(J, "BLOCK_NGRAMS", block)
+    r = random.Random(4)
+    base = [f"b{i}" for i in range(120)]
+    texts = corpus(5) + [" ".join(r.choice(["x", "y", "z"]) if r.random() < 0.01 else w for w in base) for _ in range(110)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.n_links) for x in J.join(df, 5, 80).collect()}
+    assert got == brute(texts, 5, 80)
+
+
+def test_null_and_shared_keys(spark):
+    text = lambda w, n=60: " ".join(f"{w}{i}" for i in range(n))
+    rows = [(None, text("a")), (None, text("a") + " more"), (None, text("b")), (4, text("c")), (4, text("d")), (2, text("d") + " x"), (9, text("a", 59)), (None, None), (9, "")]
+    got = J.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), 3, 90).collect()
+    want = [(None, 58, 9, 2), (None, 59, 9, 2), (9, 57, 9, 2), (None, 58, None, 0), (4, 58, 4, 0), (4, 58, 2, 1), (2, 59, 2, 1), (None, 0, None, 0), (9, 0, 9, 0)]
+    assert sorted(map(repr, (tuple(x) for x in got))) == sorted(map(repr, want))
+
+
+def test_a_very_long_text(spark):
+    r = random.Random(6)
+    long = [f"w{r.randrange(30_000)}" for _ in range(60_000)]
+    other = [w if r.random() > 0.01 else "new" for w in long]
+    rows = [(1, " ".join(long)), (2, " ".join(other)), (3, " ".join(long[:30_000])), (4, "short")]
+    got = {x.doc_id: (x.component_id, x.n_links) for x in J.join(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0)}
