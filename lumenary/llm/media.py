@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from dataclasses import dataclass, field
 from functools import cache
@@ -135,9 +136,32 @@ class Image:
     order: list[tuple[int, int, int]] = field(default_factory=list)  # component, DC table, AC table
     scan: tuple[int, int] = (0, 0)
 
+    @property
+    def alone(self) -> bool:
+        """Whether luminance has a scan of its own: then its blocks come in rows, whatever its sampling factors."""
+        return len(self.order) == 1
+
+    @property
+    def grid(self) -> tuple[int, int]:
+        """Width and height of what the scan holds, in samples."""
+        if not self.alone:
+            return self.width, self.height
+        (_, h, v, _), across, down = self.components[0], max(c[1] for c in self.components), max(c[2] for c in self.components)
+        return -(-self.width * h // across), -(-self.height * v // down)
+
+    @property
+    def sampling(self) -> tuple[tuple[int, int], ...]:
+        return ((1, 1),) if self.alone else tuple(c[1:3] for c in self.components)
+
+    def units(self) -> tuple[int, int]:
+        """Columns and rows of the scan's units (MCUs)."""
+        (w, h), s = self.grid, self.sampling
+        return -(-w // (8 * max(x for x, _ in s))), -(-h // (8 * max(y for _, y in s)))
+
 
 def parse(media: bytes) -> list[Image]:
-    """The images of a byte string. Other than baseline images, and images that break off, raise ValueError."""
+    """The images of a byte string. Other than baseline images, and images that break off, raise ValueError. Components may
+    share a scan or have one each."""
     images, at, im = [], 0, None
     try:
         while at < len(media):
@@ -165,6 +189,8 @@ def parse(media: bytes) -> list[Image]:
                     raise ValueError("samples must have 8 bits")
                 im.height, im.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
                 im.components = [(c[0], c[1] >> 4, c[1] & 15, c[2]) for c in (body[6 + 3 * i : 9 + 3 * i] for i in range(body[5]))]
+                if not im.width or not im.height or not im.components or not all(1 <= x <= 4 for c in im.components for x in c[1:3]):
+                    raise ValueError("the frame has no size or wrong sampling factors")
             elif 0xC1 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
                 raise ValueError("not a baseline image")
             elif marker == 0xC4:
@@ -175,9 +201,7 @@ def parse(media: bytes) -> list[Image]:
             elif marker == 0xDD:
                 im.interval = int.from_bytes(body, "big")
             elif marker == 0xDA:
-                if body[0] != len(im.components):
-                    raise ValueError("one scan with all components is needed")
-                im.order = [(body[1 + 2 * i], body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])]
+                order = [(body[1 + 2 * i], body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])]
                 end = at
                 while True:  # the next marker that is neither a stuffed byte nor a restart
                     end = media.index(b"\xff", end)
@@ -185,8 +209,15 @@ def parse(media: bytes) -> list[Image]:
                         end += 2
                         continue
                     break
-                im.scan, at = (at, end), end
-                images.append(im)
+                begin, at = at, end
+                if len(order) not in (1, len(im.components)):
+                    raise ValueError("a scan must have one component or all of them")
+                if order[0][0] == im.components[0][0]:  # scans of the other components alone say nothing of luminance
+                    im.order, im.scan = order, (begin, end)
+                    im.tables = dict(im.tables)
+                    if im.units()[0] * im.units()[1] * sum(h * v for h, v in im.sampling) > 4 * (end - begin):  # two bits a block at least
+                        raise ValueError("the scan breaks off")
+                    images.append(im)
     except (IndexError, AttributeError) as e:
         raise ValueError("the image breaks off") from e
     return images
@@ -214,9 +245,8 @@ def decode_luminance(medias: list[bytes]) -> list[list[np.ndarray]]:
     parsed = [(k, im) for k, m in enumerate(medias) for im in parse(m)]
     groups: dict[tuple, list[int]] = {}
     for j, (_, im) in enumerate(parsed):
-        mcus = -(-im.width // (8 * max(c[1] for c in im.components))) * -(-im.height // (8 * max(c[2] for c in im.components)))
-        key = (tuple(c[1:3] for c in im.components), tuple((im.tables[d], im.tables[16 + a]) for _, d, a in im.order))
-        groups.setdefault((*key, im.interval == 0 and mcus), []).append(j)
+        key = (im.sampling, tuple((im.tables[d], im.tables[16 + a]) for _, d, a in im.order))
+        groups.setdefault((*key, im.interval == 0 and math.prod(im.units())), []).append(j)
     out: list[list[np.ndarray]] = [[] for _ in medias]
     found: dict[int, np.ndarray] = {}
     for (sampling, tables, _), members in groups.items():
@@ -227,14 +257,12 @@ def decode_luminance(medias: list[bytes]) -> list[list[np.ndarray]]:
 
 
 def _decode_group(medias, parsed, members, sampling, tables) -> dict[int, np.ndarray]:
-    single = len(sampling) == 1
-    sampling = ((1, 1),) if single else sampling  # one component: blocks in rows, whatever its factors
     across, down = max(h for h, _ in sampling), max(v for _, v in sampling)
     blocks = [c for c, (h, v) in enumerate(sampling) for _ in range(h * v)]
     datas, begins, stops, counts, base = [], [], [], [], 0
     for k, im in parsed:
         data, b, e = _intervals(np.frombuffer(medias[k], np.uint8, im.scan[1] - im.scan[0], im.scan[0]))
-        total = -(-im.width // (8 * across)) * -(-im.height // (8 * down))
+        total = math.prod(im.units())
         step = im.interval or total
         n = np.minimum(step, total - step * np.arange(len(b)))
         if len(b) != -(-total // step):
@@ -308,7 +336,7 @@ def _decode_group(medias, parsed, members, sampling, tables) -> dict[int, np.nda
     lane, result = 0, {}
     h, v = sampling[0]
     for j, (_, im), n in zip(members, parsed, counts, strict=True):
-        wide, high = -(-im.width // (8 * across)), -(-im.height // (8 * down))
+        wide, high = im.units()
         cols = back[lane : lane + len(n)]
         lane += len(n)
         if (n == n[0]).all():
@@ -316,7 +344,7 @@ def _decode_group(medias, parsed, members, sampling, tables) -> dict[int, np.nda
         else:
             dc = np.concatenate([values[: int(x) * per_mcu, c] for x, c in zip(n, cols, strict=True)])
         grid = dc.reshape(high, wide, v, h).transpose(0, 2, 1, 3).reshape(high * v, wide * h)
-        full_w, full_h = -(-im.width * h // (8 * across)), -(-im.height * v // (8 * down))
+        full_w, full_h = -(-im.grid[0] * h // (8 * across)), -(-im.grid[1] * v // (8 * down))
         step = im.quantisers[im.components[0][3]]
         result[j] = np.clip((grid[:full_h, :full_w] * step + 4 >> 3) + 128, 0, 255).astype(np.uint8)
     return result
@@ -336,10 +364,11 @@ def thumbnail_hash(t: np.ndarray) -> str:
 
 
 def feature(images: list[Image], thumbs: list[np.ndarray]) -> str:
-    """Dimensions of the images, joined by +, and the hash of their thumbnails laid below each other."""
+    """Dimensions of the images, joined by +, and the hash of their thumbnails laid below each other, or, where these have
+    different widths, of each."""
     dims = "+".join(f"{im.width}x{im.height}" for im in images)
     same = len({t.shape[1] for t in thumbs}) == 1
-    return f"{dims}:{thumbnail_hash(np.concatenate(thumbs) if same else thumbs[0])}"
+    return f"{dims}:{'+'.join(map(thumbnail_hash, [np.concatenate(thumbs)] if same else thumbs))}"
 
 
 def _chunks(payloads: list[bytes]):
@@ -364,8 +393,8 @@ def features(df: DataFrame, key: str, media: str = "media") -> DataFrame:
                 if not images:
                     raise ValueError("no image")
                 return images[0].width, images[0].height, len(images), feature(images, decode_luminance([m])[0]), None
-            except (ValueError, KeyError) as e:
-                return None, None, None, None, str(e)
+            except Exception as e:  # whatever foreign bytes bring about is that row's own
+                return None, None, None, None, f"{type(e).__name__}: {e}"
 
         def step(batch):
             rows = [one(m) for m in batch.column(1).to_pylist()]
@@ -395,31 +424,34 @@ def store(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return map_batches(df.select(key, text), f"{key} {kind}, n_bytes long, media binary", make)
 
 
-def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Store each text as JPEG, read the bytes back, and return the digests of payload and media and the feature.
-
-    Null and empty texts are one unit of padding. Equal texts give equal values, repeated rows repeated rows; other columns
-    are left out.
-    """
+def read_back(stored: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of ``store`` with what their media hold: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and
+    feature in place of the media."""
+    names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def make():
         def step(batch):
-            raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            n_bytes = list(map(len, raw))
-            payloads = [pad(r) for r in raw]
-            cols: list[list] = [[] for _ in range(6)]
-            for c in _chunks(payloads):
-                medias = encode_payloads(payloads[c])
+            stored_media = batch.column(2).to_pylist()
+            rows = []
+            for c in _chunks(stored_media):
+                medias = stored_media[c]
                 for m, thumbs in zip(medias, decode_luminance(medias), strict=True):
                     back = b"".join(t.tobytes() for t in thumbs)
-                    row = (len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature(parse(m), thumbs))
-                    for x, y in zip(cols, row, strict=True):
-                        x.append(y)
+                    rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature(parse(m), thumbs)))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            arrays = [batch.column(0), pa.array(n_bytes, pa.int64()), *[pa.array(x, t) for x, t in zip(cols, kinds, strict=True)]]
-            yield pa.RecordBatch.from_arrays(arrays, [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]], names)
 
         return step
 
-    kind = df.schema[key].dataType.simpleString()
-    return map_batches(df.select(key, text), f"{key} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", make)
+    kind = stored.schema[key].dataType.simpleString()
+    return map_batches(stored.select(key, "n_bytes", "media"), f"{key} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", make)
+
+
+def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Store each text as JPEG in a column of media, read that column back, and return the digests of payload and media and
+    the feature.
+
+    Null and empty texts are one unit of padding. Equal texts give equal values, repeated rows repeated rows; other columns
+    are left out.
+    """
+    return read_back(store(df, key, text), key)

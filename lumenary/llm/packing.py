@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
@@ -15,15 +17,33 @@ from .bpe import Encoder
 from .common import map_batches, written
 
 #: Rows of one length that one task ranks, about.
-RANKED_ROWS = 20_000
+RANKED_ROWS = 5_000
+
+
+class WithAdded:
+    """An encoder and added tokens, whose strings are matched first, the longest at each place, and cut the text."""
+
+    def __init__(self, encoder: Encoder, added: dict[str, int]):
+        self.encoder, self.added = encoder, {k: v.to_bytes(4, "little") for k, v in added.items()}
+        self.pattern = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
+
+    def encode_packed(self, texts: list[str]) -> Iterator[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit numbers."""
+        parts = [self.pattern.split(t) if self.pattern and any(a in t for a in self.added) else [t] for t in texts]
+        ids = self.encoder.encode_packed([x for p in parts for x in p[::2]])
+        for p in parts:  # every other part is an added token
+            yield b"".join(self.added[x] if i % 2 else next(ids) for i, x in enumerate(p))
 
 
 @cache
-def json_encoder(path: str) -> Encoder:
-    """The encoder of a byte-level BPE file of the tokenizers library, whose ids must follow the order of its merges.
-    The strings of special tokens count as ordinary text."""
+def json_encoder(path: str) -> WithAdded:
+    """The encoder of a byte-level BPE file of the tokenizers library, whose ids must follow the order of its merges. Added
+    tokens count wherever their strings stand, as they do there."""
     with open(path) as f:
-        model = json.load(f)["model"]
+        whole = json.load(f)
+    model = whole["model"]
+    if any(t[k] for t in whole["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that depend on their surroundings aren't supported")
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in printable]
     byte_of = {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(others)}
@@ -32,7 +52,8 @@ def json_encoder(path: str) -> Encoder:
         a, b = m.split(" ") if isinstance(m, str) else m
         if vocab[a + b] != 256 + i:
             raise ValueError("the ids don't follow the order of the merges")
-    return Encoder({bytes(byte_of[c] for c in k): i for k, i in vocab.items() if i < 256 + len(model["merges"])})
+    ranks = {bytes(byte_of[c] for c in k): i for k, i in vocab.items() if i < 256 + len(model["merges"])}
+    return WithAdded(Encoder(ranks), {t["content"]: t["id"] for t in whole["added_tokens"]})
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -106,23 +127,23 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = 2048, key: str = "doc_
 def pack(cut: DataFrame, capacity: int = 2048) -> DataFrame:
     """Add sequence_id and offset to rows with a ``length`` from 1 to ``capacity``.
 
-    The driver plans over the histogram, which has ``capacity`` rows at most whatever the input. A row's rank within its
-    length is the number of rows in the buckets before its own plus its rank in the bucket, so that a length that a third
-    of all rows have is ranked by many tasks. Rows that are equal in all columns take slots of their own. An empty table
-    gives an empty result.
+    The driver plans over the histogram, which has ``capacity`` rows at most whatever the input. Rows of one length are dealt
+    over buckets of about RANKED_ROWS; a row's rank within its length is the number of rows in the buckets before its own
+    plus its rank in the bucket, so that a length that a third of all rows have is ranked by many tasks. Rows that are equal
+    in all columns take slots of their own. An empty table gives an empty result.
     """
     spark = cut.sparkSession
     columns = cut.columns
     kept = written(cut, "pieces")
-    buckets = max(1, kept.count() // RANKED_ROWS)
+    counts = {r["length"]: r["n"] for r in kept.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    if any(n is None or not 0 < n <= capacity for n in counts):
+        raise ValueError(f"lengths must be from 1 to {capacity}")
     row = F.xxhash64(*[F.col(f"`{c}`") for c in columns])
-    dealt = kept.withColumn("_bucket", F.pmod(row, F.lit(buckets)).cast("int"))
+    buckets = spark.createDataFrame([(n, -(-k // RANKED_ROWS)) for n, k in counts.items()], "length long, _buckets long")
+    dealt = kept.join(F.broadcast(buckets), "length").withColumn("_bucket", F.pmod(row, F.col("_buckets")).cast("int")).select(*[F.col(f"`{c}`") for c in columns], "_bucket")
     sizes = dealt.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
-    if any(not 0 < n <= capacity for n in counts):
-        raise ValueError(f"lengths must be from 1 to {capacity}")
     slots = spark.createDataFrame(plan(counts, capacity), "length long, _from long, _to long, _sequence long, _offset long")
     within = Window.partitionBy("length", "_bucket").orderBy(row, *[F.col(f"`{c}`") for c in columns])
     ranked = dealt.withColumn("_in", F.row_number().over(within) - 1).join(offsets, ["length", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_in"))

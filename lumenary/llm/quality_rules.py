@@ -1,22 +1,27 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-A rule is a condition that rejects a document. The cascade estimates on a sample what each rule costs and what share it
-rejects, orders the rules by rejection per cost, and evaluates them as one ``CASE``, which stops at the first rule that
-rejects. The order changes the time and the name that is reported, never the verdict.
+A rule is a condition that rejects a document, written over measures that are expressions of the text and its words: a rule
+that a document doesn't reach costs it nothing. The cascade estimates on a sample what each rule costs, its own measures
+included, and what share it rejects, orders the rules by rejection per cost, and evaluates them as one ``CASE``, which stops
+at the first rule that rejects. The order changes the time and the name that is reported, never the verdict.
 """
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 WHITE = r"[\x20\x09-\x0D]"
+#: Rows of the sample, and how often each rule is timed on it.
+SAMPLE_ROWS, TIMINGS, SEED = 1000, 3, 11
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -28,103 +33,157 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, WHITE + "+"), lambda w: w != "")
 
 
-def repeated_words(word: Column) -> Column:
-    """How many words lie in three-word windows that occur twice or more, by sorting the windows' hashes."""
+def count_of(text: Column, runs: str) -> Column:
+    """How many code points lie in matches of a pattern."""
+    return F.length(text) - F.length(F.regexp_replace(text, runs, ""))
+
+
+def windows(word: Column) -> Column:
+    """Hashes of the three-word windows; none of fewer words."""
+    hashes = F.transform(F.sequence(F.lit(0), F.size(word) - 3), lambda i: F.xxhash64(F.get(word, i), F.get(word, i + 1), F.get(word, i + 2)))
+    return F.when(F.size(word) >= 3, hashes).otherwise(F.array().cast("array<bigint>"))
+
+
+def covered_words(hashes: Column) -> Column:
+    """How many words lie in windows that occur twice or more, by sorting the windows' hashes."""
 
     def covered(places: Column) -> Column:
         gaps = F.transform(places, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(places, i + 1) - p, F.lit(3))))
         return F.aggregate(gaps, F.lit(0), lambda a, x: a + x)
 
-    def places(hashes: Column) -> Column:
-        pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        return let(pairs, lambda p: F.array_sort(F.transform(F.filter(p, lambda x, k: x["h"].eqNullSafe(F.get(p, k + 1)["h"]) | x["h"].eqNullSafe(F.get(p, k - 1)["h"])), lambda x: x["i"])))
+    def places(ordered: Column) -> Column:
+        again = F.filter(ordered, lambda x, k: x["h"].eqNullSafe(F.get(ordered, k + 1)["h"]) | x["h"].eqNullSafe(F.get(ordered, k - 1)["h"]))
+        return F.array_sort(F.transform(again, lambda x: x["i"]))
+
+    pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return let(let(pairs, places), covered)
+
+
+def repeated_words(word: Column) -> Column:
+    """n_repeat_words; windows are sorted only where some repeat."""
+    some = lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered_words(h)).otherwise(F.lit(0))
+    return let(word, lambda w: let(windows(w), some)).cast("long")
+
+
+def mostly_repeated(word: Column) -> Column:
+    """Whether n_repeat_words are more than half of all words. Each window that is spared by counting distinct ones stands for
+    two windows at most, and so for six words: few of them decide alone."""
+
+    def decide(w: Column, h: Column) -> Column:
+        spared = F.size(h) - F.size(F.array_distinct(h))
+        return F.when(12 * spared > F.size(w), 2 * covered_words(h) > F.size(w)).otherwise(F.lit(False))
+
+    return let(word, lambda w: let(windows(w), lambda h: decide(w, h)))
 
-    def of_windows(hashes: Column) -> Column:
-        ordered = F.sort_array(hashes)
-        twice = let(ordered, lambda o: F.exists(F.transform(o, lambda h, i: h.eqNullSafe(F.get(o, i + 1))), lambda x: x))
-        return F.when(twice, let(places(hashes), covered)).otherwise(F.lit(0))
 
-    def of_words(w: Column) -> Column:
-        windows = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-        return F.when(F.size(w) >= 3, let(windows, of_windows)).otherwise(F.lit(0))
+def lines(text: Column) -> Column:
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
-    return let(word, of_words)
+
+def duplicate_lines(line: Column) -> Column:
+    return F.size(line) - F.size(F.array_distinct(line))
+
+
+def n_symbols(text: Column) -> Column:
+    return count_of(text, "[#*$%&|<>]+")
 
 
 def measures(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed. A null text has no words; columns
-    of these names are replaced."""
-    value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    lines = F.filter(F.split(value, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    named = df.withColumn("_words", words(value)).withColumn("_lines", lines)
-    n = F.size("_words").cast("long")
-    repeat = repeated_words(F.col("_words")).cast("long")
-    return named.withColumns({
-        "n_words": n,
+    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines and base_failed. A null text has no words;
+    columns of these names are replaced, all others stay, whatever their names."""
+    value = F.coalesce(F.col(f"_row.`{text}`"), F.lit(""))
+    named = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")).select("_row", value.alias("_text"), words(value).alias("_words"))
+    made = {
+        "n_words": F.size("_words").cast("long"),
         "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-        "n_symbols": F.regexp_count(value, F.lit("[#*$%&|<>]")).cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": repeat,
-        "n_lines": F.size("_lines").cast("long"),
-    }).drop("_words", "_lines").withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+        "n_symbols": n_symbols(F.col("_text")).cast("long"),
+        "n_dup_lines": let(lines(F.col("_text")), duplicate_lines).cast("long"),
+        "n_repeat_words": repeated_words(F.col("_words")),
+        "n_lines": F.size(lines(F.col("_text"))).cast("long"),
+    }
+    kept = [c for c in df.columns if c not in (*made, "base_failed")]
+    out = named.select(*[F.col(f"_row.`{c}`") for c in kept], *[v.alias(k) for k, v in made.items()])
+    return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
 @dataclass(frozen=True)
 class Rule:
+    """``rejects`` of a text, which isn't null, and of its words."""
+
     name: str
-    rejects: Callable[[], Column]
+    rejects: Callable[[Column, Column], Column]
+
+
+def _chars(w: Column) -> Column:
+    return F.length(F.array_join(w, ""))
 
 
 #: Thresholds follow published web-corpus filters: mean word length, symbols a word, repeated lines, letters and case.
 RULES = (
-    Rule("few_words", lambda: F.col("n_words") < 50),
-    Rule("repeated_windows", lambda: 100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
-    Rule("word_length", lambda: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 12 * F.col("n_words"))),
-    Rule("symbols", lambda: 10 * F.col("n_symbols") > F.col("n_words")),
-    Rule("repeated_lines", lambda: 2 * F.col("n_dup_lines") > F.col("n_lines")),
-    Rule("few_letters", lambda: 100 * F.regexp_count(F.col("text"), F.lit(r"\p{L}")) < 60 * F.col("word_chars")),
-    Rule("capitals", lambda: 100 * F.regexp_count(F.col("text"), F.lit(r"\p{Lu}")) > 30 * F.col("word_chars")),
-    Rule("exclamations", lambda: 5 * F.regexp_count(F.col("text"), F.lit("!")) > F.col("n_words")),
+    Rule("few_words", lambda t, w: F.size(w) < 50),
+    Rule("repeated_windows", lambda t, w: mostly_repeated(w)),
+    Rule("word_length", lambda t, w: let(_chars(w), lambda n: (n < 2 * F.size(w)) | (n > 12 * F.size(w)))),
+    Rule("symbols", lambda t, w: 10 * n_symbols(t) > F.size(w)),
+    Rule("repeated_lines", lambda t, w: let(lines(t), lambda x: 2 * duplicate_lines(x) > F.size(x))),
+    Rule("few_letters", lambda t, w: 100 * count_of(t, r"\p{L}+") < 60 * _chars(w)),
+    Rule("capitals", lambda t, w: 100 * count_of(t, r"\p{Lu}+") > 30 * _chars(w)),
+    Rule("exclamations", lambda t, w: 5 * count_of(t, "!+") > F.size(w)),
 )
 
 
-def order_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = 400) -> list[Rule]:
-    """Rules by rejection per cost, highest first, as measured on at most ``rows`` rows. They decide the order only.
+def verdict(text: Column, rules: list[Rule] | tuple[Rule, ...]) -> Column:
+    """The name of the first rule, in the given order, that rejects ``text``; null if none does. Words are cut once."""
 
-    The sample is evaluated once without a rule, and once with each; what a rule adds, and at least a tenth of a
-    millisecond, is its cost. Ties keep the given order; on an empty table the given order stays.
+    def case(t: Column, w: Column) -> Column:
+        first = F.lit(None).cast("string")
+        for rule in reversed(rules):
+            first = F.when(rule.rejects(t, w), rule.name).otherwise(first)
+        return first
+
+    return let(F.coalesce(text, F.lit("")), lambda t: let(words(t), lambda w: case(t, w)))
+
+
+def order_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS, text: str = "text") -> list[Rule]:
+    """Rules by rejection per cost, highest first, as measured on a random sample of about ``rows`` rows at most. They decide
+    the order only.
+
+    A rule's cost is the least of several timings of the sample's words with the rule and its measures, less the least of
+    the words alone. Costs count as powers of two, and no less than a 32nd of the dearest, so that a timer's noise doesn't
+    change the order; ties keep the given order, as does an empty table. Only the sampled texts are written.
     """
-    sample = written(df.limit(rows), "sample")
-    total = sample.count()
+    total = df.count()
     if not total:
         return list(rules)
-
-    def seconds(*cols: Column) -> tuple[float, int]:
-        began = time.perf_counter()
-        n = sample.agg(F.count("*"), *cols).collect()[0]
-        return time.perf_counter() - began, n[-1] or 0
-
-    seconds()
-    base = seconds()[0]
-    found = []
-    for k, rule in enumerate(rules):
-        s, n = seconds(F.sum(F.coalesce(rule.rejects(), F.lit(False)).cast("long")))
-        found.append((-(n / total) / max(s - base, 1e-4), k, rule))
-    return [rule for _, _, rule in sorted(found, key=lambda x: x[:2])]
-
-
-def cascade(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Add failed_rule (the first rule, in the given order, that rejects; else null) and kept."""
-    first = F.lit(None).cast("string")
-    for rule in reversed(rules):
-        first = F.when(rule.rejects(), rule.name).otherwise(first)
-    return df.withColumn("failed_rule", first).withColumn("kept", F.col("failed_rule").isNull())
-
-
-def judge(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Measures, then the cascade in its measured order. Null and empty texts fail by few_words; repeated rows are judged
-    alike; other columns stay."""
-    if "text" not in df.columns:
-        raise ValueError("a column text is needed")
-    measured = measures(df)
-    return cascade(measured, order_rules(measured, rules))
+    sampled = df.select(F.col(f"`{text}`").alias("t")).sample(min(1.0, 2 * rows / total), seed=SEED)
+    sample = written(sampled.limit(rows), "sample")
+    n = max(1, sample.count())
+    t = F.coalesce(F.col("t"), F.lit(""))
+
+    def seconds(value: Callable[[Column], Column]) -> tuple[float, int]:
+        best, found = math.inf, 0
+        for _ in range(TIMINGS):
+            began = time.perf_counter()
+            found = sample.agg(F.sum(let(words(t), value).cast("long"))).first()[0] or 0
+            best = min(best, time.perf_counter() - began)
+        return best, found
+
+    base = seconds(F.size)[0]
+    timed = [seconds(partial(rule.rejects, t)) for rule in rules]
+    discard(sample)
+    costs = [max(s - base, 1e-6) for s, _ in timed]
+    least = max(costs) / 32
+    rank = [(-(rejected / n) / 2.0 ** round(math.log2(max(c, least))), k) for k, (c, (_, rejected)) in enumerate(zip(costs, timed, strict=True))]
+    return [rules[k] for _, k in sorted(rank)]
+
+
+def judge(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", order: list[Rule] | None = None) -> DataFrame:
+    """Add failed_rule and kept by the cascade in its measured order, or in the given one, as from an earlier run.
+
+    Null and empty texts fail by few_words; repeated rows are judged alike; other columns stay, and such as are called
+    failed_rule or kept are replaced.
+    """
+    if text not in df.columns:
+        raise ValueError(f"a column {text} is needed")
+    others = [F.col(f"`{c}`") for c in df.columns if c not in ("failed_rule", "kept")]
+    failed = verdict(F.col(f"`{text}`"), order or order_rules(df, rules, text=text))
+    return df.select(*others, failed.alias("failed_rule")).withColumn("kept", F.col("failed_rule").isNull())

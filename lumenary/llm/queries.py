@@ -33,7 +33,8 @@ def op4_quality_model(spark, sf_dir):
 
 
 def op5_quality_cascade(spark, sf_dir):
-    judged = quality_rules.judge(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality_rules.measures(quality_rules.judge(documents))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

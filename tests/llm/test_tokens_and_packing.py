@@ -26,13 +26,31 @@ def reference():
 def test_encoding_is_tiktokens(reference, texts):
     got = [np.frombuffer(p, "<u4").tolist() for p in bpe.encoder(MULTI).encode_packed(texts)]
     assert got == [reference.encode_ordinary(t) for t in texts]
-    assert [bpe.encoder(MULTI).decode(i) for i in got] == [t.encode() for t in texts]
+    enc = bpe.encoder(MULTI)
+    assert [enc.decode(np.array(i, np.int64), enc.offsets(np.array(i, np.int64))) for i in got] == [t.encode() for t in texts]
 
 
 def test_long_runs_and_offsets(reference):
-    for t in ("a" * 30_000, " " * 30_000 + "x", "中" * 10_000, "'s" * 5_000, "!" * 10_000):
-        ids, places = bpe.encoder(MULTI).encode_with_offsets(t)
-        assert ids == reference.encode_ordinary(t) and len(ids) == len(places) and places == sorted(places)
+    r = random.Random(1)
+    enc = bpe.encoder(MULTI)
+    for t in ("a" * 30_000, " " * 30_000 + "x", "中" * 10_000, "'s" * 5_000, "!" * 10_000, "".join(r.choices("aeinrst", k=5_000)), "".join(r.choices("éж中a", k=200))):
+        [packed] = enc.encode_packed([t])
+        ids = np.frombuffer(packed, "<i4")
+        assert ids.tolist() == reference.encode_ordinary(t)
+        offsets = enc.offsets(ids)
+        cut = len(ids) // 2
+        raw = t.encode()
+        assert enc.decode(ids, offsets) == raw and enc.decode(ids[cut:], offsets[cut:] - offsets[cut]) == raw[offsets[cut] :]
+        with pytest.raises(ValueError):
+            enc.decode(ids, offsets + 1)
+
+
+def test_both_ways_of_merging_agree():
+    r = random.Random(2)
+    ranks = bpe.load_ranks(MULTI)
+    for _ in range(300):
+        raw = "".join(r.choices("abcdeinrst 中é", k=r.randint(2, 90))).encode()
+        assert bpe.merge_long(raw, ranks) == bpe.merge_short([raw[i : i + 1] for i in range(len(raw))], ranks)
 
 
 def test_columns(spark, reference):
@@ -73,9 +91,8 @@ def test_plan_fills_without_gaps(counts):
 
 def test_packing_against_the_tokenizer(spark):
     r = random.Random(4)
-    texts = [" ".join(r.choices(["alpha", "beta's", "12", "gamma!", "é"], k=r.choice([0, 1, 5, 200, 3000]))) for _ in range(60)] + [None, "", "<|endoftext|>"]
+    texts = [" ".join(r.choices(["alpha", "beta's", "12", "gamma!", "é"], k=r.choice([0, 1, 5, 200, 3000]))) for _ in range(60)] + [None, "", "<|endoftext|>", "end <|endoftext|> of", "a<|endoftext|><|endoftext|>\n<|endoftext|b"]
     tok = Tokenizer.from_file(JSON)
-    tok.encode_special_tokens = True
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, offset int").repartition(4)
     got = packing.pack_documents(df, JSON).collect()
     want = {}

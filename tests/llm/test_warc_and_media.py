@@ -43,6 +43,32 @@ def test_archive_is_a_warc(spark, tmp_path):
     assert bytes(got.payload) == b"z" * 120
 
 
+def test_record_ids_are_unique(spark, tmp_path):
+    df = spark.createDataFrame([(1, "u", "z" * 120), (1, "u", "z" * 120), (None, "u", "a"), (None, None, None)], "page_id long, url string, html string")
+    warc.write_archive(df, f"file://{tmp_path}/a")
+    got = warc.read_any(spark, f"file://{tmp_path}/a").collect()
+    assert len({r.record_id for r in got}) == 4 and len({r.date for r in got}) == 1
+
+
+@pytest.mark.parametrize("compressed", [False, True])
+def test_foreign_archives(spark, tmp_path, compressed):
+    import gzip
+
+    def record(kind, number, url, digest, block, extra=""):
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nwarc-record-id: <urn:uuid:{number}>\r\nWARC-Date: 2020-01-0{number}T00:00:00Z\r\nWARC-Target-URI: {url}\r\nWARC-Payload-Digest: {digest}\r\n{extra}Content-Type: application/http; msgtype=response\r\nContent-Length: {len(block)}\r\n\r\n"
+        raw = head.encode() + block + b"\r\n\r\n"
+        return gzip.compress(raw) if compressed else raw
+
+    http = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n"
+    parts = [record("warcinfo", 9, "", "", b"software: x"), record("response", 1, "http://a", "sha1:AAA", http + b"body\r\n\r\nWARC/1.0 more"), record("revisit", 2, "http://b", "sha1:AAA", http), record("revisit", 3, "http://c", "sha1:ZZZ", http), record("response", 4, "http://d", "sha1:AAA", http + b"later")]
+    (tmp_path / "x.warc").write_bytes(b"".join(parts))
+    archive = warc.read_any(spark, f"file://{tmp_path}/x.warc")
+    got = {r.url: r.payload and bytes(r.payload) for r in warc.resolve_any(archive).collect()}
+    assert got == {"http://a": b"body\r\n\r\nWARC/1.0 more", "http://b": b"body\r\n\r\nWARC/1.0 more", "http://c": None, "http://d": b"later"}
+    with pytest.raises(ValueError):
+        list(warc.parse(b"WARC/1.0\r\nContent-Length: 9\r\n\r\nabc"))
+
+
 def dct_jpeg(coefficients, dc_step, interval=0, factors=((1, 1),), width=0, height=0):
     """A plain encoder: blocks of quantised coefficients (in zigzag order) by MCU, bit by bit."""
     ac_lengths = bytes([0, 2, 1, 3, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0])
@@ -134,3 +160,19 @@ def test_broken_media_have_errors(spark):
     rows = [(1, good), (2, good[:-40]), (3, b""), (4, None), (5, b"GIF89a"), (6, good.replace(b"\xff\xc0", b"\xff\xc2")), (7, good[:30])]
     got = {r.id: r for r in media.features(spark.createDataFrame(rows, "id long, media binary"), "id").collect()}
     assert got[1].width == 192 and all(got[i].error for i in range(2, 8))
+
+
+def test_scans_of_one_component_each_and_bad_headers(spark):
+    r = random.Random(8)
+    blocks = [[(0, [r.randint(-60, 60)] + [0] * 63)] for _ in range(6)]
+    one = dct_jpeg(blocks, 8, width=24, height=16)
+    frame, scan = one.index(b"\xff\xc0"), one.index(b"\xff\xda")
+    head = one[: frame + 2] + (14).to_bytes(2, "big") + one[frame + 4 : frame + 9] + bytes([2, 1, 0x11, 0, 2, 0x11, 0])
+    two = head + one[frame + 13 : scan] + one[scan:-2] + one[scan : scan + 5] + b"\x02" + one[scan + 6 : -2] + b"\xff\xd9"
+    first, second = (media.decode_luminance([x])[0][0] for x in (one, two))
+    assert (first == second).all() and len(media.parse(two)) == 1
+    no_factor, huge = bytearray(one), bytearray(one)
+    no_factor[frame + 11] = 0
+    huge[frame + 5 : frame + 9] = b"\xff\xff\xff\xff"
+    got = media.features(spark.createDataFrame([(1, two), (2, bytes(no_factor)), (3, bytes(huge)), (4, one + media.encode_payloads([media.pad(b"x")])[0])], "id long, media binary"), "id").orderBy("id").collect()
+    assert [x.error is None for x in got] == [True, False, False, True] and got[3].feature.count("+") == 2
