@@ -107,10 +107,18 @@ def formula_noise(text: Column) -> Column:
     return (F.size(words) >= 12) & (short >= 0.8 * F.size(words)) & (operators >= 8)
 
 
+#: A value with its unit (fixed value), and words by which sentences with facts are known (fixed values).
+FACT_VALUE = r"\d+\s*个?\s*(天|周|月|年|小时|分钟|mg|g|ml|%|次|days?|weeks?|months?|years?|hours?)|[一二三四五六七八九十两]+个?(天|周|月|年|小时|分钟)"
+FACT_MARKERS = [
+    "建议", "复查", "随访", "诊断", "用药", "剂量", "治疗", "检查", "结果", "结论", "风险", "时间",
+    "recommended", "recommendation", "follow-up", "follow up", "diagnosis", "medication", "dose", "treatment", "result", "conclusion", "risk",
+]
+
+
 def transient_value(name: Column) -> Column:
     """Whether a name is a passing value: a number with a unit, or digits and separators only."""
     n = F.trim(F.coalesce(name, F.lit("")))
-    return (n == "") | n.rlike(r"(?i)\d+(\.\d+)?\s*(mg|g|kg|ml|l|mmol/l|mmhg|kcal|%|ms|s|min|h|days?|weeks?|months?|years?)([^a-z]|$)") | n.rlike(r"^[\d\s.,:%/-]+$")
+    return (n == "") | n.rlike("(?i)" + FACT_VALUE) | n.rlike(r"^[\d\s.,:%/-]+$")
 
 
 def page_number(label: Column) -> Column:
@@ -122,6 +130,11 @@ def token_estimate(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(F.coalesce(text, F.lit(""))) / 4)).cast("long")
 
 
+def byte_estimate(text: Column) -> Column:
+    """Tokens where no tokenizer is at hand: bytes of UTF-8."""
+    return F.octet_length(F.coalesce(text, F.lit(""))).cast("long")
+
+
 def anchor_window(text: Column, anchor: Column, width: int) -> Column:
     """The text around the first occurrence of ``anchor``, a quarter of the width before it; its beginning without one."""
     at = F.instr(F.lower(text), F.lower(anchor)) - 1
@@ -143,6 +156,18 @@ def citation_markers(text: Column) -> Column:
     return t
 
 
+def safe_filename(name: Column, most: int = 120) -> Column:
+    """A file's name without folders and signs that file systems don't take; "upload" where nothing is left."""
+    bare = F.regexp_replace(F.regexp_extract(F.coalesce(name, F.lit("")), r"([^/\\\\]*)$", 1), r"[^\w.\-\u4e00-\u9fff]+", "_")
+    bare = F.substring(F.regexp_replace(bare, r"^[._]+|[._]+$", ""), 1, most)
+    return F.when(bare == "", F.lit("upload")).otherwise(bare)
+
+
+def readable_title(slug_: Column) -> Column:
+    """A title of a slug: its words, with capitals."""
+    return F.initcap(F.trim(F.regexp_replace(F.coalesce(slug_, F.lit("")), "[-_]+", " ")))
+
+
 def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
@@ -214,14 +239,18 @@ def without_overlap(before: Column, after: Column, least: int = 8, most: int = 2
 
 
 def metric_header(header: Column) -> tuple[Column, Column]:
-    """Dataset and metric of a column's header such as "NYT F1"."""
-    pattern = r"(?i)^(.+?)\s+(F1|AUC|Precision|Recall|Accuracy)$"
-    return F.nullif(F.regexp_extract(header, pattern, 1), F.lit("")), F.nullif(F.regexp_extract(header, pattern, 2), F.lit(""))
+    """Dataset and metric of a column's header such as "NYT F1" or "WEB Precision 2"; words for a row's subject are no
+    datasets (fixed values)."""
+    pattern = r"(?i)^(.+?)\s+(F1|AUC|Precision|Recall|Accuracy)(?:\s+\d+)?$"
+    clean = F.trim(F.regexp_replace(F.coalesce(header, F.lit("")), r"\s+", " "))
+    dataset = F.trim(F.regexp_extract(clean, pattern, 1))
+    named = (dataset != "") & ~F.lower(dataset).isin("model", "variant", "method", "approach", "system")
+    return F.when(named, dataset), F.when(named, F.regexp_extract(clean, pattern, 2))
 
 
 def key_facts(text: Column, most: int = 12) -> Column:
-    """Sentences of six characters or more that hold a value or a marker, each once."""
-    return F.slice(F.array_distinct(F.filter(sentences(text), lambda s: (F.length(s) >= 6) & (s.rlike(r"\d") | F.lower(s).rlike("(licen|token|result|conclu)")))), 1, most)
+    """Sentences of six characters or more that hold a value with a unit or a marker, each once."""
+    return F.slice(F.array_distinct(F.filter(sentences(text), lambda s: (F.length(s) >= 6) & F.lower(s).rlike(FACT_VALUE + "|" + "|".join(FACT_MARKERS)))), 1, most)
 
 
 def packed_snippets(parts: Column, most: int) -> Column:

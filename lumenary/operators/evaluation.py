@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import answers as A
+
 #: Penalties by severity (fixed values).
 PENALTIES = {"info": 0.0, "warning": 0.05, "error": 0.15, "fatal": 0.35}
 
@@ -30,11 +32,9 @@ def quality(issues: DataFrame, by: str = "document_id") -> DataFrame:
     return g.select(by, F.round(F.greatest(F.lit(0.0), 1.0 - F.col("_p")), 6).alias("score"), status.alias("status"), status.startswith("accepted").alias("accepted"))
 
 
-def repetition(df: DataFrame, by: list[str], text: str = "text", gram: int = 4, least: int = 4) -> DataFrame:
-    """The most frequent ``gram`` of tokens of each answer of 12 tokens or more, if it occurs ``least`` times or more; grams
-    of digits only don't count. Counts are grouped per answer, and merge on the map side."""
-    tok = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z0-9]+|[\\u4e00-\\u9fff]"), F.lit(0))
-    t = df.select(*by, tok.alias("_t")).where(F.size("_t") >= 12)
-    grams = t.select(*by, F.explode(F.transform(F.sequence(F.lit(1), F.size("_t") - gram + 1), lambda i: F.array_join(F.slice(F.col("_t"), i, gram), " "))).alias("gram"))
-    counted = grams.where(~F.col("gram").rlike("^[0-9 ]+$")).groupBy(*by, "gram").agg(F.count("*").alias("n"))
-    return counted.groupBy(*by).agg(F.max("n").alias("repeats")).where(F.col("repeats") >= least)
+def repetition(df: DataFrame, by: list[str], text: str = "text") -> DataFrame:
+    """repeats, how often the most frequent phrase of an answer stands in it, and dominant, how often a token that makes up
+    half of it does, of the answers that repeat themselves by one of these. Rows are judged by themselves: no shuffle."""
+    tok = df.select(*by, A.tokens(F.col(text)).alias("_t"))
+    judged = tok.select(*by, A.phrase_repeats(F.col("_t")).cast("long").alias("repeats"), A.dominant_count(F.col("_t")).cast("long").alias("dominant"))
+    return judged.where((F.col("repeats") >= A.GRAM_COUNT) | (F.col("dominant") > 0))

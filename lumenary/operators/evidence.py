@@ -16,7 +16,11 @@ from .retrieval import excerpt_dedup, ranked
 #: What a promoted table row gains (fixed value).
 TABLE_BOOST = 40.0
 #: Words by which passages on limits are known (fixed values; a deployment gives its own).
-LIMITATION_ANCHORS = ["limitation", "however", "fail", "not ", "cannot", "drawback"]
+LIMITATION_ANCHORS = [
+    "limitation", "limitations", "unsatisfactory", "overestimation", "overestimated", "deficiency", "deficiencies", "common problem", "radius of gyration", "compactness", "large conformational", "large disordered proteins", "fast-folding", "not fine enough",
+]
+#: What single anchors add (fixed values).
+LIMITATION_BONUS = {"fast-folding": 6.0, "large disordered proteins": 6.0}
 
 
 def contextual(text: Column, embedding_text: Column, prefix: Column) -> Column:
@@ -40,7 +44,8 @@ def limitation_score(text: Column, overlap: Column, anchors: list[str] | None =
     """43 and more for a passage with anchors; null without."""
     low = F.lower(text)
     hits = sum((F.contains(low, F.lit(a)).cast("int") for a in anchors or LIMITATION_ANCHORS), F.lit(0))
-    return F.when(hits > 0, 43.0 + F.least(overlap, F.lit(8)) + 2.0 * hits)
+    bonus = sum((F.when(F.contains(low, F.lit(a)), b).otherwise(0.0) for a, b in LIMITATION_BONUS.items()), F.lit(0.0))
+    return F.when(hits > 0, 43.0 + F.least(overlap, F.lit(8)) + 2.0 * hits + bonus)
 
 
 def claim_evidence(claims: DataFrame, keys: DataFrame, k: int = 3) -> DataFrame:
@@ -92,6 +97,7 @@ def prefix_errors(prefix: Column, text: Column) -> Column:
         ("too_many_sentences", F.size(T.sentences(prefix)) > 2),
         ("copy", (F.length(prefix) >= 8) & F.contains(text, prefix)),
         ("new_number", F.size(F.array_except(numbers(prefix), numbers(text))) > 0),
+        ("not_chinese", ~prefix.rlike("[\\u3400-\\u9fff]")),
     ]
     return F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in rules]), lambda x: x.isNotNull())
 

@@ -41,25 +41,56 @@ def rare_bonus(rare: Column) -> Column:
     return F.least(rare * 0.6, F.lit(1.2))
 
 
+#: The most that lexical bonuses add to a score without a rare term, and the best score without a vector.
+MOST_LEXICAL, MOST_WITHOUT = 0.4, 1.2
+
+
+def rare_pairs(queries: DataFrame, documents: DataFrame, route_length: int = 6) -> DataFrame:
+    """query_id, document_id and rare: how many of the query's route terms the document has that few documents have. Only
+    documents' terms that a query has are counted; a rare one stands for RARE rows at most."""
+    q = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).where(F.length("term") >= route_length)
+    terms = q.select("term").distinct()
+    found = documents.select("document_id", F.explode(F.filter(T.tokens(F.col("text")), lambda t: F.length(t) >= route_length)).alias("term")).join(terms, "term", "left_semi")
+    rare = found.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") <= RARE)
+    return found.join(rare.select("term"), "term").join(q, "term").groupBy("query_id", "document_id").agg(F.count("*").alias("rare"))
+
+
 def hybrid(queries: DataFrame, documents: DataFrame, vectors: DataFrame, k: int = 8, size: int = 64) -> DataFrame:
     """query_id, document_id, score and rank of the k best documents of each query.
 
     With a vector on both sides the score is ten times the cosine plus small lexical bonuses, without it the overlap
-    alone. A document without overlap scores ten times its cosine, and so is among the best only if it is among the k
-    nearest: those and the pairs with overlap are all candidates. Scores of zero or less are dropped; ties go to the
-    lesser document_id.
+    alone. Scores of zero or less are dropped; ties go to the lesser document_id.
+
+    No table of all pairs with a common word is made. The k nearest score ten times their cosine at least, and a document
+    without a rare term gains 0.4 at most: so only those within 0.04 of the k-th nearest cosine, and those with a rare
+    term, can be among the best, and only their overlaps are counted. Pairs without a vector score 1.2 at most: they
+    are looked at for queries alone whose k-th nearest scores no more.
     """
-    lexical = overlaps(queries, documents)
     vectors = vectors.join(documents.select("document_id"), "document_id", "left_semi")
+    nearest = knn.top_k(vectors, queries.where("embedding IS NOT NULL"), k, size).groupBy("query_id").agg(F.min("cosine").alias("kth"), F.count("*").alias("n"))
+    # One number a query; the queries are a stated set, which the scan of the vectors collects as well.
+    kth = queries.select("query_id").join(nearest.where(F.col("n") >= k), "query_id", "left").select("query_id", F.coalesce("kth", F.lit(-1.0))).collect()
+    floors = queries.sparkSession.createDataFrame([(r[0], r[1]) for r in kth], "query_id long, floor double")
+    asked = queries.where("embedding IS NOT NULL").join(floors, "query_id").select("query_id", "embedding", (F.col("floor") - MOST_LEXICAL / 10 - 1e-6).alias("least"))
+    near = knn.within(vectors, asked, size)
+    rare = rare_pairs(queries, documents)
+    some = near.select("query_id", "document_id").unionByName(rare.select("query_id", "document_id")).distinct()
+    terms = lambda df, key, out: df.select(key, T.tokens(F.col("text")).alias(out))
+    pairs = some.join(terms(queries, "query_id", "_qt"), "query_id").join(terms(documents, "document_id", "_dt"), "document_id")
+    shared = F.array_intersect("_qt", "_dt")
+    lexical = pairs.select("query_id", "document_id", F.size(shared).cast("long").alias("overlap"), F.size(F.filter(shared, lambda t: F.length(t) >= 6)).cast("long").alias("route_overlap"))
+    lexical = lexical.join(rare, ["query_id", "document_id"], "left").withColumn("rare", F.coalesce("rare", F.lit(0).cast("long")))
+    if any(10 * r[1] <= MOST_WITHOUT for r in kth):
+        # The k-th nearest of these queries scores so little that documents without a vector may come in: all their pairs.
+        every = overlaps(queries.join(floors.where(10 * F.col("floor") <= MOST_WITHOUT), "query_id", "left_semi"), documents)
+        lexical = lexical.join(every.select("query_id", "document_id"), ["query_id", "document_id"], "left_anti").unionByName(every)
     sided = lexical.join(queries.select("query_id", F.col("embedding").alias("_q")), "query_id").join(vectors.select("document_id", "embedding"), "document_id", "left")
-    sided = sided.withColumn("cosine", F.when(F.col("_q").isNotNull() & F.col("embedding").isNotNull(), F.round(V.cosine(F.col("embedding"), F.col("_q")), 9))).drop("_q", "embedding")
-    near = knn.top_k(vectors, queries.where("embedding IS NOT NULL"), k, size).join(lexical.select("query_id", "document_id"), ["query_id", "document_id"], "left_anti")
-    zero = F.lit(0).cast("long")
-    both = sided.unionByName(near.select("query_id", "document_id", zero.alias("overlap"), zero.alias("route_overlap"), zero.alias("rare"), "cosine"))
+    both = F.col("_q").isNotNull() & F.col("embedding").isNotNull()
+    sided = sided.withColumn("cosine", F.when(both, F.round(V.cosine(F.col("embedding"), F.col("_q")), 9)))
     total = F.col("overlap") + F.col("route_overlap")
     with_vector = 10 * F.col("cosine") + lexical_bonus(F.col("overlap"), F.col("route_overlap")) + rare_bonus(F.col("rare"))
-    score = F.when(F.col("cosine").isNotNull(), with_vector).when(total > 0, F.least(0.3 + total * 0.1 + rare_bonus(F.col("rare")), F.lit(1.2))).otherwise(0.0)
-    scored = both.select("query_id", "document_id", F.round(score, 6).alias("score")).where("score > 0")
+    score = F.when(F.col("cosine").isNotNull(), with_vector).when(total > 0, F.least(0.3 + total * 0.1 + rare_bonus(F.col("rare")), F.lit(MOST_WITHOUT))).otherwise(0.0)
+    scored = sided.select("query_id", "document_id", F.round(score, 6).alias("score")).where("score > 0")
     return ranked(scored, ["query_id"], [F.desc("score"), F.col("document_id")], k)
 
 

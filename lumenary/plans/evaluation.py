@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import answers as AN
 from ..operators import evaluation as E
 from ..operators import retrieval as R
 from . import model as M
@@ -76,8 +77,13 @@ def a17_quality_score(spark, sf_dir):
     return E.quality(M.chunks(spark, sf_dir).select("document_id", severity.alias("severity"), (F.length(t) == 0).alias("repairable")))
 
 
-@query("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+|[一-鿿]') AS w FROM documents), g AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) AS gram FROM t WHERE len(w) >= 12),
-c AS (SELECT doc_id, gram, count(*) AS n FROM g WHERE NOT regexp_matches(gram, '^[0-9 ]+$') GROUP BY 1, 2) SELECT doc_id, max(n) AS repeats FROM c GROUP BY 1 HAVING max(n) >= 4""")
+_TOKENS_SQL = "regexp_extract_all(lower({t}), '[a-z0-9]+|[\u4e00-\u9fff]')"
+_REPEATS_SQL = """t AS (SELECT {key}, {tokens} AS w FROM {table}), g AS (SELECT {key}, unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) AS gram FROM t WHERE len(w) >= 12),
+c AS (SELECT {key}, gram, count(*) AS n FROM g WHERE NOT regexp_matches(gram, '^[0-9 ]+$') GROUP BY ALL), m AS (SELECT {key}, max(n) AS repeats FROM c GROUP BY ALL),
+u AS (SELECT {key}, len(w) AS total, unnest(w) AS tok FROM t WHERE len(w) >= 12), k AS (SELECT {key}, total, tok, count(*) AS n FROM u GROUP BY ALL), d AS (SELECT {key}, max(n) FILTER (n >= 8 AND 2 * n >= total AND regexp_matches(tok, '[a-z\u4e00-\u9fff]')) AS dominant FROM k GROUP BY ALL)"""
+
+
+@query(f"WITH {_REPEATS_SQL.format(key='doc_id', table='documents', tokens=_TOKENS_SQL.format(t='text'))} SELECT t.doc_id, coalesce(repeats, 0) AS repeats, coalesce(dominant, 0) AS dominant FROM t LEFT JOIN m USING (doc_id) LEFT JOIN d USING (doc_id) WHERE repeats >= 4 OR dominant > 0")
 def a21_repeated_grams(spark, sf_dir):
     return E.repetition(table(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -89,12 +95,19 @@ def a23_keywords(spark, sf_dir):
     return R.ranked(w.groupBy("source", "term").agg(F.count("*").alias("n")), ["source"], [F.desc("n"), F.col("term")], 10, "_r").select("source", "term", "n")
 
 
-@query(r"""WITH a AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE role = 'assistant')
-SELECT conv_id, turn, list_filter([CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty' END, CASE WHEN NOT regexp_matches(coalesce(text, ''), '\[\d+\]') THEN 'missing_citations' END, CASE WHEN NOT regexp_matches(coalesce(text, ''), '\d') THEN 'missing_numbers' END], lambda x: x IS NOT NULL) AS warnings FROM a""")
+_ROUTES = ["simple_rag", "table_or_metric", "evidence_required", "needs_clarification", "multi_source_compare"]
+
+
+@query(rf"""WITH a AS (SELECT conv_id, turn, CASE WHEN turn % 7 = 3 THEN 'same same ' || repeat('same ', 12) WHEN turn % 11 = 5 THEN ' ' ELSE text END AS answer, {_ROUTES}[(conv_id + turn) % 5 + 1] AS route, (conv_id * 3 + turn) % 4 AS citations, CAST(conv_id % 2 AS BIGINT) AS table_citations FROM conversations WHERE role = 'assistant'),
+{_REPEATS_SQL.format(key='conv_id, turn', table='a', tokens=_TOKENS_SQL.format(t='answer'))},
+f AS (SELECT a.*, list_filter([CASE WHEN trim(answer) = '' THEN 'empty' END, CASE WHEN repeats >= 4 THEN 'repeated_phrase' END, CASE WHEN dominant > 0 THEN 'dominant_token' END, CASE WHEN route IN ('evidence_required', 'multi_source_compare', 'table_or_metric') AND citations = 0 THEN 'no_citations' END], lambda x: x IS NOT NULL) AS w FROM a LEFT JOIN m USING (conv_id, turn) LEFT JOIN d USING (conv_id, turn))
+SELECT conv_id, turn, CASE WHEN route = 'needs_clarification' THEN [] WHEN len(w) = 0 AND route = 'table_or_metric' AND NOT regexp_matches(answer, '\d') AND table_citations = 0 THEN ['no_table_evidence'] ELSE w END AS warnings FROM f""")
 def v1_answer_rules(spark, sf_dir):
-    t = F.coalesce("text", F.lit(""))
-    rules = [("empty", F.trim(t) == ""), ("missing_citations", ~t.rlike(r"\[\d+\]")), ("missing_numbers", ~t.rlike(r"\d"))]
-    return table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in rules]), lambda x: x.isNotNull()).alias("warnings"))
+    a = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    answer = F.when(F.col("turn") % 7 == 3, F.concat(F.lit("same same "), F.repeat(F.lit("same "), F.lit(12)))).when(F.col("turn") % 11 == 5, " ").otherwise(F.col("text"))
+    route = F.element_at(F.array(*map(F.lit, _ROUTES)), ((F.col("conv_id") + F.col("turn")) % 5 + 1).cast("int"))
+    rows = a.select("conv_id", "turn", answer.alias("answer"), route.alias("route"), ((F.col("conv_id") * 3 + F.col("turn")) % 4).alias("citations"), (F.col("conv_id") % 2).alias("table_citations"))
+    return AN.verify(rows).select("conv_id", "turn", "warnings")
 
 
 @query(r"""WITH c AS (SELECT conv_id, turn, role, list_distinct(regexp_extract_all(text, '[A-Z][a-z]{6,}')) AS a FROM conversations), q AS (SELECT c.conv_id, c.turn, c.a AS answer, p.a AS expected FROM c JOIN c p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1 AND p.role = 'user' WHERE c.role = 'assistant')

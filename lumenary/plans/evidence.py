@@ -92,18 +92,16 @@ def c7_merged_continuations(spark, sf_dir):
     return E.merge_continuations(p)
 
 
-@query("""SELECT doc_id, list_filter([CASE WHEN trim(p) = '' THEN 'empty' END, CASE WHEN length(p) > 400 THEN 'too_long' END, CASE WHEN length(p) >= 8 AND contains(text, p) THEN 'copy' END], lambda x: x IS NOT NULL) AS errors FROM (SELECT doc_id, text, string_split(text, chr(10))[1] AS p FROM documents)""")
-def s20_prefix_errors(spark, sf_dir):
-    """A document's first line as its prefix: a copy, mostly. Rules on sentences and numbers are tested by hand."""
-    d = table(spark, sf_dir, "documents").withColumn("_p", F.split("text", "\n")[0])
-    known = F.array(*map(F.lit, ("empty", "too_long", "copy")))
-    return d.select("doc_id", F.array_intersect(E.prefix_errors(F.col("_p"), F.col("text")), known).alias("errors"))
+_S = "list_filter(list_transform(regexp_extract_all(p, '[^.!?。！？\\n]+[.!?。！？]?'), lambda x: trim(x)), lambda x: x <> '')"
 
 
-@query()
-def s20_all_prefix_errors(spark, sf_dir):
-    """All codes of the operator; the SQL of s20_prefix_errors has three of the five."""
-    d = table(spark, sf_dir, "documents").withColumn("_p", F.split("text", "\n")[0])
+@query(rf"""WITH d AS (SELECT doc_id, text, string_split(text, chr(10))[1] || CASE WHEN doc_id % 3 = 0 THEN ' In 98765 cases. Yes. No.' ELSE '' END AS p FROM documents)
+SELECT doc_id, list_filter([CASE WHEN trim(p) = '' THEN 'empty' END, CASE WHEN length(p) > 400 THEN 'too_long' END, CASE WHEN len({_S}) > 2 THEN 'too_many_sentences' END, CASE WHEN length(p) >= 8 AND contains(text, p) THEN 'copy' END,
+ CASE WHEN len(list_filter(regexp_extract_all(p, '\d+(?:\.\d+)?'), lambda x: NOT list_contains(regexp_extract_all(text, '\d+(?:\.\d+)?'), x))) > 0 THEN 'new_number' END, CASE WHEN NOT regexp_matches(p, '[\x{{3400}}-\x{{9fff}}]') THEN 'not_chinese' END], lambda x: x IS NOT NULL) AS errors FROM d""")
+def s20_prefix_errors(spark, sf_dir):
+    """A document's first line as its prefix, every third with sentences and a number more."""
+    p = F.concat(F.split("text", "\n")[0], F.when(F.col("doc_id") % 3 == 0, " In 98765 cases. Yes. No.").otherwise(""))
+    d = table(spark, sf_dir, "documents").withColumn("_p", p)
     return d.select("doc_id", E.prefix_errors(F.col("_p"), F.col("text")).alias("errors"))
 
 

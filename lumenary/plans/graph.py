@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import graph as G
 from .registry import query, table
 
@@ -62,11 +63,12 @@ def a19_entity_counts(spark, sf_dir):
 
 
 @query(r"""WITH p AS (SELECT p_partkey, p_name AS name, p_brand, count(l_partkey) AS n FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1, 2, 3)
-SELECT p_partkey, CASE WHEN regexp_matches(name, '^[\d\s.,:%/-]+$') OR trim(name) = '' THEN 'prune' WHEN n = 1 AND length(name) > 36 THEN 'keep' WHEN n > 0 THEN 'grow' ELSE 'keep' END AS decision FROM p""")
+SELECT p_partkey, CASE WHEN regexp_matches(name, '^[\d\s.,:%/-]+$') OR trim(name) = '' OR regexp_matches(lower(name), '\d+\s*(mg|g|ml|%|days?|weeks?|months?|years?|hours?)') THEN 'prune'
+ WHEN kind = 'concept' AND n <= 0 THEN 'keep' WHEN kind = 'concept' THEN 'grow' WHEN n = 1 AND length(name) > 36 THEN 'keep' WHEN n > 0 THEN 'grow' ELSE 'keep' END AS decision FROM (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN 'concept' ELSE 'thing' END AS kind FROM p)""")
 def g7_growth_rules(spark, sf_dir):
     n = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"))
     p = table(spark, sf_dir, "part").join(n, F.col("p_partkey") == F.col("l_partkey"), "left")
-    return p.select("p_partkey", G.growth(F.lit("concept"), F.col("p_name"), F.coalesce("n", F.lit(0)), F.lit("tail")).alias("decision"))
+    return p.select("p_partkey", G.growth(F.when(F.col("p_partkey") % 2 == 0, "concept").otherwise("thing"), F.col("p_name"), F.coalesce("n", F.lit(0)), F.lit("tail")).alias("decision"))
 
 
 @query("""WITH o AS (SELECT source AS project_id, lang AS name, 'language' AS entity_type, list_sort(list_distinct(list(CASE WHEN n_chars > 1000 THEN 'long' ELSE 'short' END))) AS aliases, '' AS summary FROM documents WHERE n_chars < 3000 GROUP BY 1, 2),
@@ -80,12 +82,39 @@ def g6_entity_upsert(spark, sf_dir):
     return G.merge_entities(old, new)
 
 
-@query("""WITH s AS (SELECT source AS head, doc_id AS snippet_id, text, (length(text) - length(replace(text, 'en', ''))) // 2 AS score FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY head ORDER BY score DESC, snippet_id) AS r FROM s), c AS (SELECT *, sum(length(text)) OVER (PARTITION BY head ORDER BY r ROWS UNBOUNDED PRECEDING) AS total FROM r WHERE r <= 6)
-SELECT head, snippet_id, CAST(score AS BIGINT) AS score FROM c WHERE total <= 36000""")
+_TERMS = "list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z0-9_]+'), lambda w: length(w) > 1))"
+_MARKERS = " + ".join(f"CAST(contains(low, '{m}') AS INT)" for m in T.FACT_MARKERS)
+
+
+def _heads(spark, sf_dir):
+    """A document's first word with a capital is its head, its language and its second such word are aliases; its lines are
+    snippets, its first line the heading of all."""
+    d = table(spark, sf_dir, "documents").withColumn("_names", F.regexp_extract_all("text", F.lit("[A-Z][a-z]{4,}"), F.lit(0))).where(F.size("_names") > 0)
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    heads = d.join(e, "doc_id", "left").select(F.col("doc_id").alias("document_id"), F.get("_names", F.lit(0)).alias("head"), F.array(F.col("lang"), F.coalesce(F.get("_names", F.lit(1)), F.col("lang"))).alias("aliases"), "embedding")
+    lines = d.select(F.col("doc_id").alias("document_id"), F.split("text", "\n")[0].alias("heading"), F.posexplode(F.split("text", "\n")).alias("place", "text")).where("text <> ''")
+    return heads, lines.select("document_id", F.concat_ws(":", "document_id", "place").alias("snippet_id"), "place", "heading", "text", F.lit(None).cast("array<double>").alias("embedding"))
+
+
+@query(rf"""WITH n AS (SELECT doc_id, lang, text, regexp_extract_all(text, '[A-Z][a-z]{{4,}}') AS names FROM documents), d AS (SELECT doc_id, text, names[1] AS head, lower(names[1]) AS h, lower(lang) AS a1, lower(coalesce(names[2], lang)) AS a2, string_split(text, chr(10))[1] AS heading FROM n WHERE len(names) > 0),
+l AS (SELECT *, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS place FROM d), s AS (SELECT *, lower(t) AS low, {_TERMS.format('t')} AS terms, {_TERMS.format('head')} AS ht, {_TERMS.format("a1 || ' ' || a2")} AS alt FROM l WHERE t <> ''),
+c AS (SELECT doc_id, head, place, t, 6 * ((length(low) - length(replace(low, h, ''))) // length(h)) + 4 * ((length(low) - length(replace(low, a1, ''))) // length(a1) + (length(low) - length(replace(low, a2, ''))) // length(a2))
+ + 2 * len(list_intersect(ht, terms)) + len(list_intersect(alt, terms)) + {_MARKERS} + CAST(regexp_matches(low, '{T.FACT_VALUE}') AS INT) + CASE WHEN len(list_intersect(ht, {_TERMS.format('heading')})) > 0 THEN 2 ELSE 0 END AS score FROM s),
+b AS (SELECT *, max(score) OVER (PARTITION BY doc_id) AS best, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS nth FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place) AS r FROM b WHERE score > 0 OR (best <= 0 AND nth <= 3)),
+k AS (SELECT *, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY r ROWS UNBOUNDED PRECEDING) AS total FROM r WHERE r <= 6) SELECT head, doc_id || ':' || place AS snippet_id, CAST(score AS DOUBLE) AS score FROM k WHERE total <= 3600 OR r = 1""")
 def g1_head_context(spark, sf_dir):
-    t = F.col("text")
-    s = table(spark, sf_dir, "documents").select(F.col("source").alias("head"), F.col("doc_id").alias("snippet_id"), "text", F.floor((F.length(t) - F.length(F.replace(t, F.lit("en"), F.lit("")))) / 2).alias("score"))
-    return G.head_context(s, budget=36000).select("head", "snippet_id", "score")
+    return G.head_context(G.head_scores(*_heads(spark, sf_dir))).select("head", "snippet_id", F.col("score").cast("double").alias("score"))
+
+
+@query(f"""WITH {{CLAIMS_SQL}}, g AS (SELECT claim_id, document_id, lower(trim(subject)) AS s, lower(trim(predicate)) AS p, lower(trim(coalesce(object_text, ''))) AS o, 'user ' || document_id AS h, subject, predicate, object_text, lo, hi FROM c)
+SELECT claim_id AS triple_id, CASE WHEN s = '' OR p = '' OR o = '' THEN ['format_error'] ELSE list_filter([CASE WHEN row_number() OVER (PARTITION BY document_id, h, s, p, o ORDER BY claim_id) > 1 THEN 'duplicate' END, CASE WHEN s <> h THEN 'head_entity_error' END, CASE WHEN s = o THEN 'head_tail_contradiction' END,
+ CASE WHEN NOT (contains('the user 3 did click', trim(object_text)) OR contains('the user 3 did click', trim(subject)) OR contains('the user 3 did click', p)) THEN 'missing_evidence' END, CASE WHEN lo IS NOT NULL AND (lo <> o OR hi <> o) THEN 'potential_conflict' END], lambda x: x IS NOT NULL) END AS errors FROM g""".replace("{CLAIMS_SQL}", CLAIMS_SQL))
+def g5_generated_errors(spark, sf_dir):
+    c = claims(spark, sf_dir)
+    cut = F.col("ts") < F.lit(CUT).cast("timestamp_ntz")
+    triples = c.where(~cut).select(F.col("claim_id").alias("triple_id"), "document_id", F.concat(F.lit("user "), F.col("document_id").cast("string")).alias("head"), "subject", "predicate", "object_text")
+    contexts = c.select("document_id").distinct().select("document_id", F.lit("a").alias("chunk_id"), F.lit("the user 3 did click").alias("text"))
+    return G.generated_errors(triples, c.where(cut), contexts).select("triple_id", "errors")
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(lower(text), chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents), m AS (SELECT doc_id AS claim_id, i, CASE WHEN contains(t, 'licensed') THEN 4 WHEN contains(t, 'the') THEN 5 END AS p FROM l)

@@ -6,6 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import classify as C
+from ..operators import answers as AN
 from .registry import query, table
 
 
@@ -88,9 +90,13 @@ def f13_retention(spark, sf_dir):
     return table(spark, sf_dir, "events").where(F.col("ts") < F.expr("timestamp_ntz'2024-01-31 00:00:00' - interval 20 days")).groupBy("event_type").agg(F.count("*").alias("expired"))
 
 
-@query(r"""SELECT event_id, regexp_replace(props, '("k")\s*:\s*\d+', '\1: "[redacted]"') AS props FROM events""")
+@query(r"""SELECT event_id, '{"user":' || user_id || ',"api_key":"[redacted]","nested":{"prompt_tokens":3,"My_Token":"[redacted]"},"list":[{"password":"[redacted]","k":' || (event_id % 7) || '},"password"],"note":"' || CASE WHEN event_id % 3 = 0 THEN '[redacted]' ELSE 'it = fine' END || '"}' AS payload FROM events""")
 def f15_redaction(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.regexp_replace("props", r'("k")\s*:\s*\d+', '$1: "[redacted]"').alias("props"))
+    e = table(spark, sf_dir, "events")
+    text = lambda c: c.cast("string")
+    note = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("key=abcdefghijklmnop"), text(F.col("event_id")))).otherwise(F.lit("it = fine"))
+    payload = F.concat(F.lit('{"user":'), text(F.col("user_id")), F.lit(',"api_key":"'), "event_type", F.lit('","nested":{"prompt_tokens":3,"My_Token":"'), text(F.col("user_id")), F.lit('"},"list":[{"password":1,"k":'), text(F.col("event_id") % 7), F.lit('},"password"],"note":"'), note, F.lit('"}'))
+    return AN.redact(e.select("event_id", payload.alias("payload")), "event_id", "payload")
 
 
 @query("SELECT event_id, ts, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 50 OFFSET 100")
@@ -98,13 +104,27 @@ def t7_paging(spark, sf_dir):
     return table(spark, sf_dir, "events").orderBy(F.desc("ts"), F.desc("event_id")).offset(100).limit(50).select("event_id", "ts", "value")
 
 
-@query("""SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS previous_question, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) IS NOT NULL AND length(text) <= 400 AND lag(text) OVER (PARTITION BY conv_id ORDER BY turn) <> text AS is_follow_up,
- row_number() OVER (PARTITION BY conv_id ORDER BY turn) >= 2 AS cross_turn FROM conversations WHERE role = 'user'""")
+#: Turns of a conversation's end that are looked back at (fixed value).
+LOOK_BACK = 12
+
+
+@query(r"""WITH u AS (SELECT conv_id, turn, text, CASE WHEN length(text) % 3 = 0 THEN substr(text, 1, 30) ELSE text END AS q FROM conversations WHERE role = 'user'),
+p AS (SELECT *, CASE WHEN turn - lag(turn) OVER w < 12 THEN trim(lag(q) OVER w, E' \t\n\r\x0b\f') END AS before FROM u WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, CASE WHEN length(trim(q, E' \t\n\r\x0b\f')) <= 30 AND before <> '' AND before <> trim(q, E' \t\n\r\x0b\f') THEN '上一轮问题：' || before || chr(10) || '当前追问：' || trim(q, E' \t\n\r\x0b\f') ELSE q END AS asked FROM p""")
 def q1_follow_ups(spark, sf_dir):
+    """Questions as retrieval gets them; every third one is cut to 30 characters, as short ones are follow-ups."""
     w = W.partitionBy("conv_id").orderBy("turn")
-    c = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("previous_question", F.lag("text").over(w)).withColumn("cross_turn", F.row_number().over(w) >= 2)
-    follow = F.col("previous_question").isNotNull() & (F.length("text") <= 400) & F.coalesce(F.col("previous_question") != F.col("text"), F.lit(False))
-    return c.select("conv_id", "turn", "previous_question", follow.alias("is_follow_up"), "cross_turn")
+    q = F.when(F.length("text") % 3 == 0, F.substring("text", 1, 30)).otherwise(F.col("text"))
+    u = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("q", q)
+    before = F.when(F.col("turn") - F.lag("turn").over(w) < LOOK_BACK, F.nullif(F.trim(F.lag("q").over(w), F.lit(C.BLANK)), F.lit("")))
+    return u.withColumn("_b", before).select("conv_id", "turn", C.follow_up(F.col("q"), F.col("_b")).alias("asked"))
+
+
+@query("SELECT conv_id, turn, trim(coalesce(text, '')) <> '' AND count(*) OVER (PARTITION BY conv_id ORDER BY turn) >= 2 AS cross_turn FROM conversations WHERE role = 'user'")
+def q2_cross_turn(spark, sf_dir):
+    """Whether a question comes in a conversation that has two users' turns by then."""
+    n = F.count("*").over(W.partitionBy("conv_id").orderBy("turn"))
+    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", ((F.trim(F.coalesce("text", F.lit(""))) != "") & (n >= 2)).alias("cross_turn"))
 
 
 @query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 4")

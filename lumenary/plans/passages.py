@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import citations as CI
 from ..functions import normalise as N
 from ..functions import text as T
+from ..operators import answers as AN
 from ..operators import chunking
 from ..operators import retrieval as R
 from ..operators import tables as TB
@@ -24,11 +26,14 @@ def f7_span_validity(spark, sf_dir):
     return d.select("doc_id", ok.alias("has_span"), (F.col("text") == F.trim("text")).alias("is_plain"))
 
 
-@query(f"WITH {CELLS_SQL} SELECT DISTINCT table_id, true AS has_data, true AS has_data_without_separator FROM cells")
+@query(f"WITH {CELLS_SQL} SELECT DISTINCT table_id, length(table_id) % 3 <> 0 AS has_data, length(table_id) % 3 = 1 AS has_data_without_separator, length(table_id) % 3 = 1 AS has_metric FROM cells")
 def f9_table_data(spark, sf_dir):
+    """Tables whole, without their digits, or without their body; the second have data only behind a separator row."""
     m = markdown(spark, sf_dir)
-    bare = F.regexp_replace("markdown", r"\n\|[-|]+\|\n", "\n")
-    return m.select("table_id", T.table_data(F.col("markdown")).alias("has_data"), T.table_data(bare).alias("has_data_without_separator"))
+    kind = F.length("table_id") % 3
+    text = F.when(kind == 0, F.substring_index("markdown", "\n", 2)).when(kind == 2, F.regexp_replace("markdown", "[0-9]", "x")).otherwise(F.concat(F.lit("accuracy\n"), "markdown"))
+    bare = F.regexp_replace(text, r"\n\|[-|]+\|\n?", "\n")
+    return m.select("table_id", T.table_data(text).alias("has_data"), T.table_data(bare).alias("has_data_without_separator"), T.metric_numbers(text).alias("has_metric"))
 
 
 @query("SELECT doc_id, CASE WHEN contains(text, 'token =') THEN 'token' WHEN contains(text, '@') THEN 'address' END AS first_kind FROM documents")
@@ -65,12 +70,16 @@ def t4_context_sort(spark, sf_dir):
     return R.ranked(table(spark, sf_dir, "events"), ["user_id"], [structure.desc(), F.desc("value"), F.col("event_id")], 8, "position").select("event_id", "position")
 
 
-@query("""WITH k AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, props ORDER BY event_id) AS a FROM events), p AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS b FROM k WHERE a = 1)
-SELECT user_id, event_type, event_id FROM p WHERE b <= 2""")
+@query("""WITH c AS (SELECT conv_id AS query_id, CAST(turn AS INT) AS position, role || ':' || (turn // 12) AS page, text AS excerpt, CAST(length(text) AS DOUBLE) AS score FROM conversations),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id, page, excerpt ORDER BY position) AS a FROM c), n AS (SELECT *, count(*) OVER (PARTITION BY query_id, page) AS n FROM f WHERE a = 1),
+h AS (SELECT *, row_number() OVER (PARTITION BY query_id, page, substr(trim(excerpt), 1, 120) ORDER BY score DESC, position) AS b FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, page ORDER BY score DESC, position) AS r FROM h WHERE n <= 2 OR b = 1)
+SELECT query_id, position FROM r WHERE n <= 2 OR r <= 2""")
 def t6_citation_dedup(spark, sf_dir):
-    """One citation of each page and excerpt, then two a page."""
-    e = R.ranked(table(spark, sf_dir, "events"), ["user_id", "event_type", "props"], [F.col("event_id")], 1, "_a")
-    return R.ranked(e, ["user_id", "event_type"], [F.col("event_id")], 2, "_b").select("user_id", "event_type", "event_id")
+    """Turns as citations of pages of twelve; none is a table, so that two a page stay."""
+    c = table(spark, sf_dir, "conversations")
+    page = F.concat("role", F.lit(":"), F.floor(F.col("turn") / 12).cast("string"))
+    rows = c.select(F.col("conv_id").alias("query_id"), F.col("turn").cast("int").alias("position"), page.alias("page"), F.col("text").alias("excerpt"), F.length("text").cast("double").alias("score"), F.lit(False).alias("is_table"), F.lit(None).cast("string").alias("table_id"))
+    return AN.dedup_citations(rows).select("query_id", "position")
 
 
 @query(f"""WITH {HYBRID_SQL}, a AS (SELECT query_id, document_id, min(o) AS o FROM (SELECT query_id, document_id, rank AS o FROM hybrid WHERE rank <= 4 UNION ALL SELECT query_id, document_id, 100 + rank FROM hybrid) GROUP BY 1, 2)
@@ -87,9 +96,18 @@ def s4_term_matching(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.selector_in_text("license", F.col("text")).alias("has_license"), T.term_matches("2.0", F.col("text")).alias("has_version"))
 
 
-@query(r"""SELECT conv_id, turn, regexp_replace('see [[' || turn || ']] and [1, 2]', '\[\[(\d+)\]\] and \[1, 2\]', '[\1] and [1][2]') AS markers FROM conversations""")
+_M = "CASE WHEN ({n}) % 2 = 1 AND ({n}) < 8 THEN '[' || ({n}) // 2 || ']' ELSE '' END"
+
+
+@query(rf"""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '[][]', '', 'g') AS x FROM conversations) SELECT conv_id, turn, x || ' ' || {_M.format(n="turn")} || ' ' || {_M.format(n="turn + 1")} || ' ' || {_M.format(n="turn")} || {_M.format(n="turn + 2")} || ' named ' AS renumbered,
+ CASE WHEN trim(x) = '' THEN x ELSE regexp_replace(x, '\s+$', '') || CASE WHEN regexp_matches(x, '[ \n]$') THEN '' ELSE ' ' END || '[0]' END AS ensured FROM t""")
 def s7_citation_markers(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.citation_markers(F.concat(F.lit("see [["), F.col("turn").cast("string"), F.lit("]] and [1, 2]"))).alias("markers"))
+    """Turns with markers of several forms: contexts 1, 3, 5 and 7 are returned as 0 to 3, other markers vanish."""
+    x = F.regexp_replace("text", r"[\[\]]", "")
+    n = lambda k: (F.col("turn") + k).cast("string")
+    answer = F.concat(x, F.lit(" ["), n(0), F.lit("] [["), n(1), F.lit("]] ["), n(0), F.lit(", "), n(2), F.lit("] [[named]] [[sources/a.md]][label]"))
+    selected = F.array(*map(F.lit, (1, 3, 5, 7)))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", CI.renumbered(answer, selected).alias("renumbered"), CI.ensured(x, F.lit(1)).alias("ensured"))
 
 
 @query("""SELECT doc_id, CASE WHEN length(text) >= 60 THEN substr(text, 41) ELSE text END AS rest FROM documents""")
@@ -100,14 +118,18 @@ def s9_overlap_removal(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.without_overlap(before, t, 40, 60).alias("rest"))
 
 
-@query("SELECT DISTINCT p_brand, p_brand || ' F1' AS header, p_brand AS dataset, 'F1' AS metric FROM part")
+_HEADERS = [" F1", " AUC", "  precision 2", " Recall", " size", ""]
+
+
+@query(f"""SELECT p_partkey, CASE WHEN p_size % 6 < 4 THEN trim(CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_brand END) END AS dataset, CASE WHEN p_size % 5 <> 0 THEN CASE p_size % 6 WHEN 0 THEN 'F1' WHEN 1 THEN 'AUC' WHEN 2 THEN 'precision' WHEN 3 THEN 'Recall' END END AS metric FROM part""")
 def s15_metric_headers(spark, sf_dir):
-    header = F.concat("p_brand", F.lit(" F1"))
-    dataset, metric = T.metric_header(header)
-    return table(spark, sf_dir, "part").select("p_brand", header.alias("header"), dataset.alias("dataset"), metric.alias("metric")).distinct()
+    """Headers of a brand and a metric; every fifth has "Method" for a brand, which is no dataset."""
+    end = F.element_at(F.array(*map(F.lit, _HEADERS)), (F.col("p_size") % 6 + 1).cast("int"))
+    dataset, metric = T.metric_header(F.concat(F.when(F.col("p_size") % 5 == 0, "Method").otherwise(F.col("p_brand")), end))
+    return table(spark, sf_dir, "part").select("p_partkey", dataset.alias("dataset"), metric.alias("metric"))
 
 
-@query(r"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?。！？\n]+[.!?。！？]?'), lambda x: trim(x)), lambda x: x <> '') AS ss FROM documents), f AS (SELECT doc_id, list_filter(ss, lambda s: length(s) >= 6 AND (regexp_matches(s, '\d') OR regexp_matches(lower(s), '(licen|token|result|conclu)'))) AS fs FROM s)
+@query(r"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?。！？\n]+[.!?。！？]?'), lambda x: trim(x)), lambda x: x <> '') AS ss FROM documents), f AS (SELECT doc_id, list_filter(ss, lambda s: length(s) >= 6 AND regexp_matches(lower(s), '""" + T.FACT_VALUE + "|" + "|".join(T.FACT_MARKERS) + r"""')) AS fs FROM s)
 SELECT doc_id, CAST(least(12, len(list_distinct(fs))) AS INT) AS n_facts, fs[1] AS first_fact FROM f""")
 def s22_key_facts(spark, sf_dir):
     d = table(spark, sf_dir, "documents").withColumn("_f", T.key_facts(F.col("text")))
@@ -137,29 +159,44 @@ def v4b_evidence_anchors(spark, sf_dir):
     return table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.size(F.slice(F.array_distinct(both), 1, 10)).alias("n_anchors"))
 
 
-@query("""WITH c AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations), n AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(text, '[A-Z][a-z]{7,}')) AS own, list_distinct(regexp_extract_all(coalesce(before, ''), '[A-Z][a-z]{7,}')) AS had FROM c)
-SELECT conv_id, turn, list_sort(list_filter(own, lambda x: NOT list_contains(had, x))) AS new_names, CASE WHEN len(own) = 0 THEN 'no_names' WHEN len(list_filter(own, lambda x: NOT list_contains(had, x))) > 0 THEN 'new_names' ELSE 'faithful' END AS verdict FROM n""")
+_NUMS = r"list_distinct(list_transform(list_filter(regexp_extract_all(regexp_replace({}, '\[\d+\]', ' ', 'g'), '\d+(?:\.\d+)?%?'), lambda x: length(x) > 1), lambda x: replace(x, '%', '')))"
+
+
+@query(rf"""WITH c AS (SELECT conv_id, turn, text, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') || ' Table ' || turn AS evidence FROM conversations), d AS (SELECT conv_id, turn, evidence, text || ' ' || evidence AS draft, CASE turn % 4 WHEN 0 THEN text || ' ' || evidence WHEN 1 THEN text WHEN 2 THEN text || ' ' || evidence || ' 98765' ELSE replace(text || ' ' || evidence, 'Table', 'No.') END AS synthesis FROM c),
+n AS (SELECT *, {_NUMS.format("draft")} AS dn, {_NUMS.format("evidence")} AS en, {_NUMS.format("synthesis")} AS sn FROM d)
+SELECT conv_id, turn, CASE WHEN len(list_filter(dn, lambda x: list_contains(en, x) AND NOT list_contains(sn, x))) > 0 THEN 'draft_fidelity' WHEN len(list_filter(sn, lambda x: NOT list_contains(en, x))) > 0 THEN 'unsupported_numbers'
+ WHEN turn % 4 IN (1, 3) AND NOT regexp_matches(lower(synthesis), 'table\s*' || turn || '([^0-9]|$)') THEN 'table_labels' WHEN turn % 5 = 0 THEN 'expected_facts' END AS reason FROM n""")
 def v3_fidelity_guard(spark, sf_dir):
-    """Names of an answer that its evidence, the turn before it, lacks; the first reason decides."""
-    names = lambda c: F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("[A-Z][a-z]{7,}"), F.lit(0)))
-    before = F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))
-    c = table(spark, sf_dir, "conversations").withColumn("_b", before).select("conv_id", "turn", names(F.col("text")).alias("_own"), names(F.col("_b")).alias("_had"))
-    new = F.array_except("_own", "_had")
-    return c.select("conv_id", "turn", F.sort_array(new).alias("new_names"), F.when(F.size("_own") == 0, "no_names").when(F.size(new) > 0, "new_names").otherwise("faithful").alias("verdict"))
+    """Drafts of a turn and its evidence, the turn before, against syntheses that keep, lose or add to them."""
+    before = F.coalesce(F.lag("text").over(W.partitionBy("conv_id").orderBy("turn")), F.lit(""))
+    c = table(spark, sf_dir, "conversations").withColumn("_e", F.concat(before, F.lit(" Table "), F.col("turn").cast("string")))
+    draft = F.concat("text", F.lit(" "), "_e")
+    kind = F.col("turn") % 4
+    synthesis = F.when(kind == 0, draft).when(kind == 1, F.col("text")).when(kind == 2, F.concat(draft, F.lit(" 98765"))).otherwise(F.replace(draft, F.lit("Table"), F.lit("No.")))
+    return c.select("conv_id", "turn", AN.guard(draft, F.col("_e"), synthesis, F.when(F.col("turn") % 5 == 0, 1).otherwise(0)).alias("reason"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty' WHEN role <> 'assistant' THEN 'not_an_answer' WHEN length(text) < 80 THEN 'short' WHEN turn < 1 THEN 'no_question' ELSE 'direct' END AS reason FROM conversations""")
+@query("""WITH a AS (SELECT conv_id, turn, text, conv_id + turn AS k FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, CASE WHEN k % 11 = 0 THEN 'evidence_insufficient' WHEN trim(coalesce(text, '')) = '' OR k % 7 = 0 THEN 'empty_answer' WHEN k % 5 = 0 THEN 'no_citations' WHEN k % 13 = 0 THEN 'rag_contradicted' WHEN k % 3 = 0 THEN 'draft_verify_retry' WHEN k % 2 = 0 AND turn % 4 = 1 THEN 'coverage_partial' END AS reason FROM a""")
 def v2_draft_gate(spark, sf_dir):
-    reason = F.when(F.col("text").isNull() | (F.trim("text") == ""), "empty").when(F.col("role") != "assistant", "not_an_answer").when(F.length("text") < 80, "short").when(F.col("turn") < 1, "no_question").otherwise("direct")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", reason.alias("reason"))
+    """Answers as drafts; what the tables don't have of a draft is dealt by number."""
+    k = F.col("conv_id") + F.col("turn")
+    answer = F.when(k % 7 == 0, " \n").otherwise(F.col("text"))
+    reason = AN.draft_reason(k % 11 == 0, answer, (k % 5).cast("int"), F.when(k % 13 == 0, "contradicted").otherwise("supported"), k % 3 == 0, F.when(k % 2 == 0, "table_or_metric").otherwise("simple_rag"), F.when(F.col("turn") % 4 == 1, "partial").otherwise("unknown"))
+    return table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", reason.alias("reason"))
 
 
-@query("""WITH e AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), x AS (SELECT o_orderkey AS l_orderkey, unnest([1, 2, 3]) AS l_linenumber FROM orders)
-SELECT x.l_orderkey, x.l_linenumber, CASE WHEN e.l_orderkey IS NULL THEN 'missing' ELSE 'complete' END AS state FROM x LEFT JOIN e ON e.l_orderkey = x.l_orderkey AND e.l_linenumber = x.l_linenumber""")
+@query(f"""WITH {CELLS_SQL}, x AS (SELECT DISTINCT c.table_id, c.row_label, y.name FROM cells c, (VALUES ('early'), ('middle'), ('late')) y(name)), g AS (SELECT x.table_id, count(*) AS expected, count(*) FILTER (c.n IS NULL) AS missing FROM x LEFT JOIN cells c ON c.table_id = x.table_id AND c.row_label = x.row_label AND c.column_name = x.name GROUP BY 1)
+SELECT table_id, expected, missing, CASE WHEN missing > 0 THEN 'missing' ELSE 'complete' END AS status FROM g""")
 def v4_expected_facts(spark, sf_dir):
-    expected = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("l_linenumber"))
-    have = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct().withColumn("_h", F.lit(1))
-    return expected.join(have, ["l_orderkey", "l_linenumber"], "left").select("l_orderkey", "l_linenumber", F.when(F.col("_h").isNull(), "missing").otherwise("complete").alias("state"))
+    """The inventory of a table, each of its rows in each column, against the facts that its Markdown yields."""
+    m = markdown(spark, sf_dir)
+    f = TB.facts(m)
+    labels = m.select("table_id", F.explode(F.transform(F.slice(TB.grid(F.col("markdown")), 2, 1000), lambda r: r[0])).alias("row_label"))
+    requested = labels.select("table_id", "row_label", F.explode(F.array(*map(F.lit, ("early", "middle", "late")))).alias("column_name"))
+    ids = m.select("table_id", F.xxhash64("table_id").alias("query_id"))
+    status = AN.expected_facts(requested.join(ids, "table_id"), f.join(ids, "table_id"))
+    return status.join(ids, "query_id").select("table_id", "expected", "missing", "status")
 
 
 @query(f"WITH {CELLS_SQL} SELECT table_id, column_name, count(*) AS n, 0 AS lost FROM cells GROUP BY 1, 2")

