@@ -1,9 +1,24 @@
-"""Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network in numpy."""
+"""Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network in numpy.
+
+Each word has an index vector of its own, drawn from its full hash, and a word vector: the sum of the index vectors of its
+neighbours in all texts, scaled to unit length. Nothing is shared between words.
+
+1. Tasks sum contexts by word and send them to buckets, which are ranges of the words' hashes; a grouped sum per bucket makes
+   the vocabulary, which is written.
+2. The FREQUENT most frequent words' vectors are broadcast, a table of fixed size. Each document's words are pooled from it;
+   words that aren't in it go to their buckets, with the document's number and their count.
+3. There they meet their contexts, which go to the document's bucket and complete its pooled vector. So every word of every
+   text counts by its own vector, whatever the vocabulary's size.
+4. The network is trained on the driver on a bounded number of labelled documents, and scores all documents in tasks.
+
+Words and contexts travel as packed arrays, a row for each task and bucket.
+"""
 
 from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,32 +27,29 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import discard, map_batches, written
 
-#: Rows of the table of word vectors. Words share rows by hash, so the table's size doesn't depend on the corpus.
-ROWS = 1 << 12
 #: Length of a word vector, and how many of an index vector's entries are +1 or -1.
-SIZE, NONZERO = 24, 4
+SIZE, NONZERO = 32, 4
 #: Neighbours to either side that a word's vector sums.
 REACH = 2
+#: Words whose vectors are broadcast.
+FREQUENT = 1 << 18
+#: Documents for which there is a bucket, about.
+BUCKET_ROWS = 4000
+#: Words at once, distinct words that a task holds, and words without a vector that it holds.
+CHUNK, STATE_WORDS, HELD_WORDS = 1 << 17, 400_000, 1 << 20
 #: Labelled rows that training uses at most, those of least hash; the network's memory and time are bounded by it.
 TRAIN_ROWS = 20_000
-HIDDEN, EPOCHS, BATCH, RATE, SEED = 32, 60, 128, 0.01, 7
+HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 32, 60, 128, 0.005, 1e-3, 7
+#: Temperatures that are tried.
+TEMPERATURES = np.geomspace(0.05, 20, 61)
 CACHE_WORDS = 400_000
-
-
-def index_vectors() -> np.ndarray:
-    """The index vector of each row: sparse, ternary, the same everywhere."""
-    rng = np.random.default_rng(SEED)
-    out = np.zeros((ROWS, SIZE), np.int32)
-    for r in range(ROWS):
-        at = rng.choice(SIZE, NONZERO, replace=False)
-        out[r, at] = rng.choice([-1, 1], NONZERO)
-    return out
+WIDTH = 2 * SIZE
 
 
 class Words:
-    """Rows of a text's words, and what the words' characters say of it."""
+    """Hashes of a text's words, cut at ASCII white space."""
 
     def __init__(self):
         self.known: dict[bytes, int] = {}
@@ -48,69 +60,262 @@ class Words:
         if len(known) > CACHE_WORDS:
             known.clear()
         for w in set(words).difference(known):
-            known[w] = xxhash.xxh32_intdigest(w) % ROWS
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+            known[w] = xxhash.xxh64_intdigest(w)
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
 
+def index_vectors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (n x NONZERO) and signs of the entries of words' index vectors, 16 bits of the hash each; where two entries
+    share a place they add up."""
+    bits = (h[:, None] >> (np.arange(NONZERO, dtype=np.uint64) * np.uint64(16))) & np.uint64(0xFFFF)
+    return (bits % np.uint64(SIZE)).astype(np.int64), (1 - 2 * (bits >> np.uint64(15)).astype(np.int8)).astype(np.int8)
 
-def contexts(ids: np.ndarray, ends: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """Sums, by row, of the index vectors of neighbours in the same text, for texts laid end to end."""
+
+def contexts(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words, their counts, and the sums of the index vectors of their neighbours in the same text, for texts laid end
+    to end."""
+    words, inv, counts = np.unique(h, return_inverse=True, return_counts=True)
     text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-    same = [text[d:] == text[:-d] for d in range(1, REACH + 1)]
-    out = np.zeros((ROWS, SIZE), np.int64)
-    for k in range(SIZE):
-        own = index[:, k].astype(np.int8)[ids]
-        near = np.zeros(len(ids), np.int8)
-        for d, s in enumerate(same, 1):
-            near[d:] += own[:-d] * s
-            near[:-d] += own[d:] * s
-        out[:, k] = np.rint(np.bincount(ids, weights=near, minlength=ROWS))
+    place, sign = index_vectors(h)
+    total = np.zeros(len(words) * SIZE)
+    for d in range(1, REACH + 1):
+        a = np.flatnonzero(text[d:] == text[:-d])
+        own, near = np.concatenate([a, a + d]), np.concatenate([a + d, a])
+        total += np.bincount((inv[own][:, None] * SIZE + place[near]).ravel(), weights=sign[near].ravel(), minlength=len(total))
+    return words, counts.astype(np.int64), np.rint(total).astype(np.int64).reshape(-1, SIZE)
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts and sums by word, words sorted."""
+    h, n, v = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(h, kind="stable")
+    h, n, v = h[order], n[order], v[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    return (h[first], np.add.reduceat(n, first), np.add.reduceat(v, first, axis=0)) if len(h) else (h, n, v)
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length in few bytes: integers as narrow as they may be, and rarely wide rows apart from the others."""
+    out = [len(arrays[0]).to_bytes(8, "little")]
+    for a in arrays:
+        kind = next((k for k in ("i1", "i2", "i4") if a.dtype.kind == "i" and (not a.size or -(1 << 8 * int(k[1]) - 1) <= a.min() and a.max() < 1 << 8 * int(k[1]) - 1)), a.dtype.str[1:])
+        out += [kind.encode(), a.astype(f"<{kind}").tobytes()]
+    return zlib.compress(b"".join(out), 1)
+
+
+def unpack(raw: bytes, widths: tuple[int, ...]) -> list[np.ndarray]:
+    """What ``pack`` packed; a width over 1 makes a matrix. Signed numbers come back as int64."""
+    data = zlib.decompress(raw)
+    n, at, out = int.from_bytes(data[:8], "little"), 8, []
+    for w in widths:
+        kind = np.dtype("<" + data[at : at + 2].decode())
+        a = np.frombuffer(data, kind, n * w, at + 2)
+        at += 2 + a.nbytes
+        a = a.astype(np.int64) if kind.kind == "i" else a
+        out.append(a.reshape(n, w) if w > 1 else a)
     return out
 
 
-def word_vectors(df: DataFrame, text: str = "text") -> np.ndarray:
-    """Word vectors over all texts, unit length, as a table of fixed size (ROWS x SIZE).
+def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Ranges of the order of hashes."""
+    return (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
-    Each task sums what its texts say of each row and yields only the table; the tables are summed by row. What reaches
-    the driver is ROWS rows whatever the input.
-    """
+
+def _slices(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """The runs of a sorted array."""
+    if len(bucket):
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True):
+            yield int(bucket[a]), slice(a, b)
+
+
+def _wide(v: np.ndarray) -> np.ndarray:
+    return np.abs(v).max(axis=1, initial=0) > 127
+
+
+def _rows(kinds: list[pa.DataType], names: list[str], rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
+
+
+def vocabulary(df: DataFrame, buckets: int, text: str = "text") -> DataFrame:
+    """Rows (bucket, data): the bucket's words, counts and context sums over all texts, packed; of most words the sums are small
+    and are packed apart from the others, so that a bucket has two rows at most."""
 
     def run(batches):
-        words, index, total = Words(), index_vectors(), np.zeros((ROWS, SIZE), np.int64)
+        words, parts, held = Words(), [], 0
+
+        def sent(state) -> pa.RecordBatch:
+            rows = []
+            for some in (_wide(state[2]), ~_wide(state[2])):
+                h, n, v = (a[some] for a in state)
+                rows += [(b, pack(h[s], n[s], v[s])) for b, s in _slices(bucket_of(h, buckets))]
+            return _rows([pa.int64(), pa.binary()], ["bucket", "data"], rows)
+
         for batch in batches:
             lists = [words(t) for t in batch.column(0).to_pylist()]
             at = 0
-            while at < len(lists):  # some hundred thousand words at once
+            while at < len(lists):
                 stop, n = at, 0
-                while stop < len(lists) and (n == 0 or n + len(lists[stop]) <= 1 << 18):
+                while stop < len(lists) and (n == 0 or n + len(lists[stop]) <= CHUNK):
                     n += len(lists[stop])
                     stop += 1
-                some = lists[at:stop]
-                total += contexts(np.concatenate(some), np.cumsum([len(x) for x in some]), index)
+                if n:
+                    parts.append(contexts(np.concatenate(lists[at:stop]), np.cumsum([len(x) for x in lists[at:stop]])))
+                    held += len(parts[-1][0])
                 at = stop
-        used = np.flatnonzero(total.any(axis=1))
-        # An entry is small: variable-length integers would do, but the shuffle's compression drops the zero bytes as well.
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *[pa.array(total[used, k], pa.int64()) for k in range(SIZE)]], ["row", *[f"v{k}" for k in range(SIZE)]])
-
-    schema = "row int, " + ", ".join(f"v{k} long" for k in range(SIZE))
-    sums = df.select(text).mapInArrow(run, schema).groupBy("row").agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in range(SIZE)])
-    out = np.zeros((ROWS, SIZE))
-    for r in sums.collect():  # at most ROWS rows
-        out[r[0]] = r[1:]
-    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-
-
-def pooled(ids: np.ndarray, text: str | None, vectors: np.ndarray) -> np.ndarray:
-    """A document's vector: mean and deviation of its words' vectors, and shape features of its characters."""
-    raw = (text or "").encode("utf-8")
-    if not len(ids):
-        return np.zeros(2 * SIZE + 8, np.float32)
-    v = vectors[ids]
-    b = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
-    n, words = len(raw), len(ids)
-    distinct = len(np.unique(ids[:-1] * ROWS + ids[1:])) if words > 1 else 1
-    letters = b[65:91].sum() + b[97:123].sum() + b[128:].sum()
-    shape = (math.log1p(words) / 8, (n - words) / words / 10, b[65:91].sum() / n, letters / n, sum(b[ord(c)] for c in "#*$%&|<>!") / words, b[48:58].sum() / n, distinct / max(1, words - 1), b[10] / words)
-    return np.concatenate([v.mean(axis=0), v.std(axis=0), np.array(shape, np.float32)])
+                if held > 2 * STATE_WORDS:
+                    parts = [merged(parts)]
+                    held = len(parts[0][0])
+                    if held > STATE_WORDS:
+                        yield sent(parts[0])
+                        parts, held = [], 0
+        if parts:
+            yield sent(merged(parts))
+
+    def whole(group: pa.Table) -> pa.Table:
+        state = merged([tuple(unpack(x, (1, 1, SIZE))) for x in group["data"].to_pylist()])
+        b = group["bucket"][0].as_py()
+        some = _wide(state[2])
+        return pa.Table.from_batches([_rows([pa.int64(), pa.binary()], ["bucket", "data"], [(b, pack(*(a[k] for a in state))) for k in (some, ~some) if k.any()])])
+
+    return df.select(text).mapInArrow(run, "bucket long, data binary").groupBy("bucket").applyInArrow(whole, "bucket long, data binary")
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    """Word vectors of context sums: unit length, in 127ths, as they are broadcast."""
+    norm = np.maximum(np.linalg.norm(v.astype(np.float64), axis=1, keepdims=True), 1e-9)
+    return np.rint(127 * v / norm).astype(np.int8)
+
+
+def frequent(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and vectors of the most frequent words, FREQUENT at most. Counts are compared by their magnitude, in
+    eighths of a doubling, of which there are some hundreds whatever the corpus."""
+
+    def magnitude(n: np.ndarray) -> np.ndarray:
+        return np.floor(8 * np.log2(n)).astype(np.int64)
+
+    def count(batch):
+        m, k = np.unique(np.concatenate([magnitude(unpack(x, (1, 1, SIZE))[1]) for x in batch.column(0).to_pylist()]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(k)], ["m", "k"])
+
+    levels = sorted(((r["m"], r["k"]) for r in map_batches(words.select("data"), "m long, k long", lambda: count).groupBy("m").agg(F.sum("k").alias("k")).collect()), reverse=True)
+    total, least = 0, None
+    for m, k in levels:
+        total += k
+        if total > FREQUENT:
+            break
+        least = m
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros((0, SIZE), np.int8)
+
+    def choose(batch):
+        for x in batch.column(0).to_pylist():
+            h, n, v = unpack(x, (1, 1, SIZE))
+            some = magnitude(n) >= least
+            yield pa.RecordBatch.from_arrays([pa.array([h[some].tobytes()], pa.binary()), pa.array([unit(v[some]).tobytes()], pa.binary())], ["h", "v"])
+
+    got = map_batches(words.select("data"), "h binary, v binary", lambda: choose).collect()
+    h, v = np.frombuffer(b"".join(r["h"] for r in got), np.uint64), np.frombuffer(b"".join(r["v"] for r in got), np.int8).reshape(-1, SIZE)
+    order = np.argsort(h)
+    return h[order], v[order]
+
+
+def pooled(documents: DataFrame, known: tuple[np.ndarray, np.ndarray], buckets: int, key: str, text: str) -> DataFrame:
+    """Rows of two kinds. Documents: kind 0, id (a number of the row's own), key, n (its words), data (sums of its frequent words'
+    vectors, and of their squares). Other words: kind 1, id (their bucket), data (words, documents' ids, counts)."""
+    shared = documents.sparkSession.sparkContext.broadcast(known)
+    names, kind = ["kind", "id", "key", "n", "data"], documents.schema[key].dataType
+    rows = documents.select(F.monotonically_increasing_id().alias("_id"), F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
+
+    def run(batches):
+        words, (top, vectors) = Words(), shared.value
+        vectors = vectors.astype(np.float32) / 127
+        rest, held = [], 0
+
+        def flush(batch_kind):
+            h, i, c = (np.concatenate(x) for x in zip(*rest, strict=True))
+            order = np.argsort(h, kind="stable")
+            h, i, c = h[order], i[order], c[order]
+            sent = [(1, b, None, None, pack(h[s], i[s].view(np.uint64), c[s])) for b, s in _slices(bucket_of(h, buckets))]
+            return _rows([pa.int32(), pa.int64(), batch_kind, pa.int64(), pa.binary()], names, sent)
+
+        key_kind = pa.int64()
+        for batch in batches:
+            key_kind, sums, sizes = batch.schema.field(1).type, [], []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                h = words(t)
+                u, c = np.unique(h, return_counts=True)
+                at = np.minimum(np.searchsorted(top, u), max(len(top) - 1, 0))
+                hit = top[at] == u if len(top) else np.zeros(len(u), bool)
+                v, w = vectors[at[hit]], c[hit].astype(np.float32)
+                sums.append(np.concatenate([w @ v, w @ (v * v)]).astype("<f4").tobytes())
+                sizes.append(len(h))
+                if not hit.all():
+                    rest.append((u[~hit], np.full(int((~hit).sum()), i, np.int64), c[~hit].astype(np.int64)))
+                    held += len(rest[-1][0])
+            n = len(sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sums, pa.binary())], names)
+            if held > HELD_WORDS:
+                yield flush(key_kind)
+                rest, held = [], 0
+        if rest:
+            yield flush(key_kind)
+
+    return rows.mapInArrow(run, f"kind int, id long, key {kind.simpleString()}, n long, data binary")
+
+
+def completed(rows: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
+    """key and x, the pooled vector (mean and deviation of the words' vectors, float32), of each document, from the rows of
+    ``pooled`` and ``vocabulary``."""
+    key = rows.schema["key"].dataType.simpleString()
+
+    def resolve(group: pa.Table) -> pa.Table:
+        """A bucket's words meet their contexts, which go to the documents' buckets."""
+        kinds, data = group["kind"].to_pylist(), group["data"].to_pylist()
+        asked = [unpack(x, (1, 1, 1)) for k, x in zip(kinds, data, strict=True) if k == 1]
+        out = []
+        if asked:
+            top, _, sums = merged([tuple(unpack(x, (1, 1, SIZE))) for k, x in zip(kinds, data, strict=True) if k == 2])
+            h, i, c = (np.concatenate(x) for x in zip(*asked, strict=True))
+            v, i = sums[np.searchsorted(top, h)], i.view(np.int64)
+            to = i % buckets
+            order = np.argsort(to, kind="stable")
+            v, i, c, to = v[order], i[order], c[order], to[order]
+            out = [(b, pack(i[s].view(np.uint64), c[s], v[s])) for b, s in _slices(to)]
+        return pa.Table.from_batches([_rows([pa.int64(), pa.binary()], ["bucket", "data"], out)])
+
+    asked = rows.where("kind = 1").select("kind", F.col("id").alias("bucket"), "data")
+    met = asked.unionByName(words.select(F.lit(2).alias("kind"), "bucket", "data")).groupBy("bucket").applyInArrow(resolve, "bucket long, data binary")
+
+    def finish(group: pa.Table) -> pa.Table:
+        ids = group["id"].to_numpy()
+        own = np.flatnonzero(group["kind"].to_numpy() == 0)
+        table = group.take(pa.array(own[np.argsort(ids[own], kind="stable")]))
+        ids, n = table["id"].to_numpy(), np.maximum(table["n"].to_numpy(), 1)[:, None]
+        sums = np.frombuffer(b"".join(table["data"].to_pylist()), "<f4").reshape(-1, WIDTH).astype(np.float64)
+        for k, x in zip(group["kind"].to_pylist(), group["data"].to_pylist(), strict=True):
+            if k == 1:
+                i, c, v = unpack(x, (1, 1, SIZE))
+                u = unit(v) / 127.0
+                at = np.searchsorted(ids, i.view(np.int64))
+                np.add.at(sums, at, np.concatenate([u, u * u], axis=1) * c[:, None])
+        mean = sums[:, :SIZE] / n
+        x = np.concatenate([mean, np.sqrt(np.maximum(sums[:, SIZE:] / n - mean * mean, 0))], axis=1).astype("<f4")
+        return pa.table({"key": table["key"], "x": pa.array([r.tobytes() for r in x], pa.binary())})
+
+    own = rows.where("kind = 0").withColumn("bucket", F.col("id") % buckets)
+    rest = met.select(F.lit(1).alias("kind"), F.lit(0).cast("long").alias("id"), F.lit(None).cast(key).alias("key"), F.lit(0).cast("long").alias("n"), "data", "bucket")
+    return own.unionByName(rest).groupBy("bucket").applyInArrow(finish, f"key {key}, x binary")
+
+
+def features(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key and x of every row, as a written table."""
+    buckets = max(1, -(-documents.count() // BUCKET_ROWS))
+    words = written(vocabulary(documents, buckets, text), "vocabulary")
+    rows = written(pooled(documents, frequent(words), buckets, key, text), "pooled")
+    out = written(completed(rows, words, buckets), "features")
+    discard(words, rows)
+    return out
 
 
 @dataclass
@@ -139,8 +344,8 @@ def _loss(logits: np.ndarray, y: np.ndarray, t: float) -> float:
 
 
 def train(x: np.ndarray, y: np.ndarray) -> Network:
-    """Adam on the log loss; a fifth of the rows is kept apart to choose the temperature. Without rows, or with one label
-    only, the scores are that label's smoothed share."""
+    """Adam on the log loss, with all rows in a new order each epoch; a fifth of the rows is kept apart to choose the
+    temperature. Without rows, or with one label only, the scores are that label's smoothed share."""
     mean, scale = (x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)) if len(x) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
     share = (y.sum() + 1) / (len(y) + 2)
     if len(x) < 10 or len(np.unique(y)) < 2:
@@ -152,13 +357,14 @@ def train(x: np.ndarray, y: np.ndarray) -> Network:
     p = [rng.normal(0, 1 / math.sqrt(x.shape[1]), (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / math.sqrt(HIDDEN), HIDDEN), np.array(0.0)]
     m, s, step = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
     for _ in range(EPOCHS):
+        order = rng.permutation(own)
         for at in range(0, len(own), BATCH):
-            rows = own[at : at + BATCH] if at else rng.permutation(own)[:BATCH]
+            rows = order[at : at + BATCH]
             a, b = z[rows], y[rows]
             h = np.tanh(a @ p[0] + p[1])
             e = (1 / (1 + np.exp(-np.clip(h @ p[2] + p[3], -40, 40))) - b) / len(rows)
             g = (e[:, None] * p[2]) * (1 - h * h)
-            grads = [a.T @ g + 1e-4 * p[0], g.sum(axis=0), h.T @ e + 1e-4 * p[2], np.array(e.sum())]
+            grads = [a.T @ g + DECAY * p[0], g.sum(axis=0), h.T @ e + DECAY * p[2], np.array(e.sum())]
             step += 1
             for k, d in enumerate(grads):
                 m[k] = 0.9 * m[k] + 0.1 * d
@@ -166,7 +372,7 @@ def train(x: np.ndarray, y: np.ndarray) -> Network:
                 p[k] = p[k] - RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)
     net = Network(mean, scale, p[0], p[1], p[2], float(p[3]))
     logits = net.logits(x[held])
-    net.temperature = min((_loss(logits, y[held], t), t) for t in np.geomspace(0.25, 8, 41))[1]
+    net.temperature = float(min((_loss(logits, y[held], t), t) for t in TEMPERATURES)[1])
     return net
 
 
@@ -174,50 +380,33 @@ def held_out(key: str) -> F.Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
 
 
-def fit(documents: DataFrame, labels: DataFrame, vectors: np.ndarray, key: str = "doc_id", text: str = "text", rows: int = TRAIN_ROWS) -> Network:
-    """The network, from labelled documents that aren't held out: all of them, or the ``rows`` of least hash where there
-    are more. Null labels and labels without a document count for nothing."""
-    known = labels.where(F.col("quality").isNotNull() & ~held_out(key)).select(F.col(key).alias("_key"), F.col("quality").alias("_label")).distinct()
-    known = known.orderBy(F.xxhash64(F.col("_key")), "_key", "_label").limit(rows)
-    chosen = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(F.broadcast(known), "_key")  # bounded by ``rows``
-
-    def make():
-        words = Words()
-
-        def step(batch):
-            x = [pooled(words(t), t, vectors).astype("<f4").tobytes() for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.binary())], ["key", "label", "x"])
-
-        return step
-
-    got = map_batches(chosen.select(F.col("_key").cast("string"), F.col("_label").cast("int"), "_text"), "key string, label int, x binary", make).collect()
+def fit(rows: DataFrame, labels: DataFrame, key: str = "doc_id", most: int = TRAIN_ROWS) -> Network:
+    """The network, from the features of labelled documents that aren't held out: all of them, or those of the ``most`` labels of
+    least hash where there are more. Labels other than 0 and 1, and labels without a document, count for nothing."""
+    known = labels.where(F.col("quality").isin(0, 1) & ~held_out(key)).select(F.col(key).alias("key"), F.col("quality").cast("int").alias("label")).distinct()
+    known = known.orderBy(F.xxhash64("key"), "key", "label").limit(most)
+    got = rows.join(F.broadcast(known), "key").select(F.col("key").cast("string"), "label", "x").distinct().collect()  # bounded by ``most``
     got.sort(key=lambda r: (r["key"], r["label"], r["x"]))
-    width = 2 * SIZE + 8
-    x = np.frombuffer(b"".join(r["x"] for r in got), "<f4").reshape(-1, width).astype(np.float64)
+    x = np.frombuffer(b"".join(r["x"] for r in got), "<f4").reshape(-1, WIDTH).astype(np.float64)
     return train(x, np.array([r["label"] for r in got], np.float64))
 
 
-def score(documents: DataFrame, vectors: np.ndarray, net: Network, key: str = "doc_id", text: str = "text", threshold: float = 0.3) -> DataFrame:
-    def make():
-        words = Words()
-
-        def step(batch):
-            texts = batch.column(1).to_pylist()
-            s = net.scores(np.stack([pooled(words(t), t, vectors) for t in texts]).astype(np.float64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], [key, "score", "predicted"])
-
-        return step
+def score(rows: DataFrame, net: Network, key: str = "doc_id", threshold: float = 0.3) -> DataFrame:
+    def step(batch):
+        x = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<f4").reshape(-1, WIDTH)
+        s = net.scores(x.astype(np.float64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], [key, "score", "predicted"])
 
-    kind = documents.schema[key].dataType.simpleString()
-    return map_batches(documents.select(key, text), f"{key} {kind}, score double, predicted int", make)
+    return map_batches(rows.select("key", "x"), f"{key} {rows.schema['key'].dataType.simpleString()}, score double, predicted int", lambda: step)
 
 
 def classify(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, held_out, score and predicted of every document.
 
     Null and empty texts are scored by their zero vector; repeated rows get equal rows; other columns are left out. Labels
-    train only where crc32 of the key mod 5 isn't 0, and neither they nor the key enter a score otherwise.
+    train only where crc32 of the key mod 5 isn't 0, and neither they nor the key enter a score otherwise. A null key isn't
+    held out. An empty table gives an empty result.
     """
-    vectors = word_vectors(documents, text)
-    net = fit(documents, labels, vectors, key, text)
-    return score(documents, vectors, net, key, text).select(key, held_out(key).alias("held_out"), "score", "predicted")
+    rows = features(documents, key, text)
+    net = fit(rows, labels, key)
+    return score(rows, net, key).select(key, F.coalesce(held_out(key), F.lit(False)).alias("held_out"), "score", "predicted")

@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from lumenary.llm import language_id, quality_model
 
 SF = "/root/testdata/sf0.01"
@@ -20,23 +21,57 @@ def test_held_out_quality(spark):
 
 
 def test_quality_edge_cases(spark):
-    docs = spark.createDataFrame([(1, None), (2, ""), (3, "a"), (3, "a"), (4, "b " * 50_000)], "doc_id long, text string")
-    labels = spark.createDataFrame([(1, None), (2, 1)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (3, "a", "z"), (3, "a", "z"), (4, "b " * 50_000, "k"), (None, "a b", "n")], "doc_id long, text string, key string")
+    labels = spark.createDataFrame([(1, None), (2, 1), (3, 7)], "doc_id long, quality int")
     got = quality_model.classify(docs, labels).collect()
-    assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
+    assert len(got) == 6 and all(0 <= r.score <= 1 for r in got) and len({r.score for r in got if r.doc_id == 3}) == 1
     assert quality_model.classify(docs.limit(0), labels.limit(0)).count() == 0
 
 
-def test_word_vectors_are_sums_of_neighbours():
-    index = quality_model.index_vectors()
-    ids, ends = np.array([1, 2, 3, 1, 5, 6]), np.array([4, 4, 6])
-    want = np.zeros((quality_model.ROWS, quality_model.SIZE), int)
-    for text in ([1, 2, 3, 1], [5, 6]):
-        for i, w in enumerate(text):
-            for j, v in enumerate(text):
-                if 0 < abs(i - j) <= quality_model.REACH:
-                    want[w] += index[v]
-    assert (quality_model.contexts(ids, ends, index) == want).all()
+def brute_features(texts):
+    """Index vectors, contexts and pooling word by word."""
+    h = quality_model.Words()
+    def index(w):
+        place, sign = quality_model.index_vectors(h(w))
+        v = np.zeros(quality_model.SIZE, int)
+        for p, s in zip(place[0], sign[0], strict=True):
+            v[p] += s
+        return v
+
+    words = [(t or "").split() for t in texts]
+    sums = {}
+    for ws in words:
+        for i, w in enumerate(ws):
+            near = [ws[j] for j in range(max(0, i - quality_model.REACH), min(len(ws), i + quality_model.REACH + 1)) if j != i]
+            sums[w] = sums.get(w, 0) + sum((index(x) for x in near), np.zeros(quality_model.SIZE, int))
+    vectors = {w: np.rint(127 * v / max(np.linalg.norm(v), 1e-9)) / 127 for w, v in sums.items()}
+    out = []
+    for ws in words:
+        v = np.array([vectors[w] for w in ws]) if ws else np.zeros((1, quality_model.SIZE))
+        out.append(np.concatenate([v.mean(axis=0), v.std(axis=0)]))
+    return np.array(out)
+
+
+@pytest.mark.parametrize("top, held", [(0, 5), (20, 50), (1 << 18, 1 << 20)])
+def test_pooled_vectors_against_plain_sums(spark, monkeypatch, top, held):
+    monkeypatch.setattr(quality_model, "FREQUENT", top)
+    monkeypatch.setattr(quality_model, "HELD_WORDS", held)
+    monkeypatch.setattr(quality_model, "STATE_WORDS", held)
+    monkeypatch.setattr(quality_model, "CHUNK", 40)
+    monkeypatch.setattr(quality_model, "BUCKET_ROWS", 10)
+    r = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(90)]
+    texts = [" ".join(r.choice(vocabulary[: r.choice([5, 90])]) for _ in range(r.randint(0, 60))) for _ in range(50)] + [None, "alone", "the the the " * 200]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.key: np.frombuffer(x.x, "<f4") for x in quality_model.features(df).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], brute_features(texts), atol=1e-4)
+
+
+def test_packed_arrays():
+    r = np.random.default_rng(1)
+    for n in (0, 1, 300):
+        a, b, c = r.integers(0, 2**63, n).astype(np.uint64), r.integers(-5, 70_000, n), r.integers(-128, 128, (n, quality_model.SIZE))
+        assert all((x == y).all() for x, y in zip(quality_model.unpack(quality_model.pack(a, b, c), (1, 1, quality_model.SIZE)), (a, b, c), strict=True))
 
 
 def test_temperature_lowers_the_loss():
