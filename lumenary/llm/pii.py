@@ -32,7 +32,7 @@ IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1
 KEYWORDS = r"token|secret|password|passwd|api[_-]?key|access[_-]?key"
 #: A secret is all between quotes (blank lines end it), or all up to white space, a quote or an angle bracket; at least eight characters.
 SECRET = re.compile(
-    rf"""(?i:\b(?:{KEYWORDS})\b["']?\s{{0,3}}[:=]\s{{0,3}})"""
+    rf"""(?i:\b(?P<word>{KEYWORDS})\b["']?\s*[:=]\s*)"""
     r"""(?:(?P<quote>["'])(?P<inside>(?:(?!(?P=quote))[^\\\n]|\\.|\n(?!\s*\n)){8,})(?P=quote)|["']?(?P<bare>[^\s"'`<>]{8,}))"""
 )
 #: Titles before a name, and the gender that they tell (fixed values).
@@ -70,8 +70,10 @@ PERSON = re.compile(
 )
 CJK_PERSON = re.compile(rf"(?P<family>{CJK_FAMILIES})(?P<given>[\u4e00-\u9fff]{{0,2}}?)(?P<title>{_any(CJK_TITLES)})")
 PART = re.compile(rf"{UPPER}(?=\.)|(?:(?!-{UPPER})[\w'’-])+")
-LOCAL = re.compile(r"[\w.%+-]{1,64}$")
-DOMAIN = re.compile(r"[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+")
+LOCAL = re.compile(r"[\w.%+-]+$")
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+#: A word in plain letters is no token behind these keywords, though it may be a password.
+PLAIN = re.compile(r"[^\W\d_]+(?:[-.,;][^\W\d_]*)*")
 HINT = re.compile(rf"[0-9@]|{_any([*TITLES, *CJK_TITLES])}|(?i:{KEYWORDS})")
 #: Syllables by script, and endings by gender, of which names are made (fixed values).
 SYLLABLES = {
@@ -137,7 +139,12 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     found = []
     at = text.find("@")
     while at >= 0:
-        left, right = LOCAL.search(text, max(0, at - 64), at), DOMAIN.match(text, at + 1)
+        left, right, reach = None, DOMAIN.match(text, at + 1), 64
+        while right and (left is None or (left.start() == at - reach // 2 and left.start() > 0)):  # look back as far as need be
+            left = LOCAL.search(text, max(0, at - reach), at)
+            if left is None:
+                break
+            reach *= 2
         if left and right:
             begin = at - len(text[left.start() : at].lstrip(".-+%"))
             domain = right.group().rstrip(".-")
@@ -146,7 +153,8 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
         at = text.find("@", at + 1)
     for m in SECRET.finditer(text):
         part = "inside" if m["inside"] else "bare"
-        if any(c.isalpha() or c.isdigit() for c in m[part]):
+        word = part == "bare" and not m["word"].lower().startswith("passw") and PLAIN.fullmatch(m[part])
+        if not word and any(c.isalpha() or c.isdigit() for c in m[part]):
             found.append((*m.span(part), "secret", m[part]))
     for m in NUMBERS.finditer(text):
         kind = next(k for k in ("ipv4", "phone", "ssn", "card") if m[k])
@@ -226,6 +234,7 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
         return value + str(s.below(10**9)) if attempt >= STRICT_ATTEMPTS else value
     if kind == "ssn":
         return "".join(_like(c, s) for c in canon)
+    s = Stream(key, "name", canon, attempt)  # a name has one stem, whatever the title before it tells
     own = script(canon)
     syllables = SYLLABLES[own]
     name = "".join(syllables[s.below(len(syllables))] for _ in range((1 if own == "cjk" else 3) + attempt // 4))
@@ -309,12 +318,13 @@ def exceptions(found: DataFrame, key: bytes) -> DataFrame:
     raise RuntimeError("some entities found no surrogate")
 
 
-def replace(df: DataFrame, key: bytes, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def replace(df: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """Replace all entities in ``text``; add n_replaced.
 
     Null texts stay null with none replaced; texts without entities stay as they are. Equal entities get equal surrogates
-    in all rows, repeated rows included. Other columns stay; a column that is called n_replaced is replaced. What loses a
-    draw is broadcast only if it is small; else each document gets its own exceptions by a join.
+    in all rows, repeated rows included; rows need no key. Other columns stay, whatever their names; a column that is called
+    n_replaced is replaced. What loses a draw is broadcast only if it is small; else each text gets its own exceptions by
+    a join on its hash, so that rows behave alike at every size. An empty table gives an empty result.
     """
     columns = [c for c in df.columns if c != "n_replaced"]
     late = written(exceptions(written(entities(df, text), "entities"), key), "exceptions")
@@ -323,8 +333,10 @@ def replace(df: DataFrame, key: bytes, doc: str = "doc_id", text: str = "text")
         shared = df.sparkSession.sparkContext.broadcast(rows)
         source, own = df.select(*[F.col(f"`{c}`") for c in columns]), None
     else:
-        met = spans(df, doc, text).join(late, ["kind", "canon"]).groupBy(doc).agg(F.collect_set(F.struct("kind", "canon", "value")).alias("_late"))
-        source, own, shared = df.select(*[F.col(f"`{c}`") for c in columns]).join(met, doc, "left").select(*[F.col(f"`{c}`") for c in columns], "_late"), len(columns), None
+        hashed = df.select(F.xxhash64(F.col(f"`{text}`")).alias("hash"), F.col(f"`{text}`").alias("text"))
+        met = spans(hashed, "hash").join(late, ["kind", "canon"]).groupBy("hash").agg(F.collect_set(F.struct("kind", "canon", "value")).alias("late")).withColumnRenamed("hash", "of")
+        rows = df.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.xxhash64(F.col(f"`{text}`")).alias("hash"))
+        source, own, shared = rows.join(written(met, "late"), F.col("hash") == F.col("of"), "left").select(*[F.col(f"row.`{c}`") for c in columns], F.col("late").alias("_late")), len(columns), None
     place = columns.index(text)
 
     def make():

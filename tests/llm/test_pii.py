@@ -68,6 +68,40 @@ def test_secrets_are_whole():
         assert got == ([("secret", want)] if want else []), text
 
 
+def test_long_addresses_and_plain_words():
+    long = "a" * 300 + ".b"
+    cases = [(f"x {long}@{'c' * 80}.example.com y", [("email", f"{long}@{'c' * 80}.example.com")]), ("token: everything-matters, secret = nothing", []), ("password:     correcthorse", [("secret", "correcthorse")]), ("token: abc-1efgh", [("secret", "abc-1efgh")]), ("Password: ____________", [])]
+    for text, want in cases:
+        assert [(k, text[b:e]) for b, e, k, _ in pii.detect(text)] == want, text
+
+
+def test_a_name_has_one_stem():
+    m, f, n, family = (pii.surrogate(KEY, k, "kim") for k in ("given_m", "given_f", "given_n", "family"))
+    assert m[:-1] == f[:-1] == n[:-1] == family and len({m, f, n, family}) == 4
+
+
+def plain_replace(text, key):
+    """Without exceptions: each entity's first draw in its place."""
+    for b, e, kind, canon in reversed(pii.detect(text)):
+        text = text[:b] + pii.render(text[b:e], kind, pii.surrogate(key, kind, canon)) + text[e:]
+    return text
+
+
+def test_replacement_against_a_plain_version(spark):
+    texts = ["Mail jo.e@mail.example.com, Mr. Kim Lee, Lee: 152.143.123.131", "token = 24be64439e3e49cf46b2 " * 3, None, "", "clean", "x " * 200_000 + "(212) 555-0100", "Call +1 (743) 555-3824"]
+    for bound in (None, 0):
+        got = [(r.doc_id, r.text, r.hash, r.late) for r in _rows(spark, texts, bound)]
+        assert sorted(got, key=repr) == sorted(((i if i % 2 else None, None if t is None else plain_replace(t, KEY), "h", 1) for i, t in enumerate(texts)), key=repr)
+
+
+def _rows(spark, texts, bound):
+    from unittest import mock
+
+    df = spark.createDataFrame([(i if i % 2 else None, t, "h", 1) for i, t in enumerate(texts)], "doc_id long, text string, hash string, late int").repartition(2)
+    with mock.patch.object(pii, "BROADCAST_ROWS", pii.BROADCAST_ROWS if bound is None else bound):
+        return pii.replace(df, KEY).collect()
+
+
 def test_secrets_find_free_surrogates_at_last():
     assert len(pii.surrogate(KEY, "secret", "a-------", pii.STRICT_ATTEMPTS)) > 8
 
