@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenary.llm import line_dedup, ngram_join, packing, pii, quality_rules
-from lumenary.llm.common import written
+from lumenary.llm.common import discard, written
 from lumenary.llm.queries import PII_KEY
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -59,10 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each stage's result written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = written(docs, f"stage{i}")
-    return docs
+    """The stages over ``documents``, each stage's result written and read again, and deleted once the next one's is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        docs = written(stage(spark, docs, sf_dir), f"stage{i}")
+        if last is not None:
+            discard(last)
+        last = docs
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -20,11 +20,12 @@ from .common import map_batches, written
 CELLS = 1 << 14
 #: Labelled texts that the trigram model is fitted on, those of least hash: about so many, all where there are fewer.
 FIT_ROWS = 2_000
-#: Languages that the model knows at most: the most frequent ones of the labelled rows.
-MOST_LANGUAGES = 64
+#: Languages that a table of CELLS rows is made for; labels with more are refused, none is dropped.
+MOST_LANGUAGES = 1000
 #: How much a parent in the hierarchy weighs, in pages, and smoothing of declared languages and suffixes.
 PARENT_WEIGHT, SMOOTH = 5.0, 1.0
-#: Trigrams of one text overlap and are counted as fewer; a text is worth so many of them at most.
+#: Trigrams of one text overlap and are counted as fewer. All of a text's trigrams make its mean likelihood, but they aren't
+#: independent, so that beyond some hundred of them a longer text is no surer: its weight is bounded, not its reading.
 DISCOUNT, MOST_TRIGRAMS = 0.25, 400
 
 TAGS = re.compile(r"<!--.*?-->|<(script|style|nav)\b[^>]*>.*?</\1\s*>|<[^>]*>", re.S | re.I)
@@ -59,9 +60,11 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int =
     found: dict[str, np.ndarray] = {}
     for r in sample.mapInArrow(run, "lang string, counts binary").collect():  # the sample is bounded
         found[r["lang"]] = found.get(r["lang"], 0) + np.frombuffer(r["counts"], np.int64)
-    names = sorted(sorted(found, key=lambda k: (-int(found[k].sum()), k))[:MOST_LANGUAGES])
+    names = sorted(found)
+    if len(names) > MOST_LANGUAGES:
+        raise ValueError(f"the labels have more than {MOST_LANGUAGES} languages")
     if not names:
-        raise ValueError("no labelled text to fit the languages on")
+        return [], np.zeros((CELLS, 0), np.float32)
     counts = np.stack([found[k] for k in names], axis=1) + 0.5
     return names, np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
@@ -104,10 +107,15 @@ def identify(pages: DataFrame, labelled: DataFrame) -> DataFrame:
     left, in the end by the prior of all pages. Ties go to the first language in alphabetical order. Repeated rows are
     pages of their own. Grouped sums merge on the map side, so a host that a third of all pages have is a row a task; pages
     meet their host's row in a join whose hot host Spark can split. Suffixes, declared languages and hosts needn't fit on
-    one machine. An empty table gives an empty result; other columns are left out.
+    one machine. Without labelled texts no language is known: lang, confidence and text_lang are null. An empty table gives
+    an empty result; other columns are left out.
     """
     names, table = fit(labelled)
     n = len(names)
+    if not n:
+        host, declared = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), HOST, 1)), F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), DECLARED, 1))
+        none = F.lit(None).cast("string")
+        return pages.select("page_id", none.alias("lang"), F.lit(None).cast("double").alias("confidence"), none.alias("text_lang"), F.nullif(declared, F.lit("")).alias("declared"), F.nullif(host, F.lit("")).alias("host"))
     rows = written(features(pages, names, table).withColumn("text_p", _normal(F.col("loglik"))), "features")
     sums = [F.sum(F.col("text_p")[k]).alias(f"s{k}") for k in range(n)]
     vector = lambda p, of="": F.array(*[F.col(f"{of}s{k}") for k in range(n)]).alias(p)

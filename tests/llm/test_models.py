@@ -129,3 +129,13 @@ def test_language_accuracy(spark):
 def test_fit_bound():
     r = random.Random(0)
     assert language_id.cells("".join(r.choices("abc ", k=1000))).max() < language_id.CELLS and len(language_id.cells("")) == 0
+
+
+def test_pages_without_labelled_texts_ties_and_repeated_rows(spark):
+    pages = spark.createDataFrame([(1, "https://a.fr/x", "<html lang='de'>und der die das"), (1, "https://a.fr/x", "<html lang='de'>und der die das"), (2, None, "123 " * 50_000)], "page_id long, url string, html string")
+    none = spark.createDataFrame([], "text string, lang string")
+    assert [(r.lang, r.declared, r.host) for r in language_id.identify(pages.where("page_id = 1"), none).collect()] == [(None, "de", "a.fr")] * 2
+    same = spark.createDataFrame([("abc abc", "fr"), ("abc abc", "en")], "text string, lang string")
+    got = language_id.identify(pages, same).collect()
+    assert len(got) == 3 and len({(r.lang, round(r.confidence, 9)) for r in got if r.page_id == 1}) == 1
+    assert [r.text_lang for r in got if r.page_id == 2] == ["en"]

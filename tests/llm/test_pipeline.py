@@ -1,6 +1,7 @@
 import corpus_pipeline
 import public_tokenizers
 from lumenary.llm import ngram_join, packing, pii
+from lumenary.llm.common import written
 from pyspark.sql import functions as F
 
 from tests.llm.test_lines_and_rules import brute_lines
@@ -24,15 +25,20 @@ def test_stages_against_plain_versions(spark):
     clean = pii.replace(spark.createDataFrame(sorted(stay.items()), "doc_id long, text string"), corpus_pipeline.PII_KEY)
     want = {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in packing.pieces(clean, public_tokenizers.path("byte_bpe_50k.json")).collect()}
     assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got} == want
+    filled: dict[int, list[tuple[int, int]]] = {}
+    for r in got:
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for v in filled.values():
+        v.sort()
+        assert v[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(v, v[1:], strict=False)) and sum(v[-1]) <= 2048
 
 
 def test_columns_between_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, SF).select(*corpus_pipeline.COLUMNS)
-        assert docs.columns == corpus_pipeline.COLUMNS
-        break
-    assert ngram_join.join(docs).columns == ["doc_id", "n_shingles", "component_id", "n_links"] and F
+        docs = written(stage(spark, docs.limit(40), SF), "stage")
+        assert docs.columns == corpus_pipeline.COLUMNS and docs.where(F.col("n_chars") != F.length("text")).isEmpty()
+    assert ngram_join.join(docs).columns == ["doc_id", "n_shingles", "component_id", "n_links"]
 
 
 def test_rows_without_an_id_or_with_the_same_one(spark):
