@@ -11,8 +11,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Words whose full stop doesn't end a sentence (fixed values).
-ABBREVIATIONS = {"e.g", "i.e", "etc", "al", "fig", "figs", "eq", "eqs", "ref", "refs", "vs", "dr", "mr", "mrs", "prof", "no", "cf", "approx", "resp"}
+#: Words whose full stop doesn't end a sentence, and such as may: there the next word decides (fixed values).
+ABBREVIATIONS = {"fig", "figs", "eq", "eqs", "ref", "refs", "vs", "dr", "mr", "mrs", "prof", "no", "cf", "approx", "resp"}
+MAY_END = {"etc", "al", "e.g", "i.e"}
 END = re.compile(r"[.!?。！？]+[\"'”’)\]」』]*")
 
 
@@ -25,6 +26,9 @@ def sentences(text: str) -> list[tuple[int, int]]:
             word = re.search(r"[\w.]*$", text[max(0, m.start() - 20) : m.start()]).group()
             if at < len(text) and not text[at].isspace() or word.lower() in ABBREVIATIONS or re.fullmatch(r"[A-Z](\.[A-Z])*", word):
                 continue
+            after = text[at : at + 200].lstrip()
+            if word.lower() in MAY_END and after and not (after[0].isupper() or "\u4e00" <= after[0] <= "\u9fff"):
+                continue
         while at < len(text) and text[at].isspace():
             at += 1
         if at > begin:
@@ -127,6 +131,32 @@ def chunk(text: str | None, target: int = 400, most: int = 600, overlap: int = 5
     return out
 
 
+#: Limits of parents and of the children in them: least, target and most tokens (fixed values).
+PARENT, CHILD = (500, 1200, 1800), (180, 400, 600)
+
+
+def family(text: str | None, parent: tuple[int, int, int] = PARENT, child: tuple[int, int, int] = CHILD, overlap: int = 50) -> list[tuple[int, int, int, int, str]]:
+    """A document's parents and their children: the parent's number, the child's in it (-1 for the parent itself), begin, end and
+    text. Parents tile the text, the children of each tile it, and a child's text leads in with sentences of the same parent."""
+    out = []
+    for i, (a, b, _) in enumerate(chunk(text, parent[1], parent[2], 0, least=parent[0])):
+        out.append((i, -1, a, b, text[a:b]))
+        out += [(i, k, a + x, a + y, t) for k, (x, y, t) in enumerate(chunk(text[a:b], child[1], child[2], overlap, least=child[0]))]
+    return out
+
+
+def families(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row for each parent and child: key, parent, child (-1: the parent itself), begin, end, text."""
+
+    def run(batches):
+        for b in batches:
+            rows = [(k, *c) for k, t in zip(*(c.to_pylist() for c in b.columns), strict=True) for c in family(t)]
+            kinds = (b.schema.field(0).type, *[pa.int32()] * 4, pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], [key, "parent", "child", "begin", "end", "text"])
+
+    return df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, parent int, child int, begin int, end int, text string")
+
+
 def chunks(df: DataFrame, key: str = "doc_id", text: str = "text", **limits) -> DataFrame:
     """A row for each chunk: key, ordinal, begin, end, text. Null and empty texts have none."""
 

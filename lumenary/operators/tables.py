@@ -71,6 +71,23 @@ def validate(cells: DataFrame) -> DataFrame:
     return overlap.unionByName(size.select("table_id", F.lit("gap").alias("code"), "n"))
 
 
+def html_markdown(html: str | None) -> str:
+    """The first tables of a piece of HTML as one Markdown table, as an older reader made it: a cell's text stands in every place
+    that it spans, rows are filled up to the widest, and the first is the header. Without a table, the HTML itself."""
+    grid: dict[tuple[int, int], str] = {}
+    at, last = -1, None
+    for t, r, c, rs, cs, _, text in html_cells(html or ""):
+        if (t, r) != last:
+            at, last = at + 1, (t, r)
+        cell = text.replace("\\", "\\\\").replace("|", "\\|")
+        grid |= {(at + i, c + j): cell for i in range(rs) for j in range(cs)}
+    if not grid:
+        return (html or "").strip()
+    height, width = (max(k[x] for k in grid) + 1 for x in (0, 1))
+    lines = ["| " + " | ".join(grid.get((r, c), "") for c in range(width)) + " |" for r in range(height)]
+    return "\n".join([lines[0], "| " + " | ".join(["---"] * width) + " |", *lines[1:]])
+
+
 def html_cells(html: str, most: int = 100_000) -> Iterator[tuple[int, int, int, int, int, bool, str]]:
     """Cells of the tables in a piece of HTML: table, row, column, rowspan, colspan, header and text. A span is anchored at
     its cell; rowspans end with their row group."""

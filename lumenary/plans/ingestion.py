@@ -62,3 +62,17 @@ def src16_copy_missing(spark, sf_dir):
 @query()
 def c1_semantic_chunks(spark, sf_dir):
     return chunking.chunks(table(spark, sf_dir, "documents"))
+
+
+@query(r"""SELECT doc_id, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM documents WHERE length(text) > 0 GROUP BY 1""")
+def c4_parents(spark, sf_dir):
+    """Parents and children of all documents; parents tile their text."""
+    f = chunking.families(table(spark, sf_dir, "documents"))
+    return f.where("child = -1").groupBy("doc_id").agg(F.sum(F.col("end") - F.col("begin")).alias("n_chars"))
+
+
+@query("""SELECT conv_id AS session_id, turn AS attachment_id, replace(text, chr(0), '') AS text, CAST(greatest(1, length(replace(text, chr(0), '')) // 4) AS BIGINT) AS token_estimate FROM conversations WHERE role = 'user' AND trim(replace(text, chr(0), '')) <> ''""")
+def src19_session_attachments(spark, sf_dir):
+    """Users' turns as texts attached to their session, with a sign between that no text may have."""
+    c = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("attachment_id"), F.concat(F.lit("\u0000"), "text").alias("text"))
+    return A.attachments(c).select("session_id", "attachment_id", "text", "token_estimate")

@@ -6,6 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import blocks as B
+from ..operators import structures as ST
 from ..operators import tables as O
 from .registry import query, table
 
@@ -96,3 +98,66 @@ def t8_page_order(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "//([^/]+)", 1).alias("host"), F.regexp_extract("url", r"/([^/?#.]+)[^/]*$", 1).alias("page_label"))
     number = F.when(F.col("page_label").rlike(r"^\d+$"), F.col("page_label").cast("long")).otherwise(F.lit(1_000_000_000))
     return p.withColumn("position", F.row_number().over(W.partitionBy("host").orderBy(number, "page_label", "page_id"))).drop("host")
+
+
+def _asked(spark, sf_dir):
+    """A question for each table, about its first row, put to two documents: the table's own and the next one."""
+    m = markdown(spark, sf_dir)
+    ids = m.select("table_id", (F.row_number().over(W.orderBy("table_id")) - 1).cast("long").alias("document_id"))  # 25 tables
+    d = m.join(ids, "table_id").select("document_id", "table_id", F.to_json(F.struct(F.struct(F.array(F.struct(F.lit("").alias("markdown"), F.col("table_id").alias("caption")), F.struct(F.col("markdown"), F.col("table_id").alias("caption"))).alias("tables")).alias("document_intelligence"))).alias("metadata"))
+    q = ids.select(F.col("document_id").alias("query_id"), "document_id", F.concat(F.lit("early orders of 1-URGENT priority for "), "table_id").alias("question"))
+    return d, q.unionByName(q.withColumn("document_id", (F.col("document_id") + 1) % 25))
+
+
+@query(f"""WITH {CELLS_SQL}, t AS (SELECT table_id, row_number() OVER (ORDER BY table_id) - 1 AS id FROM (SELECT DISTINCT table_id FROM cells)) SELECT id AS query_id, id AS document_id, CAST(1 AS INT) AS ordinal FROM t""")
+def r6_own_tables(spark, sf_dir):
+    """The best table of each question among those of the documents that it was put to: its own."""
+    d, q = _asked(spark, sf_dir)
+    return B.own_tables(d, q, 1).select("query_id", "document_id", "ordinal")
+
+
+@query(f"WITH {CELLS_SQL} SELECT DISTINCT table_id, true AS own_matches, false AS other_matches FROM cells")
+def f11_table_groups(spark, sf_dir):
+    """Whether a table answers a question about its first row, and one about a thing that no table has."""
+    m = markdown(spark, sf_dir)
+    own = F.concat(F.lit("early orders of 1-URGENT priority in "), "table_id")
+    return m.select("table_id", B.group_matches(own, F.col("markdown")).alias("own_matches"), B.group_matches(F.lit("melting-point of copper in Peru"), F.col("markdown")).alias("other_matches"))
+
+
+@query(f"""WITH {CELLS_SQL}, r AS (SELECT table_id, row_label, row_number() OVER (PARTITION BY table_id ORDER BY row_label) - 1 AS i FROM (SELECT DISTINCT table_id, row_label FROM cells)) SELECT table_id, count(*) + 2 AS n_children, CAST(sum(i) AS BIGINT) AS row_sum FROM r GROUP BY 1""")
+def c6_table_chunks(spark, sf_dir):
+    """Children of each table: a row each, as labels differ, and two footnotes."""
+    g = markdown(spark, sf_dir).select("table_id", O.grid(F.col("markdown")).alias("g"))
+    t = g.select("table_id", F.lit("Orders").alias("caption"), F.get("g", F.lit(0)).alias("headers"), F.slice("g", 2, 1000).alias("rows"), F.array(F.lit("# of all years"), F.lit("a note without a mark")).alias("notes"))
+    c = ST.chunk_tables(t, 60).where("chunk_role = 'child'")
+    return c.groupBy("table_id").agg(F.count("*").alias("n_children"), F.sum(F.aggregate("rows", F.lit(0), lambda a, x: a + x)).alias("row_sum"))
+
+
+@query(f"WITH {CELLS_SQL}, t AS (SELECT table_id, row_number() OVER (ORDER BY table_id) AS id FROM (SELECT DISTINCT table_id FROM cells)) SELECT CAST(id // 3 AS BIGINT) AS document_id, table_id AS original, table_id || '_r' AS repaired, CASE id % 2 WHEN 0 THEN 'source_region_id' ELSE 'normalized_bbox' END AS basis FROM t WHERE id // 3 <> 4")
+def c12_repaired_tables(spark, sf_dir):
+    """Tables, three a document, and their repaired versions, told by region or box; in one document all boxes are alike, so
+    that it has no answer."""
+    ids = markdown(spark, sf_dir).select("table_id", F.row_number().over(W.orderBy("table_id")).alias("id"))  # 25 tables
+    document = F.floor(F.col("id") / 3).cast("long")
+    left = F.when(document == 4, 0.0).otherwise(F.col("id") * 10.0)
+    region = F.when((F.col("id") % 2 == 0) & (document != 4), F.concat(F.lit("r"), F.col("id").cast("string")))
+    row = lambda side, name, shift: ids.select(document.alias("document_id"), F.lit(side).alias("side"), name.alias("table_id"), region.alias("region_id"), F.array(left + shift, F.lit(0.0), left + 8.0, F.lit(9.0)).alias("box"), F.lit(None).cast("string").alias("block_id"))
+    return ST.match_inventories(row("original", F.col("table_id"), 0.0).unionByName(row("repaired", F.concat("table_id", F.lit("_r")), 0.5)))
+
+
+@query(f"WITH {CELLS_SQL} SELECT table_id, CAST(count(DISTINCT row_label) + 2 AS INT) AS n_lines, true AS spans_repeat FROM cells GROUP BY 1")
+def src6_html_markdown(spark, sf_dir):
+    """Tables as HTML, with a label over two columns in the header, as Markdown of the older form."""
+    g = markdown(spark, sf_dir).select("table_id", O.grid(F.col("markdown")).alias("g"))
+    row = lambda r: F.concat(F.lit("<tr>"), F.array_join(F.transform(r, lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))), ""), F.lit("</tr>"))
+    head = F.lit("<tr><th>priority</th><th colspan=2>years</th><th>late</th></tr>")
+    html = g.select("table_id", F.concat(F.lit("<table>"), head, F.array_join(F.transform(F.slice("g", 2, 1000), row), ""), F.lit("</table>")).alias("html"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([O.html_markdown(x) for x in b.column(1).to_pylist()])], ["table_id", "markdown"])
+
+    m = html.mapInArrow(run, "table_id string, markdown string")
+    return m.select("table_id", F.size(F.split("markdown", "\n")).alias("n_lines"), F.contains("markdown", F.lit("| priority | years | years | late |")).alias("spans_repeat"))

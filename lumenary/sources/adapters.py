@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 #: Formats by suffix (fixed values); other suffixes are text.
 FORMATS = {"pdf": "pdf", "docx": "docx", "html": "html", "htm": "html", "xhtml": "html", "md": "markdown", "markdown": "markdown", "txt": "text"}
 BLOCKS = "ordinal int, block_type string, level int, text string"
@@ -179,3 +181,10 @@ def reports(spark: SparkSession, path: str) -> DataFrame:
     t = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "manifest.json").text(path)
     ok = F.coalesce(F.try_parse_json("value").isNotNull() & F.startswith(F.trim("value"), F.lit("{")), F.lit(False))
     return t.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), ok.alias("ok"), "value").orderBy(F.desc("modified"), "path")
+
+
+def attachments(texts: DataFrame) -> DataFrame:
+    """Texts attached to sessions (session_id, attachment_id, text) as chunks: paragraphs stay as they are in one chunk, NUL
+    characters go, blank texts have none. Adds ordinal and token_estimate."""
+    t = texts.withColumn("text", F.replace(F.coalesce("text", F.lit("")), F.lit("\u0000"), F.lit(""))).where(F.trim("text") != "")
+    return t.withColumn("ordinal", F.lit(0)).withColumn("token_estimate", T.token_estimate(F.col("text")))

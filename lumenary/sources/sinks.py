@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,13 +26,18 @@ def verify_copy(source: DataFrame, target: DataFrame) -> bool:
 
 
 def write_bundle(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` as a bundle: data in a staging folder, then a manifest of rows and a content hash beside it. A bundle
-    without a manifest isn't complete. Returns the manifest."""
+    """Write ``df`` as a bundle: data and a manifest of rows and a content hash in a staging folder, which is then renamed
+    to ``path``; what was there goes first. A reader sees the old bundle, none, or the whole new one. Returns the manifest."""
     spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{path}/data")
-    manifest = hashes(spark, path)
-    manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
-    return manifest
+    staged = f"{path}__staged-{uuid.uuid4().hex}"
+    df.write.parquet(f"{staged}/data")
+    hashes(spark, staged).coalesce(1).write.json(f"{staged}/manifest")
+    folder = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = folder(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs.delete(folder(path), True)
+    if not fs.rename(folder(staged), folder(path)):
+        raise OSError(f"{staged} can't be renamed to {path}")
+    return spark.read.json(f"{path}/manifest")
 
 
 def hashes(spark: SparkSession, path: str) -> DataFrame:
