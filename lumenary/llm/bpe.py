@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from heapq import heapify, heappop, heappush
 
@@ -76,10 +76,12 @@ def merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
 
 
 class Encoder:
-    """Encodes texts by a rank table; each distinct piece is merged once while it stays in the cache."""
+    """Encodes texts by a rank table; each distinct piece is merged once while it stays in the cache. ``merge`` may be
+    another function from a piece to its ids, of the same results."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], merge: Callable[[str], list[int]] | None = None):
         self.ranks = ranks
+        self.merge = merge or self.merged
         self.cache: dict[str, bytes] = {}
         self.text_of = {i: str(i) for i in ranks.values()}
         # All tokens' bytes end to end: where each one's begin, and how many they are.
@@ -91,7 +93,7 @@ class Encoder:
         self.begin[[ranks[t] for t in tokens]] = np.cumsum([0, *map(len, tokens[:-1])])
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
 
-    def merge(self, piece: str) -> list[int]:
+    def merged(self, piece: str) -> list[int]:
         raw = piece.encode()
         whole = self.ranks.get(raw)
         if whole is not None:

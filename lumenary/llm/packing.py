@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,7 +54,8 @@ def json_encoder(path: str) -> WithAdded:
         if vocab[a + b] != 256 + i:
             raise ValueError("the ids don't follow the order of the merges")
     ranks = {bytes(byte_of[c] for c in k): i for k, i in vocab.items() if i < 256 + len(model["merges"])}
-    return WithAdded(Encoder(ranks), {t["content"]: t["id"] for t in whole["added_tokens"]})
+    pieces = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})  # merges one piece at a time
+    return WithAdded(Encoder(ranks, pieces.encode_ordinary), {t["content"]: t["id"] for t in whole["added_tokens"]})
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
