@@ -81,22 +81,22 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
             if at < len(rooms):
                 room = rooms[at]
                 first, n = ranges[room].pop()
-                used = min(n, left)
-                if n > used:
-                    ranges[room].append((first + used, n - used))
                 if not ranges[room]:
                     del ranges[room], rooms[at]
-                slots.append((length, rank, rank + used, first, capacity - room))
-                put(room - length, first, used)
-                rank, left = rank + used, left - used
-                continue
-            each = capacity // length
-            bins, deep = (left // each, each) if left >= each else (1, left)
+            else:
+                room, first, n = capacity, opened, left  # as many new ones as it takes
+            # A sequence that took a document is the best fit for the next one, as long as it has room.
+            each = room // length
+            bins, deep = (min(n, left // each), each) if left >= each else (1, left)
             for k in range(deep):
-                slots.append((length, rank, rank + bins, opened, k * length))
+                slots.append((length, rank, rank + bins, first, capacity - room + k * length))
                 rank += bins
-            put(capacity - deep * length, opened, bins)
-            opened, left = opened + bins, left - bins * deep
+            put(room - deep * length, first, bins)
+            if room < capacity:
+                put(room, first + bins, n - bins)
+            else:
+                opened += bins
+            left -= bins * deep
     return slots
 
 
