@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import answers as AN
 from ..operators import evaluation as E
+from ..operators import gates as GT
 from ..operators import retrieval as R
 from . import model as M
 from .registry import query, table
@@ -47,11 +48,25 @@ def a11_citation_validity(spark, sf_dir):
     return h.join(c, ["query_id", "document_id"], "left").groupBy("query_id").agg(F.round(F.avg(valid.cast("int")), 6).alias("validity"))
 
 
-@query("""SELECT source, CASE WHEN count(l.doc_id) = 0 THEN 1.0 ELSE round(count(*) FILTER (quality = 1) / count(l.doc_id), 6) END AS quality_ratio, CASE WHEN count(*) = 0 THEN 0.0 ELSE round(count(l.doc_id) / count(*), 6) END AS labelled_ratio FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1""")
-def a7_integrity_ratios(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").withColumn("_l", F.lit(1)), "doc_id", "left")
-    g = d.groupBy("source").agg(F.count_if(F.col("quality") == 1).alias("_q"), F.count("_l").alias("_n"), F.count("*").alias("_a"))
-    return g.select("source", E.ratio(F.col("_q"), F.col("_n"), 1.0).alias("quality_ratio"), E.ratio(F.col("_n"), F.col("_a"), 0.0).alias("labelled_ratio"))
+@query(f"""WITH {M.CHUNKS_SQL}, v AS (SELECT doc_id, n_chars >= 20 AS completed, CASE WHEN doc_id % 50 = 0 THEN 0.5 ELSE 1.0 END AS fidelity, lang, sha256(text) AS own, CASE WHEN doc_id % 9 = 0 THEN 'x' ELSE sha256(text) END AS stored FROM documents),
+k AS (SELECT c.*, e.embedding IS NOT NULL AND len(e.embedding) = 64 AS ok FROM chunks c LEFT JOIN embeddings e ON e.vec_id = c.document_id WHERE chunk_role = 'child'),
+g AS (SELECT 'parse_completeness' AS gate, count(*) FILTER (completed) AS valid, count(*) AS total FROM v UNION ALL SELECT 'source_fidelity_completeness', count(*) FILTER (fidelity = 1), count(*) FROM v UNION ALL SELECT 'structured_limit_completeness', count(*), count(*) FROM v
+ UNION ALL SELECT 'config_identity_completeness', count(*) FILTER (lang = 'en'), count(*) FROM v UNION ALL SELECT 'source_version_identity_completeness', count(*) FILTER (own = stored), count(*) FROM v
+ UNION ALL SELECT 'contextual_prefix_completeness', count(*) FILTER (block_type IS NOT NULL), count(*) FROM k UNION ALL SELECT 'plain_embedding_completeness', count(*) FILTER (block_type IS NOT NULL OR ordinal % 2 = 0 OR text = trim(text)), count(*) FROM k UNION ALL SELECT 'embedding_completeness', count(*) FILTER (ok), count(*) FROM k
+ UNION ALL SELECT 'source_span_validity', count(*) FILTER (length(text) > 0), count(*) FROM k UNION ALL SELECT 'child_token_limit_completeness', count(*) FILTER (greatest(1, length(text) // 4) <= 100), count(*) FROM k
+ UNION ALL SELECT 'table_validation_rate', count(*) FILTER (l_quantity < 40), count(*) FROM lineitem UNION ALL SELECT 'artifact_link_validity', 0, 0)
+SELECT gate, CAST(valid AS BIGINT) AS valid, CAST(total AS BIGINT) AS total, CASE WHEN total = 0 THEN 1.0 ELSE round_even(valid / total, 6) END AS ratio FROM g""")
+def a7_integrity_gates(spark, sf_dir):
+    """Documents as active versions and their lines as children; lines without a type have no prefix."""
+    d = table(spark, sf_dir, "documents")
+    own = F.sha2(F.col("text").cast("binary"), 256)
+    versions = d.select((F.col("n_chars") >= 20).alias("completed"), F.when(F.col("doc_id") % 50 == 0, 0.5).otherwise(1.0).alias("source_fidelity"), F.lit(1.0).alias("structured_limit"), F.col("lang").alias("config"), own.alias("source_hash"), F.when(F.col("doc_id") % 9 == 0, "x").otherwise(own).alias("stored_hash"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("document_id"), "embedding")
+    c = M.chunks(spark, sf_dir).where("chunk_role = 'child'").join(e, "document_id", "left")
+    embedded = F.when(F.col("block_type").isNotNull(), F.concat("block_type", F.lit("\n\n"), "text")).when(F.col("ordinal") % 2 == 0, F.col("text")).otherwise(F.trim("text"))
+    children = c.select("text", embedded.alias("embedding_text"), F.col("block_type").alias("prefix"), "embedding", F.length("text").alias("n_spans"), T.token_estimate(F.col("text")).alias("n_tokens"))
+    tables = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") < 40).alias("accepted"))
+    return GT.integrity(versions, children, tables, tables.limit(0).select(F.lit(True).alias("ok")), F.lit("en"), 64, 100)
 
 
 @query("""WITH c AS (SELECT source, lang, count(*) > 5 AS big, max(n_chars) > 2000 AS long FROM documents GROUP BY 1, 2)
@@ -119,7 +134,19 @@ def v5_coverage_retry(spark, sf_dir):
     return c.where("role = 'assistant'").join(p, ["conv_id", "turn"]).select("conv_id", "turn", covered.alias("covered"), (covered < F.greatest(F.lit(1), F.floor(F.size("expected") / 2))).alias("retry"))
 
 
-@query("""SELECT doc_id, list_filter([CASE WHEN n_chars < 50 THEN 'content' END, CASE WHEN NOT contains(text, chr(10)) THEN 'order' END, CASE WHEN length(trim(string_split(text, chr(10))[1])) < 10 THEN 'abstract' END], lambda x: x IS NOT NULL) AS issues FROM documents""")
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents), b AS (SELECT doc_id, i + CASE WHEN doc_id % 7 = 0 AND i > 0 THEN 1 ELSE 0 END AS o, CASE i % 5 WHEN 3 THEN 'figure' WHEN 4 THEN 'formula' ELSE 'narrative' END AS k, trim(t) <> '' AS f FROM l),
+g AS (SELECT doc_id, count(*) FILTER (f) AS content, count(*) AS n, count(DISTINCT o) AS d, min(o) AS lo, max(o) AS hi, count(*) FILTER (k = 'figure' AND NOT f) AS fig, count(*) FILTER (k = 'formula' AND NOT f) AS form FROM b GROUP BY 1),
+r AS (SELECT d.doc_id, unnest(list_filter([CASE WHEN d.doc_id % 4 = 3 THEN 'page_missing' END, CASE WHEN content = 0 THEN 'content_empty' END, CASE WHEN d <> n OR lo <> 0 OR hi <> n - 1 THEN 'reading_order_invalid' END, CASE WHEN source LIKE '%e%' THEN 'asset_path_unsafe' END, CASE WHEN n_chars < 500 THEN 'abstract_missing' END, CASE WHEN fig > 0 THEN 'figure_empty' END, CASE WHEN form > 0 THEN 'formula_empty' END], lambda x: x IS NOT NULL)) AS code FROM documents d JOIN g ON g.doc_id = d.doc_id)
+SELECT doc_id AS document_id, code, CASE WHEN code IN ('page_missing', 'content_empty', 'reading_order_invalid') THEN 'fatal' WHEN code = 'abstract_missing' THEN 'warning' ELSE 'error' END AS severity FROM r""")
 def c11_document_gate(spark, sf_dir):
-    rules = [("content", F.col("n_chars") < 50), ("order", ~F.contains("text", F.lit("\n"))), ("abstract", F.length(F.trim(F.split("text", "\n")[0])) < 10)]
-    return table(spark, sf_dir, "documents").select("doc_id", F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in rules]), lambda x: x.isNotNull()).alias("issues"))
+    """Lines as blocks, of which some are figures and formulas; every seventh document has a gap in its order, and every fourth
+    lacks its last page."""
+    d = table(spark, sf_dir, "documents")
+    lines = d.select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    kind = F.when(F.col("i") % 5 == 3, "figure").when(F.col("i") % 5 == 4, "formula").otherwise("narrative")
+    order = F.col("i") + F.when((F.col("document_id") % 7 == 0) & (F.col("i") > 0), 1).otherwise(0)
+    blocks = lines.select("document_id", order.alias("reading_order"), kind.alias("block_type"), "text", F.lit(None).cast("string").alias("caption"), F.lit(True).alias("retrievable"))
+    parsed = F.when(F.col("doc_id") % 4 == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0), F.lit(1), F.lit(2)))
+    asset = F.when(F.contains("source", F.lit("e")), F.concat(F.lit("a/../"), "source")).otherwise(F.concat(F.lit("a/"), "source"))
+    documents = d.select(F.col("doc_id").alias("document_id"), F.lit(3).alias("expected_pages"), parsed.alias("parsed_pages"), F.array(asset).alias("assets"), (F.col("n_chars") >= 500).alias("has_abstract"))
+    return GT.document_issues(documents, blocks).select("document_id", "code", "severity")
