@@ -106,41 +106,44 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
+def _chars(w: Column) -> Column:
+    return F.length(F.array_join(w, ""))
+
+
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` of a text, which isn't null, and of its words."""
+    """``rejects`` of a text, which isn't null, and of its words; ``known`` says the same of a text and the columns that
+    ``measures`` adds, where these are there anyway."""
 
     name: str
     rejects: Callable[[Column, Column], Column]
-
-
-def _chars(w: Column) -> Column:
-    return F.length(F.array_join(w, ""))
+    known: Callable[[Column], Column]
 
 
 #: Thresholds follow published web-corpus filters: mean word length, symbols a word, repeated lines, letters and case.
 RULES = (
-    Rule("few_words", lambda t, w: F.size(w) < 50),
-    Rule("repeated_windows", lambda t, w: mostly_repeated(w)),
-    Rule("word_length", lambda t, w: let(_chars(w), lambda n: (n < 2 * F.size(w)) | (n > 12 * F.size(w)))),
-    Rule("symbols", lambda t, w: 10 * n_symbols(t) > F.size(w)),
-    Rule("repeated_lines", lambda t, w: let(lines(t), lambda x: 2 * duplicate_lines(x) > F.size(x))),
-    Rule("few_letters", lambda t, w: 100 * count_of(t, r"\p{L}+") < 60 * _chars(w)),
-    Rule("capitals", lambda t, w: 100 * count_of(t, r"\p{Lu}+") > 30 * _chars(w)),
-    Rule("exclamations", lambda t, w: 5 * count_of(t, "!+") > F.size(w)),
+    Rule("few_words", lambda t, w: F.size(w) < 50, lambda t: F.col("n_words") < 50),
+    Rule("repeated_windows", lambda t, w: mostly_repeated(w), lambda t: 2 * F.col("n_repeat_words") > F.col("n_words")),
+    Rule("word_length", lambda t, w: let(_chars(w), lambda n: (n < 2 * F.size(w)) | (n > 12 * F.size(w))), lambda t: (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 12 * F.col("n_words"))),
+    Rule("symbols", lambda t, w: 10 * n_symbols(t) > F.size(w), lambda t: 10 * F.col("n_symbols") > F.col("n_words")),
+    Rule("repeated_lines", lambda t, w: let(lines(t), lambda x: 2 * duplicate_lines(x) > F.size(x)), lambda t: 2 * F.col("n_dup_lines") > F.col("n_lines")),
+    Rule("few_letters", lambda t, w: 100 * count_of(t, r"\p{L}+") < 60 * _chars(w), lambda t: 100 * count_of(t, r"\p{L}+") < 60 * F.col("word_chars")),
+    Rule("capitals", lambda t, w: 100 * count_of(t, r"\p{Lu}+") > 30 * _chars(w), lambda t: 100 * count_of(t, r"\p{Lu}+") > 30 * F.col("word_chars")),
+    Rule("exclamations", lambda t, w: 5 * count_of(t, "!+") > F.size(w), lambda t: 5 * count_of(t, "!+") > F.col("n_words")),
 )
 
 
-def verdict(text: Column, rules: list[Rule] | tuple[Rule, ...]) -> Column:
-    """The name of the first rule, in the given order, that rejects ``text``; null if none does. Words are cut once."""
+def first_of(rules: list[Rule] | tuple[Rule, ...], rejects: Callable[[Rule], Column]) -> Column:
+    """The cascade: the name of the first rule that rejects; null if none does."""
+    first = F.lit(None).cast("string")
+    for rule in reversed(rules):
+        first = F.when(rejects(rule), rule.name).otherwise(first)
+    return first
 
-    def case(t: Column, w: Column) -> Column:
-        first = F.lit(None).cast("string")
-        for rule in reversed(rules):
-            first = F.when(rule.rejects(t, w), rule.name).otherwise(first)
-        return first
 
-    return let(F.coalesce(text, F.lit("")), lambda t: let(words(t), lambda w: case(t, w)))
+def verdict(text: Column, rules: list[Rule] | tuple[Rule, ...]) -> Column:
+    """The name of the first rule, in the given order, that rejects ``text``; null if none does. Words are cut once."""
+    return let(F.coalesce(text, F.lit("")), lambda t: let(words(t), lambda w: first_of(rules, lambda rule: rule.rejects(t, w))))
 
 
 def order_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMPLE_ROWS, text: str = "text") -> list[Rule]:
@@ -176,6 +179,12 @@ def order_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = SAMP
     return [rules[k] for _, k in sorted(rank)]
 
 
+def judge_measured(measured: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
+    """Add failed_rule and kept to the rows of ``measures`` by a cascade that takes the measures as they are."""
+    failed = first_of(rules, lambda rule: rule.known(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    return measured.select(*[F.col(f"`{c}`") for c in measured.columns if c not in ("failed_rule", "kept")], failed.alias("failed_rule")).withColumn("kept", F.col("failed_rule").isNull())
+
+
 def judge(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", order: list[Rule] | None = None) -> DataFrame:
     """Add failed_rule and kept by the cascade in its measured order, or in the given one, as from an earlier run.
 

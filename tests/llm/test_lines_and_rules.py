@@ -86,11 +86,12 @@ def test_verdicts_against_brute_force(spark):
     for i, t in enumerate(texts):
         want = brute_verdict(t)
         assert got[i] == (next((x.name for x in order if want[x.name]), None), not any(want.values())), (t, want)
+    assert got == {x.doc_id: (x.failed_rule, x.kept) for x in quality_rules.judge_measured(quality_rules.measures(df), order).collect()}
 
 
 def test_order_by_rejection_per_cost(spark):
     slow = lambda t, w: quality_rules.mostly_repeated(F.flatten(F.array_repeat(w, 8)))
-    rules = (quality_rules.Rule("slow", slow), quality_rules.Rule("never", lambda t, w: F.size(w) < 0), quality_rules.Rule("quick", lambda t, w: F.size(w) > 10))
+    rules = (quality_rules.Rule("slow", slow, None), quality_rules.Rule("never", lambda t, w: F.size(w) < 0, None), quality_rules.Rule("quick", lambda t, w: F.size(w) > 10, None))
     df = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(300 + i))) for i in range(200)], "doc_id long, text string")
     orders = {tuple(x.name for x in quality_rules.order_rules(df, rules)) for _ in range(3)}
     assert orders == {("quick", "slow", "never")}
