@@ -17,13 +17,13 @@ Words and contexts travel as packed arrays, a row for each task and bucket.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +38,7 @@ FREQUENT = 1 << 18
 #: Documents for which there is a bucket, about.
 BUCKET_ROWS = 4000
 #: Words at once, distinct words that a task holds, and words without a vector that it holds.
-CHUNK, STATE_WORDS, HELD_WORDS = 1 << 17, 400_000, 1 << 20
+CHUNK, STATE_WORDS, HELD_WORDS = 1 << 18, 300_000, 1 << 19
 #: Labelled rows that training uses at most, those of least hash; the network's memory and time are bounded by it.
 TRAIN_ROWS = 20_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 32, 60, 128, 0.005, 1e-3, 7
@@ -57,11 +57,15 @@ class Words:
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8").split()
         known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        try:
+            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        except KeyError:
+            if len(known) > CACHE_WORDS:
+                known.clear()
+            for w in words:
+                if w not in known:
+                    known[w] = xxhash.xxh64_intdigest(w)
+            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def index_vectors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +86,7 @@ def contexts(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         a = np.flatnonzero(text[d:] == text[:-d])
         own, near = np.concatenate([a, a + d]), np.concatenate([a + d, a])
         total += np.bincount((inv[own][:, None] * SIZE + place[near]).ravel(), weights=sign[near].ravel(), minlength=len(total))
-    return words, counts.astype(np.int64), np.rint(total).astype(np.int64).reshape(-1, SIZE)
+    return words, counts.astype(np.int32), np.rint(total).astype(np.int32).reshape(-1, SIZE)
 
 
 def merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,28 +94,38 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.n
     h, n, v = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(h, kind="stable")
     h, n, v = h[order], n[order], v[order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-    return (h[first], np.add.reduceat(n, first), np.add.reduceat(v, first, axis=0)) if len(h) else (h, n, v)
+    if not len(h):
+        return h, n, v
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    # Sums that may leave 32 bits are made with 64.
+    wide = np.int64 if max(int(n.max()), int(np.abs(v).max(initial=0))) * int(np.diff(first, append=len(h)).max()) >= 1 << 31 else None
+    return h[first], np.add.reduceat(n, first, dtype=wide), np.add.reduceat(v, first, axis=0, dtype=wide)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of one length in few bytes: integers as narrow as they may be, and rarely wide rows apart from the others."""
+    """Arrays of one length in few bytes: signed integers as narrow as they may be, unsigned ones, which should rise, by their
+    differences, and all of them byte plane by byte plane, so that empty planes cost nothing."""
     out = [len(arrays[0]).to_bytes(8, "little")]
     for a in arrays:
-        kind = next((k for k in ("i1", "i2", "i4") if a.dtype.kind == "i" and (not a.size or -(1 << 8 * int(k[1]) - 1) <= a.min() and a.max() < 1 << 8 * int(k[1]) - 1)), a.dtype.str[1:])
-        out += [kind.encode(), a.astype(f"<{kind}").tobytes()]
-    return zlib.compress(b"".join(out), 1)
+        if a.dtype.kind == "u":
+            a, kind = np.diff(a, prepend=np.uint64(0)), "u8"
+        else:
+            kind = next((k for k in ("i1", "i2", "i4") if not a.size or (-(1 << 8 * int(k[1]) - 1) <= a.min() and a.max() < 1 << 8 * int(k[1]) - 1)), "i8")
+        planes = np.ascontiguousarray(a.astype(f"<{kind}")).view(np.uint8).reshape(-1, int(kind[1]))
+        out += [kind.encode(), planes.T.tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
 def unpack(raw: bytes, widths: tuple[int, ...]) -> list[np.ndarray]:
-    """What ``pack`` packed; a width over 1 makes a matrix. Signed numbers come back as int64."""
-    data = zlib.decompress(raw)
+    """What ``pack`` packed; a width over 1 makes a matrix. Signed numbers come back as int32, or int64 if they are wider."""
+    data = zstandard.ZstdDecompressor().decompress(raw)
     n, at, out = int.from_bytes(data[:8], "little"), 8, []
     for w in widths:
         kind = np.dtype("<" + data[at : at + 2].decode())
-        a = np.frombuffer(data, kind, n * w, at + 2)
-        at += 2 + a.nbytes
-        a = a.astype(np.int64) if kind.kind == "i" else a
+        planes = np.frombuffer(data, np.uint8, n * w * kind.itemsize, at + 2)
+        at += 2 + planes.size
+        a = np.ascontiguousarray(planes.reshape(kind.itemsize, -1).T).view(kind).ravel()
+        a = np.cumsum(a, dtype=np.uint64) if kind.kind == "u" else a if kind.itemsize == 8 else a.astype(np.int32)
         out.append(a.reshape(n, w) if w > 1 else a)
     return out
 
@@ -130,7 +144,8 @@ def _slices(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
 
 
 def _wide(v: np.ndarray) -> np.ndarray:
-    return np.abs(v).max(axis=1, initial=0) > 127
+    """Rows that don't fit a byte an entry."""
+    return (v.max(axis=1, initial=0) > 127) | (v.min(axis=1, initial=0) < -128)
 
 
 def _rows(kinds: list[pa.DataType], names: list[str], rows: list[tuple]) -> pa.RecordBatch:
@@ -236,7 +251,7 @@ def pooled(documents: DataFrame, known: tuple[np.ndarray, np.ndarray], buckets:
             h, i, c = (np.concatenate(x) for x in zip(*rest, strict=True))
             order = np.argsort(h, kind="stable")
             h, i, c = h[order], i[order], c[order]
-            sent = [(1, b, None, None, pack(h[s], i[s].view(np.uint64), c[s])) for b, s in _slices(bucket_of(h, buckets))]
+            sent = [(1, b, None, None, pack(h[s], i[s], c[s])) for b, s in _slices(bucket_of(h, buckets))]
             return _rows([pa.int32(), pa.int64(), batch_kind, pa.int64(), pa.binary()], names, sent)
 
         key_kind = pa.int64()
@@ -277,11 +292,11 @@ def completed(rows: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
         if asked:
             top, _, sums = merged([tuple(unpack(x, (1, 1, SIZE))) for k, x in zip(kinds, data, strict=True) if k == 2])
             h, i, c = (np.concatenate(x) for x in zip(*asked, strict=True))
-            v, i = sums[np.searchsorted(top, h)], i.view(np.int64)
+            v, i = sums[np.searchsorted(top, h)], i.astype(np.int64)
             to = i % buckets
             order = np.argsort(to, kind="stable")
             v, i, c, to = v[order], i[order], c[order], to[order]
-            out = [(b, pack(i[s].view(np.uint64), c[s], v[s])) for b, s in _slices(to)]
+            out = [(b, pack(i[s], c[s], v[s])) for b, s in _slices(to)]
         return pa.Table.from_batches([_rows([pa.int64(), pa.binary()], ["bucket", "data"], out)])
 
     asked = rows.where("kind = 1").select("kind", F.col("id").alias("bucket"), "data")
@@ -297,7 +312,7 @@ def completed(rows: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
             if k == 1:
                 i, c, v = unpack(x, (1, 1, SIZE))
                 u = unit(v) / 127.0
-                at = np.searchsorted(ids, i.view(np.int64))
+                at = np.searchsorted(ids, i)
                 np.add.at(sums, at, np.concatenate([u, u * u], axis=1) * c[:, None])
         mean = sums[:, :SIZE] / n
         x = np.concatenate([mean, np.sqrt(np.maximum(sums[:, SIZE:] / n - mean * mean, 0))], axis=1).astype("<f4")
