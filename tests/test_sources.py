@@ -3,7 +3,7 @@ import json
 import pytest
 from lumenary.sources import adapters as A
 from lumenary.sources import sinks
-from lumenary.streaming.ingest import ingest
+from lumenary.streaming.ingest import compact, current, ingest
 
 
 def test_dispatch_and_files(spark, tmp_path):
@@ -61,7 +61,13 @@ def test_index_overwrites_only_its_partitions(spark, tmp_path):
 def test_stream_is_idempotent(spark, tmp_path):
     schema = "document_id long, parse_version string, text string"
     source, target = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
-    for rows in ([(1, "v1", "a"), (2, "v1", "b")], [(2, "v1", "c"), (3, "v1", "d")]):
+    for rows in ([(1, "v1", "a"), (2, "v1", "b"), (2, "v1", "B")], [(2, "v1", "c"), (3, "v1", "d")]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-        ingest(spark, source, schema, target, f"file://{tmp_path}/cp").awaitTermination()
-    assert sorted((r.document_id, r.text) for r in spark.read.parquet(target).collect()) == [(1, "a"), (2, "c"), (3, "d")]
+        ingest(spark, source, schema, target, f"file://{tmp_path}/cp", order="text").awaitTermination()
+    held = lambda where: sorted((r.document_id, r.text) for r in current(spark, where, schema).collect())
+    assert held(target) == [(1, "a"), (2, "c"), (3, "d")]
+    spark.createDataFrame([(3, "v1", "broken")], schema).write.parquet(f"{target}/batch=000000000009")
+    (tmp_path / "out" / "batch=000000000009" / "_SUCCESS").unlink()
+    assert held(target) == [(1, "a"), (2, "c"), (3, "d")]
+    compact(spark, target, schema, f"file://{tmp_path}/small")
+    assert held(f"file://{tmp_path}/small") == [(1, "a"), (2, "c"), (3, "d")] and current(spark, f"file://{tmp_path}/none", schema).count() == 0
