@@ -214,12 +214,13 @@ def c5_packed_snippets(spark, sf_dir):
     return chunking.snippets(table(spark, sf_dir, "documents"), 320)
 
 
-@query("""WITH p AS (SELECT source AS document_id, sha256(string_agg(sha256(text), ',' ORDER BY doc_id)) AS text_hash, count(*) AS n_parts FROM documents GROUP BY 1) SELECT document_id, text_hash, n_parts FROM p""")
+@query("""SELECT source AS document_id, CAST(sum(CAST('0x' || substr(sha256(doc_id || ':' || sha256(text)), 1, 12) AS BIGINT)) AS VARCHAR) AS text_hash, count(*) AS n_parts FROM documents GROUP BY 1""")
 def c13_profile_hash(spark, sf_dir):
-    """What a profile was made of, to tell when it must be made anew."""
-    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
-    g = d.groupBy(F.col("source").alias("document_id")).agg(F.sort_array(F.collect_list(F.struct("doc_id", "h"))).alias("l"), F.count("*").alias("n_parts"))
-    return g.select("document_id", F.sha2(F.array_join(F.transform("l", lambda x: x["h"]), ",").cast("binary"), 256).alias("text_hash"), "n_parts")
+    """What a profile was made of, to tell when it must be made anew: a sum of hashes, which merges on the map side and needs
+    no order, so that a document of any number of parts is no one task's."""
+    part = F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2(F.col("text").cast("binary"), 256)).cast("binary"), 256)
+    d = table(spark, sf_dir, "documents").select("source", F.conv(F.substring(part, 1, 12), 16, 10).cast("decimal(38,0)").alias("h"))
+    return d.groupBy(F.col("source").alias("document_id")).agg(F.sum("h").cast("string").alias("text_hash"), F.count("*").alias("n_parts"))
 
 
 @query(f"WITH {CELLS_SQL} SELECT table_id, CAST(count(*) + count(DISTINCT row_label) + 4 AS BIGINT) AS n_cells FROM cells GROUP BY 1")
