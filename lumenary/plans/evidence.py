@@ -67,16 +67,6 @@ def r11_uncovered_terms(spark, sf_dir):
     return E.supplement(have, wanted)
 
 
-@query("""WITH e AS (SELECT *, CASE event_type WHEN 'purchase' THEN 2 WHEN 'error' THEN 1 ELSE 0 END AS structure FROM events),
-a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, props ORDER BY structure DESC, value DESC, event_id) AS r FROM e) WHERE r = 1),
-b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY structure DESC, value DESC, event_id) AS c FROM a) WHERE c <= 5)
-SELECT query_id, document_id, rank FROM (SELECT user_id AS query_id, event_id AS document_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY structure DESC, value DESC, event_id) AS INT) AS rank FROM b) WHERE rank <= 8""")
-def r14_finalised_packs(spark, sf_dir):
-    structure = F.when(F.col("event_type") == "purchase", 2).when(F.col("event_type") == "error", 1).otherwise(0)
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("query_id"), F.col("event_type").alias("page"), structure.alias("structure"), F.col("value").alias("score"), F.col("event_id").alias("document_id"), F.col("props").alias("text"))
-    return E.finalise(rows).select("query_id", "document_id", "rank")
-
-
 @query("""WITH q AS (SELECT DISTINCT o_custkey AS query_id, l_suppkey AS table_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey), f AS (SELECT DISTINCT o_custkey AS query_id, l_suppkey AS table_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'), g AS (SELECT DISTINCT s_suppkey AS table_id FROM supplier WHERE s_nationkey < 12)
 SELECT q.query_id, q.table_id, CASE WHEN f.query_id IS NOT NULL THEN 'found' WHEN g.table_id IS NOT NULL THEN 'filled' ELSE 'missing' END AS origin, f.query_id IS NULL AND g.table_id IS NOT NULL AS coverage_by_fill FROM q LEFT JOIN f USING (query_id, table_id) LEFT JOIN g ON g.table_id = q.table_id""")
 def r16_requested_tables(spark, sf_dir):

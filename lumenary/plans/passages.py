@@ -64,12 +64,6 @@ def w6_required_slots(spark, sf_dir):
     return chunking.required_slots(ranked, "query_id long, rank int, kind string, document_id long", 4)
 
 
-@query("""SELECT event_id, position FROM (SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'purchase' THEN 4 WHEN 'error' THEN 3 WHEN 'click' THEN 2 ELSE 0 END DESC, value DESC, event_id) AS INT) AS position FROM events) WHERE position <= 8""")
-def t4_context_sort(spark, sf_dir):
-    structure = F.when(F.col("event_type") == "purchase", 4).when(F.col("event_type") == "error", 3).when(F.col("event_type") == "click", 2).otherwise(0)
-    return R.ranked(table(spark, sf_dir, "events"), ["user_id"], [structure.desc(), F.desc("value"), F.col("event_id")], 8, "position").select("event_id", "position")
-
-
 @query("""WITH c AS (SELECT conv_id AS query_id, CAST(turn AS INT) AS position, role || ':' || (turn // 12) AS page, text AS excerpt, CAST(length(text) AS DOUBLE) AS score FROM conversations),
 f AS (SELECT *, row_number() OVER (PARTITION BY query_id, page, excerpt ORDER BY position) AS a FROM c), n AS (SELECT *, count(*) OVER (PARTITION BY query_id, page) AS n FROM f WHERE a = 1),
 h AS (SELECT *, row_number() OVER (PARTITION BY query_id, page, substr(trim(excerpt), 1, 120) ORDER BY score DESC, position) AS b FROM n), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, page ORDER BY score DESC, position) AS r FROM h WHERE n <= 2 OR b = 1)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import evidence as EV
 from ..operators import knn, lexical
 from ..operators import retrieval as R
 from . import model as M
@@ -149,34 +150,85 @@ def t5_excerpt_dedup(spark, sf_dir):
     return R.excerpt_dedup(M.chunks(spark, sf_dir), [F.col("document_id"), F.col("ordinal")], ["project_id"]).select("document_id", "ordinal")
 
 
-@query("""WITH p AS (SELECT user_id, event_type, event_id, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) AS k FROM events)
-SELECT user_id, event_type, event_id FROM p WHERE k <= 5""")
+#: Pieces of evidence: the lines that share a token with a question, of the documents that it was routed to. Lines with a pipe count as rows of
+#: their document's table, four lines as a page.
+EVIDENCE_SQL = f"""{_ROUTE_SQL}, {M.CHUNKS_SQL}, qq AS (SELECT item_id AS query_id, {tokens_sql('text')} AS toks FROM benchmark),
+ev AS (SELECT * FROM (SELECT r.query_id, c.document_id, c.ordinal, c.chunk_role, c.text, c.ordinal // 4 AS page, contains(c.text, '|') AS is_table, CAST(len(list_intersect(qq.toks, {tokens_sql('c.text')})) AS BIGINT) AS score FROM routed r JOIN chunks c ON c.document_id = r.document_id JOIN qq ON qq.query_id = r.query_id) WHERE score > 0)"""
+
+
+def evidence(spark, sf_dir):
+    c = M.chunks(spark, sf_dir).select("document_id", "ordinal", "chunk_role", "text")
+    j = routed(spark, sf_dir).select("query_id", "document_id").join(c, "document_id").join(question_terms(spark, sf_dir), "query_id")
+    score = F.size(F.array_intersect("terms", T.tokens(F.col("text")))).cast("long")
+    return j.select("query_id", "document_id", "ordinal", "chunk_role", "text", F.floor(F.col("ordinal") / 4).alias("page"), F.contains("text", F.lit("|")).alias("is_table"), score.alias("score")).where("score > 0")
+
+
+def _best():
+    return [F.desc("score"), F.col("document_id"), F.col("ordinal")]
+
+
+_KEY = "substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 180)"
+
+
+@query(f"""WITH {EVIDENCE_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id, {_KEY} ORDER BY score DESC, document_id, ordinal) AS a FROM ev), pp AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id, page ORDER BY score DESC, ordinal) AS b FROM k WHERE a = 1)
+SELECT query_id, document_id, ordinal FROM pp WHERE b <= 2""")
 def w4_page_cap(spark, sf_dir):
-    return R.ranked(table(spark, sf_dir, "events"), ["user_id", "event_type"], [F.desc("value"), F.col("event_id")], 5, "_k").select("user_id", "event_type", "event_id")
+    """At most two pieces a page; repeated excerpts go first, so that they don't use up a page's places."""
+    once = R.excerpt_dedup(evidence(spark, sf_dir), _best(), ["query_id"])
+    return R.ranked(once, ["query_id", "document_id", "page"], [F.desc("score"), F.col("ordinal")], 2, "_b").select("query_id", "document_id", "ordinal")
 
 
-@query("""WITH p AS (SELECT user_id, event_type, event_id, value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) = 1 AS is_first FROM events)
-SELECT user_id, event_type, event_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY is_first DESC, value DESC, event_id) AS INT) AS rank FROM p) WHERE rank <= 8""")
+@query(f"""WITH {EVIDENCE_SQL}, pp AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY score DESC, ordinal) = 1 AS is_first FROM ev)
+SELECT query_id, document_id, ordinal, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY is_first DESC, score DESC, document_id, ordinal) AS INT) AS rank FROM pp) WHERE rank <= 8""")
 def w2_best_per_table(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    first = F.row_number().over(W.partitionBy("user_id", "event_type").orderBy(F.desc("value"), "event_id")) == 1
-    return R.ranked(e.withColumn("_f", first), ["user_id"], [F.desc("_f"), F.desc("value"), F.col("event_id")], 8).select("user_id", "event_type", "event_id", "rank")
+    """The best piece of each document's table first, then the best of what is left, up to eight."""
+    first = F.row_number().over(W.partitionBy("query_id", "document_id").orderBy(F.desc("score"), "ordinal")) == 1
+    return R.ranked(evidence(spark, sf_dir).withColumn("_f", first), ["query_id"], [F.desc("_f"), *_best()], 8).select("query_id", "document_id", "ordinal", "rank")
 
 
-@query("""WITH p AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n, min(event_id) OVER (PARTITION BY user_id, event_type) AS seen FROM events)
-SELECT user_id, event_id, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY n, seen) AS INT) AS rank FROM p) WHERE rank <= 32""")
+@query(f"""WITH {EVIDENCE_SQL}, pp AS (SELECT *, row_number() OVER (PARTITION BY query_id, document_id ORDER BY score DESC, ordinal) AS n, max(score) OVER (PARTITION BY query_id, document_id) AS best FROM ev)
+SELECT query_id, document_id, ordinal, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY n, best DESC, document_id) AS INT) AS rank FROM pp) WHERE rank <= 32""")
 def w3_round_robin(spark, sf_dir):
-    w = W.partitionBy("user_id", "event_type")
-    e = table(spark, sf_dir, "events").withColumn("_n", F.row_number().over(w.orderBy("event_id"))).withColumn("_s", F.min("event_id").over(w))
-    return R.ranked(e, ["user_id"], [F.col("_n"), F.col("_s")], 32).select("user_id", "event_id", "rank")
+    """The tables' pieces in turn, the table with the best piece first, 32 at most."""
+    w = W.partitionBy("query_id", "document_id")
+    e = evidence(spark, sf_dir).withColumn("_n", F.row_number().over(w.orderBy(F.desc("score"), "ordinal"))).withColumn("_s", F.max("score").over(w))
+    return R.ranked(e, ["query_id"], [F.col("_n"), F.desc("_s"), F.col("document_id")], 32).select("query_id", "document_id", "ordinal", "rank")
 
 
-@query("""WITH t AS (SELECT user_id, event_type, count(*) AS hits, max(value) AS best, arg_max(event_id, {'v': value, 'e': -event_id}) AS event_id FROM events GROUP BY 1, 2), n AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS tables, row_number() OVER (PARTITION BY user_id ORDER BY hits DESC, best DESC, event_type) AS r FROM t)
-SELECT user_id, event_type, event_id FROM n WHERE tables >= 2 AND r <= 8""")
+@query(f"""WITH {EVIDENCE_SQL}, t AS (SELECT query_id, document_id, count(*) AS hits, max(score) AS best, arg_max(ordinal, {{'v': score, 'e': -ordinal}}) AS ordinal FROM ev GROUP BY 1, 2), n AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS tables, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, best DESC, document_id) AS r FROM t)
+SELECT query_id, document_id, ordinal FROM n WHERE tables >= 2 AND r <= 8""")
 def w5_reserved_children(spark, sf_dir):
-    t = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("hits"), F.max("value").alias("best"), F.max_by("event_id", F.struct(F.col("value"), -F.col("event_id"))).alias("event_id"))
-    n = t.withColumn("_t", F.count("*").over(W.partitionBy("user_id"))).where("_t >= 2")
-    return R.ranked(n, ["user_id"], [F.desc("hits"), F.desc("best"), F.col("event_type")], 8, "_r").select("user_id", "event_type", "event_id")
+    """One piece for each of several tables that a question asks for, eight tables at most."""
+    t = evidence(spark, sf_dir).groupBy("query_id", "document_id").agg(F.count("*").alias("hits"), F.max("score").alias("best"), F.max_by("ordinal", F.struct(F.col("score"), -F.col("ordinal"))).alias("ordinal"))
+    n = t.withColumn("_t", F.count("*").over(W.partitionBy("query_id"))).where("_t >= 2")
+    return R.ranked(n, ["query_id"], [F.desc("hits"), F.desc("best"), F.col("document_id")], 8, "_r").select("query_id", "document_id", "ordinal")
+
+
+#: What a piece's structure counts, the first key of a pack's order: tables, headings, prose.
+def structure(df):
+    return F.when(df["is_table"], 4).when(F.length(df["text"]) < 40, 2).otherwise(0)
+
+
+_STRUCTURE_SQL = "CASE WHEN is_table THEN 4 WHEN length(text) < 40 THEN 2 ELSE 0 END"
+
+
+@query(f"""WITH {EVIDENCE_SQL} SELECT query_id, document_id, ordinal, position FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {_STRUCTURE_SQL} DESC, score DESC, coalesce(chunk_role = 'child', false) DESC, document_id, ordinal) AS INT) AS position FROM ev) WHERE position <= 8""")
+def t4_context_sort(spark, sf_dir):
+    e = evidence(spark, sf_dir)
+    child = F.coalesce(F.col("chunk_role") == "child", F.lit(False))
+    return R.ranked(e.withColumn("_s", structure(e)), ["query_id"], [F.desc("_s"), F.desc("score"), child.desc(), F.col("document_id"), F.col("ordinal")], 8, "position").select("query_id", "document_id", "ordinal", "position")
+
+
+@query(f"""WITH {EVIDENCE_SQL}, e AS (SELECT *, {_STRUCTURE_SQL} AS structure, document_id * 1000000 + ordinal AS piece FROM ev), a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, {_KEY} ORDER BY structure DESC, score DESC, piece) AS r FROM e) WHERE r = 1),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, document_id || ':' || page ORDER BY structure DESC, score DESC, piece) AS c FROM a) WHERE c <= 5)
+SELECT query_id, document_id, ordinal, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY structure DESC, score DESC, piece) AS INT) AS rank FROM b) WHERE rank <= 8""")
+def r14_finalised_packs(spark, sf_dir):
+    """Packs of eight pieces, five a page, without repeated excerpts, tables before headings before prose."""
+    e = evidence(spark, sf_dir)
+    piece = (F.col("document_id") * 1_000_000 + F.col("ordinal")).alias("document_id")
+    rows = e.select("query_id", F.concat_ws(":", "document_id", "page").alias("page"), structure(e).alias("structure"), "score", piece, "text")
+    packs = EV.finalise(rows)
+    return packs.select("query_id", F.floor(F.col("document_id") / 1_000_000).alias("document_id"), (F.col("document_id") % 1_000_000).cast("int").alias("ordinal"), "rank")
 
 
 @query(f"""WITH {M.CHUNKS_SQL}, m AS (SELECT document_id, ordinal FROM chunks WHERE contains(text, 'token =')), s AS (SELECT c.document_id, c.ordinal, max(round(CAST(10.0 - 0.000001 * (abs(c.ordinal - m.ordinal) + 1) AS DOUBLE), 6)) AS score FROM chunks c JOIN m USING (document_id) GROUP BY 1, 2)
