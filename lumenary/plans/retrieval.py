@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import evidence as EV
 from ..operators import knn, lexical
 from ..operators import retrieval as R
+from ..operators import routing as RT
 from . import model as M
 from .registry import query, table
 from .text import tokens_sql
@@ -92,15 +93,19 @@ def r1_document_routing(spark, sf_dir):
     return routed(spark, sf_dir)
 
 
-@query(f"""WITH {_ROUTE_SQL}, t AS (SELECT query_id, max(CASE WHEN rank = 1 THEN score END) AS a, max(CASE WHEN rank = 2 THEN score END) AS b FROM routed GROUP BY 1)
-SELECT query_id, document_id, CASE WHEN a >= 10 AND (b IS NULL OR a >= b + 8 OR a >= 1.75 * b) THEN 'obvious' ELSE 'top_k' END AS decision FROM routed JOIN t USING (query_id) WHERE rank = 1 OR NOT (a >= 10 AND (b IS NULL OR a >= b + 8 OR a >= 1.75 * b))""")
+_FLAGS_SQL = """f AS (SELECT *, query_id % 13 = 0 AND rank IN (2, 3) AS subject_locked, query_id % 11 = 0 AND rank = 4 AS explicit, query_id % 7 = 0 AND rank = 2 AS is_primary, query_id % 5 = 0 AND rank <= 1 + query_id % 2 AS exact_alias,
+ query_id % 3 = 0 AND rank = 3 AS introduced, query_id % 4 = 1 AS cross_paper FROM routed)"""
+
+
+@query(f"""WITH {_ROUTE_SQL}, {_FLAGS_SQL}, t AS (SELECT *, count(*) FILTER (subject_locked) OVER w AS ns, count(*) FILTER (explicit) OVER w AS ne, count(*) FILTER (is_primary) OVER w AS np, count(*) FILTER (exact_alias) OVER w AS na, count(*) FILTER (introduced) OVER w AS ni,
+ max(score) OVER w AS a, max(score) FILTER (rank = 2) OVER w AS b, count(*) OVER w AS n FROM f WINDOW w AS (PARTITION BY query_id)),
+d AS (SELECT *, CASE WHEN ns > 0 THEN 'subject' WHEN ne > 0 THEN 'explicit' WHEN np > 0 THEN 'primary' WHEN na = 1 THEN 'alias' WHEN na > 1 THEN 'aliases' WHEN cross_paper THEN 'cross_paper' WHEN ni = 1 THEN 'introduced' WHEN a >= 10 AND (b IS NULL OR a >= b + 8 OR a >= 1.75 * b) THEN 'obvious' ELSE 'top_k' END AS decision FROM t)
+SELECT query_id, document_id, decision, decision NOT IN ('aliases', 'cross_paper', 'top_k') AS locked FROM d WHERE CASE decision WHEN 'subject' THEN rank = 2 WHEN 'explicit' THEN rank = 4 WHEN 'primary' THEN rank = 2 WHEN 'alias' THEN exact_alias WHEN 'aliases' THEN exact_alias WHEN 'introduced' THEN introduced WHEN 'obvious' THEN rank = 1 ELSE true END""")
 def r2_route_decision(spark, sf_dir):
-    r = routed(spark, sf_dir)
-    w = W.partitionBy("query_id")
-    a, b = F.max(F.when(F.col("rank") == 1, F.col("score"))).over(w), F.max(F.when(F.col("rank") == 2, F.col("score"))).over(w)
-    t = r.withColumn("_a", a).withColumn("_b", b)
-    obvious = (F.col("_a") >= 10) & (F.col("_b").isNull() | (F.col("_a") >= F.col("_b") + 8) | (F.col("_a") >= 1.75 * F.col("_b")))
-    return t.withColumn("_o", obvious).where((F.col("rank") == 1) | ~F.col("_o")).select("query_id", "document_id", F.when(F.col("_o"), "obvious").otherwise("top_k").alias("decision"))
+    """The cascade over routed documents; what it asks of profiles, which the tables don't have, is dealt by number."""
+    k, r = F.col("query_id"), F.col("rank")
+    m = routed(spark, sf_dir).withColumns({"subject_locked": (k % 13 == 0) & r.isin(2, 3), "explicit": (k % 11 == 0) & (r == 4), "primary": (k % 7 == 0) & (r == 2), "exact_alias": (k % 5 == 0) & (r <= 1 + k % 2), "introduced": (k % 3 == 0) & (r == 3), "cross_paper": k % 4 == 1})
+    return RT.decide(m)
 
 
 @query(f"""WITH {M.CHUNKS_SQL}, q AS (SELECT item_id AS query_id, unnest({tokens_sql('text')}) AS term FROM benchmark), c AS (SELECT document_id, ordinal, unnest({tokens_sql('text')}) AS term FROM chunks WHERE ordinal <= 3),

@@ -132,3 +132,13 @@ def test_hybrid_against_all_pairs(spark):
 def test_names_of_files_and_titles(spark):
     assert [one(spark, T.safe_filename(F.col("t")), t=t) for t in ("../a b.pdf", "C:\\x\\.y", "表 1.md", "")] == ["a_b.pdf", "y", "表_1.md", "upload"]
     assert one(spark, T.readable_title(F.col("t")), t="a-new_title") == "A New Title"
+
+
+def test_route_scores(spark):
+    from lumenary.operators import routing as RT
+
+    q = F.lit("alpha beta gamma9")
+    parts = {"profile": F.lit("alpha"), "raw": F.lit("alpha beta"), "title": F.lit("beta x"), "alias": F.lit("gamma9"), "key": F.lit("none")}
+    text = F.lit("Here we propose, with care, C++ amber-2. We used OPLS. 本文提出了X1模型. This paper presents\nnothing of Y")
+    row = spark.range(1).select(RT.score(q, parts, F.lit(2), F.lit(1), F.lit(1), F.lit(True)).alias("s"), RT.introduces(F.array(*map(F.lit, ["amber-2", "OPLS", "X1", "Y", "C++", ""])), text).alias("n")).first()
+    assert (row.s, row.n) == (1 + 2 + 3 + 5 + 8 + 12 + 18 + 18, 3)
