@@ -16,7 +16,7 @@ COMPARISON = ["compare", "difference", "versus", "vs", "对比", "比较", "区
 TABLE = ["table", "metric", "value", "表", "指标", "数值"]
 PARAMETER = ["parameter", "参数"]
 PARAMETER_CONTEXT = ["value", "values", "数值", "值", "是多少", "列出", "list", "table", "表", "unit", "单位"]
-UNITS = r"(?i)\bkcal\b|Å|\bangstrom\b|\d+%"
+UNITS = r"(?iu)\bkcal\b|Å|\bangstrom\b|\d+%"
 EVIDENCE = ["citation", "cite", "reference", "source", "evidence", "引用", "证据", "来源", "原文"]
 NUMBERED = r"(^|\n)\s*[1-9]\d*\."
 HIGH_RISK = ["better", "best", "recommend", "advice", "which method"]
