@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -408,50 +409,56 @@ def features(df: DataFrame, key: str, media: str = "media") -> DataFrame:
     return map_batches(df.select(key, media), f"{key} {kind}, width int, height int, n_images int, feature string, error string", make)
 
 
-def store(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_bytes and media: each text's UTF-8 bytes (null: none), padded, as JPEG images."""
+READ = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
-    def make():
-        def step(batch):
-            raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            payloads = [pad(r) for r in raw]
-            media = [m for c in _chunks(payloads) for m in encode_payloads(payloads[c])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, raw), pa.int64()), pa.array(media, pa.binary())], [key, "n_bytes", "media"])
 
-        return step
+def _stored(batch: pa.RecordBatch, key: str) -> Iterator[pa.RecordBatch]:
+    """Batches (key, n_bytes, media) of a batch of texts, each of some payload bytes."""
+    raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
+    payloads = [pad(r) for r in raw]
+    for c in _chunks(payloads):
+        media = encode_payloads(payloads[c])
+        yield pa.RecordBatch.from_arrays([batch.column(0)[c], pa.array(map(len, raw[c]), pa.int64()), pa.array(media, pa.binary())], [key, "n_bytes", "media"])
 
-    kind = df.schema[key].dataType.simpleString()
-    return map_batches(df.select(key, text), f"{key} {kind}, n_bytes long, media binary", make)
 
+def _read(stored: pa.RecordBatch, key: str) -> Iterator[pa.RecordBatch]:
+    """What a batch's column of media holds."""
+    media, rows = stored.column(2).to_pylist(), []
+    for c in _chunks(media):
+        for m, thumbs in zip(media[c], decode_luminance(media[c]), strict=True):
+            back = b"".join(t.tobytes() for t in thumbs)
+            rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature(parse(m), thumbs)))
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    yield pa.RecordBatch.from_arrays([*stored.columns[:2], *[pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]], [key, "n_bytes", *READ])
 
-def read_back(stored: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of ``store`` with what their media hold: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and
-    feature in place of the media."""
-    names = [key, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
-    def make():
-        def step(batch):
-            stored_media = batch.column(2).to_pylist()
-            rows = []
-            for c in _chunks(stored_media):
-                medias = stored_media[c]
-                for m, thumbs in zip(medias, decode_luminance(medias), strict=True):
-                    back = b"".join(t.tobytes() for t in thumbs)
-                    rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature(parse(m), thumbs)))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *[pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]], names)
+def _schema(df: DataFrame, key: str, rest: str) -> str:
+    return f"`{key}` {df.schema[key].dataType.simpleString()}, n_bytes long, {rest}"
 
-        return step
 
-    kind = stored.schema[key].dataType.simpleString()
-    return map_batches(stored.select(key, "n_bytes", "media"), f"{key} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", make)
+READ_SCHEMA = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
+
+def store(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, n_bytes and media: each text's UTF-8 bytes (null: none), padded, as JPEG images."""
+    return map_batches(df.select(key, text), _schema(df, key, "media binary"), lambda: lambda batch: _stored(batch, key))
+
+
+def read_back(stored: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of ``store`` with what their media hold: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and
+    feature in place of the media."""
+    return map_batches(stored.select(key, "n_bytes", "media"), _schema(stored, key, READ_SCHEMA), lambda: lambda batch: _read(batch, key))
 
 
 def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Store each text as JPEG in a column of media, read that column back, and return the digests of payload and media and
-    the feature.
+    """What ``read_back`` finds in what ``store`` makes: the column of media goes from one to the other within the task.
 
     Null and empty texts are one unit of padding. Equal texts give equal values, repeated rows repeated rows; other columns
     are left out.
     """
-    return read_back(store(df, key, text), key)
+
+    def step(batch):
+        for stored in _stored(batch, key):
+            yield from _read(stored, key)
+
+    return map_batches(df.select(key, text), _schema(df, key, READ_SCHEMA), lambda: step)

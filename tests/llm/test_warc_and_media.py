@@ -151,6 +151,7 @@ def test_store_and_read_back(spark):
     assert got[2].asDict() | {"doc_id": 8} == got[8].asDict()
     stored = media.store(df)
     f = {r.doc_id: r for r in media.features(stored, "doc_id").collect()}
+    assert sorted(media.read_back(stored).collect()) == sorted(media.digests(df).collect())
     assert all(f[i].error is None and f[i].feature == got[i].feature for i in f) and f[7].n_images == 2
     assert media.digests(df.limit(0)).count() == 0
 
