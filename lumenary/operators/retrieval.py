@@ -104,20 +104,27 @@ def support_hint(score: Column, term_in_text: Column) -> Column:
 
 
 def overview_score(text: Column, ordinal: Column, page: Column) -> Column:
-    """How much a piece of prose says about its document as a whole."""
-    low = F.lower(text)
-    head = F.substring(low, 1, 240)
-    word = lambda words: rf"(^|[^a-z0-9_])({words})([^a-z0-9_]|$)"
+    """How much a piece of prose says about its document as a whole. A pattern is tried only on texts that hold one of its words."""
     add = lambda cond, value: F.when(cond, float(value)).otherwise(0.0)
-    return (
-        F.lit(20.0) + add(F.coalesce(page <= 2, F.lit(False)), 28)
-        + F.when(ordinal <= 8, F.greatest(F.lit(0.0), 18.0 - ordinal * 1.5)).otherwise(0.0)
-        + add(F.contains(head, F.lit("abstract")), 26) + add(head.rlike(word("introduction")), 20)
-        + add(low.rlike(word(r"we\s+(introduce|propose|present|develop|study|show|demonstrate)")), 18)
-        + add(low.rlike(word("method|approach|framework|algorithm|model")), 8) + add(head.rlike(word("conclusions?")), 14)
-        - add(head.rlike(word("appendix|references|acknowledgements?")), 18) - add(head.rlike(word(r"table\s+\d+")), 16)
-        + F.least(F.length(text) / 500.0, F.lit(4.0))
-    )
+
+    def word(t: Column, words: list[str], pattern: str) -> Column:
+        some = F.lit(False)
+        for w in words:
+            some = some | F.contains(t, F.lit(w))
+        return some & t.rlike(rf"(^|[^a-z0-9_])({pattern})([^a-z0-9_]|$)")
+
+    def of(low: Column, head: Column) -> Column:
+        return (
+            F.lit(20.0) + add(F.coalesce(page <= 2, F.lit(False)), 28)
+            + F.when(ordinal <= 8, F.greatest(F.lit(0.0), 18.0 - ordinal * 1.5)).otherwise(0.0)
+            + add(F.contains(head, F.lit("abstract")), 26) + add(word(head, ["introduction"], "introduction"), 20)
+            + add(word(low, ["introduce", "propose", "present", "develop", "study", "show", "demonstrate"], r"we\s+(introduce|propose|present|develop|study|show|demonstrate)"), 18)
+            + add(word(low, ["method", "approach", "framework", "algorithm", "model"], "method|approach|framework|algorithm|model"), 8) + add(word(head, ["conclusion"], "conclusions?"), 14)
+            - add(word(head, ["appendix", "reference", "acknowledgement"], "appendix|references|acknowledgements?"), 18) - add(word(head, ["table"], r"table\s+\d+"), 16)
+            + F.least(F.length(text) / 500.0, F.lit(4.0))
+        )
+
+    return T.let(F.lower(text), lambda low: T.let(F.substring(low, 1, 240), lambda head: of(low, head)))
 
 
 def excerpt_dedup(df: DataFrame, order: list[Column], by: list[str], text: str = "text", width: int = 180) -> DataFrame:
