@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 LATEX = re.compile(r"\\(?:mathrm|mathbf|mathit|text|textbf|operatorname|rm)\s*\{([^{}]*)\}")
+#: Braces of a subscript or superscript, which may stand within a wrapper's.
+SCRIPT = re.compile(r"([_^])\{([^{}]*)\}")
 
 
 def table_cell(text: str | None) -> str:
     """A cell as OCR or LaTeX left it, in plain form: wrappers stripped, signs named, digits that came apart put together."""
     t = text or ""
-    while (n := LATEX.sub(r"\1", t)) != t:
+    while (n := LATEX.sub(r"\1", SCRIPT.sub(r"\1\2", t))) != t:
         t = n
     for a, b in ((r"\pm", "±"), (r"\times", "×"), (r"\%", "%"), (r"\cdot", "·"), ("$", ""), ("{", ""), ("}", "")):
         t = t.replace(a, b)

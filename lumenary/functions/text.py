@@ -148,6 +148,22 @@ def answer_numbers(text: Column) -> Column:
     return F.array_distinct(F.filter(F.regexp_extract_all(bare, F.lit(r"\d+(?:\.\d+)?%?"), F.lit(0)), lambda x: F.length(x) > 1))
 
 
+def synthesis_numbers(text: Column) -> Column:
+    """Numbers of a synthesis: without citation markers, numbers of tables and digits within words."""
+    bare = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\[\s*\d+\s*\]", " "), r"(?i)\btable\s*(?:s\s*)?\d+(?:\.\d+)?\b", " ")
+    return F.array_distinct(F.regexp_extract_all(bare, F.lit(r"(?<![A-Za-z0-9_])\d+(?:\.\d+)?(?![A-Za-z0-9_.])"), F.lit(0)))
+
+
+def unsupported_numbers(synthesis: Column, evidence: Column) -> Column:
+    """Numbers of a synthesis that its evidence has in no spelling: 21 and 21.0 are one, 80 and 80.5 aren't."""
+    have = F.transform(synthesis_numbers(evidence), lambda x: x.cast("double"))
+    return let(have, lambda h: F.filter(synthesis_numbers(synthesis), lambda x: ~F.array_contains(h, x.cast("double"))))
+
+
+#: Other spellings of some selectors (fixed values): looked for in the raw text, whatever its case.
+SPELLINGS = {"mu": r"μ|\bmu\b|\bdipole\b|\(D\)", "dipole": r"μ|\bmu\b|\bdipole\b|\(D\)", "gamma": r"γ|\bgamma\b|\bsurface\s+tension\b"}
+
+
 def citation_markers(text: Column) -> Column:
     """Markers in one form: [[n]] becomes [n], and [a, b] becomes [a][b]."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\[\[(\d+)\]\]", "[$1]")
@@ -218,9 +234,11 @@ def selector_in_text(selector: str, text: Column) -> Column:
     """Lower-case selectors need word boundaries on the raw text; others are looked for in its key."""
     import re
 
+    key = re.sub("[^a-z0-9]+", "", selector.lower())
+    other = F.coalesce(text, F.lit("")).rlike("(?iu)" + SPELLINGS[key]) if key in SPELLINGS else F.lit(False)
     if re.fullmatch(r"[a-z][a-z0-9]*", selector):
-        return F.lower(text).rlike(rf"(^|[^a-z0-9\-]){selector}([^a-z0-9\-]|$)")
-    return F.contains(scientific_key(text), scientific_key(F.lit(selector)))
+        return other | F.lower(text).rlike(rf"(^|[^a-z0-9\-]){selector}([^a-z0-9\-]|$)")
+    return other | F.contains(scientific_key(text), scientific_key(F.lit(selector)))
 
 
 def term_matches(term: str, text: Column) -> Column:

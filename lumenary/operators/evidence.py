@@ -23,6 +23,37 @@ LIMITATION_ANCHORS = [
 LIMITATION_BONUS = {"fast-folding": 6.0, "large disordered proteins": 6.0}
 
 
+#: By what a span of a source is found (fixed values).
+LOCATORS = ["page_index", "source_block_id", "paragraph_id", "table_id", "image_relationship_id", "xpath", "css_selector", "element_id", "line_start", "char_start"]
+
+
+def valid_spans(spans: Column, fields: list[str]) -> Column:
+    """Whether there are spans and each has a locator; ``fields`` are the fields that the spans have."""
+    own = [f for f in LOCATORS if f in fields]
+    located = lambda s: F.array_size(F.array_compact(F.array(*[s[f].cast("string") for f in own]))) > 0
+    return F.coalesce((F.size(spans) > 0) & F.forall(spans, located), F.lit(False))
+
+
+def first_identifier(spans: Column, field: str) -> Column:
+    """The first value of a field over spans, in the span itself or else in its metadata (a map); empty ones don't count."""
+    of = F.transform(spans, lambda s: F.coalesce(F.nullif(s[field].cast("string"), F.lit("")), F.nullif(s["metadata"][field], F.lit(""))))
+    return F.get(F.filter(of, lambda x: x.isNotNull()), F.lit(0))
+
+
+def profile_supplement(terms: DataFrame, chunks: DataFrame, have: DataFrame, k: int = 3) -> DataFrame:
+    """query_id, chunk_id, score and rank of chunks that bring a profile's terms that the evidence lacks.
+
+    terms: query_id, term, asked (whether it shares a token with the question), scientific; chunks: chunk_id, text; have:
+    query_id, term. A chunk counts for a question if one of its new terms is asked for: 3 and 1.5 a term, or, with a scientific
+    one, 28, 3 a term and up to 5 for shared tokens. Terms meet chunks by their tokens, so that no chunk is put to all.
+    """
+    new = terms.join(have.select("query_id", "term").distinct(), ["query_id", "term"], "left_anti")
+    of_chunk = chunks.select("chunk_id", F.explode(T.tokens(F.col("text"), chemistry=False)).alias("term"))
+    g = of_chunk.join(new, "term").groupBy("query_id", "chunk_id").agg(F.count("*").alias("n"), F.max("asked").alias("asked"), F.max("scientific").alias("scientific")).where("asked")
+    score = F.when(F.col("scientific"), 28.0 + 3.0 * F.col("n") + F.least("n", F.lit(5))).otherwise(3.0 + 1.5 * F.col("n"))
+    return ranked(g.select("query_id", "chunk_id", score.alias("score")), ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
+
+
 def contextual(text: Column, embedding_text: Column, prefix: Column) -> Column:
     """Whether an embedding text follows the policy: the text itself without a prefix, else prefix, blank line, text."""
     bare = F.coalesce(F.trim(prefix), F.lit("")) == ""

@@ -7,12 +7,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import classify as C
 from ..functions import text as T
 from ..functions import vectors as V
 from . import knn
 
 #: Documents in which a route term is rare.
 RARE = 3
+#: How many candidates are taken (fixed values): contexts, tables and formulas of an answer, and vectors for a limit.
+CONTEXTS, CANONICAL_TABLES, FORMULAS = 8, 24, 24
+
+
+def vector_fetch(limit: int) -> int:
+    return max(20 * limit, 50)
 
 
 def overlaps(queries: DataFrame, documents: DataFrame, route_length: int = 6) -> DataFrame:
@@ -94,6 +101,18 @@ def hybrid(queries: DataFrame, documents: DataFrame, vectors: DataFrame, k: int
     return ranked(scored, ["query_id"], [F.desc("score"), F.col("document_id")], k)
 
 
+def with_supplement(routed: DataFrame, near: DataFrame, questions: DataFrame) -> DataFrame:
+    """query_id, document_id and origin of routed documents and of the whole library's nearest, a document that is both being
+    routed. The nearest are left out for questions (query_id, question, explicit_scope, locked) with a scope of their own, about
+    a document as a whole, or about a table, metric or figure of documents that they are locked to."""
+    q = F.col("question")
+    structured = C.is_table(q) | C.is_metric(q) | C.is_table_reference(q) | C.is_figure(q)
+    open_ = questions.where(~(F.col("explicit_scope") | C.is_overview(q) | (F.col("locked") & structured))).select("query_id")
+    r = routed.select("query_id", "document_id", F.lit("routed").alias("origin"), F.lit(0).alias("_o"))
+    n = near.join(open_, "query_id", "left_semi").select("query_id", "document_id", F.lit("supplement").alias("origin"), F.lit(1).alias("_o"))
+    return r.unionByName(n).groupBy("query_id", "document_id").agg(F.min_by("origin", "_o").alias("origin"))
+
+
 def ranked(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
     """The k first rows of each group, numbered from 1; Spark limits the groups before the shuffle."""
     return df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col(name) <= k)

@@ -15,11 +15,14 @@ from .retrieval import HYBRID_SQL, inputs
 from .text import tokens_sql
 
 
-@query("SELECT doc_id, CASE WHEN lang = 'en' THEN true ELSE length(source) > 0 END AS follows_policy FROM documents")
+@query("""WITH e AS (SELECT doc_id, text, CASE WHEN lang = 'en' THEN '' ELSE source END AS prefix, CASE WHEN lang = 'en' THEN '' ELSE source || chr(10) || chr(10) END || CASE WHEN doc_id % 5 = 0 THEN trim(text) || '.' ELSE text END AS embedded FROM documents)
+SELECT doc_id, CASE WHEN trim(prefix) = '' THEN embedded = text ELSE embedded = prefix || chr(10) || chr(10) || text END AS follows_policy FROM e""")
 def f6_embedding_policy(spark, sf_dir):
+    """English documents have no prefix, the others their source; every fifth document's embedded text isn't its own."""
     d = table(spark, sf_dir, "documents")
     prefix = F.when(F.col("lang") == "en", F.lit("")).otherwise(F.col("source"))
-    embedded = F.when(F.col("lang") == "en", F.col("text")).otherwise(F.concat("source", F.lit("\n\n"), "text"))
+    body = F.when(F.col("doc_id") % 5 == 0, F.concat(F.trim("text"), F.lit("."))).otherwise(F.col("text"))
+    embedded = F.when(F.col("lang") == "en", body).otherwise(F.concat("source", F.lit("\n\n"), body))
     return d.select("doc_id", E.contextual(F.col("text"), embedded, prefix).alias("follows_policy"))
 
 
@@ -43,6 +46,17 @@ def s6_number_support(spark, sf_dir):
     return c.select("conv_id", "turn", E.supported_numbers(F.col("text"), F.col("_b")).alias("supported"))
 
 
+@query(r"""WITH c AS (SELECT conv_id, turn, role, text || ' [3] in Table 7 and OPLS4, ' || turn || '.0' AS text, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') || ' ' || CASE WHEN turn % 3 = 0 THEN '' ELSE CAST(turn AS VARCHAR) END AS before FROM conversations),
+n AS (SELECT conv_id, turn, role, list_transform(list_filter(regexp_extract_all(regexp_replace(' ' || replace(replace(text, '[3]', ' '), 'Table 7', ' '), '\s', '  ', 'g') || ' ', '[^A-Za-z0-9_](\d+(?:\.\d+)?)[^A-Za-z0-9_.]', 1), lambda x: true), lambda x: CAST(x AS DOUBLE)) AS a, list_transform(regexp_extract_all(regexp_replace(' ' || before, '\s', '  ', 'g') || ' ', '[^A-Za-z0-9_](\d+(?:\.\d+)?)[^A-Za-z0-9_.]', 1), lambda x: CAST(x AS DOUBLE)) AS b FROM c)
+SELECT conv_id, turn, CAST(len(list_distinct(list_filter(a, lambda x: NOT list_contains(b, x)))) AS INT) AS unsupported FROM n WHERE role = 'assistant'""")
+def s6_synthesis_numbers(spark, sf_dir):
+    """Numbers of an answer, by value, that the turn before and its own number lack; markers, tables and names don't count."""
+    before = F.concat(F.coalesce(F.lag("text").over(W.partitionBy("conv_id").orderBy("turn")), F.lit("")), F.lit(" "), F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("turn").cast("string")))
+    c = table(spark, sf_dir, "conversations").withColumn("_b", before).where("role = 'assistant'")
+    answer = F.concat("text", F.lit(" [3] in Table 7 and OPLS4, "), F.col("turn").cast("string"), F.lit(".0"))
+    return c.select("conv_id", "turn", F.size(T.unsupported_numbers(answer, F.col("_b"))).alias("unsupported"))
+
+
 @query(f"""WITH {M.CHUNKS_SQL}, o AS (SELECT document_id, ordinal, (CAST(contains(lower(text), 'token =') AS INT) + CAST(contains(lower(text), 'license') AS INT) + CAST(contains(lower(text), 'version') AS INT)) AS hits, least(len({tokens_sql('text')}), 8) AS ov FROM chunks)
 SELECT document_id, ordinal, CAST(43.0 + ov + 2.0 * hits AS DOUBLE) AS score FROM o WHERE hits > 0""")
 def r9_limitation_scan(spark, sf_dir):
