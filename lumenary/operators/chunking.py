@@ -67,11 +67,14 @@ def group(parts: list[str], target: int, most: int, percentile: int = 20, embed=
     embed = embed or hashing_embedder()
     sizes = np.array([count(p) for p in parts])
     total = np.concatenate([[0], np.cumsum(sizes)])
+    size = lambda a, z: count("".join(parts[a:z]))
     vectors = [embed(p) for p in parts]
     near = [float(a @ b) for a, b in zip(vectors, vectors[1:], strict=False)]
     out, at = [], 0
     while at < len(parts):
         stop = max(at + 1, int(np.searchsorted(total, total[at] + most, side="right")) - 1)
+        while stop > at + 1 and size(at, stop) > most:  # parts' tokens may be fewer than those of the parts together
+            stop -= 1
         if stop >= len(parts):
             out.append((at, len(parts)))
             break
@@ -80,21 +83,21 @@ def group(parts: list[str], target: int, most: int, percentile: int = 20, embed=
         cut = min(lowest)
         out.append((at, cut))
         at = cut
-    return rebalanced(out, total, least, most)
+    return rebalanced(out, size, least, most)
 
 
-def rebalanced(ranges: list[tuple[int, int]], total: np.ndarray, least: int, most: int) -> list[tuple[int, int]]:
-    """The last range merged or filled up; ``total`` has the tokens before each part."""
-    if len(ranges) < 2 or total[ranges[-1][1]] - total[ranges[-1][0]] >= least:
+def rebalanced(ranges: list[tuple[int, int]], size: Callable[[int, int], int], least: int, most: int) -> list[tuple[int, int]]:
+    """The last range merged or filled up; ``size`` has the tokens of a range of parts."""
+    if len(ranges) < 2 or size(*ranges[-1]) >= least:
         return ranges
     (a, cut), (_, z) = ranges[-2:]
-    if total[z] - total[a] <= most:
+    if size(a, z) <= most:
         return [*ranges[:-2], (a, z)]
-    if total[cut] - total[a] > most:
+    if size(a, cut) > most:
         return ranges
-    while total[z] - total[cut] < least and cut - a > 1:
+    while size(cut, z) < least and cut - a > 1:
         cut -= 1
-    fits = least <= total[z] - total[cut] <= most and total[cut] - total[a] >= least
+    fits = least <= size(cut, z) <= most and size(a, cut) >= least
     return [*ranges[:-2], (a, cut), (cut, z)] if fits else ranges
 
 
