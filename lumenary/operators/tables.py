@@ -33,6 +33,23 @@ def facts(tables: DataFrame, by: str = "table_id", text: str = "markdown") -> Da
     return cells.where((F.col("_c") > 0) & (F.col("value") != "") & ~F.col("value").rlike("^[-–—]+$")).select(by, "row_index", "row_label", F.get("_head", F.col("_c")).alias("column_name"), "value")
 
 
+#: Rows of datasets' metrics that a table gives at most (fixed value).
+MOST_METRICS = 24
+
+
+def metric_values(tables: DataFrame, by: str = "table_id", text: str = "markdown") -> DataFrame:
+    """The table, model (the row's label), dataset and values (a map from metric to value) of tables whose headers name a dataset
+    and a metric; values without a digit don't count. Equal rows of one model and dataset are one, and each table gives the
+    first MOST_METRICS."""
+    dataset, metric = T.metric_header(F.col("column_name"))
+    f = facts(tables, by, text).withColumns({"dataset": F.upper(dataset), "metric": F.initcap(metric)}).where(F.col("metric").isNotNull() & F.col("value").rlike(r"\d"))
+    named = f.withColumn("metric", F.when(F.upper("metric").isin("F1", "AUC"), F.upper("metric")).otherwise(F.col("metric")))
+    g = named.groupBy(by, "row_index", F.col("row_label").alias("model"), "dataset").agg(F.sort_array(F.collect_list(F.struct("metric", "value"))).alias("values"))  # five metrics at most
+    once = g.groupBy(by, "model", "dataset", "values").agg(F.min("row_index").alias("row_index"))
+    w = W.partitionBy(by).orderBy("row_index", "dataset")
+    return once.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= MOST_METRICS).select(by, "model", "dataset", F.map_from_entries("values").alias("values"))
+
+
 def assemble(chunks: DataFrame, text: str = "text") -> DataFrame:
     """Whole tables from their chunks (document_id, parse_version, table_id, ordinal, chunk_id, text): the first line that
     isn't a row is the caption, the first row the header, and repetitions of it in later chunks are dropped.

@@ -48,10 +48,13 @@ def k1_assembled_tables(spark, sf_dir):
     return O.assemble(chunks).select("table_id", "row_count")
 
 
-@query(f"WITH {CELLS_SQL} SELECT table_id, max(n) FILTER (column_name = 'early') AS early, max(n) FILTER (column_name = 'late') AS late FROM cells WHERE row_label = '1-URGENT' GROUP BY 1")
+@query(f"""WITH {CELLS_SQL}, w AS (SELECT table_id, row_label, max(n) FILTER (column_name = 'early') AS e, max(n) FILTER (column_name = 'middle') AS m, max(n) FILTER (column_name = 'late') AS l FROM cells GROUP BY 1, 2)
+SELECT table_id, row_label AS model, 'NYT' AS dataset, CAST(e AS VARCHAR) AS f1, CAST(m AS VARCHAR) AS auc, NULL::VARCHAR AS recall FROM w WHERE e IS NOT NULL OR m IS NOT NULL UNION ALL SELECT table_id, row_label, 'WEB', NULL, NULL, CAST(l AS VARCHAR) FROM w WHERE l IS NOT NULL""")
 def k3_metric_columns(spark, sf_dir):
-    f = O.facts(markdown(spark, sf_dir)).where("row_label = '1-URGENT'").withColumn("n", F.col("value").cast("long"))
-    return f.groupBy("table_id").pivot("column_name", ["early", "late"]).agg(F.max("n")).select("table_id", "early", "late")
+    """Tables whose columns are called by datasets and metrics."""
+    m = markdown(spark, sf_dir).withColumn("markdown", F.replace("markdown", F.lit("| priority | early | middle | late |"), F.lit("| Model | NYT F1 | nyt  auc 2 | WEB Recall |")))
+    v = F.col("values")
+    return O.metric_values(m).select("table_id", "model", "dataset", v["F1"].alias("f1"), v["AUC"].alias("auc"), v["Recall"].alias("recall"))
 
 
 @query("SELECT DISTINCT l_returnflag AS row_label, l_linestatus AS column_name, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS value FROM lineitem")
