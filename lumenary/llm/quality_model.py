@@ -38,7 +38,7 @@ FREQUENT = 1 << 18
 #: Documents for which there is a bucket, about.
 BUCKET_ROWS = 4000
 #: Words at once, distinct words that a task holds, and words without a vector that it holds.
-CHUNK, STATE_WORDS, HELD_WORDS = 1 << 18, 300_000, 1 << 19
+CHUNK, STATE_WORDS, HELD_WORDS = 1 << 17, 300_000, 1 << 18
 #: Labelled rows that training uses at most, those of least hash; the network's memory and time are bounded by it.
 TRAIN_ROWS = 20_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 32, 60, 128, 0.005, 1e-3, 7
@@ -90,10 +90,12 @@ def contexts(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts and sums by word, words sorted."""
+    """Counts and sums by word, words sorted. The parts are given up, so that they are held no longer than need be."""
     h, n, v = (np.concatenate(x) for x in zip(*parts, strict=True))
+    parts.clear()
     order = np.argsort(h, kind="stable")
-    h, n, v = h[order], n[order], v[order]
+    h, n = h[order], n[order]
+    v = v[order]
     if not len(h):
         return h, n, v
     first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -179,7 +181,7 @@ def vocabulary(df: DataFrame, buckets: int, text: str = "text") -> DataFrame:
                     held += len(parts[-1][0])
                 at = stop
                 if held > 2 * STATE_WORDS:
-                    parts = [merged(parts)]
+                    parts.append(merged(parts))
                     held = len(parts[0][0])
                     if held > STATE_WORDS:
                         yield sent(parts[0])
