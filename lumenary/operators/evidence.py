@@ -60,17 +60,6 @@ def contextual(text: Column, embedding_text: Column, prefix: Column) -> Column:
     return F.coalesce(F.when(bare, embedding_text == text).otherwise(embedding_text == F.concat(prefix, F.lit("\n\n"), text)), F.lit(False))
 
 
-def block_matches(block_key: Column, specific: Column, overlap: Column) -> Column:
-    """Two of a query's specific terms (one, if it has only one) in a block's key; without specific terms, two tokens."""
-    hits = F.size(F.filter(specific, lambda t: F.contains(block_key, t)))
-    return F.when(F.size(specific) > 0, hits >= F.least(F.size(specific), F.lit(2))).otherwise(overlap >= 2)
-
-
-def block_rank(overlap: Column, specific_hits: Column, is_metric: Column, has_digit: Column, place: Column) -> Column:
-    """Rank of a block: overlap, four a specific term (less 2.5 without any), metric and digit bonuses, early blocks first."""
-    return overlap + F.when(specific_hits > 0, specific_hits * 4.0).otherwise(-2.5) + F.when(is_metric, 2.0).otherwise(0.0) + F.when(has_digit, 1.5).otherwise(0.0) - place * 0.01
-
-
 def limitation_score(text: Column, overlap: Column, anchors: list[str] | None = None) -> Column:
     """43 and more for a passage with anchors; null without."""
     low = F.lower(text)
@@ -163,5 +152,28 @@ def fingerprint(value: object) -> str:
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False).encode()).hexdigest()
 
 
+def fingerprints(df: DataFrame, key: str, value: str) -> DataFrame:
+    """key and fingerprint of a column of JSON; null and what isn't JSON have none."""
+
+    def one(x):
+        try:
+            return None if x is None else fingerprint(json.loads(x))
+        except ValueError:
+            return None
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([one(x) for x in b.column(1).to_pylist()], pa.string())], [key, "fingerprint"])
+
+    return df.select(key, value).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, fingerprint string")
+
+
+def claim_rows(claims: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """claim_id, chunk_id, document_id and project_id of claims (claim_id, document_id, chunk_id) whose evidence is a chunk of
+    their own document (chunk_id, document_id), in a document that is ready (document_id, project_id, status)."""
+    j = claims.select("claim_id", "chunk_id", "document_id").join(chunks.select("chunk_id", "document_id"), ["chunk_id", "document_id"])
+    return j.join(documents.where("status = 'ready'").select("document_id", "project_id"), "document_id").select("claim_id", "chunk_id", "document_id", "project_id")
+
+
 def version_key(pipeline: str, source_sha256: str, config: object, size: int = 12) -> str:
     return f"{pipeline}-{source_sha256[:12]}-{fingerprint(config)[:size]}"

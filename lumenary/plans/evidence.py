@@ -112,3 +112,26 @@ def s20_prefix_errors(spark, sf_dir):
 @query()
 def c16_embeddings(spark, sf_dir):
     return E.embed(table(spark, sf_dir, "documents"), "doc_id", "text", chunking.hashing_embedder)
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN sha256('{"a":[1,{"x":"' || event_type || '","y":null}],"b":' || user_id || '}') END AS fingerprint FROM events""")
+def m6_fingerprints(spark, sf_dir):
+    """Objects whose keys stand in no order and have blanks between; every ninth is no JSON."""
+    text = F.concat(F.lit('{"b": '), F.col("user_id").cast("string"), F.lit(', "a": [1, {"y": null, "x": "'), "event_type", F.lit('"}]'), F.when(F.col("event_id") % 9 == 0, F.lit("")).otherwise(F.lit("}")))
+    return E.fingerprints(table(spark, sf_dir, "events").select("event_id", text.alias("value")), "event_id", "value")
+
+
+@query(f"""WITH {M.CHUNKS_SQL}, k AS (SELECT document_id * 10 + ordinal % 10 AS claim_id, CASE WHEN ordinal % 3 = 0 THEN document_id + 1 ELSE document_id END AS document_id, chunk_id FROM chunks WHERE ordinal < 10)
+SELECT k.claim_id, k.chunk_id, k.document_id, d.project_id FROM k JOIN chunks c ON c.chunk_id = k.chunk_id AND c.document_id = k.document_id JOIN d ON d.document_id = k.document_id WHERE d.status = 'ready'""")
+def j3_claim_evidence_rows(spark, sf_dir):
+    """A claim for each of a document's first lines; every third names the document after its own, which doesn't have that line."""
+    c = M.chunks(spark, sf_dir)
+    claims = c.where("ordinal < 10").select((F.col("document_id") * 10 + F.col("ordinal") % 10).alias("claim_id"), F.when(F.col("ordinal") % 3 == 0, F.col("document_id") + 1).otherwise(F.col("document_id")).alias("document_id"), "chunk_id")
+    return E.claim_rows(claims, c, M.documents(spark, sf_dir))
+
+
+@query(r"""WITH l AS (SELECT doc_id, list_concat(regexp_extract_all(string_split(text, chr(10))[1], '[A-Za-z]+'), ['source'], regexp_extract_all(coalesce(string_split(text, chr(10))[2], ''), '[A-Za-z]+')) AS w FROM documents) SELECT doc_id, array_to_string(list_filter(w, lambda x, i: list_position(w, x) = i), ' ') AS terms FROM l""")
+def u4_ordered_terms(spark, sf_dir):
+    """The words of a document's first two lines, each where it stands first."""
+    line = lambda i: F.regexp_extract_all(F.coalesce(F.get(F.split("text", "\n"), F.lit(i)), F.lit("")), F.lit("[A-Za-z]+"), F.lit(0))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_distinct(F.concat(line(0), F.array(F.lit("source")), line(1))), " ").alias("terms"))
