@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -139,3 +140,25 @@ def test_pages_without_labelled_texts_ties_and_repeated_rows(spark):
     got = language_id.identify(pages, same).collect()
     assert len(got) == 3 and len({(r.lang, round(r.confidence, 9)) for r in got if r.page_id == 1}) == 1
     assert [r.text_lang for r in got if r.page_id == 2] == ["en"]
+
+
+def test_likelihoods_against_plain_counts(spark):
+    labelled = spark.createDataFrame([("the cat and the hat", "en"), ("der hund und die katze", "de"), ("Der Hut!", "DE")], "text string, lang string")
+    pages = spark.createDataFrame([(1, "https://x.de/a", "<html lang=en><script>the the</script><p>Die Katze</p> 12 und"), (2, None, "")], "page_id long, url string, html string")
+
+    def plain(text):
+        t = " " + re.sub(r"[^a-zäöüß]+", " ", text.lower()) + " "
+        out = []
+        for a, b, c in zip(t, t[1:], t[2:], strict=False):
+            h = ((ord(a) * 0x9E3779B1 + ord(b)) * 0x85EBCA77 + ord(c)) % 2**64
+            out.append((h ^ (h >> 15)) % language_id.CELLS)
+        return out
+
+    names, table = language_id.fit(labelled)
+    counts = {"de": plain("der hund und die katze") + plain("Der Hut!"), "en": plain("the cat and the hat")}
+    got = {r.page_id: r.loglik for r in language_id.features(pages, names, table).collect()}
+    found = plain("  Die Katze  12 und")
+    for k, name in enumerate(names):
+        logs = [math.log((counts[name].count(c) + 0.5) / (len(counts[name]) + 0.5 * language_id.CELLS)) for c in found]
+        assert math.isclose(got[1][k], np.mean(logs) * min(len(found) * 0.25, 400), rel_tol=1e-4)
+    assert names == ["de", "en"] and got[2] == [0.0, 0.0]
