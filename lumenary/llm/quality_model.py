@@ -45,7 +45,8 @@ HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 32, 60, 128, 0.005, 1e-3, 7
 #: Temperatures that are tried.
 TEMPERATURES = np.geomspace(0.05, 20, 61)
 CACHE_WORDS = 400_000
-WIDTH = 2 * SIZE
+#: Numbers of a pooled vector.
+WIDTH = 3 * SIZE + 2
 
 
 class Words:
@@ -238,10 +239,10 @@ def frequent(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pooled(documents: DataFrame, known: tuple[np.ndarray, np.ndarray], buckets: int, key: str, text: str) -> DataFrame:
-    """Rows of two kinds. Documents: kind 0, id (a number of the row's own), key, n (its words), data (sums of its frequent words'
-    vectors, and of their squares). Other words: kind 1, id (their bucket), data (words, documents' ids, counts)."""
+    """Rows of two kinds. Documents: kind 0, id (a number of the row's own), key, n (its words), types (its distinct words), data
+    (sums of its frequent words' vectors, of their squares, of its distinct frequent words' vectors, and of squared counts). Other words: kind 1, id (their bucket), data (words, documents' ids, counts)."""
     shared = documents.sparkSession.sparkContext.broadcast(known)
-    names, kind = ["kind", "id", "key", "n", "data"], documents.schema[key].dataType
+    names, kind = ["kind", "id", "key", "n", "types", "data"], documents.schema[key].dataType
     rows = documents.select(F.monotonically_increasing_id().alias("_id"), F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
 
     def run(batches):
@@ -253,37 +254,38 @@ def pooled(documents: DataFrame, known: tuple[np.ndarray, np.ndarray], buckets:
             h, i, c = (np.concatenate(x) for x in zip(*rest, strict=True))
             order = np.argsort(h, kind="stable")
             h, i, c = h[order], i[order], c[order]
-            sent = [(1, b, None, None, pack(h[s], i[s], c[s])) for b, s in _slices(bucket_of(h, buckets))]
-            return _rows([pa.int32(), pa.int64(), batch_kind, pa.int64(), pa.binary()], names, sent)
+            sent = [(1, b, None, None, None, pack(h[s], i[s], c[s])) for b, s in _slices(bucket_of(h, buckets))]
+            return _rows([pa.int32(), pa.int64(), batch_kind, pa.int64(), pa.int64(), pa.binary()], names, sent)
 
         key_kind = pa.int64()
         for batch in batches:
-            key_kind, sums, sizes = batch.schema.field(1).type, [], []
+            key_kind, sums, sizes, types = batch.schema.field(1).type, [], [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 h = words(t)
                 u, c = np.unique(h, return_counts=True)
                 at = np.minimum(np.searchsorted(top, u), max(len(top) - 1, 0))
                 hit = top[at] == u if len(top) else np.zeros(len(u), bool)
                 v, w = vectors[at[hit]], c[hit].astype(np.float32)
-                sums.append(np.concatenate([w @ v, w @ (v * v)]).astype("<f4").tobytes())
+                sums.append(np.concatenate([w @ v, w @ (v * v), v.sum(axis=0), [w @ w]]).astype("<f4").tobytes())
                 sizes.append(len(h))
+                types.append(len(u))
                 if not hit.all():
                     rest.append((u[~hit], np.full(int((~hit).sum()), i, np.int64), c[~hit].astype(np.int64)))
                     held += len(rest[-1][0])
             n = len(sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sums, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(types, pa.int64()), pa.array(sums, pa.binary())], names)
             if held > HELD_WORDS:
                 yield flush(key_kind)
                 rest, held = [], 0
         if rest:
             yield flush(key_kind)
 
-    return rows.mapInArrow(run, f"kind int, id long, key {kind.simpleString()}, n long, data binary")
+    return rows.mapInArrow(run, f"kind int, id long, key {kind.simpleString()}, n long, types long, data binary")
 
 
 def completed(rows: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
-    """key and x, the pooled vector (mean and deviation of the words' vectors, float32), of each document, from the rows of
-    ``pooled`` and ``vocabulary``."""
+    """key and x, the pooled vector (mean and deviation of the words' vectors, mean of the distinct words', and the part that words have
+    with themselves of the mean's square and of the sum's square by word; float32), of each document, from the rows of ``pooled`` and ``vocabulary``."""
     key = rows.schema["key"].dataType.simpleString()
 
     def resolve(group: pa.Table) -> pa.Table:
@@ -308,20 +310,20 @@ def completed(rows: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
         ids = group["id"].to_numpy()
         own = np.flatnonzero(group["kind"].to_numpy() == 0)
         table = group.take(pa.array(own[np.argsort(ids[own], kind="stable")]))
-        ids, n = table["id"].to_numpy(), np.maximum(table["n"].to_numpy(), 1)[:, None]
-        sums = np.frombuffer(b"".join(table["data"].to_pylist()), "<f4").reshape(-1, WIDTH).astype(np.float64)
+        ids, n, types = table["id"].to_numpy(), *(np.maximum(table[c].to_numpy(), 1)[:, None] for c in ("n", "types"))
+        sums = np.frombuffer(b"".join(table["data"].to_pylist()), "<f4").reshape(-1, 3 * SIZE + 1).astype(np.float64)
         for k, x in zip(group["kind"].to_pylist(), group["data"].to_pylist(), strict=True):
             if k == 1:
                 i, c, v = unpack(x, (1, 1, SIZE))
                 u = unit(v) / 127.0
                 at = np.searchsorted(ids, i)
-                np.add.at(sums, at, np.concatenate([u, u * u], axis=1) * c[:, None])
-        mean = sums[:, :SIZE] / n
-        x = np.concatenate([mean, np.sqrt(np.maximum(sums[:, SIZE:] / n - mean * mean, 0))], axis=1).astype("<f4")
+                np.add.at(sums, at, np.column_stack([u * c[:, None], u * u * c[:, None], u, c.astype(np.float64) ** 2]))
+        mean, square, of_types = sums[:, :SIZE] / n, sums[:, SIZE : 2 * SIZE] / n, sums[:, 2 * SIZE : 3 * SIZE] / types
+        x = np.column_stack([mean, np.sqrt(np.maximum(square - mean * mean, 0)), of_types, sums[:, -1] / n[:, 0] ** 2, sums[:, -1] / n[:, 0]]).astype("<f4")
         return pa.table({"key": table["key"], "x": pa.array([r.tobytes() for r in x], pa.binary())})
 
     own = rows.where("kind = 0").withColumn("bucket", F.col("id") % buckets)
-    rest = met.select(F.lit(1).alias("kind"), F.lit(0).cast("long").alias("id"), F.lit(None).cast(key).alias("key"), F.lit(0).cast("long").alias("n"), "data", "bucket")
+    rest = met.select(F.lit(1).alias("kind"), F.lit(0).cast("long").alias("id"), F.lit(None).cast(key).alias("key"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("types"), "data", "bucket")
     return own.unionByName(rest).groupBy("bucket").applyInArrow(finish, f"key {key}, x binary")
 
 
@@ -335,6 +337,16 @@ def features(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return out
 
 
+def inputs(raw: list[bytes]) -> np.ndarray:
+    """What the network gets of pooled vectors: they themselves, the lengths of both means and of their difference, the mean
+    deviation, and how much of the mean's square words have with themselves and with others. These tell texts that say few
+    words again and again, whatever the words."""
+    x = np.frombuffer(b"".join(raw), "<f4").reshape(-1, WIDTH).astype(np.float64)
+    mean, of_types, own = x[:, :SIZE], x[:, 2 * SIZE : 3 * SIZE], x[:, -2]
+    lengths = [np.linalg.norm(v, axis=1) for v in (mean, of_types, mean - of_types)]
+    return np.column_stack([x, *lengths, x[:, SIZE : 2 * SIZE].mean(axis=1), np.log(own + 1e-6), np.log(x[:, -1] + 1e-6), lengths[0] ** 2 - own])
+
+
 @dataclass
 class Network:
     """Two layers (tanh, logistic) over standardised features, and a temperature."""
@@ -404,14 +416,12 @@ def fit(rows: DataFrame, labels: DataFrame, key: str = "doc_id", most: int = TRA
     known = known.orderBy(F.xxhash64("key"), "key", "label").limit(most)
     got = rows.join(F.broadcast(known), "key").select(F.col("key").cast("string"), "label", "x").distinct().collect()  # bounded by ``most``
     got.sort(key=lambda r: (r["key"], r["label"], r["x"]))
-    x = np.frombuffer(b"".join(r["x"] for r in got), "<f4").reshape(-1, WIDTH).astype(np.float64)
-    return train(x, np.array([r["label"] for r in got], np.float64))
+    return train(inputs([r["x"] for r in got]), np.array([r["label"] for r in got], np.float64))
 
 
 def score(rows: DataFrame, net: Network, key: str = "doc_id", threshold: float = 0.3) -> DataFrame:
     def step(batch):
-        x = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<f4").reshape(-1, WIDTH)
-        s = net.scores(x.astype(np.float64))
+        s = net.scores(inputs(batch.column(1).to_pylist()))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], [key, "score", "predicted"])
 
     return map_batches(rows.select("key", "x"), f"{key} {rows.schema['key'].dataType.simpleString()}, score double, predicted int", lambda: step)

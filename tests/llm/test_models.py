@@ -49,7 +49,9 @@ def brute_features(texts):
     out = []
     for ws in words:
         v = np.array([vectors[w] for w in ws]) if ws else np.zeros((1, quality_model.SIZE))
-        out.append(np.concatenate([v.mean(axis=0), v.std(axis=0)]))
+        types = np.array([vectors[w] for w in set(ws)]) if ws else v
+        own, n = sum(ws.count(w) ** 2 for w in set(ws)), max(1, len(ws))
+        out.append(np.concatenate([v.mean(axis=0), v.std(axis=0), types.mean(axis=0), [own / n**2, own / n]]))
     return np.array(out)
 
 
