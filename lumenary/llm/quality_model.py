@@ -38,15 +38,15 @@ FREQUENT = 1 << 18
 #: Documents for which there is a bucket, about.
 BUCKET_ROWS = 4000
 #: Words at once, distinct words that a task holds, and words without a vector that it holds.
-CHUNK, STATE_WORDS, HELD_WORDS = 1 << 17, 300_000, 1 << 18
+CHUNK, STATE_WORDS, HELD_WORDS = 1 << 17, 450_000, 1 << 18
 #: Labelled rows that training uses at most, those of least hash; the network's memory and time are bounded by it.
 TRAIN_ROWS = 20_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 32, 60, 128, 0.005, 1e-3, 7
 #: Temperatures that are tried.
 TEMPERATURES = np.geomspace(0.05, 20, 61)
 CACHE_WORDS = 400_000
-#: Numbers of a pooled vector.
-WIDTH = 3 * SIZE + 2
+#: Numbers of a pooled vector that lie between -1 and 1, and travel in 16 bits.
+SHORT = 3 * SIZE
 
 
 class Words:
@@ -133,6 +133,18 @@ def unpack(raw: bytes, widths: tuple[int, ...]) -> list[np.ndarray]:
     return out
 
 
+def shortened(x: np.ndarray) -> list[bytes]:
+    """Rows as bytes: the first SHORT numbers in 16 bits each, the others in 32."""
+    both = np.concatenate([x[:, :SHORT].astype("<f2").view(np.uint8), np.ascontiguousarray(x[:, SHORT:].astype("<f4")).view(np.uint8)], axis=1)
+    return [r.tobytes() for r in both]
+
+
+def lengthened(raw: list[bytes], tail: int) -> np.ndarray:
+    """What ``shortened`` made, with so many numbers behind the short ones."""
+    a = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 2 * SHORT + 4 * tail)
+    return np.concatenate([np.ascontiguousarray(a[:, k]).view(t).astype(np.float64) for k, t in ((slice(0, 2 * SHORT), "<f2"), (slice(2 * SHORT, None), "<f4"))], axis=1)
+
+
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     """Ranges of the order of hashes."""
     return (((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
@@ -181,7 +193,7 @@ def vocabulary(df: DataFrame, buckets: int, text: str = "text") -> DataFrame:
                     parts.append(contexts(np.concatenate(lists[at:stop]), np.cumsum([len(x) for x in lists[at:stop]])))
                     held += len(parts[-1][0])
                 at = stop
-                if held > 2 * STATE_WORDS:
+                if held > 3 * STATE_WORDS // 2:
                     parts.append(merged(parts))
                     held = len(parts[0][0])
                     if held > STATE_WORDS:
@@ -240,7 +252,8 @@ def frequent(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def pooled(documents: DataFrame, known: tuple[np.ndarray, np.ndarray], buckets: int, key: str, text: str) -> DataFrame:
     """Rows of two kinds. Documents: kind 0, id (a number of the row's own), key, n (its words), types (its distinct words), data
-    (sums of its frequent words' vectors, of their squares, of its distinct frequent words' vectors, and of squared counts). Other words: kind 1, id (their bucket), data (words, documents' ids, counts)."""
+    (what its frequent words add to the means of vectors, of their squares and of distinct words' vectors, and the sum of squared
+    counts). Other words: kind 1, id (their bucket), data (words, documents' ids, counts)."""
     shared = documents.sparkSession.sparkContext.broadcast(known)
     names, kind = ["kind", "id", "key", "n", "types", "data"], documents.schema[key].dataType
     rows = documents.select(F.monotonically_increasing_id().alias("_id"), F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
@@ -266,14 +279,14 @@ def pooled(documents: DataFrame, known: tuple[np.ndarray, np.ndarray], buckets:
                 at = np.minimum(np.searchsorted(top, u), max(len(top) - 1, 0))
                 hit = top[at] == u if len(top) else np.zeros(len(u), bool)
                 v, w = vectors[at[hit]], c[hit].astype(np.float32)
-                sums.append(np.concatenate([w @ v, w @ (v * v), v.sum(axis=0), [w @ w]]).astype("<f4").tobytes())
                 sizes.append(len(h))
                 types.append(len(u))
+                n = max(1, len(h))
+                sums.append(np.concatenate([w @ v / n, w @ (v * v) / n, v.sum(axis=0) / max(1, len(u)), [w @ w]]))
                 if not hit.all():
                     rest.append((u[~hit], np.full(int((~hit).sum()), i, np.int64), c[~hit].astype(np.int64)))
                     held += len(rest[-1][0])
-            n = len(sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(types, pa.int64()), pa.array(sums, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(types, pa.int64()), pa.array(shortened(np.array(sums)), pa.binary())], names)
             if held > HELD_WORDS:
                 yield flush(key_kind)
                 rest, held = [], 0
@@ -285,7 +298,7 @@ def pooled(documents: DataFrame, known: tuple[np.ndarray, np.ndarray], buckets:
 
 def completed(rows: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
     """key and x, the pooled vector (mean and deviation of the words' vectors, mean of the distinct words', and the part that words have
-    with themselves of the mean's square and of the sum's square by word; float32), of each document, from the rows of ``pooled`` and ``vocabulary``."""
+    with themselves of the mean's square and of the sum's square by word), of each document, from the rows of ``pooled`` and ``vocabulary``."""
     key = rows.schema["key"].dataType.simpleString()
 
     def resolve(group: pa.Table) -> pa.Table:
@@ -311,16 +324,17 @@ def completed(rows: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
         own = np.flatnonzero(group["kind"].to_numpy() == 0)
         table = group.take(pa.array(own[np.argsort(ids[own], kind="stable")]))
         ids, n, types = table["id"].to_numpy(), *(np.maximum(table[c].to_numpy(), 1)[:, None] for c in ("n", "types"))
-        sums = np.frombuffer(b"".join(table["data"].to_pylist()), "<f4").reshape(-1, 3 * SIZE + 1).astype(np.float64)
+        means = lengthened(table["data"].to_pylist(), 1)
         for k, x in zip(group["kind"].to_pylist(), group["data"].to_pylist(), strict=True):
             if k == 1:
                 i, c, v = unpack(x, (1, 1, SIZE))
                 u = unit(v) / 127.0
                 at = np.searchsorted(ids, i)
-                np.add.at(sums, at, np.column_stack([u * c[:, None], u * u * c[:, None], u, c.astype(np.float64) ** 2]))
-        mean, square, of_types = sums[:, :SIZE] / n, sums[:, SIZE : 2 * SIZE] / n, sums[:, 2 * SIZE : 3 * SIZE] / types
-        x = np.column_stack([mean, np.sqrt(np.maximum(square - mean * mean, 0)), of_types, sums[:, -1] / n[:, 0] ** 2, sums[:, -1] / n[:, 0]]).astype("<f4")
-        return pa.table({"key": table["key"], "x": pa.array([r.tobytes() for r in x], pa.binary())})
+                share = (c / n[at, 0])[:, None]
+                np.add.at(means, at, np.column_stack([u * share, u * u * share, u / types[at], c.astype(np.float64) ** 2]))
+        mean, square, of_types, own = means[:, :SIZE], means[:, SIZE : 2 * SIZE], means[:, 2 * SIZE : SHORT], means[:, SHORT:]
+        x = np.column_stack([mean, np.sqrt(np.maximum(square - mean * mean, 0)), of_types, own / n**2, own / n])
+        return pa.table({"key": table["key"], "x": pa.array(shortened(x), pa.binary())})
 
     own = rows.where("kind = 0").withColumn("bucket", F.col("id") % buckets)
     rest = met.select(F.lit(1).alias("kind"), F.lit(0).cast("long").alias("id"), F.lit(None).cast(key).alias("key"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("types"), "data", "bucket")
@@ -341,8 +355,8 @@ def inputs(raw: list[bytes]) -> np.ndarray:
     """What the network gets of pooled vectors: they themselves, the lengths of both means and of their difference, the mean
     deviation, and how much of the mean's square words have with themselves and with others. These tell texts that say few
     words again and again, whatever the words."""
-    x = np.frombuffer(b"".join(raw), "<f4").reshape(-1, WIDTH).astype(np.float64)
-    mean, of_types, own = x[:, :SIZE], x[:, 2 * SIZE : 3 * SIZE], x[:, -2]
+    x = lengthened(raw, 2)
+    mean, of_types, own = x[:, :SIZE], x[:, 2 * SIZE : SHORT], x[:, -2]
     lengths = [np.linalg.norm(v, axis=1) for v in (mean, of_types, mean - of_types)]
     return np.column_stack([x, *lengths, x[:, SIZE : 2 * SIZE].mean(axis=1), np.log(own + 1e-6), np.log(x[:, -1] + 1e-6), lengths[0] ** 2 - own])
 
