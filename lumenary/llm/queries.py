@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, language_id, line_dedup, media, ngram_join, packing, pii, quality_model, quality_rules, warc
+from . import bpe, language_id, line_dedup, media, ngram_join, packing, pii, quality_model, quality_rules, toxicity, warc
 from .common import read
 
 
@@ -54,7 +54,11 @@ def op10_jpeg_thumbnails(spark, sf_dir):
     return media.digests(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pii_surrogates, op3_line_windows, op4_quality_model, op5_quality_cascade, op6_language_id, op7_best_fit_packing, op8_warc_revisits, op9_byte_bpe, op10_jpeg_thumbnails)}
+def op13_toxicity_distance(spark, sf_dir):
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pii_surrogates, op3_line_windows, op4_quality_model, op5_quality_cascade, op6_language_id, op7_best_fit_packing, op8_warc_revisits, op9_byte_bpe, op10_jpeg_thumbnails, op13_toxicity_distance)}
 
 #: Words as arrays: text split at white space, empty strings left out.
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
