@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, language_id, line_dedup, media, ngram_join, packing, pii, quality_model, quality_rules, toxicity, warc
+from . import bpe, collocations, language_id, line_dedup, media, ngram_join, packing, pii, quality_model, quality_rules, toxicity, warc
 from .common import read
 
 
@@ -54,11 +54,15 @@ def op10_jpeg_thumbnails(spark, sf_dir):
     return media.digests(read(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark, sf_dir):
+    return collocations.mine(read(spark, sf_dir, "documents"))
+
+
 def op13_toxicity_distance(spark, sf_dir):
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pii_surrogates, op3_line_windows, op4_quality_model, op5_quality_cascade, op6_language_id, op7_best_fit_packing, op8_warc_revisits, op9_byte_bpe, op10_jpeg_thumbnails, op13_toxicity_distance)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pii_surrogates, op3_line_windows, op4_quality_model, op5_quality_cascade, op6_language_id, op7_best_fit_packing, op8_warc_revisits, op9_byte_bpe, op10_jpeg_thumbnails, op11_collocations, op13_toxicity_distance)}
 
 #: Words as arrays: text split at white space, empty strings left out.
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -95,7 +99,25 @@ gone AS (SELECT DISTINCT w.doc_id, w.i FROM later l, (VALUES (0), (1), (2)) v(k)
 kept AS (SELECT p.doc_id, string_agg(p.x, chr(10) ORDER BY p.i) AS text FROM parts p LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.i = g.i WHERE g.i IS NULL GROUP BY p.doc_id),
 counted AS (SELECT p.doc_id, count(w.i) AS n_lines, count(g.i) AS n_removed FROM parts p LEFT JOIN worded w ON p.doc_id = w.doc_id AND p.i = w.i LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.i = g.i GROUP BY p.doc_id)"""
 
+#: Every n-gram of every piece as a string, counted; cuts and longer candidates by joins on the strings.
+OP11_COLLOCATIONS = r"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+worded AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda w: w <> '') AS ws FROM pieces),
+places AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM worded WHERE len(ws) > 0),
+totals AS (SELECT lang, CAST(count(*) AS BIGINT) AS n FROM places GROUP BY lang),
+grams AS (SELECT lang, k, ws[i : i + k - 1] AS g, CAST(count(*) AS BIGINT) AS f FROM places, (VALUES (1), (2), (3), (4)) v(k) WHERE i + k - 1 <= len(ws) GROUP BY ALL),
+candidates AS (SELECT * FROM grams WHERE k >= 2 AND f >= 30),
+cuts AS (SELECT c.lang, c.k, c.g, c.f, j, a.f AS l, b.f AS r, CAST((CAST(2000000 AS HUGEINT) * c.f) // (a.f + b.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM candidates) c JOIN grams a ON a.lang = c.lang AND a.g = c.g[1 : j] JOIN grams b ON b.lang = c.lang AND b.g = c.g[j + 1 : c.k]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+inner_parts AS (SELECT lang, f, g[s : s + m - 1] AS g FROM candidates, (VALUES (2), (3)) v(m), (VALUES (1), (2), (3)) u(s) WHERE m < k AND s + m - 1 <= k),
+dropped AS (SELECT DISTINCT c.lang, c.g FROM candidates c JOIN inner_parts p ON p.lang = c.lang AND p.g = c.g WHERE CAST(100 AS HUGEINT) * p.f >= CAST(80 AS HUGEINT) * c.f),
+ranked AS (SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.f DESC, array_to_string(b.g, ' ')) AS rank, array_to_string(b.g, ' ') AS phrase, b.f AS a, l, r, score
+  FROM best b LEFT JOIN dropped d ON d.lang = b.lang AND d.g = b.g WHERE d.g IS NULL)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
 ORACLE: dict[str, str] = {
+    "op11_collocations": OP11_COLLOCATIONS,
     "op3_line_windows": f"WITH {OP3_MARKED} SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL WHEN n_removed = 0 THEN d.text ELSE coalesce(k.text, '') END AS text, n_lines, n_removed FROM documents d JOIN counted USING (doc_id) LEFT JOIN kept k USING (doc_id)",
     "op8_warc_revisits": """
 WITH h AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
