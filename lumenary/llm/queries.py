@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, collocations, language_id, line_dedup, media, ngram_join, packing, pii, quality_model, quality_rules, toxicity, warc
+from . import bpe, collocations, language_id, line_dedup, media, ngram_join, packing, pii, quality_model, quality_rules, target_encoding, toxicity, warc
 from .common import read
 
 
@@ -58,11 +58,15 @@ def op11_collocations(spark, sf_dir):
     return collocations.mine(read(spark, sf_dir, "documents"))
 
 
+def op12_target_encoding(spark, sf_dir):
+    return target_encoding.encode(*(read(spark, sf_dir, t) for t in ("sale_lines", "sales", "items", "vendors", "clients")))
+
+
 def op13_toxicity_distance(spark, sf_dir):
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pii_surrogates, op3_line_windows, op4_quality_model, op5_quality_cascade, op6_language_id, op7_best_fit_packing, op8_warc_revisits, op9_byte_bpe, op10_jpeg_thumbnails, op11_collocations, op13_toxicity_distance)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_pii_surrogates, op3_line_windows, op4_quality_model, op5_quality_cascade, op6_language_id, op7_best_fit_packing, op8_warc_revisits, op9_byte_bpe, op10_jpeg_thumbnails, op11_collocations, op12_target_encoding, op13_toxicity_distance)}
 
 #: Words as arrays: text split at white space, empty strings left out.
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -116,7 +120,35 @@ ranked AS (SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score
   FROM best b LEFT JOIN dropped d ON d.lang = b.lang AND d.g = b.g WHERE d.g IS NULL)
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
 
+#: crc32 by its table, made of eight shifts a byte; each column's history as the running sums of a value less those of the fold.
+OP12_ENCODING = """
+WITH tab AS (SELECT list(list_reduce(list_concat([i], range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS c FROM range(256) r(i)),
+lines AS (SELECT sale_id, coalesce(item_id, -1) AS item_id, vendor_id, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (flag = 'returned') AS BIGINT) AS s FROM sale_lines GROUP BY ALL),
+folds AS (SELECT sale_id, coalesce(client_id, -1) AS client_id, sold_at AS t,
+    xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(sale_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda a, b: xor(a >> 8, c[(xor(a, b) & 255) + 1])), 4294967295) % 5 AS fold
+  FROM sales, tab WHERE sold_at IS NOT NULL),
+g AS (SELECT l.*, client_id, t, fold, kind, v.nation_id, segment FROM lines l JOIN folds USING (sale_id) LEFT JOIN items USING (item_id) LEFT JOIN vendors v USING (vendor_id) LEFT JOIN clients USING (client_id)),
+events AS (
+  SELECT 'a' AS col, '' AS k, fold, t, n, s FROM g UNION ALL SELECT 'i', CAST(item_id AS VARCHAR), fold, t, n, s FROM g UNION ALL SELECT 'v', CAST(vendor_id AS VARCHAR), fold, t, n, s FROM g
+  UNION ALL SELECT 'c', CAST(client_id AS VARCHAR), fold, t, n, s FROM g UNION ALL SELECT 'ik', kind, fold, t, n, s FROM g UNION ALL SELECT 'vk', CAST(nation_id AS VARCHAR), fold, t, n, s FROM g UNION ALL SELECT 'ck', segment, fold, t, n, s FROM g),
+of_fold AS (SELECT col, coalesce(k, '-') AS k, fold, t, sum(n) AS n, sum(s) AS s FROM events GROUP BY ALL),
+of_all AS (SELECT col, k, t, sum(n) AS n, sum(s) AS s FROM of_fold GROUP BY ALL),
+run_fold AS (SELECT col, k, fold, t, sum(n) OVER w AS n, sum(s) OVER w AS s FROM of_fold WINDOW w AS (PARTITION BY col, k, fold ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+run_all AS (SELECT col, k, t, sum(n) OVER w AS n, sum(s) OVER w AS s FROM of_all WINDOW w AS (PARTITION BY col, k ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+h AS (SELECT f.col, f.k, f.fold, f.t, CAST(coalesce(a.n, 0) - coalesce(f.n, 0) AS BIGINT) AS n, CAST(coalesce(a.s, 0) - coalesce(f.s, 0) AS BIGINT) AS s FROM run_fold f JOIN run_all a USING (col, k, t)),
+base AS (SELECT fold, t, CASE WHEN n < 1 THEN 500000 ELSE (1000000 * s + 50 * 500000) // (n + 50) END AS p FROM h WHERE col = 'a'),
+prior AS (SELECT col, k, fold, t, CASE WHEN n < 1 THEN p ELSE (1000000 * s + 50 * p) // (n + 50) END AS p FROM h JOIN base USING (fold, t) WHERE col IN ('ik', 'vk', 'ck'))
+SELECT g.sale_id, g.item_id, g.vendor_id, g.n AS n_lines, g.s AS n_returned,
+  i.n AS item_n, CASE WHEN i.n < 1 THEN ip.p ELSE (1000000 * i.s + 50 * ip.p) // (i.n + 50) END AS item_rate,
+  v.n AS vendor_n, CASE WHEN v.n < 1 THEN vp.p ELSE (1000000 * v.s + 50 * vp.p) // (v.n + 50) END AS vendor_rate,
+  c.n AS client_n, CASE WHEN c.n < 1 THEN cp.p ELSE (1000000 * c.s + 50 * cp.p) // (c.n + 50) END AS client_rate
+FROM g
+JOIN h i ON i.col = 'i' AND i.k = CAST(g.item_id AS VARCHAR) AND i.fold = g.fold AND i.t = g.t JOIN prior ip ON ip.col = 'ik' AND ip.k = coalesce(g.kind, '-') AND ip.fold = g.fold AND ip.t = g.t
+JOIN h v ON v.col = 'v' AND v.k = coalesce(CAST(g.vendor_id AS VARCHAR), '-') AND v.fold = g.fold AND v.t = g.t JOIN prior vp ON vp.col = 'vk' AND vp.k = coalesce(CAST(g.nation_id AS VARCHAR), '-') AND vp.fold = g.fold AND vp.t = g.t
+JOIN h c ON c.col = 'c' AND c.k = CAST(g.client_id AS VARCHAR) AND c.fold = g.fold AND c.t = g.t JOIN prior cp ON cp.col = 'ck' AND cp.k = coalesce(g.segment, '-') AND cp.fold = g.fold AND cp.t = g.t"""
+
 ORACLE: dict[str, str] = {
+    "op12_target_encoding": OP12_ENCODING,
     "op11_collocations": OP11_COLLOCATIONS,
     "op3_line_windows": f"WITH {OP3_MARKED} SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL WHEN n_removed = 0 THEN d.text ELSE coalesce(k.text, '') END AS text, n_lines, n_removed FROM documents d JOIN counted USING (doc_id) LEFT JOIN kept k USING (doc_id)",
     "op8_warc_revisits": """
