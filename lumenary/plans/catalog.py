@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import evaluation, evidence, graph, ingestion, operations, passages, retrieval, tables, text, versions  # noqa: F401
+from . import evaluation, evidence, graph, ingestion, operations, packs, passages, retrieval, tables, text, versions  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
