@@ -34,7 +34,7 @@ def op4_quality_model(spark, sf_dir):
 
 def op5_quality_cascade(spark, sf_dir):
     documents = read(spark, sf_dir, "documents").select("doc_id", "text")
-    judged = quality_rules.judge_measured(quality_rules.measures(documents), quality_rules.order_rules(documents))
+    judged = quality_rules.judge_measured(quality_rules.measures(documents), quality_rules.order_rules(documents, measured=True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

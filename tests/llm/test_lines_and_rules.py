@@ -91,12 +91,27 @@ def test_verdicts_against_brute_force(spark):
 
 def test_order_by_rejection_per_cost(spark):
     slow = lambda t, w: quality_rules.mostly_repeated(F.flatten(F.array_repeat(w, 8)))
-    rules = (quality_rules.Rule("slow", slow, None), quality_rules.Rule("never", lambda t, w: F.size(w) < 0, None), quality_rules.Rule("quick", lambda t, w: F.size(w) > 10, None))
+    rules = (quality_rules.Rule("slow", slow, None, (0, 8 * quality_rules.WINDOWS)), quality_rules.Rule("never", lambda t, w: F.size(w) < 0, None), quality_rules.Rule("quick", lambda t, w: F.size(w) > 10, None))
     df = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(300 + i))) for i in range(200)], "doc_id long, text string")
     orders = {tuple(x.name for x in quality_rules.order_rules(df, rules)) for _ in range(3)}
     assert orders == {("quick", "slow", "never")}
 
 
+def test_real_rules_have_one_order(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for measured in (False, True):
+        orders = {tuple(x.name for x in quality_rules.order_rules(df.repartition(1 + k), measured=measured)) for k in range(10)}
+        assert len(orders) == 1 and set(*orders) == {x.name for x in quality_rules.RULES}
+        # What costs a comparison and rejects goes before what scans the text; a rule that rejects nothing has nothing to give.
+        order = list(*orders)
+        assert order.index("few_words") < min(map(order.index, ("few_letters", "capitals", "exclamations")))
+    sample = df.limit(300)
+    rejected = {r.name: sample.where(r.rejects(F.coalesce("text", F.lit("")), quality_rules.words(F.coalesce("text", F.lit(""))))).count() for r in quality_rules.RULES}
+    cost = {r.name: quality_rules.COMPARE * 300 + r.cost[0] * sample.agg(F.sum(F.length("text"))).first()[0] + r.cost[1] * sample.agg(F.sum(F.size(quality_rules.words(F.col("text"))))).first()[0] for r in quality_rules.RULES}
+    gains = [rejected[r.name] / cost[r.name] for r in quality_rules.order_rules(sample)]
+    assert gains == sorted(gains, reverse=True)
+
+
 def test_order_changes_no_verdict(spark):
     texts = ["word " * 60, "Clean words of many kinds stand here. " * 2, None, " ".join(f"word{i}" for i in range(80)), " ".join(f"WORD{i}!" for i in range(80)), " ".join(f"w{i}###" for i in range(80))]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
