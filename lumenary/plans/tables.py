@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import blocks as B
 from ..operators import structures as ST
+from ..operators import table_facts as TF
 from ..operators import tables as O
 from .registry import query, table
 
@@ -164,3 +165,43 @@ def src6_html_markdown(spark, sf_dir):
 
     m = html.mapInArrow(run, "table_id string, markdown string")
     return m.select("table_id", F.size(F.split("markdown", "\n")).alias("n_lines"), F.contains("markdown", F.lit("| priority | years | years | late |")).alias("spans_repeat"))
+
+
+#: Tables of orders, a nation each: their header has two levels, and each chunk repeats it. Every other one has one level, under which
+#: another name of it stands. Values are words for none of them, so that what is a number decides.
+_LEVELS_SQL = """o AS (SELECT n_nationkey, n_name, o_orderpriority AS label, count(*) FILTER (year(o_orderdate) < 1996) AS early, count(*) FILTER (year(o_orderdate) >= 1996) AS late, count(*) AS total
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3),
+facts AS (SELECT n_nationkey, n_name, label, CASE WHEN n_nationkey % 2 = 0 THEN 'orders early' ELSE 'before' END AS column_name, early AS v FROM o UNION ALL SELECT n_nationkey, n_name, label, CASE WHEN n_nationkey % 2 = 0 THEN 'orders late' ELSE 'since' END, late FROM o
+ UNION ALL SELECT n_nationkey, n_name, label, 'total', total FROM o)"""
+
+
+def levels(spark, sf_dir):
+    """Chunks of the tables, three rows each behind a repeated header."""
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    early = F.year("o_orderdate") < 1996
+    g = o.groupBy("n_nationkey", "n_name", F.col("o_orderpriority").alias("label")).agg(F.count_if(early).alias("early"), F.count_if(~early).alias("late"), F.count("*").alias("total"))
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", "label", "early", "late", "total"), F.lit(" |"))
+    lines = g.groupBy("n_nationkey", "n_name").agg(F.transform(F.sort_array(F.collect_list(F.struct("label", line.alias("line")))), lambda x: x["line"]).alias("lines"))  # five priorities
+    head = F.when(F.col("n_nationkey") % 2 == 0, F.lit("| priority | orders | orders | total |\n|---|---|---|---|\n| priority | early | late | |")).otherwise(F.lit("| priority | before | since | total |\n|---|---|---|---|\n| | first | second | |"))
+    parts = F.array(F.slice("lines", 1, 3), F.slice("lines", 4, 3))
+    text = F.concat(F.lit("Orders of "), "n_name", F.lit("\n"), head, F.lit("\n"), F.array_join("_part", "\n"))
+    return lines.select("n_nationkey", "n_name", head.alias("_h"), F.posexplode(parts).alias("ordinal", "_part")).where(F.size("_part") > 0).select(F.col("n_nationkey").cast("long").alias("document_id"), F.lit("v1").alias("parse_version"), F.col("n_name").alias("table_id"), "ordinal", F.concat_ws(":", "n_name", "ordinal").alias("chunk_id"), text.alias("text"))
+
+
+@query(f"WITH {_LEVELS_SQL} SELECT n_name AS table_id, 'Orders of ' || n_name AS caption, CASE WHEN n_nationkey % 2 = 0 THEN 'priority|orders early|orders late|total' ELSE 'priority|before|since|total' END AS headers, CAST(count(*) AS INT) AS n_rows, 'header_like_data_row' AS flags, string_agg(label, '|' ORDER BY label) AS labels FROM o GROUP BY n_nationkey, n_name")
+def k1_composed_headers(spark, sf_dir):
+    """Two levels of headers become one, another name for the header is dropped, and chunks' repetitions of both vanish."""
+    t = TF.assembled(levels(spark, sf_dir))
+    return t.select("table_id", "caption", F.array_join("headers", "|").alias("headers"), F.size("rows").alias("n_rows"), F.array_join("flags", "|").alias("flags"), F.array_join("labels", "|").alias("labels"))
+
+
+#: Questions, with the columns and rows that they come to: by name, by a part of a word, or not at all.
+_ASKED = ["early and before for 1-URGENT", "late or since of the urgent ones", "everything there is", "ea, si of low", "total, 1-URGENT and 3-MEDIUM", "what about 9-NONE"]
+
+
+@query(rf"""WITH {_LEVELS_SQL}, q(n, cols, pattern, rows_by, columns_by) AS (VALUES (0, 'orders early|before', '1-URGENT', 'exact', 'strong'), (1, 'orders late|since', '1-URGENT', 'matched', 'strong'), (2, '', '', 'all', 'all'), (3, 'orders early|since', '5-LOW', 'matched', 'weak'), (4, 'total', '1-URGENT|3-MEDIUM', 'exact', 'strong'), (5, '', '', 'all', 'all'))
+SELECT n, n_name AS table_id, label AS row_label, column_name, CAST(v AS VARCHAR) AS value, rows_by, columns_by FROM facts, q WHERE (cols = '' OR list_contains(string_split(cols, '|'), column_name)) AND (pattern = '' OR list_contains(string_split(pattern, '|'), label))""")
+def k2_selected_facts(spark, sf_dir):
+    """Cells for each question of each table, by the chain of fallbacks."""
+    asked = F.posexplode(F.array(*map(F.lit, _ASKED))).alias("n", "question")
+    return TF.selected(TF.assembled(levels(spark, sf_dir)).select("*", asked)).select("n", "table_id", "row_label", "column_name", "value", "rows_by", "columns_by")
