@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import blocks as B
+from ..operators import planner as PL
 from ..operators import structures as ST
 from ..operators import table_facts as TF
 from ..operators import tables as O
@@ -205,3 +206,25 @@ def k2_selected_facts(spark, sf_dir):
     """Cells for each question of each table, by the chain of fallbacks."""
     asked = F.posexplode(F.array(*map(F.lit, _ASKED))).alias("n", "question")
     return TF.selected(TF.assembled(levels(spark, sf_dir)).select("*", asked)).select("n", "table_id", "row_label", "column_name", "value", "rows_by", "columns_by")
+
+
+#: Questions about the tables of orders, numbered by their nations, each with the tables of its nation and of the next one at hand.
+_DEMANDS = ["Table {n}: orders early, totals of row 2", "Table {n} and its since values", "the total row of before", "Table {n} orders late", "Table 99 total", "Table {n}?"]
+
+
+@query(f"""WITH {_LEVELS_SQL}, ks AS (SELECT n_nationkey AS k, n_nationkey % 2 = 0 AS even, count(*) AS n_rows FROM o GROUP BY 1), q AS (SELECT k, i, even, n_rows, k * 6 + i AS query_id FROM ks, range(6) r(i))
+SELECT query_id, CAST(CASE i WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 3 THEN 1 WHEN 5 THEN 1 ELSE 0 END AS BIGINT) AS expected,
+  CAST(CASE i WHEN 0 THEN CASE WHEN n_rows < 3 THEN 2 WHEN even THEN 0 ELSE 1 END WHEN 1 THEN CASE WHEN even THEN 1 ELSE 0 END WHEN 3 THEN CASE WHEN even THEN 0 ELSE 1 END ELSE 0 END AS BIGINT) AS missing,
+  CASE WHEN i IN (2, 4) THEN 'unknown' WHEN (i = 0 AND (n_rows < 3 OR NOT even)) OR (i = 1 AND even) OR (i = 3 AND NOT even) THEN 'missing' ELSE 'complete' END AS status FROM q""")
+def v4_planned_facts(spark, sf_dir):
+    """Demands read from questions and bound to tables, against all facts of these."""
+    tables = TF.assembled(levels(spark, sf_dir)).withColumn("_k", F.col("document_id"))
+    ask = F.posexplode(F.array(*[F.concat(F.lit(d.partition("{n}")[0]), F.when(F.lit("{n}" in d), F.col("_k").cast("string")).otherwise(""), F.lit(d.partition("{n}")[2])) for d in _DEMANDS])).alias("_i", "question")
+    asked = tables.select("_k", ask).select((F.col("_k") * 6 + F.col("_i")).alias("query_id"), "_k", "question")
+    most = 25  # nations are numbered from 0; the one after the last is the first
+    own = asked.select("query_id", F.explode(F.array("_k", (F.col("_k") + 1) % most)).alias("_k"))
+    name = F.concat(F.lit("table-"), F.col("_k").cast("string"))
+    inventory = own.select("query_id", F.col("_k").alias("document_id"), F.lit("v1").alias("parse_version"), name.alias("table_id"))
+    rows = tables.select("_k", "headers", F.posexplode("rows").alias("row_index", "_r"), "labels").select("_k", "row_index", F.get("labels", F.col("row_index")).alias("row_label"), "headers", F.posexplode("_r").alias("_c", "value")).where("_c > 0")
+    facts = own.join(rows, "_k").select("query_id", F.col("_k").alias("document_id"), F.lit("v1").alias("parse_version"), name.alias("table_id"), "row_index", "row_label", F.get("headers", F.col("_c")).alias("column_name"), F.lit(None).cast("string").alias("term"))
+    return PL.answered(PL.planned(asked.select("query_id", "question"), inventory), facts)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,29 +26,79 @@ def verify_copy(source: DataFrame, target: DataFrame) -> bool:
     return source.exceptAll(target.select(*source.columns)).isEmpty() and target.select(*source.columns).exceptAll(source).isEmpty()
 
 
-def write_bundle(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` as a bundle: data and a manifest of rows and a content hash in a staging folder, which is then renamed
-    to ``path``; what was there goes first. A reader sees the old bundle, none, or the whole new one. Returns the manifest."""
+#: The name of the pointer to a bundle's version, and of the folder of its versions.
+POINTER, VERSIONS = "_current", "versions"
+
+
+def _files(spark: SparkSession, path: str):
+    """Hadoop's file context of a path, and what makes paths."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    uri = fs.Path(path).toUri()
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    return (fs.FileContext.getFileContext(uri, conf) if uri.getScheme() else fs.FileContext.getFileContext(conf)), fs.Path
+
+
+def _point(spark: SparkSession, path: str, version: str) -> None:
+    """Let the bundle's pointer name a version: a new pointer is written aside and renamed over the old one, in one step."""
+    files, place = _files(spark, path)
+    jvm = spark._jvm
+    options = jvm.org.apache.hadoop.fs.Options
+    aside = f"{path}/{POINTER}-{uuid.uuid4().hex}"
+    fs = place(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    out = fs.create(place(aside), False)
+    out.write(version.encode())
+    out.close()
+    how = spark.sparkContext._gateway.new_array(options.Rename, 1)
+    how[0] = options.Rename.OVERWRITE
+    files.rename(place(aside), place(f"{path}/{POINTER}"), how)
+
+
+def current(spark: SparkSession, path: str) -> str:
+    """The folder of the version that a bundle's pointer names."""
+    lines = spark.read.text(f"{path}/{POINTER}").collect()  # one short line
+    return f"{path}/{VERSIONS}/{lines[0].value}"
+
+
+def write_bundle(df: DataFrame, path: str, keep: int = 2) -> DataFrame:
+    """Write ``df`` as a new version of a bundle: data, and a manifest with the rows and a content hash of each file. Then the
+    bundle's pointer is replaced by one that names the version. Returns the manifest.
+
+    A reader sees the old version or the whole new one at any time, and a job that fails before the pointer is replaced
+    leaves the old one in place. Of older versions the last ones stay, ``keep`` with the new one, for readers that have
+    begun; the others, and what failed jobs left, go.
+    """
     spark = df.sparkSession
-    staged = f"{path}__staged-{uuid.uuid4().hex}"
-    df.write.parquet(f"{staged}/data")
-    hashes(spark, staged).coalesce(1).write.json(f"{staged}/manifest")
-    folder = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    try:
+        before = current(spark, path).rpartition("/")[2]
+    except AnalysisException:  # there is no pointer yet
+        before = ""
+    version = f"{max(int(before.partition('-')[0] or 0), 0) + 1:08d}-{uuid.uuid4().hex}"
+    place = f"{path}/{VERSIONS}/{version}"
+    df.write.parquet(f"{place}/data")
+    hashes(spark, place).coalesce(1).write.json(f"{place}/manifest")
+    _point(spark, path, version)
+    _, folder = _files(spark, path)
     fs = folder(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    fs.delete(folder(path), True)
-    if not fs.rename(folder(staged), folder(path)):
-        raise OSError(f"{staged} can't be renamed to {path}")
-    return spark.read.json(f"{path}/manifest")
+    names = sorted(s.getPath().getName() for s in fs.listStatus(folder(f"{path}/{VERSIONS}")))
+    for name in names[: max(0, len(names) - max(1, keep))]:
+        if name != version:
+            fs.delete(folder(f"{path}/{VERSIONS}/{name}"), True)
+    return spark.read.schema(MANIFEST).json(f"{place}/manifest")
+
+
+MANIFEST = "file string, rows long, content string"
 
 
 def hashes(spark: SparkSession, path: str) -> DataFrame:
+    """file, rows and content of each data file: the content's hash is a sum over rows, whatever their order."""
     d = spark.read.parquet(f"{path}/data")
-    return d.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.xxhash64(*d.columns).cast("decimal(38,0)")), F.lit(0)).cast("string").alias("content"))
+    return d.groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*d.columns).cast("decimal(38,0)")).cast("string").alias("content"))
 
 
 def load_bundle(spark: SparkSession, path: str) -> DataFrame:
-    """The bundle's data, after its manifest was checked."""
-    want, got = spark.read.json(f"{path}/manifest").first(), hashes(spark, path).first()
-    if (want["rows"], want["content"]) != (got["rows"], got["content"]):
+    """The data of the bundle's current version, after each of its files was held against the manifest."""
+    place = current(spark, path)
+    want, got = spark.read.schema(MANIFEST).json(f"{place}/manifest"), hashes(spark, place)
+    if not want.exceptAll(got.select(want.columns)).isEmpty() or not got.select(want.columns).exceptAll(want).isEmpty():
         raise ValueError("the bundle doesn't fit its manifest")
-    return spark.read.parquet(f"{path}/data")
+    return spark.read.parquet(f"{place}/data")

@@ -43,7 +43,7 @@ def test_bundle_and_copy(spark, tmp_path):
     path = f"file://{tmp_path}/bundle"
     sinks.write_bundle(df, path)
     assert sinks.verify_copy(df, sinks.load_bundle(spark, path))
-    df.limit(3).write.mode("overwrite").parquet(f"{path}/data")
+    df.limit(3).write.mode("overwrite").parquet(f"{sinks.current(spark, path)}/data")
     with pytest.raises(ValueError):
         sinks.load_bundle(spark, path)
     with pytest.raises(ValueError):

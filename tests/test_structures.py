@@ -120,6 +120,22 @@ def test_bundles_are_replaced_whole(spark, tmp_path):
         sinks.write_bundle(spark.range(n), path)
         assert sinks.load_bundle(spark, path).count() == n
     assert [p.name for p in tmp_path.iterdir()] == ["b"]
-    spark.range(1).write.mode("overwrite").parquet(f"{path}/data")
+    spark.range(1).write.mode("overwrite").parquet(f"{sinks.current(spark, path)}/data")
     with pytest.raises(ValueError):
         sinks.load_bundle(spark, path)
+
+
+def test_a_bundle_that_fails_leaves_the_old_one(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/b"
+    sinks.write_bundle(spark.range(3), path)
+    with monkeypatch.context() as m:
+        m.setattr(sinks, "_point", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            sinks.write_bundle(spark.range(5), path)
+    assert sinks.load_bundle(spark, path).count() == 3
+    begun = sinks.load_bundle(spark, path)
+    manifest = sinks.write_bundle(spark.range(7).repartition(3), path, keep=3)
+    assert sum(r.rows for r in manifest.collect()) == 7 and len(manifest.collect()) == 3
+    assert begun.count() == 3 and sinks.load_bundle(spark, path).count() == 7
+    sinks.write_bundle(spark.range(0), path, keep=1)
+    assert sinks.load_bundle(spark, path).count() == 0 and len(list((tmp_path / "b/versions").iterdir())) == 1
