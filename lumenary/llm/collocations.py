@@ -1,13 +1,15 @@
 """Phrase collocation mining by hierarchical pair naming.
 
 Texts are cut into blocks of one language, each a sequence of word codes with a mark where a piece ends. A level replaces
-adjacent codes by names: a block tells its distinct pairs and their counts, pairs are counted over all blocks, frequent ones
-get an id, and the ids that a block holds go back to it. Frequent words are level 1; a pair of adjacent (k-1)-grams, which
-share all but their outer words, is a k-gram. A name is thus its two parents, by which the counts of a phrase's first and
-last parts, its words, and the phrases that hold it are found by joins on ids. A phrase can't be more frequent than a part
-of it, so dropping infrequent ones at each level loses nothing.
-
-What is shuffled are a block's distinct pairs, not its occurrences; hot words and pairs are one row a block.
+adjacent codes by names: a block tells its distinct pairs, their counts and their places (the block and its code of the pair);
+all blocks' places of a pair meet, and if the pair is frequent its first place becomes its id, which goes back to each of the
+places. Frequent words are level 1; a pair of adjacent (k-1)-grams, which share all but their outer words, is a k-gram. A name
+is thus its two parents, by which the counts of a phrase's first and last parts, its words, and the phrases that hold it are
+found by joins on ids. A phrase can't be more frequent than a part of it, so dropping infrequent ones at each level loses
+nothing.
+
+A block's distinct pairs are shuffled, once a level, and not its occurrences. The most frequent pair has a row a block, which is
+little beside what a task gets of rare ones.
 """
 
 from __future__ import annotations
@@ -18,12 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, discard, small, written
+from .common import discard, small, written
 
 #: Bytes of text of a block, the least frequency of a phrase, its most words, and phrases reported of each language.
 BLOCK_BYTES, LEAST, LONGEST, TOP = 8 << 20, 30, 4, 2000
-#: Names, in rows, that are broadcast to the blocks' pairs after they were counted; beyond it, both are shuffled.
-BROADCAST_NAMES = BROADCAST_ROWS // 4
+#: Bits of a code within its block, and of a block's number within its task; 20 are left for the task's.
+CODE_BITS, BLOCK_BITS = 31, 12
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: 0: byte of a word; 1: between words; 2: between pieces.
@@ -38,7 +40,7 @@ def coded(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     kind = KIND[a]
     inside = np.concatenate([[False], kind == 0, [False]])
     start, end = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
-    piece = np.cumsum(kind == 2, dtype=np.int32)[start]
+    piece = np.searchsorted(np.flatnonzero(kind == 2), start)
     offsets = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int32)
     words = pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(a[kind == 0].tobytes())).dictionary_encode()
     codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int32)
@@ -56,12 +58,14 @@ def blocks(df: DataFrame, lang: str, text: str) -> DataFrame:
     """block, lang, codes, words and counts: a row for some BLOCK_BYTES of a task's texts of a language, or a longer text."""
 
     def run(batches):
-        place, made, held, size = TaskContext.get().partitionId() << 32, 0, {}, {}
+        task, made, held, size = TaskContext.get().partitionId(), 0, {}, {}
 
         def flush(of):
+            if made >> BLOCK_BITS or task >> (63 - CODE_BITS - BLOCK_BITS):
+                raise OverflowError("blocks beyond their numbers: read the texts in more and smaller partitions")
             codes, words, counts = coded(held.pop(of))
             size.pop(of)
-            return pa.RecordBatch.from_arrays([pa.array([place + made]), pa.array([of]), pa.array([codes.tobytes()], pa.binary()), lists(words), lists(counts)], ["block", "lang", "codes", "words", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array([task << BLOCK_BITS | made]), pa.array([of]), pa.array([codes.tobytes()], pa.binary()), lists(words), lists(counts)], ["block", "lang", "codes", "words", "counts"])
 
         for batch in batches:
             for of, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -109,10 +113,15 @@ def paired(sequences: DataFrame, named: DataFrame) -> DataFrame:
 
 
 def named(grams: DataFrame, by: list[str], least: int) -> tuple[DataFrame, DataFrame]:
-    """The names, ``by``, n and id, of grams that ``least`` occurrences or more have, and each block's codes with their ids."""
-    names = written(grams.groupBy(*by).agg(F.sum("n").alias("n")).where(F.col("n") >= least).withColumn("id", F.monotonically_increasing_id()), "names")
-    keys = names.select(*by, "id")
-    return names, grams.join(F.broadcast(keys) if keys.count() <= BROADCAST_NAMES else keys, by).select("block", "code", "id")
+    """The names, ``by``, n and id, of grams (``by``, block, code, n) that ``least`` occurrences or more have, and the ids of
+    each block's codes."""
+    place = F.shiftleft("block", CODE_BITS).bitwiseOR(F.col("code").cast("long"))
+    all_places = Window.partitionBy(*by)
+    found = grams.select(*by, place.alias("place"), "n").withColumn("_total", F.sum("n").over(all_places)).withColumn("id", F.min("place").over(all_places)).where(F.col("_total") >= least)
+    first = F.col("place") == F.col("id")
+    places = written(found.select("place", "id", *[F.when(first, F.col(c)).alias(c) for c in by], F.when(first, F.col("_total")).alias("n")), "names")
+    code = F.col("place").bitwiseAND((1 << CODE_BITS) - 1).cast("int")
+    return places.where("place = id").select(*by, "n", "id"), places.select(F.shiftright("place", CODE_BITS).alias("block"), code.alias("code"), "id")
 
 
 def hierarchy(df: DataFrame, lang: str = "lang", text: str = "text", longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, list[DataFrame]]:
@@ -134,41 +143,66 @@ def hierarchy(df: DataFrame, lang: str = "lang", text: str = "text", longest: in
     return totals, levels
 
 
-def phrases(levels: list[DataFrame]) -> list[DataFrame]:
-    """Each level with lang, phrase, its last word, and the counts of its first parts (shortest first) and of the rests after
-    them, all by way of the parents."""
+def cut_counts(levels: list[DataFrame]) -> list[DataFrame]:
+    """Each level's id, n and lang, with the counts of its phrases' first parts (shortest first) and of the rests after them, by
+    way of the parents. Each level is written, as the next one reads it twice."""
     none = F.array().cast("array<bigint>")
-    out = [levels[0].select("id", "n", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), none.alias("firsts"), none.alias("rests"))]
+    out = [levels[0].select("id", "n", "lang", none.alias("firsts"), none.alias("rests"))]
     for names in levels[1:]:
-        left = out[-1].select(F.col("id").alias("left"), "lang", F.col("phrase").alias("_phrase"), F.concat("firsts", F.array("n")).alias("firsts"))
-        right = out[-1].select(F.col("id").alias("right"), "last", F.concat(F.array("n"), "rests").alias("rests"))
-        out.append(names.join(left, "left").join(right, "right").select("id", "n", "lang", F.concat_ws(" ", "_phrase", "last").alias("phrase"), "last", "firsts", "rests"))
+        left = out[-1].select(F.col("id").alias("left"), "lang", F.concat("firsts", F.array("n")).alias("firsts"))
+        right = out[-1].select(F.col("id").alias("right"), F.concat(F.array("n"), "rests").alias("rests"))
+        out.append(written(names.join(left, "left").join(right, "right").select("id", "n", "lang", "firsts", "rests"), "cuts"))
     return out
 
 
+def scored(levels: list[DataFrame]) -> DataFrame:
+    """lang, k, id, a, l, r and score of the phrases that no longer one subsumes, at their lowest cut.
+
+    A phrase of k words lies in one of k + 2 only by way of one of k + 1, which is as frequent at least, so that the parents of
+    the next level tell all. Decimals, as the products may pass 64 bits.
+    """
+    cut = F.expr("array_min(transform(arrays_zip(firsts, rests), (x, i) -> struct(cast(2000000 * cast(n AS decimal(20, 0)) div (x.firsts + x.rests) AS bigint) AS score, i AS cut, x.firsts AS l, x.rests AS r)))")
+    found = None
+    for k, (counts, longer) in enumerate(zip(cut_counts(levels)[1:], [*levels[2:], None], strict=True), 2):
+        own = counts.select("lang", F.lit(k).alias("k"), "id", F.col("n").alias("a"), cut.alias("_cut"))
+        if longer is not None:
+            inside = longer.select(F.explode(F.array("left", "right")).alias("id"), "n").groupBy("id").agg(F.max("n").alias("_longer"))
+            own = own.join(inside, "id", "left").where("_longer IS NULL OR 100 * cast(_longer AS decimal(20, 0)) < 80 * cast(a AS decimal(20, 0))")
+        own = own.select("lang", "k", "id", "a", "_cut.l", "_cut.r", "_cut.score")
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+def spelled(chosen: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """``chosen`` with phrase. Each word goes down its own line of parents: to the left one until the phrase is as long as the
+    word's place, then to the right ones."""
+    at = chosen.select("k", "id", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("place"), F.col("id").alias("node")).withColumns({"size": F.col("k"), "origin": F.col("place")})
+    for k in range(len(levels), 1, -1):
+        here, deeper = at.where(F.col("size") == k), at.where(F.col("size") < k)
+        parents = levels[k - 1].select(F.col("id").alias("node"), "left", "right")
+        left = F.col("place") < k
+        down = parents.join(small(here), "node").select("k", "id", F.when(left, F.col("place")).otherwise(F.col("place") - 1).alias("place"), F.when(left, F.col("left")).otherwise(F.col("right")).alias("node"), F.lit(k - 1).alias("size"), "origin")
+        at = deeper.unionByName(down)
+    words = levels[0].select(F.col("id").alias("node"), "word").join(small(at), "node").select("k", "id", "origin", "word")
+    phrase = words.groupBy("k", "id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("origin", "word"))), lambda x: x["word"]), " ").alias("phrase"))
+    return chosen.join(phrase, ["k", "id"])
+
+
 def mine(df: DataFrame, lang: str = "lang", text: str = "text", longest: int = LONGEST, least: int = LEAST, top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's ``top`` phrases of two to ``longest`` words.
 
     a, l and r count the phrase, its first part and the rest at the cut of lowest score floor(2000000 * a / (l + r)), the
     first one of equals; n counts the language's words. Phrases that lie in a longer one with 80 in 100 of their occurrences
-    or more, reported or not, are left out. A phrase of k words lies in one of k + 2 only by way of one of k + 1, which is as
-    frequent at least, so that the parents of the next level tell all. Order: score and a falling, phrase rising by its bytes.
+    or more, reported or not, are left out. Order: score and a falling, phrase rising by its bytes. Only phrases whose score and
+    a can be among the first are spelled out, all of equals.
 
     A null language is ``und``; null and empty texts, and words that never occur ``least`` times, yield nothing but their
     count in n; repeated rows count as often as they occur; other columns are ignored, whatever their names. An empty table
     gives an empty result.
     """
     totals, levels = hierarchy(df, lang, text, longest, least)
-    found = None
-    for names, longer in zip(phrases(levels)[1:], [*levels[2:], None], strict=True):
-        # Decimals: the products may pass 64 bits.
-        cut = F.expr("array_min(transform(arrays_zip(firsts, rests), (x, i) -> struct(cast(2000000 * cast(n AS decimal(20, 0)) div (x.firsts + x.rests) AS bigint) AS score, i AS cut, x.firsts AS l, x.rests AS r)))")
-        own = names.select("id", "lang", "phrase", F.col("n").alias("a"), cut.alias("_cut"))
-        if longer is not None:
-            inside = longer.select(F.explode(F.array("left", "right")).alias("id"), "n").groupBy("id").agg(F.max("n").alias("_longer"))
-            own = own.join(inside, "id", "left").where("_longer IS NULL OR 100 * cast(_longer AS decimal(20, 0)) < 80 * cast(a AS decimal(20, 0))")
-        own = own.select("lang", "phrase", "a", "_cut.l", "_cut.r", "_cut.score")
-        found = own if found is None else found.unionByName(own)
+    by = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
+    chosen = written(scored(levels).withColumn("_rank", F.rank().over(by)).where(F.col("_rank") <= top).drop("_rank"), "chosen")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    ranked = found.withColumn("rank", rank).where(F.col("rank") <= top)
+    ranked = spelled(chosen, levels).withColumn("rank", rank).where(F.col("rank") <= top)
     return ranked.join(small(totals), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import citations as CI
 from ..functions import normalise as N
 from ..functions import text as T
+from ..operators import fidelity as FI
 from ..operators import answers as AN
 from ..operators import chunking
 from ..operators import evidence as E
@@ -242,3 +243,32 @@ def src5_html_table_grid(spark, sf_dir):
 
     c = html.mapInArrow(run, "table_id string, row_index int, column_index int, rowspan int, colspan int, is_header boolean, text string")
     return c.where("text <> '-'").groupBy("table_id").agg(F.count("*").alias("n_cells"))
+
+
+_PAIRS_SQL = M.CHUNKS_SQL + """, l AS (SELECT document_id, ordinal, text, ordinal // 2 AS k, sum(length(text) + 1) OVER (PARTITION BY document_id ORDER BY ordinal) - length(text) - 1 AS b FROM chunks),
+p AS (SELECT document_id, k, string_agg(text, chr(10) ORDER BY ordinal) AS text, min(b) AS b, max(b + length(text) + 1) AS e, document_id + k AS n FROM l GROUP BY 1, 2),
+c AS (SELECT document_id, k, text, CASE WHEN n % 17 = 1 THEN b + 1 ELSE b END AS b, e, n FROM p WHERE n % 11 <> 3),
+lagged AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY document_id ORDER BY b, e, k), 0) AS before FROM c),
+f AS (SELECT document_id, 'child_embedding_text_differs_from_source_text' AS reason FROM c WHERE n % 13 = 5 UNION ALL SELECT document_id, 'child_token_count_mismatch' FROM c WHERE n % 7 = 2
+ UNION ALL SELECT document_id, 'child_token_limit_exceeded' FROM c WHERE greatest(1, length(text) // 4) > 600
+ UNION ALL SELECT document_id, CASE WHEN e <= b THEN 'empty_part' WHEN b > before THEN 'gap_before_part' ELSE 'overlap_with_part_before' END FROM lagged WHERE e <= b OR b <> before
+ UNION ALL SELECT w.document_id, CASE WHEN m.e IS NULL THEN 'no_part' ELSE 'end_not_covered' END FROM (SELECT document_id, max(e) AS e FROM p GROUP BY 1) w LEFT JOIN (SELECT document_id, max(e) AS e FROM c GROUP BY 1) m USING (document_id) WHERE m.e IS NULL OR m.e < w.e
+ UNION ALL SELECT l.document_id, 'narrative_source_unit_not_reconstructable' FROM l LEFT JOIN c ON c.document_id = l.document_id AND c.k = l.k AND c.b <= l.b WHERE length(l.text) > 0 AND c.k IS NULL)"""
+
+
+@query(f"WITH {_PAIRS_SQL} SELECT document_id, reason, count(*) AS n FROM f GROUP BY 1, 2")
+def c8_audited_chunks(spark, sf_dir):
+    """Children of two lines each against their documents; by their number some are lost, moved, miscounted or changed."""
+    c = M.chunks(spark, sf_dir).select("document_id", "ordinal", "text")
+    begin = F.sum(F.length("text") + 1).over(W.partitionBy("document_id").orderBy("ordinal")) - F.length("text") - 1
+    lines = c.withColumns({"begin": begin, "k": F.floor(F.col("ordinal") / 2)})
+    pairs = lines.groupBy("document_id", "k").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ordinal", "text"))), lambda x: x["text"]), "\n").alias("text"), F.min("begin").alias("begin"), F.max(F.col("begin") + F.length("text") + 1).alias("end"))  # two lines
+    wholes = pairs.groupBy("document_id").agg(F.max("end").alias("length"))
+    n = F.col("document_id") + F.col("k")
+    children = pairs.where(n % 11 != 3).select(
+        "document_id", F.col("k").alias("chunk_id"), F.lit("narrative").alias("block_type"), "text", (F.col("begin") + F.when(n % 17 == 1, 1).otherwise(0)).alias("begin"), "end",
+        F.concat("text", F.when(n % 13 == 5, "x").otherwise("")).alias("embedding_text"), (T.token_estimate(F.col("text")) + F.when(n % 7 == 2, 1).otherwise(0)).alias("token_count"),
+    )
+    units = lines.where("length(text) > 0").select("document_id", F.col("ordinal").alias("unit_id"), F.lit("narrative").alias("block_type"), "begin", (F.col("begin") + F.length("text")).alias("end"), "text")
+    found = FI.texts(children).select("document_id", "reason").unionByName(FI.tiling(wholes, children.withColumnRenamed("chunk_id", "source_id"), ["document_id"]).select("document_id", "reason")).unionByName(FI.units(units, children).select("document_id", "reason"))
+    return found.groupBy("document_id", "reason").agg(F.count("*").alias("n"))
