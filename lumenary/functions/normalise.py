@@ -7,7 +7,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 LATEX = re.compile(r"\\(?:mathrm|mathbf|mathit|text|textbf|operatorname|rm)\s*\{([^{}]*)\}")
 #: Braces of a subscript or superscript, which may stand within a wrapper's.
@@ -33,6 +33,66 @@ def match_text(text: str | None) -> str:
     return " ".join(t.split()).casefold()
 
 
+#: What becomes something else than itself in small letters: a hyphen at a line's end before a word, soft hyphens, white space.
+SPECIAL = re.compile(r"-\s*\r?\n\s*(?=\w)|\xad|\s+|[^\s\xad-]+|-")
+
+
+def match_offsets(text: str | None, ignored: list[tuple[int, int]] = ()) -> tuple[str, list[int]]:
+    """A text for matching, and for each of its signs the place in the source that it comes from.
+
+    Signs are folded by NFKC and case, one at a time, so that one of the source may become several; words that a line's end
+    broke are put together, soft hyphens vanish, white space is a single blank, none at the ends. ``ignored`` spans of the
+    source (repeated margins) are passed over. Places never fall.
+    """
+    t, out, places = text or "", [], []
+    at, spans = 0, sorted(ignored)
+    gaps = [(0, 0), *spans, (len(t), len(t))]
+    for (_, begin), (end, _) in zip(gaps, gaps[1:], strict=False):
+        at = max(at, begin)
+        while at < end:
+            m = SPECIAL.match(t, at)
+            stop = min(m.end(), end)
+            run = t[at:stop]
+            if run.isspace():
+                if out and out[-1] != " ":
+                    out.append(" ")
+                    places.append(at)
+            elif run[0] == "-" and len(m.group()) > 1 and at and t[at - 1].isalnum():
+                stop = m.end()
+            elif run[0] == "-" and len(run) > 1:
+                out.append("-")
+                places.append(at)
+                stop = at + 1
+            elif run != "\xad":
+                if run.isascii():
+                    out.extend(run.lower())
+                    places.extend(range(at, stop))
+                else:
+                    for i, c in enumerate(run, at):
+                        folded = unicodedata.normalize("NFKC", c).casefold()
+                        out.extend(folded)
+                        places.extend([i] * len(folded))
+            at = stop
+    while out and out[-1] == " ":
+        out.pop()
+        places.pop()
+    return "".join(out), places
+
+
+def source_span(text: str | None, needle: str | None, ignored: list[tuple[int, int]] = ()) -> tuple[int, int] | None:
+    """Where a needle stands in a text when both are read for matching: the source's span from its first sign to its last."""
+    whole, places = match_offsets(text, ignored)
+    wanted = match_offsets(needle)[0]
+    at = whole.find(wanted) if wanted else -1
+    return None if at < 0 else (places[at], places[at + len(wanted) - 1] + 1)
+
+
+@F.pandas_udf(StructType([StructField("begin", IntegerType()), StructField("end", IntegerType())]))
+def source_spans(texts: pd.Series, needles: pd.Series) -> pd.DataFrame:
+    found = [source_span(t, n) for t, n in zip(texts, needles, strict=True)]
+    return pd.DataFrame({"begin": pd.array([f and f[0] for f in found], "Int32"), "end": pd.array([f and f[1] for f in found], "Int32")})
+
+
 @F.pandas_udf(StringType())
 def table_cells(s: pd.Series) -> pd.Series:
     return s.map(table_cell)

@@ -10,6 +10,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 #: Words whose full stop doesn't end a sentence, and such as may: there the next word decides (fixed values).
 ABBREVIATIONS = {"fig", "figs", "eq", "eqs", "ref", "refs", "vs", "dr", "mr", "mrs", "prof", "no", "cf", "approx", "resp"}
@@ -216,12 +218,37 @@ def required_slots(df: DataFrame, schema: str, limit: int, kinds: tuple[str, ...
     return df.groupBy("query_id").applyInPandas(run, schema)
 
 
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence, a bit for each sign of ``b``: one addition of long integers for each sign of
+    ``a``, in place of a row of the table."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(b):
+        at[c] = at.get(c, 0) | 1 << i
+    every = (1 << len(b)) - 1
+    row = every
+    for c in a:
+        met = row & at.get(c, 0)
+        row = ((row + met) | (row - met)) & every
+    return len(b) - row.bit_count()
+
+
 def copied_share(a: str, b: str, least: int = 8) -> float:
     """Length of the longest common subsequence of two texts by the length of ``b``; 0 where it is shorter than ``least``."""
-    row = np.zeros(len(b) + 1, np.int32)
-    codes = np.frombuffer(b.encode("utf-32-le"), "<u4")
-    for c in a:
-        same = np.concatenate([[0], row[:-1] + (codes == ord(c))])
-        row = np.maximum.accumulate(np.maximum(row, same))
-    n = int(row[-1])
+    n = common_subsequence(a, b)
     return n / len(b) if n >= least and b else 0.0
+
+
+#: The share of a child that a prefix may not have in order, and the least signs (fixed values).
+COPIED, COPIED_LEAST = 0.75, 8
+
+
+def copies_most(prefix: str, child: str) -> bool:
+    """Whether a prefix has three quarters of a child's signs, eight at least, in order. One that is too short isn't compared."""
+    if len(child) < COPIED_LEAST or min(len(child), len(prefix)) / len(child) < COPIED:
+        return False
+    return copied_share(prefix, child, COPIED_LEAST) >= COPIED
+
+
+@F.pandas_udf(BooleanType())
+def copied_children(prefixes: pd.Series, children: pd.Series) -> pd.Series:
+    return pd.Series([copies_most(p or "", c or "") for p, c in zip(prefixes, children, strict=True)], dtype="boolean")

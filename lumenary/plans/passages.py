@@ -272,3 +272,19 @@ def c8_audited_chunks(spark, sf_dir):
     units = lines.where("length(text) > 0").select("document_id", F.col("ordinal").alias("unit_id"), F.lit("narrative").alias("block_type"), "begin", (F.col("begin") + F.length("text")).alias("end"), "text")
     found = FI.texts(children).select("document_id", "reason").unionByName(FI.tiling(wholes, children.withColumnRenamed("chunk_id", "source_id"), ["document_id"]).select("document_id", "reason")).unionByName(FI.units(units, children).select("document_id", "reason"))
     return found.groupBy("document_id", "reason").agg(F.count("*").alias("n"))
+
+
+@query()
+def s18_source_spans(spark, sf_dir):
+    """Each document's third line, found in the document as it is read for matching: the span is that of the line, or of an earlier
+    place that reads alike. tests/test_matching.py holds all of them against a plain reading."""
+    d = table(spark, sf_dir, "documents").withColumn("_line", F.get(F.split("text", "\n"), F.lit(2))).where("_line IS NOT NULL")
+    return d.select("doc_id", N.source_spans("text", "_line").alias("_s")).select("doc_id", "_s.begin", "_s.end")
+
+
+@query()
+def s19_copied_lines(spark, sf_dir):
+    """Whether a line copies most of the next one of its document: neighbours, as a prefix and its child are."""
+    c = M.chunks(spark, sf_dir).select("document_id", "ordinal", "text")
+    after = F.lead("text").over(W.partitionBy("document_id").orderBy("ordinal"))
+    return c.withColumn("_next", after).where("_next IS NOT NULL").select("document_id", "ordinal", chunking.copied_children("text", "_next").alias("copied"))
