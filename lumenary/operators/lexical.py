@@ -62,9 +62,10 @@ def best(texts: DataFrame, queries: DataFrame, k: int, score: Callable[[np.ndarr
                     if not hit:
                         continue
                     q = np.concatenate([x for x, _ in hit])
-                    total = np.bincount(q, weights=np.repeat([w for _, w in hit], [len(x) for x, _ in hit]), minlength=len(ids))
-                    some = np.flatnonzero(total)
-                    s = score(total[some], ordinal)
+                    # Only the queries that the text meets are counted, however many there are.
+                    some, place = np.unique(q, return_inverse=True)
+                    total = np.bincount(place, weights=np.repeat([w for _, w in hit], [len(x) for x, _ in hit]))
+                    s = score(total, ordinal)
                     good = (s >= least) & (s >= floor[some])
                     some, s = some[good], s[good]
                     if len(some):

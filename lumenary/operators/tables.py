@@ -26,7 +26,7 @@ def facts(tables: DataFrame, by: str = "table_id", text: str = "markdown") -> Da
     """A row for each filled cell behind the first column: table, row, row label, column and value, with blank labels
     filled from above. Cells that hold dashes only are left out."""
     g = tables.select(by, T.let(grid(F.col(text)), lambda x: x).alias("_g"))
-    rows = g.select(by, F.get("_g", F.lit(0)).alias("_head"), F.posexplode(F.slice("_g", 2, 1_000_000)).alias("row_index", "_cells"))
+    rows = g.select(by, F.get("_g", F.lit(0)).alias("_head"), F.posexplode(F.filter("_g", lambda _, i: i > 0)).alias("row_index", "_cells"))
     w = W.partitionBy(by).orderBy("row_index").rowsBetween(W.unboundedPreceding, 0)
     labelled = rows.withColumn("row_label", F.last(F.nullif(F.get("_cells", F.lit(0)), F.lit("")), ignorenulls=True).over(w))
     cells = labelled.select(by, "row_index", "row_label", "_head", F.posexplode("_cells").alias("_c", "value"))
@@ -105,9 +105,13 @@ def html_markdown(html: str | None) -> str:
     return "\n".join([lines[0], "| " + " | ".join(["---"] * width) + " |", *lines[1:]])
 
 
-def html_cells(html: str, most: int = 100_000) -> Iterator[tuple[int, int, int, int, int, bool, str]]:
+#: Most columns that a cell spans, as browsers have it (fixed value).
+COLUMNS_SPANNED = 1000
+
+
+def html_cells(html: str) -> Iterator[tuple[int, int, int, int, int, bool, str]]:
     """Cells of the tables in a piece of HTML: table, row, column, rowspan, colspan, header and text. A span is anchored at
-    its cell; rowspans end with their row group."""
+    its cell; rowspans end with their row group, colspans at COLUMNS_SPANNED columns."""
     from html.parser import HTMLParser
 
     class Reader(HTMLParser):
@@ -155,10 +159,10 @@ def html_cells(html: str, most: int = 100_000) -> Iterator[tuple[int, int, int,
     for t, r, g, *_ in reader.out:
         last[t, g] = max(last.get((t, g), 0), r)
     taken: dict[int, set[tuple[int, int]]] = {}
-    for t, r, g, rs, cs, head, parts in reader.out[:most]:
+    for t, r, g, rs, cs, head, parts in reader.out:
         used, c = taken.setdefault(t, set()), 0
         while (r, c) in used:
             c += 1
-        rs = min(rs, last[t, g] - r + 1)
+        rs, cs = min(rs, last[t, g] - r + 1), min(cs, COLUMNS_SPANNED)
         used.update((r + i, c + j) for i in range(rs) for j in range(cs))
         yield t, r, c, rs, cs, head, " ".join("".join(parts).split())

@@ -135,8 +135,8 @@ def r8_overview_scan(spark, sf_dir):
 SELECT query_id, document_id, CASE WHEN score >= 15 THEN 'direct' WHEN score >= 5 OR hit THEN 'contextual' ELSE 'weak' END AS support FROM r""")
 def r15_support_hint(spark, sf_dir):
     q, d, v = inputs(spark, sf_dir)
-    hit = R.overlaps(q, d).select("query_id", "document_id", F.lit(True).alias("hit"))
-    return R.hybrid(q, d, v).join(hit, ["query_id", "document_id"], "left").select("query_id", "document_id", R.support_hint(F.col("score"), F.coalesce("hit", F.lit(False))).alias("support"))
+    kept = R.hybrid(q, d, v).join(q.select("query_id", T.tokens(F.col("text")).alias("_q")), "query_id").join(d.select("document_id", T.tokens(F.col("text")).alias("_d")), "document_id")
+    return kept.select("query_id", "document_id", R.support_hint(F.col("score"), F.arrays_overlap("_q", "_d")).alias("support"))
 
 
 _BEGIN = ["", "Table 2: ", "Summarize ", "", "accuracy of "]
@@ -237,10 +237,10 @@ SELECT query_id, document_id, ordinal, rank FROM (SELECT *, CAST(row_number() OV
 def r14_finalised_packs(spark, sf_dir):
     """Packs of eight pieces, five a page, without repeated excerpts, tables before headings before prose."""
     e = evidence(spark, sf_dir)
-    piece = (F.col("document_id") * 1_000_000 + F.col("ordinal")).alias("document_id")
+    piece = F.struct("document_id", "ordinal").alias("document_id")
     rows = e.select("query_id", F.concat_ws(":", "document_id", "page").alias("page"), structure(e).alias("structure"), "score", piece, "text")
     packs = EV.finalise(rows)
-    return packs.select("query_id", F.floor(F.col("document_id") / 1_000_000).alias("document_id"), (F.col("document_id") % 1_000_000).cast("int").alias("ordinal"), "rank")
+    return packs.select("query_id", "document_id.document_id", "document_id.ordinal", "rank")
 
 
 @query(f"""WITH {M.CHUNKS_SQL}, m AS (SELECT document_id, ordinal FROM chunks WHERE contains(text, 'token =')), s AS (SELECT c.document_id, c.ordinal, max(round(CAST(10.0 - 0.000001 * (abs(c.ordinal - m.ordinal) + 1) AS DOUBLE), 6)) AS score FROM chunks c JOIN m USING (document_id) GROUP BY 1, 2)
@@ -264,7 +264,8 @@ SELECT query_id, document_id, round(s, 9) AS score FROM (SELECT *, row_number()
 def r_fused_ranks(spark, sf_dir):
     """Reciprocal ranks of the lexical and the vector branch, summed."""
     q, d, v = inputs(spark, sf_dir)
-    b = R.ranked(R.overlaps(q, d), ["query_id"], [F.desc("overlap"), F.col("document_id")], 50, "r").select("query_id", "document_id", "r")
+    texts = d.select("document_id", F.lit(0).alias("ordinal"), T.tokens(F.col("text")).alias("terms")).withColumn("weights", F.array_repeat(F.lit(1), F.size("terms")))
+    b = lexical.best(texts, question_terms(spark, sf_dir), 50, lambda total, _: total, 1.0).select("query_id", "document_id", F.col("rank").alias("r"))
     n = R.ranked(knn.top_k(v, q.where("embedding IS NOT NULL"), 50, 64), ["query_id"], [F.desc("cosine"), F.col("document_id")], 50, "r").select("query_id", "document_id", "r")
     s = b.unionByName(n).groupBy("query_id", "document_id").agg(F.round(F.sum(1.0 / (60 + F.col("r"))), 9).alias("score"))
     return R.ranked(s, ["query_id"], [F.desc("score"), F.col("document_id")], 10, "_k").select("query_id", "document_id", "score")
