@@ -118,6 +118,15 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], k: int, name: str
     return df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col(name) <= k)
 
 
+def nearest_mark(rows: DataFrame, mark: Column, by: list[str], place: str) -> DataFrame:
+    """``rows`` with distance, that of the nearest marked row of their group by ``place`` (0 for a marked row itself, null in a
+    group without any): the last mark before and the first one behind, by two passes over the sorted group."""
+    here = F.when(mark, F.col(place))
+    last = lambda order: F.last(here, ignorenulls=True).over(W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    before, behind = last(F.col(place)), last(F.desc(place))
+    return rows.withColumn("distance", F.least(F.col(place) - before, behind - F.col(place)))
+
+
 def support_hint(score: Column, term_in_text: Column) -> Column:
     return F.when(score >= 15, "direct").when((score >= 5) | term_in_text, "contextual").otherwise("weak")
 

@@ -247,8 +247,8 @@ def r14_finalised_packs(spark, sf_dir):
 SELECT document_id, ordinal, score FROM s""")
 def r13_sibling_expansion(spark, sf_dir):
     c = M.chunks(spark, sf_dir).select("document_id", "ordinal", "text")
-    m = c.where(F.contains("text", F.lit("token ="))).select("document_id", F.col("ordinal").alias("_m"))
-    return c.join(m, "document_id").groupBy("document_id", "ordinal").agg(F.max(F.round(10.0 - 0.000001 * (F.abs(F.col("ordinal") - F.col("_m")) + 1), 6)).alias("score"))
+    near = R.nearest_mark(c, F.contains("text", F.lit("token =")), ["document_id"], "ordinal").where("distance IS NOT NULL")
+    return near.select("document_id", "ordinal", F.round(10.0 - 0.000001 * (F.col("distance") + 1), 6).alias("score"))
 
 
 @query()
