@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import classify as C
 from ..functions import text as T
 from ..functions import vectors as V
-from . import knn
+from ..sources.scratch import cut
+from . import knn, lexical
 
 #: Documents in which a route term is rare.
 RARE = 3
@@ -62,6 +64,12 @@ def rare_pairs(queries: DataFrame, documents: DataFrame, route_length: int = 6)
     return found.join(rare.select("term"), "term").join(q, "term").groupBy("query_id", "document_id").agg(F.count("*").alias("rare"))
 
 
+def best_without(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
+    """query_id and document_id of the k documents that score best for each query by their overlap alone, rare terms aside."""
+    texts = documents.select("document_id", F.lit(0).alias("ordinal"), T.tokens(F.col("text")).alias("terms")).withColumn("weights", F.transform("terms", lambda t: F.when(F.length(t) >= 6, 2).otherwise(1)))
+    return lexical.best(texts, queries.select("query_id", T.tokens(F.col("text")).alias("terms")), k, lambda total, _: np.minimum(0.3 + total * 0.1, MOST_WITHOUT), 0.0)
+
+
 def hybrid(queries: DataFrame, documents: DataFrame, vectors: DataFrame, k: int = 8, size: int = 64) -> DataFrame:
     """query_id, document_id, score and rank of the k best documents of each query.
 
@@ -71,26 +79,28 @@ def hybrid(queries: DataFrame, documents: DataFrame, vectors: DataFrame, k: int
     No table of all pairs with a common word is made. The k nearest score ten times their cosine at least, and a document
     without a rare term gains 0.4 at most: so only those within 0.04 of the k-th nearest cosine, and those with a rare
     term, can be among the best, and only their overlaps are counted. Pairs without a vector score 1.2 at most: they
-    are looked at for queries alone whose k-th nearest scores no more.
+    are looked at for queries alone whose k-th nearest scores no more, and only the k best of each.
     """
     vectors = vectors.join(documents.select("document_id"), "document_id", "left_semi")
     nearest = knn.top_k(vectors, queries.where("embedding IS NOT NULL"), k, size).groupBy("query_id").agg(F.min("cosine").alias("kth"), F.count("*").alias("n"))
-    # One number a query; the queries are a stated set, which the scan of the vectors collects as well.
-    kth = queries.select("query_id").join(nearest.where(F.col("n") >= k), "query_id", "left").select("query_id", F.coalesce("kth", F.lit(-1.0))).collect()
-    floors = queries.sparkSession.createDataFrame([(r[0], r[1]) for r in kth], "query_id long, floor double")
+    kth = queries.select("query_id").join(nearest.where(F.col("n") >= k), "query_id", "left")
+    floors = cut(kth.select("query_id", F.coalesce("kth", F.lit(-1.0)).alias("floor")))
     asked = queries.where("embedding IS NOT NULL").join(floors, "query_id").select("query_id", "embedding", (F.col("floor") - MOST_LEXICAL / 10 - 1e-6).alias("least"))
     near = knn.within(vectors, asked, size)
     rare = rare_pairs(queries, documents)
-    some = near.select("query_id", "document_id").unionByName(rare.select("query_id", "document_id")).distinct()
+    some = near.select("query_id", "document_id").unionByName(rare.select("query_id", "document_id"))
+    low = floors.where(10 * F.col("floor") <= MOST_WITHOUT)
+    if not low.isEmpty():
+        # The k-th nearest of these queries scores so little that documents without a vector may come in: the k best of them.
+        few = queries.join(low, "query_id", "left_semi")
+        for asking, texts in ((few.where("embedding IS NULL"), documents), (few.where("embedding IS NOT NULL"), documents.join(vectors, "document_id", "left_anti"))):
+            some = some.unionByName(best_without(asking, texts, k).select("query_id", "document_id"))
+    some = cut(some.distinct())
     terms = lambda df, key, out: df.select(key, T.tokens(F.col("text")).alias(out))
-    pairs = some.join(terms(queries, "query_id", "_qt"), "query_id").join(terms(documents, "document_id", "_dt"), "document_id")
+    pairs = some.join(terms(queries, "query_id", "_qt"), "query_id").join(terms(documents.join(some.select("document_id"), "document_id", "left_semi"), "document_id", "_dt"), "document_id")
     shared = F.array_intersect("_qt", "_dt")
     lexical = pairs.select("query_id", "document_id", F.size(shared).cast("long").alias("overlap"), F.size(F.filter(shared, lambda t: F.length(t) >= 6)).cast("long").alias("route_overlap"))
     lexical = lexical.join(rare, ["query_id", "document_id"], "left").withColumn("rare", F.coalesce("rare", F.lit(0).cast("long")))
-    if any(10 * r[1] <= MOST_WITHOUT for r in kth):
-        # The k-th nearest of these queries scores so little that documents without a vector may come in: all their pairs.
-        every = overlaps(queries.join(floors.where(10 * F.col("floor") <= MOST_WITHOUT), "query_id", "left_semi"), documents)
-        lexical = lexical.join(every.select("query_id", "document_id"), ["query_id", "document_id"], "left_anti").unionByName(every)
     sided = lexical.join(queries.select("query_id", F.col("embedding").alias("_q")), "query_id").join(vectors.select("document_id", "embedding"), "document_id", "left")
     both = F.col("_q").isNotNull() & F.col("embedding").isNotNull()
     sided = sided.withColumn("cosine", F.when(both, F.round(V.cosine(F.col("embedding"), F.col("_q")), 9)))
