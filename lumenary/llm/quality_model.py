@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import discard, map_batches, written
 
 #: Length of a word vector, and how many of an index vector's entries are +1 or -1.
-SIZE, NONZERO = 32, 4
+SIZE, NONZERO = 32, 2
 #: Neighbours to either side that a word's vector sums.
 REACH = 2
 #: Words whose vectors are broadcast.
@@ -45,8 +45,8 @@ HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 32, 60, 128, 0.005, 1e-3, 7
 #: Temperatures that are tried.
 TEMPERATURES = np.geomspace(0.05, 20, 61)
 CACHE_WORDS = 400_000
-#: Numbers of a pooled vector that lie between -1 and 1, and travel in 16 bits.
-SHORT = 3 * SIZE
+#: Numbers of a pooled vector, which lie between -1 and 1 and travel in 16 bits.
+POOLED = 3 * SIZE
 
 
 class Words:
@@ -134,15 +134,13 @@ def unpack(raw: bytes, widths: tuple[int, ...]) -> list[np.ndarray]:
 
 
 def shortened(x: np.ndarray) -> list[bytes]:
-    """Rows as bytes: the first SHORT numbers in 16 bits each, the others in 32."""
-    both = np.concatenate([x[:, :SHORT].astype("<f2").view(np.uint8), np.ascontiguousarray(x[:, SHORT:].astype("<f4")).view(np.uint8)], axis=1)
-    return [r.tobytes() for r in both]
+    """Rows as bytes, 16 bits a number."""
+    return [r.tobytes() for r in x.astype("<f2")]
 
 
-def lengthened(raw: list[bytes], tail: int) -> np.ndarray:
-    """What ``shortened`` made, with so many numbers behind the short ones."""
-    a = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 2 * SHORT + 4 * tail)
-    return np.concatenate([np.ascontiguousarray(a[:, k]).view(t).astype(np.float64) for k, t in ((slice(0, 2 * SHORT), "<f2"), (slice(2 * SHORT, None), "<f4"))], axis=1)
+def lengthened(raw: list[bytes]) -> np.ndarray:
+    """What ``shortened`` made."""
+    return np.frombuffer(b"".join(raw), "<f2").reshape(-1, POOLED).astype(np.float64)
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -252,8 +250,7 @@ def frequent(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def pooled(documents: DataFrame, known: tuple[np.ndarray, np.ndarray], buckets: int, key: str, text: str) -> DataFrame:
     """Rows of two kinds. Documents: kind 0, id (a number of the row's own), key, n (its words), types (its distinct words), data
-    (what its frequent words add to the means of vectors, of their squares and of distinct words' vectors, and the sum of squared
-    counts). Other words: kind 1, id (their bucket), data (words, documents' ids, counts)."""
+    (what its frequent words add to the means of vectors, of their squares and of distinct words' vectors). Other words: kind 1, id (their bucket), data (words, documents' ids, counts)."""
     shared = documents.sparkSession.sparkContext.broadcast(known)
     names, kind = ["kind", "id", "key", "n", "types", "data"], documents.schema[key].dataType
     rows = documents.select(F.monotonically_increasing_id().alias("_id"), F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
@@ -282,7 +279,7 @@ def pooled(documents: DataFrame, known: tuple[np.ndarray, np.ndarray], buckets:
                 sizes.append(len(h))
                 types.append(len(u))
                 n = max(1, len(h))
-                sums.append(np.concatenate([w @ v / n, w @ (v * v) / n, v.sum(axis=0) / max(1, len(u)), [w @ w]]))
+                sums.append(np.concatenate([w @ v / n, w @ (v * v) / n, v.sum(axis=0) / max(1, len(u))]))
                 if not hit.all():
                     rest.append((u[~hit], np.full(int((~hit).sum()), i, np.int64), c[~hit].astype(np.int64)))
                     held += len(rest[-1][0])
@@ -297,8 +294,7 @@ def pooled(documents: DataFrame, known: tuple[np.ndarray, np.ndarray], buckets:
 
 
 def completed(rows: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
-    """key and x, the pooled vector (mean and deviation of the words' vectors, mean of the distinct words', and the part that words have
-    with themselves of the mean's square and of the sum's square by word), of each document, from the rows of ``pooled`` and ``vocabulary``."""
+    """key and x, the pooled vector (mean and deviation of the words' vectors, and mean of the distinct words'), of each document, from the rows of ``pooled`` and ``vocabulary``."""
     key = rows.schema["key"].dataType.simpleString()
 
     def resolve(group: pa.Table) -> pa.Table:
@@ -324,16 +320,16 @@ def completed(rows: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
         own = np.flatnonzero(group["kind"].to_numpy() == 0)
         table = group.take(pa.array(own[np.argsort(ids[own], kind="stable")]))
         ids, n, types = table["id"].to_numpy(), *(np.maximum(table[c].to_numpy(), 1)[:, None] for c in ("n", "types"))
-        means = lengthened(table["data"].to_pylist(), 1)
+        means = lengthened(table["data"].to_pylist())
         for k, x in zip(group["kind"].to_pylist(), group["data"].to_pylist(), strict=True):
             if k == 1:
                 i, c, v = unpack(x, (1, 1, SIZE))
                 u = unit(v) / 127.0
                 at = np.searchsorted(ids, i)
                 share = (c / n[at, 0])[:, None]
-                np.add.at(means, at, np.column_stack([u * share, u * u * share, u / types[at], c.astype(np.float64) ** 2]))
-        mean, square, of_types, own = means[:, :SIZE], means[:, SIZE : 2 * SIZE], means[:, 2 * SIZE : SHORT], means[:, SHORT:]
-        x = np.column_stack([mean, np.sqrt(np.maximum(square - mean * mean, 0)), of_types, own / n**2, own / n])
+                np.add.at(means, at, np.column_stack([u * share, u * u * share, u / types[at]]))
+        mean, square, of_types = means[:, :SIZE], means[:, SIZE : 2 * SIZE], means[:, 2 * SIZE :]
+        x = np.column_stack([mean, np.sqrt(np.maximum(square - mean * mean, 0)), of_types])
         return pa.table({"key": table["key"], "x": pa.array(shortened(x), pa.binary())})
 
     own = rows.where("kind = 0").withColumn("bucket", F.col("id") % buckets)
@@ -352,13 +348,12 @@ def features(documents: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def inputs(raw: list[bytes]) -> np.ndarray:
-    """What the network gets of pooled vectors: they themselves, the lengths of both means and of their difference, the mean
-    deviation, and how much of the mean's square words have with themselves and with others. These tell texts that say few
-    words again and again, whatever the words."""
-    x = lengthened(raw, 2)
-    mean, of_types, own = x[:, :SIZE], x[:, 2 * SIZE : SHORT], x[:, -2]
+    """What the network gets: the pooled vectors, the lengths of both means and of their difference, and the mean deviation. Nothing
+    of a text counts but by its words' vectors."""
+    x = lengthened(raw)
+    mean, of_types = x[:, :SIZE], x[:, 2 * SIZE :]
     lengths = [np.linalg.norm(v, axis=1) for v in (mean, of_types, mean - of_types)]
-    return np.column_stack([x, *lengths, x[:, SIZE : 2 * SIZE].mean(axis=1), np.log(own + 1e-6), np.log(x[:, -1] + 1e-6), lengths[0] ** 2 - own])
+    return np.column_stack([x, *lengths, x[:, SIZE : 2 * SIZE].mean(axis=1)])
 
 
 @dataclass
