@@ -14,8 +14,11 @@ little beside what a task gets of rare ones.
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +27,8 @@ from .common import discard, small, written
 
 #: Bytes of text of a block, the least frequency of a phrase, its most words, and phrases reported of each language.
 BLOCK_BYTES, LEAST, LONGEST, TOP = 8 << 20, 30, 4, 2000
+#: In how many passes a level's pairs meet, by their hash: the shuffle files of one are gone before the next one's are written.
+PASSES = 2
 #: Bits of a code within its block, and of a block's number within its task; 20 are left for the task's.
 CODE_BITS, BLOCK_BITS = 31, 12
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,9 +53,17 @@ def coded(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return np.insert(codes, ends, -1), words.dictionary, np.bincount(codes, minlength=len(words.dictionary))
 
 
-def lists(values: pa.Array | np.ndarray) -> pa.Array:
+def squeezed(codes: np.ndarray) -> pa.Array:
+    return pa.array([zstandard.compress(codes.astype(np.int32).tobytes(), 1)], pa.binary())
+
+
+def expanded(codes: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(codes), np.int32)
+
+
+def lists(values: pa.Array | np.ndarray, kind: pa.DataType = pa.int64()) -> pa.Array:  # noqa: B008
     """One row that holds all the values."""
-    values = values if isinstance(values, pa.Array) else pa.array(values, pa.int64())
+    values = values if isinstance(values, pa.Array) else pa.array(values, kind)
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
@@ -65,7 +78,7 @@ def blocks(df: DataFrame, lang: str, text: str) -> DataFrame:
                 raise OverflowError("blocks beyond their numbers: read the texts in more and smaller partitions")
             codes, words, counts = coded(held.pop(of))
             size.pop(of)
-            return pa.RecordBatch.from_arrays([pa.array([task << BLOCK_BITS | made]), pa.array([of]), pa.array([codes.tobytes()], pa.binary()), lists(words), lists(counts)], ["block", "lang", "codes", "words", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array([task << BLOCK_BITS | made]), pa.array([of]), squeezed(codes), lists(words), lists(counts)], ["block", "lang", "codes", "words", "counts"])
 
         for batch in batches:
             for of, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -83,9 +96,9 @@ def blocks(df: DataFrame, lang: str, text: str) -> DataFrame:
     return written(rows.mapInArrow(run, "block long, lang string, codes binary, words array<string>, counts array<long>"), "blocks")
 
 
-def pairs_of(codes: np.ndarray, code: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A block's next level: its sequence of pair codes, each pair's parents by name, and its count. ``code`` and ``name`` are
-    the codes of this level that have a name."""
+def pairs_of(codes: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's next level: its sequence of pair codes, each pair's parents by their place in ``code``, and its count. ``code``
+    are the codes of this level that have a name."""
     most = int(max(codes.max(initial=-1), code.max(initial=-1))) + 1
     at = np.full(most + 1, -1, np.int64)  # the last entry is for -1
     at[code] = np.arange(len(code))
@@ -95,31 +108,40 @@ def pairs_of(codes: np.ndarray, code: np.ndarray, name: np.ndarray) -> tuple[np.
     out = np.full(len(codes), -1, np.int32)
     out[:-1][ok] = inverse
     stay = np.concatenate([[True], (out[1:] >= 0) | (out[:-1] >= 0)]) if len(out) else np.empty(0, bool)  # one mark is as good as many
-    return out[stay], name[keys // max(1, len(code))], name[keys % max(1, len(code))], counts
+    return out[stay], keys // max(1, len(code)), keys % max(1, len(code)), counts
+
+
+PAIRS = pa.schema([("block", pa.int64()), ("codes", pa.binary()), ("ids", pa.list_(pa.int64())), ("lefts", pa.list_(pa.int32())), ("rights", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
 
 
 def paired(sequences: DataFrame, named: DataFrame) -> DataFrame:
-    """block, codes, lefts, rights and counts of the next level, from each block's codes and its named ones."""
+    """block, codes, ids, lefts, rights and counts of the next level, from each block's codes and its named ones: lefts and rights
+    are places in ids."""
 
     def run(own: pa.Table, names: pa.Table) -> pa.Table:
         if not own.num_rows or not names.num_rows:
-            return pa.table({"block": pa.array([], pa.int64()), "codes": pa.array([], pa.binary()), "lefts": pa.array([], pa.list_(pa.int64())), "rights": pa.array([], pa.list_(pa.int64())), "counts": pa.array([], pa.list_(pa.int64()))})
-        codes = np.frombuffer(own.column("codes")[0].as_py(), np.int32)
-        out, left, right, counts = pairs_of(codes, names.column("code").to_numpy(), names.column("id").to_numpy())
-        return pa.table({"block": own.column("block"), "codes": pa.array([out.tobytes()], pa.binary()), "lefts": lists(left), "rights": lists(right), "counts": lists(counts)})
+            return PAIRS.empty_table()
+        out, left, right, counts = pairs_of(expanded(own.column("codes")[0].as_py()), names.column("code").to_numpy())
+        ids = lists(names.column("id").combine_chunks())
+        return pa.Table.from_arrays([own.column("block"), squeezed(out), ids, lists(left, pa.int32()), lists(right, pa.int32()), lists(counts)], schema=PAIRS)
 
     both = sequences.select("block", "codes").groupBy("block").cogroup(named.withColumnRenamed("block", "of").groupBy("of"))
-    return written(both.applyInArrow(run, "block long, codes binary, lefts array<long>, rights array<long>, counts array<long>"), "pairs")
+    return written(both.applyInArrow(run, "block long, codes binary, ids array<long>, lefts array<int>, rights array<int>, counts array<long>"), "pairs")
 
 
 def named(grams: DataFrame, by: list[str], least: int) -> tuple[DataFrame, DataFrame]:
     """The names, ``by``, n and id, of grams (``by``, block, code, n) that ``least`` occurrences or more have, and the ids of
     each block's codes."""
     place = F.shiftleft("block", CODE_BITS).bitwiseOR(F.col("code").cast("long"))
-    all_places = Window.partitionBy(*by)
-    found = grams.select(*by, place.alias("place"), "n").withColumn("_total", F.sum("n").over(all_places)).withColumn("id", F.min("place").over(all_places)).where(F.col("_total") >= least)
-    first = F.col("place") == F.col("id")
-    places = written(found.select("place", "id", *[F.when(first, F.col(c)).alias(c) for c in by], F.when(first, F.col("_total")).alias("n")), "names")
+    all_places, first = Window.partitionBy(*by), F.col("place") == F.col("id")
+    places = None
+    for k in range(PASSES):
+        some = grams.where(F.pmod(F.xxhash64(*by), F.lit(PASSES)) == k).select(*by, place.alias("place"), "n")
+        found = some.withColumn("_total", F.sum("n").over(all_places)).withColumn("id", F.min("place").over(all_places)).where(F.col("_total") >= least)
+        part = written(found.select("place", "id", *[F.when(first, F.col(c)).alias(c) for c in by], F.when(first, F.col("_total")).alias("n")), "names")
+        places = part if places is None else places.unionByName(part)
+        del some, found
+        tidy(grams.sparkSession)
     code = F.col("place").bitwiseAND((1 << CODE_BITS) - 1).cast("int")
     return places.where("place = id").select(*by, "n", "id"), places.select(F.shiftright("place", CODE_BITS).alias("block"), code.alias("code"), "id")
 
@@ -136,13 +158,24 @@ def hierarchy(df: DataFrame, lang: str = "lang", text: str = "text", longest: in
         after = paired(now, places)
         discard(now)
         now = after
-        grams = now.select("block", F.posexplode(F.arrays_zip("lefts", "rights", "counts")).alias("code", "_")).select("block", "code", F.col("_.lefts").alias("left"), F.col("_.rights").alias("right"), F.col("_.counts").alias("n"))
+        tidy(df.sparkSession)
+        named_by = lambda side: F.transform(side, lambda i: F.get("ids", i)).alias(side)
+        grams = now.select("block", F.posexplode(F.arrays_zip(named_by("lefts"), named_by("rights"), "counts")).alias("code", "_")).select("block", "code", F.col("_.lefts").alias("left"), F.col("_.rights").alias("right"), F.col("_.counts").alias("n"))
         names, places = named(grams, ["left", "right"], least)
         levels.append(names)
     discard(now)
+    tidy(df.sparkSession)
     return totals, levels
 
 
+def tidy(spark) -> None:
+    """Let Spark remove the shuffle files of what is done. It does so once the driver's garbage is collected, which may take long
+    to happen by itself: Python's references go first, then the plans that they held, then what the plans held."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 def cut_counts(levels: list[DataFrame]) -> list[DataFrame]:
     """Each level's id, n and lang, with the counts of its phrases' first parts (shortest first) and of the rests after them, by
     way of the parents. Each level is written, as the next one reads it twice."""
