@@ -62,9 +62,14 @@ def best(texts: DataFrame, queries: DataFrame, k: int, score: Callable[[np.ndarr
                     if not hit:
                         continue
                     q = np.concatenate([x for x, _ in hit])
-                    # Only the queries that the text meets are counted, however many there are.
-                    some, place = np.unique(q, return_inverse=True)
-                    total = np.bincount(place, weights=np.repeat([w for _, w in hit], [len(x) for x, _ in hit]))
+                    w = np.repeat([w for _, w in hit], [len(x) for x, _ in hit])
+                    if len(q) < len(ids):  # fewer hits than queries: only the queries that the text meets are counted
+                        some, place = np.unique(q, return_inverse=True)
+                        total = np.bincount(place, weights=w)
+                    else:
+                        total = np.bincount(q, weights=w, minlength=len(ids))
+                        some = np.flatnonzero(total)
+                        total = total[some]
                     s = score(total, ordinal)
                     good = (s >= least) & (s >= floor[some])
                     some, s = some[good], s[good]
