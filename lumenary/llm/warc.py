@@ -187,7 +187,8 @@ def resolve(archive: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     payload_digest of the full payload as it was read back, record_type and refers_to. Only headers are shuffled. A
     revisit whose original isn't in the archive keeps what its own headers say, with a null refers_to."""
     responses = archive.where("record_type = 'response'").select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"))
-    known = responses.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("_original"), F.min("payload_bytes").alias("_bytes"))
+    # Written, so that both sides of the join come straight from a shuffle and Spark can split a hot digest.
+    known = written(responses.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("_original"), F.min("payload_bytes").alias("_bytes")), "known")
     revisits = archive.where("record_type = 'revisit'").select("page_id", "payload_digest", "payload_length").join(known, "payload_digest", "left")
     return responses.select("page_id", "payload_bytes", "payload_digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to")).unionByName(
         revisits.select("page_id", F.coalesce("_bytes", "payload_length").alias("payload_bytes"), "payload_digest", F.lit("revisit").alias("record_type"), F.col("_original").alias("refers_to"))
