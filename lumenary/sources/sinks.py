@@ -27,7 +27,7 @@ def verify_copy(source: DataFrame, target: DataFrame) -> bool:
 
 
 #: The name of the pointer to a bundle's version, and of the folder of its versions.
-POINTER, VERSIONS = "_current", "versions"
+POINTER, VERSIONS = "CURRENT", "versions"
 
 
 def _files(spark: SparkSession, path: str):
