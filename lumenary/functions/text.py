@@ -19,22 +19,32 @@ def tokens(text: Column, chemistry: bool = True) -> Column:
     Greek delta becomes a word, and spellings of the enthalpy of vaporisation share their tokens. A null text has none.
     """
     low = F.lower(F.coalesce(text, F.lit("")))
-    if chemistry:
-        low = F.regexp_replace(low, "[\\u03b4\\u2206\\u0394]", "delta ")
-        low = F.regexp_replace(low, r"\bdelta\s*h\s*[-_ ]?\s*vap\b", "delta h vap hvap")
-        low = F.regexp_replace(low, r"\bh\s*[-_ ]?\s*vap\b", "h vap hvap")
+    none = F.array().cast("array<string>")
+    vap = lambda t: F.contains(t, F.lit("vap"))
+
+    def spelled(t: Column) -> Column:
+        """Spellings are looked for in texts alone that hold a part of one."""
+        letters = F.contains(t, F.lit("\u03b4")) | F.contains(t, F.lit("\u2206")) | F.contains(t, F.lit("\u0394"))
+        named = F.when(letters, F.regexp_replace(t, "[\u03b4\u2206\u0394]", "delta ")).otherwise(t)
+        one = lambda x: F.regexp_replace(F.regexp_replace(x, r"\bdelta\s*h\s*[-_ ]?\s*vap\b", "delta h vap hvap"), r"\bh\s*[-_ ]?\s*vap\b", "h vap hvap")
+        return let(named, lambda x: F.when(vap(x), one(x)).otherwise(x))
 
     def of(t: Column) -> Column:
-        words = F.filter(F.regexp_extract_all(t, F.lit("[a-z0-9_]+"), F.lit(0)), lambda w: F.length(w) > 1)
-        runs = F.regexp_extract_all(t, F.lit(f"[{CJK}]+"), F.lit(0))
-        pairs = F.flatten(F.transform(F.filter(runs, lambda r: F.length(r) > 1), lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
-        found = F.concat(words, runs, pairs)
+        words = F.regexp_extract_all(t, F.lit("[a-z0-9_]{2,}"), F.lit(0))
+
+        def cjk(runs: Column) -> Column:
+            pairs = F.flatten(F.transform(F.filter(runs, lambda r: F.length(r) > 1), lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
+            return F.concat(runs, pairs)
+
+        ascii_only = F.octet_length(t) == F.length(t)
+        found = F.concat(words, F.when(ascii_only, none).otherwise(let(F.regexp_extract_all(t, F.lit(f"[{CJK}]+"), F.lit(0)), cjk)))
         if chemistry:
             has = lambda w: F.array_contains(words, w)
-            found = F.concat(found, F.when(has("hvap"), F.array(F.lit("delta"), F.lit("vap"))).otherwise(F.array().cast("array<string>")), F.when(has("delta") & has("vap"), F.array(F.lit("hvap"))).otherwise(F.array().cast("array<string>")))
+            more = F.concat(found, F.when(has("hvap"), F.array(F.lit("delta"), F.lit("vap"))).otherwise(none), F.when(has("delta") & has("vap"), F.array(F.lit("hvap"))).otherwise(none))
+            found = F.when(vap(t), more).otherwise(found)
         return F.array_distinct(found)
 
-    return let(low, of)
+    return let(let(low, spelled) if chemistry else low, of)
 
 
 def attachment_tokens(text: Column) -> Column:

@@ -24,22 +24,35 @@ def vector_fetch(limit: int) -> int:
     return max(20 * limit, 50)
 
 
+#: Rows that a join broadcasts at most; more are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a table that is cheap to count, to be broadcast where it has few rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+#: What a route term counts beside 1 where both counts are summed at once.
+ROUTE = 1 << 32
+
+
+def shared(queries: DataFrame, documents: DataFrame, least: int = 1, route_length: int = 6) -> DataFrame:
+    """query_id, document_id, overlap and route_overlap of all pairs with ``least`` tokens or more in common, of documents that
+    each have a document_id of their own. The queries' index is broadcast and a document counted where it stands: no shuffle."""
+    weights = F.transform("terms", lambda t: F.when(F.length(t) >= route_length, ROUTE + 1).otherwise(1))
+    texts = documents.select("document_id", F.lit(0).alias("ordinal"), T.tokens(F.col("text")).alias("terms")).withColumn("weights", weights)
+    found = lexical.pairs(texts, queries.select("query_id", T.tokens(F.col("text")).alias("terms")), lambda total: total % ROUTE >= least)
+    return found.select("query_id", "document_id", (F.col("total") % ROUTE).alias("overlap"), F.floor(F.col("total") / ROUTE).alias("route_overlap"))
+
+
 def overlaps(queries: DataFrame, documents: DataFrame, route_length: int = 6) -> DataFrame:
     """query_id, document_id, overlap, route_overlap and rare of all pairs with a token in common.
 
-    An inverted index: both sides' tokens meet in an equi-join, and counts merge on the map side. Route terms are the
-    query's tokens of ``route_length`` characters or more; rare ones occur in few documents.
+    Route terms are the query's tokens of ``route_length`` characters or more; rare ones occur in few documents.
     """
-    q = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term"))
-    terms = q.select("term").distinct()
-    postings = documents.select("document_id", F.explode(T.tokens(F.col("text"))).alias("term")).join(terms, "term", "left_semi")
-    frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
-    route = F.length("term") >= route_length
-    return (
-        postings.join(q.join(frequency, "term"), "term")
-        .groupBy("query_id", "document_id")
-        .agg(F.count("*").alias("overlap"), F.count_if(route).alias("route_overlap"), F.count_if(route & (F.col("df") <= RARE)).alias("rare"))
-    )
+    rare = small(rare_pairs(queries, documents, route_length))
+    return shared(queries, documents, 1, route_length).join(rare, ["query_id", "document_id"], "left").withColumn("rare", F.coalesce("rare", F.lit(0).cast("long")))
 
 
 def lexical_bonus(overlap: Column, route: Column) -> Column:
@@ -56,22 +69,30 @@ MOST_LEXICAL, MOST_WITHOUT = 0.4, 1.2
 
 def rare_pairs(queries: DataFrame, documents: DataFrame, route_length: int = 6) -> DataFrame:
     """query_id, document_id and rare: how many of the query's route terms the document has that few documents have. Only
-    documents' terms that a query has are counted; a rare one stands for RARE rows at most."""
-    q = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).where(F.length("term") >= route_length)
-    terms = q.select("term").distinct()
-    found = documents.select("document_id", F.explode(F.filter(T.tokens(F.col("text")), lambda t: F.length(t) >= route_length)).alias("term")).join(terms, "term", "left_semi")
-    rare = found.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") <= RARE)
-    return found.join(rare.select("term"), "term").join(q, "term").groupBy("query_id", "document_id").agg(F.count("*").alias("rare"))
+    documents' terms that a query has are counted; a rare one stands for RARE rows at most. Written, as it is small.
+
+    A term's documents are told by the least and the greatest id and by all ids' exclusive or, which is the third of three:
+    a pass over the texts adds them up on the map side, and no list of documents is made.
+    """
+    q = cut(queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).where(F.length("term") >= route_length))
+    terms = small(cut(q.select("term").distinct()))
+    found = documents.select("document_id", F.explode(T.tokens(F.col("text"))).alias("term")).where(F.length("term") >= route_length).join(terms, "term", "left_semi")
+    d = F.col("document_id")
+    rare = found.groupBy("term").agg(F.count("*").alias("n"), F.min(d).alias("a"), F.max(d).alias("b"), F.bit_xor(d).alias("x")).where(F.col("n") <= RARE)
+    third = F.col("a").bitwiseXOR(F.col("b")).bitwiseXOR(F.col("x"))
+    ids = F.when(F.col("n") == 1, F.array("a")).when(F.col("n") == 2, F.array("a", "b")).otherwise(F.array("a", "b", third))
+    return cut(rare.select("term", F.explode(ids).alias("document_id")).join(q, "term").groupBy("query_id", "document_id").agg(F.count("*").alias("rare")))
 
 
 def best_without(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
     """query_id and document_id of the k documents that score best for each query by their overlap alone, rare terms aside."""
     texts = documents.select("document_id", F.lit(0).alias("ordinal"), T.tokens(F.col("text")).alias("terms")).withColumn("weights", F.transform("terms", lambda t: F.when(F.length(t) >= 6, 2).otherwise(1)))
-    return lexical.best(texts, queries.select("query_id", T.tokens(F.col("text")).alias("terms")), k, lambda total, _: np.minimum(0.3 + total * 0.1, MOST_WITHOUT), 0.0)
+    return lexical.best(texts, queries.select("query_id", T.tokens(F.col("text")).alias("terms")), k, lambda total, *_: np.minimum(0.3 + total * 0.1, MOST_WITHOUT), 0.0)
 
 
 def hybrid(queries: DataFrame, documents: DataFrame, vectors: DataFrame, k: int = 8, size: int = 64) -> DataFrame:
-    """query_id, document_id, score and rank of the k best documents of each query.
+    """query_id, document_id, score and rank of the k best documents of each query; written, so that what joins them to texts
+    or vectors broadcasts them, and doesn't shuffle the texts.
 
     With a vector on both sides the score is ten times the cosine plus small lexical bonuses, without it the overlap
     alone. Scores of zero or less are dropped; ties go to the lesser document_id.
@@ -96,19 +117,20 @@ def hybrid(queries: DataFrame, documents: DataFrame, vectors: DataFrame, k: int
         for asking, texts in ((few.where("embedding IS NULL"), documents), (few.where("embedding IS NOT NULL"), documents.join(vectors, "document_id", "left_anti"))):
             some = some.unionByName(best_without(asking, texts, k).select("query_id", "document_id"))
     some = cut(some.distinct())
+    wanted = small(cut(some.select("document_id").distinct()))
     terms = lambda df, key, out: df.select(key, T.tokens(F.col("text")).alias(out))
-    pairs = some.join(terms(queries, "query_id", "_qt"), "query_id").join(terms(documents.join(some.select("document_id"), "document_id", "left_semi"), "document_id", "_dt"), "document_id")
+    pairs = some.join(terms(queries, "query_id", "_qt"), "query_id").join(terms(documents.join(wanted, "document_id", "left_semi"), "document_id", "_dt"), "document_id")
     shared = F.array_intersect("_qt", "_dt")
-    lexical = pairs.select("query_id", "document_id", F.size(shared).cast("long").alias("overlap"), F.size(F.filter(shared, lambda t: F.length(t) >= 6)).cast("long").alias("route_overlap"))
-    lexical = lexical.join(rare, ["query_id", "document_id"], "left").withColumn("rare", F.coalesce("rare", F.lit(0).cast("long")))
-    sided = lexical.join(queries.select("query_id", F.col("embedding").alias("_q")), "query_id").join(vectors.select("document_id", "embedding"), "document_id", "left")
+    counts = pairs.select("query_id", "document_id", F.size(shared).cast("long").alias("overlap"), F.size(F.filter(shared, lambda t: F.length(t) >= 6)).cast("long").alias("route_overlap"))
+    counts = counts.join(rare, ["query_id", "document_id"], "left").withColumn("rare", F.coalesce("rare", F.lit(0).cast("long")))
+    sided = counts.join(queries.select("query_id", F.col("embedding").alias("_q")), "query_id").join(vectors.join(wanted, "document_id", "left_semi").select("document_id", "embedding"), "document_id", "left")
     both = F.col("_q").isNotNull() & F.col("embedding").isNotNull()
     sided = sided.withColumn("cosine", F.when(both, F.round(V.cosine(F.col("embedding"), F.col("_q")), 9)))
     total = F.col("overlap") + F.col("route_overlap")
     with_vector = 10 * F.col("cosine") + lexical_bonus(F.col("overlap"), F.col("route_overlap")) + rare_bonus(F.col("rare"))
     score = F.when(F.col("cosine").isNotNull(), with_vector).when(total > 0, F.least(0.3 + total * 0.1 + rare_bonus(F.col("rare")), F.lit(MOST_WITHOUT))).otherwise(0.0)
     scored = sided.select("query_id", "document_id", F.round(score, 6).alias("score")).where("score > 0")
-    return ranked(scored, ["query_id"], [F.desc("score"), F.col("document_id")], k)
+    return small(cut(ranked(scored, ["query_id"], [F.desc("score"), F.col("document_id")], k)))
 
 
 def with_supplement(routed: DataFrame, near: DataFrame, questions: DataFrame) -> DataFrame:

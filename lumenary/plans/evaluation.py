@@ -14,11 +14,12 @@ from .registry import query, table
 from .retrieval import HYBRID_SQL, inputs
 
 
-def cases(spark, sf_dir):
-    """Expected documents of a query: those whose vectors have the label of its own."""
+def cases(spark, sf_dir, only=None):
+    """Expected documents of a query: those whose vectors have the label of its own; of ``only`` some documents, if given."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")).join(e, "vec_id").select(F.col("vec_id").alias("query_id"), "label")
-    return q.join(e, "label").select("query_id", F.col("vec_id").alias("document_id"))
+    f = e if only is None else e.join(only.withColumnRenamed("document_id", "vec_id"), "vec_id", "left_semi")
+    return R.small(q).join(f, "label").select("query_id", F.col("vec_id").alias("document_id"))
 
 
 _CASES = "cases AS (SELECT b.item_id AS query_id, f.vec_id AS document_id FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id JOIN embeddings f ON f.label = e.label)"
@@ -42,8 +43,9 @@ def a9_anchor_coverage(spark, sf_dir):
 
 @query(f"""WITH {HYBRID_SQL}, {_CASES} SELECT h.query_id, round(avg(CAST(c.document_id IS NOT NULL AND d.n_chars > 100 AS INT)), 6) AS validity FROM hybrid h JOIN documents d ON d.doc_id = h.document_id LEFT JOIN cases c ON c.query_id = h.query_id AND c.document_id = h.document_id GROUP BY 1""")
 def a11_citation_validity(spark, sf_dir):
-    h = R.hybrid(*inputs(spark, sf_dir)).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "n_chars"), "document_id")
-    c = cases(spark, sf_dir).withColumn("_c", F.lit(1))
+    found = R.hybrid(*inputs(spark, sf_dir))
+    h = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "n_chars").join(found, "document_id")
+    c = cases(spark, sf_dir, found.select("document_id")).withColumn("_c", F.lit(1))
     valid = F.col("_c").isNotNull() & (F.col("n_chars") > 100)
     return h.join(c, ["query_id", "document_id"], "left").groupBy("query_id").agg(F.round(F.avg(valid.cast("int")), 6).alias("validity"))
 

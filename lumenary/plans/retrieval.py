@@ -84,7 +84,7 @@ def routed(spark, sf_dir):
     tokens = [T.tokens(c) for c, _ in parts]
     weights = F.concat(*[F.array_repeat(F.lit(w), F.size(t)) for t, (_, w) in zip(tokens, parts, strict=True)])
     texts = d.select(F.col("doc_id").alias("document_id"), F.lit(0).alias("ordinal"), F.concat(*tokens).alias("terms"), weights.alias("weights"))
-    best = lexical.best(texts, question_terms(spark, sf_dir), 5, lambda total, _: total, 2.0)
+    best = lexical.best(texts, question_terms(spark, sf_dir), 5, lambda total, *_: total, 2.0)
     return best.select("query_id", "document_id", F.col("score").cast("long").alias("score"), "rank")
 
 
@@ -114,7 +114,7 @@ SELECT query_id, document_id, ordinal, score FROM (SELECT *, row_number() OVER (
 def r7_intro_scan(spark, sf_dir):
     texts = M.chunks(spark, sf_dir).where("ordinal <= 3").select("document_id", "ordinal", T.tokens(F.col("text")).alias("terms"))
     texts = texts.withColumn("weights", F.array_repeat(F.lit(1), F.size("terms")))
-    best = lexical.best(texts, question_terms(spark, sf_dir), 2, lambda overlap, ordinal: np.round(42.0 + np.minimum(overlap, 12) + max(0.0, 4.0 - ordinal * 0.2), 6), 0.0)
+    best = lexical.best(texts, question_terms(spark, sf_dir), 2, lambda overlap, ordinal, _: np.round(42.0 + np.minimum(overlap, 12) + np.maximum(0.0, 4.0 - ordinal * 0.2), 6), 0.0)
     return best.select("query_id", "document_id", "ordinal", "score")
 
 
@@ -135,8 +135,9 @@ def r8_overview_scan(spark, sf_dir):
 SELECT query_id, document_id, CASE WHEN score >= 15 THEN 'direct' WHEN score >= 5 OR hit THEN 'contextual' ELSE 'weak' END AS support FROM r""")
 def r15_support_hint(spark, sf_dir):
     q, d, v = inputs(spark, sf_dir)
-    kept = R.hybrid(q, d, v).join(q.select("query_id", T.tokens(F.col("text")).alias("_q")), "query_id").join(d.select("document_id", T.tokens(F.col("text")).alias("_d")), "document_id")
-    return kept.select("query_id", "document_id", R.support_hint(F.col("score"), F.arrays_overlap("_q", "_d")).alias("support"))
+    kept = d.join(R.hybrid(q, d, v), "document_id").join(q.select("query_id", F.col("text").alias("_q")), "query_id")  # only kept texts are cut into tokens
+    hit = F.arrays_overlap(T.tokens(F.col("_q")), T.tokens(F.col("text")))
+    return kept.select("query_id", "document_id", R.support_hint(F.col("score"), hit).alias("support"))
 
 
 _BEGIN = ["", "Table 2: ", "Summarize ", "", "accuracy of "]
@@ -265,7 +266,7 @@ def r_fused_ranks(spark, sf_dir):
     """Reciprocal ranks of the lexical and the vector branch, summed."""
     q, d, v = inputs(spark, sf_dir)
     texts = d.select("document_id", F.lit(0).alias("ordinal"), T.tokens(F.col("text")).alias("terms")).withColumn("weights", F.array_repeat(F.lit(1), F.size("terms")))
-    b = lexical.best(texts, question_terms(spark, sf_dir), 50, lambda total, _: total, 1.0).select("query_id", "document_id", F.col("rank").alias("r"))
+    b = lexical.best(texts, question_terms(spark, sf_dir), 50, lambda total, *_: total, 1.0).select("query_id", "document_id", F.col("rank").alias("r"))
     n = R.ranked(knn.top_k(v, q.where("embedding IS NOT NULL"), 50, 64), ["query_id"], [F.desc("cosine"), F.col("document_id")], 50, "r").select("query_id", "document_id", "r")
     s = b.unionByName(n).groupBy("query_id", "document_id").agg(F.round(F.sum(1.0 / (60 + F.col("r"))), 9).alias("score"))
     return R.ranked(s, ["query_id"], [F.desc("score"), F.col("document_id")], 10, "_k").select("query_id", "document_id", "score")
