@@ -49,7 +49,7 @@ def a4_route_term_frequency(spark, sf_dir):
 @query(f"WITH {HYBRID_SQL} SELECT query_id, document_id, overlap FROM lex WHERE overlap >= 5")
 def u1_token_intersection(spark, sf_dir):
     q, d, _ = inputs(spark, sf_dir)
-    return R.overlaps(q, d).where("overlap >= 5").select("query_id", "document_id", "overlap")
+    return R.shared(q, d, 5).select("query_id", "document_id", "overlap")
 
 
 @query(f"WITH {HYBRID_SQL} SELECT query_id, document_id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, document_id) AS r FROM cosines) WHERE r <= 10")
