@@ -39,3 +39,21 @@ def next_pointers(documents: DataFrame, candidates: DataFrame) -> DataFrame:
     joined = documents.join(candidates.select("document_id", "version_key"), "document_id", "left").join(F.broadcast(ok))  # one row
     move = F.col("_ok") & F.col("version_key").isNotNull()
     return joined.select("document_id", F.when(move, F.col("version_key")).otherwise(F.col("active_parse_version")).alias("active_parse_version"), F.when(move & ~F.col("active_parse_version").eqNullSafe(F.col("version_key")), F.col("active_parse_version")).alias("superseded_version"))
+
+
+#: Rows that a task compares, and copies of a row that are laid out at once.
+PART_ROWS, COPIES = 2_000_000, 100_000
+
+
+def unmatched(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """``key`` of the rows of either side that the other side has no row for, as often as they stand there; null meets nothing.
+
+    Both sides' rows are counted by key in parts of PART_ROWS rows, as many as the tables need, so that a task's memory
+    doesn't grow with them; a frequent key is one row of counts.
+    """
+    parts = -(-(a.count() + b.count()) // PART_ROWS) or 1
+    rows = a.select(key, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionAll(b.select(key, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
+    n = rows.repartition(parts, key).groupBy(key).agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    alone = n.where(F.col(key).isNull() | (F.col("_a") == 0) | (F.col("_b") == 0)).withColumn("_n", F.col("_a") + F.col("_b"))
+    begins = alone.select(key, "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(COPIES).cast("long"))).alias("_at"))
+    return begins.select(key, F.explode(F.array_repeat(F.lit(True), F.least(F.col("_n") - F.col("_at"), F.lit(COPIES)).cast("int"))).alias("_one")).select(key)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import classify as C
 from ..operators import answers as AN
+from ..operators import versions as VE
 from .registry import query, table
 
 
@@ -182,7 +183,7 @@ def j9_lookups(spark, sf_dir):
 @query("SELECT l_orderkey FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey) UNION ALL SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
 def j13_orphans(spark, sf_dir):
     l, o = table(spark, sf_dir, "lineitem").select("l_orderkey"), table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
-    return l.join(o, "l_orderkey", "left_anti").unionAll(o.join(l, "l_orderkey", "left_anti"))
+    return VE.unmatched(l, o, "l_orderkey")
 
 
 @query("""WITH a AS (SELECT source, doc_id FROM documents WHERE lang = 'en'), b AS (SELECT d.source, d.doc_id FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1)
