@@ -14,9 +14,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("document_id"), F.col("source").alias("project_id"), "text", "n_chars", "lang", active.alias("active_parse_version"), F.when(F.col("n_chars") < 20, "failed").otherwise("ready").alias("status"))
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A chunk a line."""
+def chunks(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """A chunk a line; of the documents of ``only`` (document_id), if given."""
     d = documents(spark, sf_dir)
+    d = d if only is None else d.join(only, "document_id", "left_semi")
     x = d.select("document_id", "project_id", "n_chars", F.posexplode(F.split("text", "\n")).alias("ordinal", "text"))
     version = F.when(F.col("n_chars") < 600, None).when(F.col("n_chars") < 1200, "legacy").when(F.col("n_chars") < 2400, "v1").otherwise("v2")
     role = F.when(F.col("ordinal") == 0, "parent").when(F.col("ordinal") != 2, "child")

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import packs as P
+from ..sources.scratch import cut
 from . import model as M
 from .registry import query, table
-from .retrieval import EVIDENCE_SQL, evidence, question_terms
+from .retrieval import EVIDENCE_SQL, evidence, question_terms, routed_few
 from .text import tokens_sql
 
 #: Lines of a paragraph, and what questions ask for in turn.
@@ -16,9 +17,10 @@ LINES = 6
 ASKED = ["", "Table 2: ", "Summarize ", "formula of ", "accuracy of "]
 
 
-def families(spark, sf_dir):
-    """Chunks: each line a child, six lines their parent; a line with a pipe is a row of its document's table."""
-    c = M.chunks(spark, sf_dir).select("document_id", "ordinal", "text", "parse_version", "chunk_id")
+def families(spark, sf_dir, only=None):
+    """Chunks: each line a child, six lines their parent; a line with a pipe is a row of its document's table. Of the documents
+    of ``only`` (document_id), if given: parents and neighbours are of a line's own document."""
+    c = M.chunks(spark, sf_dir, only).select("document_id", "ordinal", "text", "parse_version", "chunk_id")
     family = F.concat_ws(":p", "document_id", F.floor(F.col("ordinal") / LINES))
     at = lambda k: F.concat_ws(":", "document_id", F.col("ordinal") + k)
     table_id = F.when(F.contains("text", F.lit("|")), F.concat("document_id", F.lit("t")))
@@ -28,7 +30,8 @@ def families(spark, sf_dir):
         "chunk_id", "document_id", "parse_version", F.lit("child").alias("chunk_role"), block.alias("block_type"), family.alias("parent_chunk_id"), F.when(within > 0, at(-1)).alias("previous_chunk_id"),
         F.when(within < LINES - 1, at(1)).alias("next_chunk_id"), "text", table_id.alias("table_id"),
     )
-    lines = M.documents(spark, sf_dir).select("document_id", "n_chars", F.split("text", "\n").alias("_l"))
+    d = M.documents(spark, sf_dir)
+    lines = (d if only is None else d.join(only, "document_id", "left_semi")).select("document_id", "n_chars", F.split("text", "\n").alias("_l"))
     parents = lines.select("document_id", "n_chars", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size("_l") - 1) / LINES).cast("int")), lambda i: F.array_join(F.slice("_l", i * LINES + 1, LINES), "\n"))).alias("_i", "text"))
     version = F.when(F.col("n_chars") < 600, None).when(F.col("n_chars") < 1200, "legacy").when(F.col("n_chars") < 2400, "v1").otherwise("v2")
     parents = parents.select(F.concat_ws(":p", "document_id", "_i").alias("chunk_id"), "document_id", version.alias("parse_version"), F.lit("parent").alias("chunk_role"), F.lit("narrative").alias("block_type"), "text")
@@ -42,17 +45,19 @@ def questions(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(k.alias("query_id"), F.concat(begin, F.lit("tion")).alias("question"))
 
 
-def contexts(spark, sf_dir):
+def contexts(spark, sf_dir, few=None):
     """The lines that routed documents share with a question; long shared words are what a profile's term would prove."""
-    e = evidence(spark, sf_dir).join(question_terms(spark, sf_dir), "query_id")
+    e = evidence(spark, sf_dir, few).join(question_terms(spark, sf_dir), "query_id")
     anchors = F.filter(F.array_intersect("terms", T.tokens(F.col("text"))), lambda t: F.length(t) >= 9)
     kind = F.when(F.contains("text", F.lit("|")), "table").when(F.contains("text", F.lit("=")), "formula").when(F.size(anchors) > 0, "profile-term").otherwise("text")
     return e.select("query_id", F.concat_ws(":", "document_id", "ordinal").alias("chunk_id"), F.col("score").cast("double").alias("score"), kind.alias("kind"), F.concat_ws(":", "document_id", "page").alias("page"), F.lit(None).cast("string").alias("label"), anchors.alias("anchors"))
 
 
 def staged(spark, sf_dir):
-    chunks, asked = families(spark, sf_dir), questions(spark, sf_dir)
-    found = P.checked(contexts(spark, sf_dir), chunks, M.documents(spark, sf_dir))
+    few = routed_few(spark, sf_dir)
+    only = few.select("document_id")
+    chunks, asked = cut(families(spark, sf_dir, only)), questions(spark, sf_dir)
+    found = P.checked(contexts(spark, sf_dir, few), chunks, M.documents(spark, sf_dir).join(only, "document_id", "left_semi"))
     return P.finalised(P.expanded(found, chunks, asked), asked), asked
 
 

@@ -11,6 +11,7 @@ from ..operators import evidence as EV
 from ..operators import knn, lexical
 from ..operators import retrieval as R
 from ..operators import routing as RT
+from ..sources.scratch import cut
 from . import model as M
 from .registry import query, table
 from .text import tokens_sql
@@ -169,9 +170,16 @@ EVIDENCE_SQL = f"""{_ROUTE_SQL}, {M.CHUNKS_SQL}, qq AS (SELECT item_id AS query_
 ev AS (SELECT * FROM (SELECT r.query_id, c.document_id, c.ordinal, c.chunk_role, c.text, c.ordinal // 4 AS page, contains(c.text, '|') AS is_table, CAST(len(list_intersect(qq.toks, {tokens_sql('c.text')})) AS BIGINT) AS score FROM routed r JOIN chunks c ON c.document_id = r.document_id JOIN qq ON qq.query_id = r.query_id) WHERE score > 0)"""
 
 
-def evidence(spark, sf_dir):
-    c = M.chunks(spark, sf_dir).select("document_id", "ordinal", "chunk_role", "text")
-    j = routed(spark, sf_dir).select("query_id", "document_id").join(c, "document_id").join(question_terms(spark, sf_dir), "query_id")
+def routed_few(spark, sf_dir):
+    """query_id and document_id of routed documents, written and broadcast: five a question."""
+    return R.small(cut(routed(spark, sf_dir).select("query_id", "document_id")))
+
+
+def evidence(spark, sf_dir, few=None):
+    """``few``: the routed documents, where a caller has them already. Only their texts are cut into lines."""
+    few = routed_few(spark, sf_dir) if few is None else few
+    c = M.chunks(spark, sf_dir, few.select("document_id")).select("document_id", "ordinal", "chunk_role", "text")
+    j = few.join(c, "document_id").join(question_terms(spark, sf_dir), "query_id")
     score = F.size(F.array_intersect("terms", T.tokens(F.col("text")))).cast("long")
     return j.select("query_id", "document_id", "ordinal", "chunk_role", "text", F.floor(F.col("ordinal") / 4).alias("page"), F.contains("text", F.lit("|")).alias("is_table"), score.alias("score")).where("score > 0")
 
