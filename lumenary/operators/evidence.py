@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import json
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import lexical
 from .retrieval import excerpt_dedup, ranked
 
 #: What a promoted table row gains (fixed value).
@@ -68,13 +71,25 @@ def limitation_score(text: Column, overlap: Column, anchors: list[str] | None =
     return F.when(hits > 0, 43.0 + F.least(overlap, F.lit(8)) + 2.0 * hits + bonus)
 
 
+#: Stands for the score of a claim without a confidence, which comes last.
+UNKNOWN = -1e15
+
+
+def claim_score(n: np.ndarray, _: np.ndarray, confidence: np.ndarray) -> np.ndarray:
+    """Scores to six places, halves away from zero, as Spark rounds; UNKNOWN without a confidence, none with a single key."""
+    score, at = np.unique(12.0 + 1.5 * n + confidence, return_inverse=True)
+    rounded = [float(Decimal(repr(float(x))).quantize(Decimal("1e-6"), ROUND_HALF_UP)) if x > UNKNOWN / 2 else UNKNOWN for x in score]
+    return np.where(n >= 2, np.array(rounded)[at], -np.inf)
+
+
 def claim_evidence(claims: DataFrame, keys: DataFrame, k: int = 3) -> DataFrame:
     """query_id, chunk_id and score of claims (claim_id, chunk_id, text, confidence) that match two or more of a query's
-    keys (query_id, key); the best claim of a chunk, the k best chunks of a query."""
-    terms = claims.select("claim_id", "chunk_id", "confidence", F.explode(T.tokens(F.col("text"), chemistry=False)).alias("key"))
-    hit = terms.join(keys, "key").groupBy("query_id", "chunk_id", "claim_id", "confidence").agg(F.count("*").alias("n")).where("n >= 2")
-    scored = hit.withColumn("score", F.round(12.0 + 1.5 * F.col("n") + F.col("confidence"), 6)).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
-    return ranked(scored, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
+    keys (query_id, key); the best claim of a chunk, the k best chunks of a query. Keys are few and broadcast as an index, chunk_id
+    is a long; no table of claims and queries is made."""
+    terms = claims.select(F.col("chunk_id").alias("document_id"), F.lit(0).alias("ordinal"), T.tokens(F.col("text"), chemistry=False).alias("terms"), F.coalesce(F.col("confidence").cast("double"), F.lit(UNKNOWN)).alias("value"))
+    queries = keys.groupBy("query_id").agg(F.collect_list("key").alias("terms"))
+    found = lexical.best(terms.withColumn("weights", F.array_repeat(F.lit(1), F.size("terms"))), queries, k, claim_score, UNKNOWN, once=True)
+    return found.select("query_id", F.col("document_id").alias("chunk_id"), F.when(F.col("score") > UNKNOWN / 2, F.col("score")).alias("score"), "rank")
 
 
 def supplement(have: DataFrame, wanted: DataFrame) -> DataFrame:
