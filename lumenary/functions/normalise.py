@@ -6,6 +6,7 @@ import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
@@ -98,6 +99,10 @@ def table_cells(s: pd.Series) -> pd.Series:
     return s.map(table_cell)
 
 
-@F.pandas_udf(StringType())
-def match_texts(s: pd.Series) -> pd.Series:
-    return s.map(match_text)
+#: Texts of a batch that are held as Python's own at once.
+SLICE = 128
+
+
+@F.arrow_udf(StringType())
+def match_texts(texts: pa.Array) -> pa.Array:
+    return pa.chunked_array([pa.array(map(match_text, texts[at : at + SLICE].to_pylist()), pa.string()) for at in range(0, len(texts), SLICE)], pa.string()).combine_chunks()
