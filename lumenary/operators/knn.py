@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Queries that are broadcast at once; more are scored in blocks of as many.
 BLOCK_QUERIES = 20_000
 #: Scores that a task holds at once.
-CELLS = 1 << 23
+CELLS = 1 << 20
 FOUND = "query_id long, document_id long, cosine double"
 
 
