@@ -4,8 +4,10 @@ import random
 from collections import Counter
 
 import numpy as np
+from lumenary.functions import normalise as N
 from lumenary.functions import text as T
-from lumenary.operators import lexical, retrieval
+from lumenary.operators import chunking, evidence, knn, lexical, retrieval, versions
+from lumenary.plans import packs
 from pyspark.sql import functions as F
 
 
@@ -100,3 +102,73 @@ def test_steps_of_the_scan_are_bounded(spark, monkeypatch):
             want += [(q, d, o, -s) for s, d, o in left[:3]]
         got = lexical.best(texts, queries, 3, lambda total, _, value: total + value, 0.0, once).collect()
         assert sorted((x.query_id, x.document_id, x.ordinal, x.score) for x in got) == sorted(want)
+
+
+def test_claims_meet_keys_without_a_table_of_pairs(spark):
+    r = random.Random(8)
+    words = [f"k{i}" for i in range(12)]
+    claims = [(i, r.randint(0, 15), " ".join(r.choices(words, k=r.randint(0, 8))), r.choice([None, -100.0, 0.5, 0.1234565, 0.9])) for i in range(120)]
+    keys = [(q, w) for q in range(6) for w in r.sample(words, 4)]
+    df = evidence.claim_evidence(spark.createDataFrame(claims, "claim_id long, chunk_id long, text string, confidence double").repartition(4), spark.createDataFrame(keys, "query_id long, key string"))
+    assert "Join" not in plan(df)
+    want = []
+    for q in range(6):
+        best = {}
+        for _, c, text, conf in claims:
+            n = len({k for x, k in keys if x == q} & set(text.split()))
+            if n >= 2:
+                best.setdefault(c, []).append(None if conf is None else round(12 + 1.5 * n + conf + 1e-10, 6))
+        tops = {c: max((x for x in s if x is not None), default=None) for c, s in best.items()}
+        order = sorted(tops, key=lambda c: (tops[c] is None, -(tops[c] or 0), c))[:3]
+        want += [(q, c, tops[c], i) for i, c in enumerate(order, 1)]
+    assert sorted(map(tuple, df.collect()), key=lambda x: (x[0], x[3])) == want
+
+
+def test_unmatched_rows_come_as_often_as_they_stand(spark, monkeypatch):
+    monkeypatch.setattr(versions, "PART_ROWS", 50)
+    monkeypatch.setattr(versions, "COPIES", 7)
+    r = random.Random(9)
+    a, b = ([r.choice([None, *range(60)]) for _ in range(n)] + [x] * 100 for n, x in ((90, 500), (40, 501)))
+    df = versions.unmatched(*(spark.createDataFrame([(x,) for x in v], "k long") for v in (a, b)), "k")
+    got = Counter(x.k for x in df.collect())
+    assert got == Counter([x for x in a if x is None or x not in b] + [x for x in b if x is None or x not in a])
+    assert "SortMergeJoin" not in (p := plan(df)) and "REPARTITION_BY_NUM" in p
+    none = spark.createDataFrame([], "k long")
+    assert versions.unmatched(none, none, "k").count() == 0
+
+
+def test_packs_read_lines_of_routed_documents_alone(spark):
+    sf = "/root/testdata/sf0.001"
+    only = spark.createDataFrame([(3,), (8,)], "document_id long")
+    some = lambda df: sorted(map(repr, df.collect()))
+    assert some(packs.families(spark, sf, only)) == some(packs.families(spark, sf).where("document_id IN (3, 8)"))
+
+
+def test_batches_are_held_in_slices(spark):
+    import pyarrow as pa
+
+    assert [b.num_rows for b in chunking.slices([pa.record_batch({"a": list(range(300))})])] == [128, 128, 44] and knn.CELLS <= 1 << 20
+    texts = [None, "", "Ein Ver-\nfahren", *(f"Text {i} x" for i in range(300))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1)
+    assert [x.m for x in df.select("i", N.match_texts("t").alias("m")).orderBy("i").collect()] == [N.match_text(t) for t in texts]
+    assert df.limit(0).select(N.match_texts("t")).collect() == []
+
+
+def test_text_layers_against_plain_ones(spark):
+    import re
+
+    r = random.Random(10)
+    parts = ["ab ", "x = 1 ", "水 ", "é", "....", "\ufffd", "word12 ", "\t", "\n", " - ", "+", "∑ "]
+    texts = [None, "", *("".join(r.choices(parts[: r.randint(2, 12)], k=r.choice([3, 15, 40, 80]))) for _ in range(500))]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", "t", T.text_layer_quality(F.col("t")).alias("q"), T.formula_noise(F.col("t")).alias("n"))
+    assert "regexp_replace" not in plan(got)
+    found = set()
+    for x in got.collect():
+        t = (x.t or "").strip(" \t\n\r")
+        density = len(re.findall("[\u4e00-\u9fffA-Za-z0-9]", t)) / max(1, len(t))
+        words = re.findall("[A-Za-z0-9]+", x.t or "")
+        want = "low" if len(t) < 40 or "\ufffd" in t or density < 0.28 else "high" if len(t) > 120 and density >= 0.4 else "medium"
+        noise = len(words) >= 12 and sum(len(w) <= 2 for w in words) >= 0.8 * len(words) and len(re.findall(r"[-+=/*^;∑∫√]", x.t or "")) >= 8
+        assert (x.q, x.n) == (want, noise)
+        found.add((x.q, x.n))
+    assert len(found) >= 4
