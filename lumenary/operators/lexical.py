@@ -16,10 +16,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from .chunking import slices
+
 #: Queries whose index is broadcast at once.
 BLOCK_QUERIES = 20_000
 #: Meetings of a text's term with a query that a task holds at once.
 MEETINGS = 1 << 19
+#: Terms that are looked for at once.
+BLOCK_TERMS = 500_000
+#: Rows that a task hands over at once.
+SCARCE_ROWS = 10_000
 
 
 def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]]:
@@ -157,3 +164,38 @@ def pairs(texts: DataFrame, queries: DataFrame, least: Callable[[np.ndarray], np
         return run
 
     return _scanned(texts, queries, scan, "query_id long, document_id long, ordinal int, total long")
+
+
+def scarce(texts: DataFrame, terms: DataFrame, most: int, least: int) -> DataFrame:
+    """term, n (1 to ``most``) and a, b and x, the least, the greatest and the exclusive or of their ids, of the ``terms`` (term,
+    each once) of ``least`` characters or more that ``most`` of the ``texts`` (document_id, text) or fewer have.
+
+    A task looks for a term until more than ``most`` of its texts have it, so that it gives ``most`` rows a term at most.
+    """
+
+    def scan(shared):
+        def run(batches):
+            left, met = set(shared.value), {}
+            for b in slices(batches):
+                for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    for t in left.intersection(T.token_set(text, least)) if left else ():
+                        have = met.setdefault(t, [])
+                        have.append(d)
+                        if len(have) > most:
+                            left.discard(t)
+            # a frequent term is one row
+            rows = [(t, d, n) for t, have in met.items() for d, n in ([(x, 1) for x in have] if len(have) <= most else [(have[0], len(have))])]
+            for at in range(0, len(rows), SCARCE_ROWS):
+                t, d, n = zip(*rows[at : at + SCARCE_ROWS], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(t, pa.string()), pa.array(d, pa.int64()), pa.array(n, pa.int64())], ["term", "document_id", "n"])
+
+        return run
+
+    rows, asked = texts.select(F.col("document_id").cast("long"), T.spelled(F.col("text")).alias("text")), terms.orderBy("term")
+    out = None
+    for at in range(0, max(1, asked.count()), BLOCK_TERMS):
+        block = [r[0] for r in asked.offset(at).limit(BLOCK_TERMS).collect()]
+        part = rows.mapInArrow(scan(texts.sparkSession.sparkContext.broadcast(block)), "term string, document_id long, n long")
+        out = part if out is None else out.unionByName(part)
+    d = F.col("document_id")
+    return out.groupBy("term").agg(F.sum("n").alias("n"), F.min(d).alias("a"), F.max(d).alias("b"), F.bit_xor(d).alias("x")).where(F.col("n") <= most)

@@ -72,13 +72,10 @@ def rare_pairs(queries: DataFrame, documents: DataFrame, route_length: int = 6)
     documents' terms that a query has are counted; a rare one stands for RARE rows at most. Written, as it is small.
 
     A term's documents are told by the least and the greatest id and by all ids' exclusive or, which is the third of three:
-    a pass over the texts adds them up on the map side, and no list of documents is made.
+    a pass over the texts counts them in the tasks, and neither words nor lists of documents are shuffled.
     """
     q = cut(queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).where(F.length("term") >= route_length))
-    terms = small(cut(q.select("term").distinct()))
-    found = documents.select("document_id", F.explode(T.tokens(F.col("text"))).alias("term")).where(F.length("term") >= route_length).join(terms, "term", "left_semi")
-    d = F.col("document_id")
-    rare = found.groupBy("term").agg(F.count("*").alias("n"), F.min(d).alias("a"), F.max(d).alias("b"), F.bit_xor(d).alias("x")).where(F.col("n") <= RARE)
+    rare = lexical.scarce(documents, q.select("term").distinct(), RARE, route_length)
     third = F.col("a").bitwiseXOR(F.col("b")).bitwiseXOR(F.col("x"))
     ids = F.when(F.col("n") == 1, F.array("a")).when(F.col("n") == 2, F.array("a", "b")).otherwise(F.array("a", "b", third))
     return cut(rare.select("term", F.explode(ids).alias("document_id")).join(q, "term").groupBy("query_id", "document_id").agg(F.count("*").alias("rare")))

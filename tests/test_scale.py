@@ -36,6 +36,15 @@ def test_tokens_against_plain_ones(spark):
     assert got == {i: plain_tokens(t) for i, t in enumerate(texts)}
 
 
+def test_token_sets_against_the_expression(spark):
+    r = random.Random(11)
+    parts = ["δ", "Δ", "delta", "h", "vap", "hvap", "evaporate", " ", "-", "_", "\n", "水", "水分子", "水分子加热蒸发", ". é", "İ", "ab", "x", "123456", "Tion."]
+    texts = [None, "", *("".join(r.choices(parts, k=r.randint(0, 14))) for _ in range(600))]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(T.spelled(F.col("t")).alias("s"), T.tokens(F.col("t")).alias("w")).collect()
+    for least in (1, 2, 3, 4, 5, 6, 9):
+        assert [T.token_set(x.s, least) for x in got] == [{w for w in x.w if len(w) >= least} for x in got]
+
+
 def some(spark, seed, docs=60, most=9):
     r = random.Random(seed)
     words = [f"word{i}" for i in range(20)] + [f"w{i}" for i in range(10)] + [f"rareword{i}" for i in range(30)]
@@ -61,6 +70,27 @@ def test_rare_pairs_and_overlaps_against_sets(spark):
         assert {(x.query_id, x.document_id): x.rare for x in retrieval.rare_pairs(q, d).collect()} == {k: v[2] for k, v in want.items() if v[2]}
 
 
+def test_scarce_terms_are_counted_in_the_tasks(spark, monkeypatch):
+    """Whatever tasks a term's documents are in and whatever a block holds; no word becomes a row."""
+    monkeypatch.setattr(lexical, "SCARCE_ROWS", 3)
+    for seed, block in ((0, 500_000), (1, 7)):
+        monkeypatch.setattr(lexical, "BLOCK_TERMS", block)
+        _, d, _, ds = some(spark, seed)
+        places = {}
+        for k, t in ds:
+            for w in set((t or "").split()):
+                places.setdefault(w, []).append(k)
+        asked = [*places, "missing"]
+        df = lexical.scarce(d, spark.createDataFrame([(w,) for w in asked], "term string"), 3, 6)
+        assert "Generate" not in (p := plan(df)) and "Join" not in p
+        want = {w: k for w in asked if len(w) >= 6 and 1 <= len(k := places.get(w, [])) <= 3}
+        got = {x.term: x for x in df.collect()}
+        assert got.keys() == want.keys() and {1, 2, 3} == {x.n for x in got.values()}
+        for w, x in got.items():
+            k = want[w]
+            assert (x.n, x.a, x.b, x.x) == (len(k), min(k), max(k), int(np.bitwise_xor.reduce(np.array(k))))
+
+
 def test_overlaps_shuffle_nothing(spark):
     q, d, qs, ds = some(spark, 5)
     df = retrieval.shared(q, d.coalesce(1), 2)
