@@ -263,8 +263,8 @@ def r13_sibling_expansion(spark, sf_dir):
 @query()
 def b1_budget_packing(spark, sf_dir):
     q, d, v = inputs(spark, sf_dir)
-    rows = R.hybrid(q, d, v).join(d.select("document_id", T.token_estimate(F.col("text")).alias("tokens")), "document_id")
-    return R.pack_budget(rows.select("query_id", "rank", "document_id", "tokens"), "query_id long, rank int, document_id long, used long, kind string", budget=1500)
+    rows = R.hybrid(q, d, v).join(d, "document_id").select("query_id", "rank", "document_id", T.token_estimate(F.col("text")).alias("tokens"))
+    return R.pack_budget(rows, "query_id long, rank int, document_id long, used long, kind string", budget=1500)
 
 
 @query(f"""WITH {HYBRID_SQL}, b AS (SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, document_id) AS r FROM lex), v AS (SELECT query_id, document_id, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, document_id) AS r FROM cosines),

@@ -7,7 +7,7 @@ import numpy as np
 from lumenary.functions import normalise as N
 from lumenary.functions import text as T
 from lumenary.operators import chunking, evidence, knn, lexical, retrieval, versions
-from lumenary.plans import packs
+from lumenary.plans import catalog, packs
 from pyspark.sql import functions as F
 
 
@@ -110,6 +110,16 @@ def test_hybrid_is_small_and_joins_texts_without_a_shuffle(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", joined)
 
 
+def best_of_few(monkeypatch):
+    monkeypatch.setattr(retrieval, "hybrid", lambda q, d, v: F.broadcast(d.select(F.lit(1).cast("long").alias("query_id"), "document_id", F.lit(1.0).alias("score"), F.lit(1).alias("rank")).limit(4)))
+
+
+def test_tokens_are_estimated_of_the_best_alone(spark, monkeypatch):
+    best_of_few(monkeypatch)
+    p = plan(catalog.QUERIES["b1_budget_packing"](spark, "/root/testdata/sf0.001"))
+    assert p.index("FLOOR(") < p.index("BroadcastHashJoin")
+
+
 def test_steps_of_the_scan_are_bounded(spark, monkeypatch):
     """The same result whatever a step holds; a document's best text alone counts where that is asked for."""
     r = random.Random(7)
