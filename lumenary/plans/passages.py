@@ -64,8 +64,8 @@ def w9_heading_propagation(spark, sf_dir):
 @query()
 def w6_required_slots(spark, sf_dir):
     q, d, v = inputs(spark, sf_dir)
-    kinds = d.select("document_id", F.when(F.contains("text", F.lit("|")), "table").when(F.contains("text", F.lit("%%%")), "formula").otherwise("prose").alias("kind"))
-    ranked = R.hybrid(q, d, v).join(kinds, "document_id").select("query_id", "rank", "kind", "document_id")
+    kind = F.when(F.contains("text", F.lit("|")), "table").when(F.contains("text", F.lit("%%%")), "formula").otherwise("prose")
+    ranked = R.hybrid(q, d, v).join(d, "document_id").select("query_id", "rank", kind.alias("kind"), "document_id")
     return chunking.required_slots(ranked, "query_id long, rank int, kind string, document_id long", 4)
 
 

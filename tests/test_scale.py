@@ -120,6 +120,12 @@ def test_tokens_are_estimated_of_the_best_alone(spark, monkeypatch):
     assert p.index("FLOOR(") < p.index("BroadcastHashJoin")
 
 
+def test_kinds_are_told_of_the_best_alone(spark, monkeypatch):
+    best_of_few(monkeypatch)
+    p = plan(catalog.QUERIES["w6_required_slots"](spark, "/root/testdata/sf0.001"))
+    assert p.index("Contains(") < p.index("BroadcastHashJoin")
+
+
 def test_steps_of_the_scan_are_bounded(spark, monkeypatch):
     """The same result whatever a step holds; a document's best text alone counts where that is asked for."""
     r = random.Random(7)
