@@ -9,7 +9,8 @@ found by joins on ids. A phrase can't be more frequent than a part of it, so dro
 nothing.
 
 A block's distinct pairs are shuffled, once a level, and not its occurrences. The most frequent pair has a row a block, which is
-little beside what a task gets of rare ones.
+little beside what a task gets of rare ones. Distinct words and pairs are rows of their own wherever they are kept: Spark reads
+thousands of rows at once, however long they are, so that rows of whole blocks would take memory by the blocks of a file.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .common import discard, small, written
 
 #: Bytes of text of a block, the least frequency of a phrase, its most words, and phrases reported of each language.
 BLOCK_BYTES, LEAST, LONGEST, TOP = 8 << 20, 30, 4, 2000
+#: How blocks are written: row groups of which a task can hold several, ids by dictionary, and codes, which count up, by difference.
+ROWS = {"parquet.block.size": 8 << 20, "parquet.dictionary.page.size": 8 << 20, "parquet.writer.version": "PARQUET_2_0"}
 #: In how many passes a level's pairs meet, by their hash: the shuffle files of one are gone before the next one's are written.
 PASSES = 2
 #: Bits of a code within its block, and of a block's number within its task; 20 are left for the task's.
@@ -61,14 +64,19 @@ def expanded(codes: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(codes), np.int32)
 
 
-def lists(values: pa.Array | np.ndarray, kind: pa.DataType = pa.int64()) -> pa.Array:  # noqa: B008
-    """One row that holds all the values."""
-    values = values if isinstance(values, pa.Array) else pa.array(values, kind)
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+def sheet(schema: pa.Schema, rows: int, **columns: int | str | pa.Array | np.ndarray) -> pa.RecordBatch:
+    """Rows of ``schema``: an int or str stands in all of them, a column that isn't given is null."""
+    of = lambda x, kind: pa.nulls(rows, kind) if x is None else pa.repeat(pa.scalar(x, kind), rows) if isinstance(x, int | str) else pa.array(x, kind)
+    return pa.RecordBatch.from_arrays([of(columns.get(f.name), f.type) for f in schema], schema=schema)
+
+
+WORDS = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("codes", pa.binary()), ("code", pa.int32()), ("word", pa.string()), ("n", pa.int64())])
+PAIRS = pa.schema([("block", pa.int64()), ("codes", pa.binary()), ("code", pa.int32()), ("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64())])
 
 
 def blocks(df: DataFrame, lang: str, text: str) -> DataFrame:
-    """block, lang, codes, words and counts: a row for some BLOCK_BYTES of a task's texts of a language, or a longer text."""
+    """A block is some BLOCK_BYTES of a task's texts of a language, or a longer text. Rows: one of block, lang and codes for each
+    block, and of block, lang, code, word and n for each of its distinct words."""
 
     def run(batches):
         task, made, held, size = TaskContext.get().partitionId(), 0, {}, {}
@@ -78,7 +86,9 @@ def blocks(df: DataFrame, lang: str, text: str) -> DataFrame:
                 raise OverflowError("blocks beyond their numbers: read the texts in more and smaller partitions")
             codes, words, counts = coded(held.pop(of))
             size.pop(of)
-            return pa.RecordBatch.from_arrays([pa.array([task << BLOCK_BITS | made]), pa.array([of]), squeezed(codes), lists(words), lists(counts)], ["block", "lang", "codes", "words", "counts"])
+            own = {"block": task << BLOCK_BITS | made, "lang": of}
+            yield sheet(WORDS, 1, **own, codes=squeezed(codes))
+            yield sheet(WORDS, len(words), **own, code=np.arange(len(words)), word=words, n=counts)
 
         for batch in batches:
             for of, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -86,14 +96,14 @@ def blocks(df: DataFrame, lang: str, text: str) -> DataFrame:
                 held.setdefault(of, []).append(b)
                 size[of] = size.get(of, 0) + len(b) + 1
                 if size[of] >= BLOCK_BYTES:
-                    yield flush(of)
+                    yield from flush(of)
                     made += 1
         for of in sorted(held):
-            yield flush(of)
+            yield from flush(of)
             made += 1
 
     rows = df.select(F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text}`").cast("string").alias("text")).where("text <> ''")
-    return written(rows.mapInArrow(run, "block long, lang string, codes binary, words array<string>, counts array<long>"), "blocks")
+    return written(rows.mapInArrow(run, "block long, lang string, codes binary, code int, word string, n long"), "blocks", ROWS)
 
 
 def pairs_of(codes: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -111,22 +121,19 @@ def pairs_of(codes: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out[stay], keys // max(1, len(code)), keys % max(1, len(code)), counts
 
 
-PAIRS = pa.schema([("block", pa.int64()), ("codes", pa.binary()), ("ids", pa.list_(pa.int64())), ("lefts", pa.list_(pa.int32())), ("rights", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
-
-
 def paired(sequences: DataFrame, named: DataFrame) -> DataFrame:
-    """block, codes, ids, lefts, rights and counts of the next level, from each block's codes and its named ones: lefts and rights
-    are places in ids."""
+    """The next level's blocks, from the blocks of this one and the ids of their named codes. Rows: one of block and codes for
+    each block, and of block, code, left, right and n for each of its distinct pairs; left and right are ids."""
 
     def run(own: pa.Table, names: pa.Table) -> pa.Table:
         if not own.num_rows or not names.num_rows:
             return PAIRS.empty_table()
+        block, ids = own.column("block")[0].as_py(), names.column("id").to_numpy()
         out, left, right, counts = pairs_of(expanded(own.column("codes")[0].as_py()), names.column("code").to_numpy())
-        ids = lists(names.column("id").combine_chunks())
-        return pa.Table.from_arrays([own.column("block"), squeezed(out), ids, lists(left, pa.int32()), lists(right, pa.int32()), lists(counts)], schema=PAIRS)
+        return pa.Table.from_batches([sheet(PAIRS, 1, block=block, codes=squeezed(out)), sheet(PAIRS, len(counts), block=block, code=np.arange(len(counts)), left=ids[left], right=ids[right], n=counts)])
 
-    both = sequences.select("block", "codes").groupBy("block").cogroup(named.withColumnRenamed("block", "of").groupBy("of"))
-    return written(both.applyInArrow(run, "block long, codes binary, ids array<long>, lefts array<int>, rights array<int>, counts array<long>"), "pairs")
+    both = sequences.where("codes IS NOT NULL").select("block", "codes").groupBy("block").cogroup(named.withColumnRenamed("block", "of").groupBy("of"))
+    return written(both.applyInArrow(run, "block long, codes binary, code int, left long, right long, n long"), "pairs", ROWS)
 
 
 def named(grams: DataFrame, by: list[str], least: int) -> tuple[DataFrame, DataFrame]:
@@ -150,18 +157,15 @@ def hierarchy(df: DataFrame, lang: str = "lang", text: str = "text", longest: in
     """lang and n, its word occurrences; and the names of each level: frequent words (lang, word, n, id), then frequent
     phrases of two words and more (left, right, n, id), whose parents are ids of the level before."""
     now = blocks(df, lang, text)
-    totals = written(now.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    grams = now.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "_")).select("block", "lang", "code", F.col("_.words").alias("word"), F.col("_.counts").alias("n"))
-    names, places = named(grams, ["lang", "word"], least)
+    totals = written(now.where("word IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    names, places = named(now.where("word IS NOT NULL").select("block", "lang", "code", "word", "n"), ["lang", "word"], least)
     levels = [names]
     for _ in range(1, longest):
         after = paired(now, places)
         discard(now)
         now = after
         tidy(df.sparkSession)
-        named_by = lambda side: F.transform(side, lambda i: F.get("ids", i)).alias(side)
-        grams = now.select("block", F.posexplode(F.arrays_zip(named_by("lefts"), named_by("rights"), "counts")).alias("code", "_")).select("block", "code", F.col("_.lefts").alias("left"), F.col("_.rights").alias("right"), F.col("_.counts").alias("n"))
-        names, places = named(grams, ["left", "right"], least)
+        names, places = named(now.where("code IS NOT NULL").select("block", "code", "left", "right", "n"), ["left", "right"], least)
         levels.append(names)
     discard(now)
     tidy(df.sparkSession)

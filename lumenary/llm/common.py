@@ -31,11 +31,11 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back."""
+def written(df: DataFrame, name: str, options: dict[str, str | int] | None = None) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet in the shared folder, with the writer's ``options``, and read it back."""
     spark = df.sparkSession
     path = table_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out

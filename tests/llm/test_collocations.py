@@ -1,7 +1,9 @@
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from lumenary.llm import collocations
 
@@ -51,3 +53,26 @@ def test_ties_are_kept_whole_and_empty_tables_are_empty(spark):
     df = spark.createDataFrame([(1, "p q. r s. t u. " * 3, "en")], "doc_id long, text string, lang string")
     assert [(x.rank, x.phrase) for x in collocations.mine(df, least=3, top=2).orderBy("rank").collect()] == [(1, "p q"), (2, "r s")]
     assert collocations.mine(df.limit(0)).count() == 0 and collocations.mine(df, least=100).count() == 0
+
+
+def test_what_is_read_at_once_does_not_grow_with_the_blocks_of_a_file(spark, monkeypatch):
+    """A block's words and pairs lay in one row; with all rows of a file read at once, a dozen blocks took an executor's memory."""
+    kept, written = {}, collocations.written
+
+    def spy(df, name, *options):
+        kept.setdefault(name, []).append(out := written(df, name, *options))
+        return out
+
+    for name, value in (("written", spy), ("discard", lambda *_: None), ("BLOCK_BYTES", 4000), ("ROWS", getattr(collocations, "ROWS", {}) | {"parquet.block.size": 1 << 16})):
+        monkeypatch.setattr(collocations, name, value, raising=False)
+    r = random.Random(3)
+    rows = [(" ".join(f"w{r.randrange(200)}" for _ in range(1000)), la) for la in ["en"] * 70 + [None] * 10]
+    collocations.hierarchy(spark.createDataFrame(rows, "text string, lang string").coalesce(1), least=2, longest=3)
+    assert len(kept["blocks"]) == 1 and len(kept["pairs"]) == 2
+    for table in kept["blocks"] + kept["pairs"]:
+        assert not [f.name for f in table.schema if f.dataType.typeName() == "array"]
+        assert table.where("codes IS NOT NULL").count() == table.select("block").distinct().count() >= 80
+    assert kept["blocks"][0].where("word IS NOT NULL").groupBy("block", "code").count().where("count > 1").count() == 0
+    of_pairs = [pq.ParquetFile(f).metadata for f in Path(kept["pairs"][0]._written_at.removeprefix("file://")).glob("*.parquet")]
+    groups = [m.row_group(k).total_byte_size for m in of_pairs for k in range(m.num_row_groups)]
+    assert max(m.num_row_groups for m in of_pairs) > 1 and max(groups) < 3 << 16
